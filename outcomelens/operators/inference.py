@@ -113,17 +113,13 @@ def fit_logit(
         for level in names[1:]:
             design[f"{factor}={level}"] = (F.col(factor) == level).cast("double")
 
+    # grouped binomial rows: the share of events, weighted by the size of the pattern
     names = [f"_x{i}" for i in range(len(design))]
-    wide = patterns.select(
-        "n", "events", *[col.alias(name) for name, col in zip(names, design.values())]
+    columns = [col.alias(name) for name, col in zip(names, design.values())]
+    grouped = patterns.select(
+        *columns, (F.col("events") / F.col("n")).alias("label"), F.col("n").cast("double").alias("weight")
     )
-    # one weighted row for the events of a pattern and one for its non-events
-    halves = F.array(
-        F.struct(F.lit(1.0).alias("label"), F.col("events").cast("double").alias("weight")),
-        F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("events")).cast("double").alias("weight")),
-    )
-    weighted = wide.select(*names, F.inline(halves)).where(F.col("weight") > 0)
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(weighted)
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(grouped)
     solver = GeneralizedLinearRegression(
         family="binomial", link="logit", weightCol="weight", regParam=0.0, maxIter=50, tol=1e-10
     )

@@ -34,8 +34,8 @@ def attach_labels(fact: DataFrame, lookups: dict[str, Lookup]) -> DataFrame:
     for name, lookup in lookups.items():
         key = f"_{name}_key"
         labels = lookup.table.groupBy(F.col(lookup.key).alias(key)).agg(F.min(lookup.label).alias(name))
-        out = out.join(labels, lookup.code == F.col(key), "left").drop(key)
-    return out
+        out = out.join(labels, lookup.code == F.col(key), "left")
+    return out.drop(*[f"_{name}_key" for name in lookups])
 
 
 def mark_orphans(fact: DataFrame, lookups: Sequence[Lookup], flag: str) -> DataFrame:

@@ -98,36 +98,34 @@ def diagnosis_group(df: DataFrame, code: str, name: str = "primary_diagnosis_gro
 def stage(raw: RawTables) -> DataFrame:
     """Typed encounters: sentinels resolved, codes labelled and grouped, outcome and flags derived."""
     labelled = diagnosis_group(attach_labels(raw.encounters, raw.lookups()), "diag_1")
-
-    def number(name: str) -> Column:
-        return F.col(name).cast("int")
-
     groups = code_groups()
     return labelled.select(
-        F.col("encounter_id").cast("bigint").alias("encounter_id"),
-        F.col("patient_nbr").cast("bigint").alias("patient_nbr"),
+        *_strict("bigint", encounter_id="encounter_id", patient_nbr="patient_nbr"),
         null_if(F.col("race"), "?").alias("race"),
         null_if(F.col("gender"), "Unknown/Invalid").alias("gender"),
         F.col("age").alias("age_band"),
         band_midpoint(F.col("age")).alias("age_mid"),
-        number("admission_type_id").alias("admission_type_id"),
+        *_strict("int", admission_type_id="admission_type_id"),
         "admission_type",
         groups["admission_type_group"].alias("admission_type_group"),
-        number("admission_source_id").alias("admission_source_id"),
+        *_strict("int", admission_source_id="admission_source_id"),
         "admission_source",
         groups["admission_source_group"].alias("admission_source_group"),
-        number("discharge_disposition_id").alias("discharge_disposition_id"),
+        *_strict("int", discharge_disposition_id="discharge_disposition_id"),
         "discharge_disposition",
         groups["discharge_group"].alias("discharge_group"),
-        number("time_in_hospital").alias("los_days"),
+        *_strict("int", los_days="time_in_hospital"),
         label_missing(F.col("medical_specialty"), "?", "Unknown").alias("medical_specialty"),
-        number("num_lab_procedures").alias("num_lab_procedures"),
-        number("num_procedures").alias("num_procedures"),
-        number("num_medications").alias("num_medications"),
-        number("number_diagnoses").alias("number_diagnoses"),
-        number("number_outpatient").alias("prior_outpatient"),
-        number("number_emergency").alias("prior_emergency"),
-        number("number_inpatient").alias("prior_inpatient"),
+        *_strict(
+            "int",
+            num_lab_procedures="num_lab_procedures",
+            num_procedures="num_procedures",
+            num_medications="num_medications",
+            number_diagnoses="number_diagnoses",
+            prior_outpatient="number_outpatient",
+            prior_emergency="number_emergency",
+            prior_inpatient="number_inpatient",
+        ),
         "diag_1",
         "primary_diagnosis_group",
         F.col("A1Cresult").alias("hba1c_result"),
@@ -140,6 +138,11 @@ def stage(raw: RawTables) -> DataFrame:
     )
 
 
+def _strict(kind: str, **sources: str) -> list[Column]:
+    """Casts that fail on bad text: new name = raw column."""
+    return [F.expr(f"cast({source} as {kind}) as {name}") for name, source in sources.items()]
+
+
 # ---------------------------------------------------------------- quality
 
 

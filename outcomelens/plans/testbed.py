@@ -7,28 +7,43 @@ calendar day in any window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .hospital import RawTables
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
-    "labels conversations"
-).split()
+# Declared, so that opening a table starts no job to read the schema from its files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _customers(spark: SparkSession, folder: str) -> DataFrame:
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     return (
         table(spark, folder, "customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+        .join(nation.join(region, F.expr("n_regionkey = r_regionkey"), "left"), F.expr("c_nationkey = n_nationkey"), "left")
         .select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", "n_name", "r_name")
     )
 
@@ -49,99 +64,89 @@ def _days(orders: DataFrame) -> DataFrame:
 
 
 def _lines(lineitem: DataFrame) -> DataFrame:
-    return lineitem.groupBy("l_orderkey").agg(
-        F.count("*").alias("n_lines"),
-        F.sum("l_quantity").cast("bigint").alias("quantity"),
-        F.sum("l_linenumber").alias("line_numbers"),
-        F.count_if(F.col("l_returnflag") == "R").alias("n_returned"),
-        F.count_if(F.col("l_returnflag") == "A").alias("n_accepted"),
-        F.count_if(F.col("l_linestatus") == "O").alias("n_open"),
-        F.count_if(F.col("l_tax") > 0.04).alias("n_taxed"),
-    )
-
+    counted = {
+        "n_lines": "count(*)",
+        "quantity": "cast(sum(l_quantity) as bigint)",
+        "line_numbers": "sum(l_linenumber)",
+        "n_returned": "count_if(l_returnflag = 'R')",
+        "n_accepted": "count_if(l_returnflag = 'A')",
+        "n_open": "count_if(l_linestatus = 'O')",
+        "n_taxed": "count_if(l_tax > 0.04D)",
+    }
+    return lineitem.groupBy("l_orderkey").agg(*[F.expr(sql).alias(name) for name, sql in counted.items()])
+
+
+# A diagnosis code from the price: blanks, V and E codes, decimals, letters and plain numbers.
+_DIAGNOSIS = """
+case when q < 10 then '?'
+     when q < 30 then concat('V', q)
+     when q < 50 then concat('E', q + 900)
+     when q < 300 then concat('250.', lpad(q % 100, 2, '0'))
+     when q < 550 then cast(q % 70 + 390 as string)
+     when q < 750 then cast(q % 60 + 460 as string)
+     when q < 760 then concat('459.', lpad(q % 100, 2, '0'))
+     when q < 770 then concat('785.', lpad(q % 100, 2, '0'))
+     when q < 780 then concat(q, 'd')
+     else cast((q - 780) * 4 + 140 as string) end
+"""
 
-def _diagnosis(q: Column) -> Column:
-    """A code from the price, 0 to 999: blanks, V and E codes, decimals, letters and plain numbers."""
-    two_digits = F.lpad((q % 100).cast("string"), 2, "0")
-    return (
-        F.when(q < 10, "?")
-        .when(q < 30, F.concat(F.lit("V"), q.cast("string")))
-        .when(q < 50, F.concat(F.lit("E"), (q + 900).cast("string")))
-        .when(q < 300, F.concat(F.lit("250."), two_digits))
-        .when(q < 550, (q % 70 + 390).cast("string"))
-        .when(q < 750, (q % 60 + 460).cast("string"))
-        .when(q < 760, F.concat(F.lit("459."), two_digits))
-        .when(q < 770, F.concat(F.lit("785."), two_digits))
-        .when(q < 780, F.concat(q.cast("string"), F.lit("d")))
-        .otherwise(((q - 780) * 4 + 140).cast("string"))
-    )
+# Raw column -> expression over one order with its lines, its customer and its customer's other orders.
+_ENCOUNTER = {
+    "encounter_id": "o_orderkey",
+    "patient_nbr": "o_custkey",
+    "race": "if(c_mktsegment = 'FURNITURE', '?', c_mktsegment)",
+    "gender": "case when c_nationkey = 0 then 'Unknown/Invalid' when c_nationkey % 2 = 1 then 'Female' else 'Male' end",
+    "age": "concat('[', decade * 10, '-', decade * 10 + 10, ')')",
+    "weight": "if(c_acctbal < -700, '[75-100)', '?')",
+    "admission_type_id": "substring(o_orderpriority, 1, 1)",
+    "discharge_disposition_id": "dayofmonth(o_orderdate)",
+    "admission_source_id": "c_nationkey + 1",
+    "time_in_hospital": "least(coalesce(n_lines, 0) + 1, 14)",
+    "payer_code": "if(r_name in ('AFRICA', 'ASIA'), '?', n_name)",
+    "medical_specialty": "if(r_name in ('AMERICA', 'EUROPE'), '?', n_name)",
+    "num_lab_procedures": "coalesce(quantity, 0)",
+    "num_procedures": "coalesce(n_accepted, 0)",
+    "num_medications": "coalesce(line_numbers, 0)",
+    "number_outpatient": "coalesce(n_taxed, 0)",
+    "number_emergency": "coalesce(n_returned, 0)",
+    "number_inpatient": "prior",
+    "diag_1": _DIAGNOSIS,
+    "number_diagnoses": "coalesce(n_open, 0) + 1",
+    "A1Cresult": "case when c2 < 80 then 'None' when c2 < 87 then 'Norm' when c2 < 93 then '>7' else '>8' end",
+    "insulin": "element_at(array('No', 'Steady', 'Up', 'Down'), quarter(o_orderdate))",
+    "change": "if(o_orderstatus = 'F', 'Ch', 'No')",
+    "diabetesMed": "if(o_orderstatus <> 'P', 'Yes', 'No')",
+    "readmitted": "case when gap is null then 'NO' when gap < 30 then '<30' else '>30' end",
+}
 
 
 def encounters(spark: SparkSession, folder: str) -> DataFrame:
     """One text row per order, in the columns of the hospital's raw table."""
-    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
-    orders = table(spark, folder, "orders").withColumn("day", day)
+    orders = table(spark, folder, "orders").withColumn("day", F.expr("datediff(cast(o_orderdate as date), '1970-01-01')"))
     # customer columns ride on the daily rows, which bounds what a busy customer sends through that join
-    days = _days(orders).join(_customers(spark, folder), F.col("d_custkey") == F.col("c_custkey"), "left")
+    days = _days(orders).join(_customers(spark, folder), F.expr("d_custkey = c_custkey"), "left")
     lines = _lines(table(spark, folder, "lineitem"))
-    joined = (
-        orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .join(days, (F.col("o_custkey") == F.col("d_custkey")) & (F.col("day") == F.col("d_day")), "left")
-        .withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("bigint"))
-        .withColumn("dollars", F.floor(F.col("cents") / 100) % 1000)
+    joined = orders.join(lines, F.expr("o_orderkey = l_orderkey"), "left").join(
+        days, F.expr("o_custkey = d_custkey and day = d_day"), "left"
     )
-
-    def counted(name: str, plus: int = 0) -> Column:
-        return F.coalesce(F.col(name), F.lit(0)) + plus
-
-    decade = F.greatest(F.lit(0), F.least(F.lit(9), F.floor((F.col("c_acctbal") + 1000) / 1100)))
-    gap = F.when(F.col("o_orderkey") < F.col("last_key"), 0).otherwise(F.col("next_day") - F.col("day"))
-    last_digits = F.col("cents") % 100
-    columns = {
-        "encounter_id": F.col("o_orderkey"),
-        "patient_nbr": F.col("o_custkey"),
-        "race": F.when(F.col("c_mktsegment") == "FURNITURE", "?").otherwise(F.col("c_mktsegment")),
-        "gender": F.when(F.col("c_nationkey") == 0, "Unknown/Invalid")
-        .when(F.col("c_nationkey") % 2 == 1, "Female")
-        .otherwise("Male"),
-        "age": F.concat(F.lit("["), decade * 10, F.lit("-"), decade * 10 + 10, F.lit(")")),
-        "weight": F.when(F.col("c_acctbal") < -700, "[75-100)").otherwise("?"),
-        "admission_type_id": F.substring("o_orderpriority", 1, 1),
-        "discharge_disposition_id": F.dayofmonth("o_orderdate"),
-        "admission_source_id": F.col("c_nationkey") + 1,
-        "time_in_hospital": F.least(counted("n_lines", 1), F.lit(14)),
-        "payer_code": F.when(F.col("r_name").isin("AFRICA", "ASIA"), "?").otherwise(F.col("n_name")),
-        "medical_specialty": F.when(F.col("r_name").isin("AMERICA", "EUROPE"), "?").otherwise(F.col("n_name")),
-        "num_lab_procedures": counted("quantity"),
-        "num_procedures": counted("n_accepted"),
-        "num_medications": counted("line_numbers"),
-        "number_outpatient": counted("n_taxed"),
-        "number_emergency": counted("n_returned"),
-        "number_inpatient": F.col("prior"),
-        "diag_1": _diagnosis(F.col("dollars")),
-        "number_diagnoses": counted("n_open", 1),
-        "A1Cresult": F.when(last_digits < 80, "None")
-        .when(last_digits < 87, "Norm")
-        .when(last_digits < 93, ">7")
-        .otherwise(">8"),
-        "insulin": F.element_at(
-            F.array(*[F.lit(x) for x in ("No", "Steady", "Up", "Down")]), F.quarter("o_orderdate")
-        ),
-        "change": F.when(F.col("o_orderstatus") == "F", "Ch").otherwise("No"),
-        "diabetesMed": F.when(F.col("o_orderstatus") != "P", "Yes").otherwise("No"),
-        "readmitted": F.when(gap.isNull(), "NO").when(gap < 30, "<30").otherwise(">30"),
-    }
-    return joined.select(*[col.cast("string").alias(name) for name, col in columns.items()])
+    derived = joined.selectExpr(
+        "*",
+        "cast(round(o_totalprice * 100) as bigint) % 100 as c2",
+        "cast(round(o_totalprice * 100) as bigint) div 100 % 1000 as q",
+        "greatest(0, least(9, floor((c_acctbal + 1000) / 1100))) as decade",
+        "if(o_orderkey < last_key, 0, next_day - day) as gap",
+    )
+    return derived.selectExpr(*[f"cast({sql} as string) as {name}" for name, sql in _ENCOUNTER.items()])
 
 
 def raw_tables(spark: SparkSession, folder: str) -> RawTables:
     """Encounters with lookups from regions and nations; discharge codes over 25 have no match."""
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
-    n_id, r_id = F.col("n_nationkey") + 1, F.col("r_regionkey") + 1
-    per_region = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     return RawTables(
         encounters(spark, folder),
-        region.select(r_id.alias("admission_type_id"), F.col("r_name").alias("description")),
-        per_region.select(n_id.alias("admission_source_id"), F.col("r_name").alias("description")),
-        nation.select(n_id.alias("discharge_disposition_id"), F.col("n_name").alias("description")),
+        region.selectExpr("r_regionkey + 1 as admission_type_id", "r_name as description"),
+        nation.join(region, F.expr("n_regionkey = r_regionkey")).selectExpr(
+            "n_nationkey + 1 as admission_source_id", "r_name as description"
+        ),
+        nation.selectExpr("n_nationkey + 1 as discharge_disposition_id", "n_name as description"),
     )

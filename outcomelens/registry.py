@@ -48,7 +48,7 @@ def _baseline(members: DataFrame):
 
 
 def q_load_counts(spark: SparkSession, folder: str) -> DataFrame:
-    tables = {name: testbed.table(spark, folder, name) for name in testbed.TABLES}
+    tables = {name: testbed.table(spark, folder, name) for name in testbed.SCHEMAS}
     return load_counts(tables, {"region": 5, "nation": 25, "supplier": 0})
 
 

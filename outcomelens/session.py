@@ -17,6 +17,7 @@ def local_session(app: str, cores: int | str = "*", memory: str = "8g") -> Spark
         .config("spark.driver.memory", memory)
         .config("spark.driver.host", "localhost")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
