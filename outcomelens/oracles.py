@@ -484,6 +484,24 @@ SELECT *, events_caught / events AS captured_share, events_caught / followed_up
 SELECT CAST(d AS INT) AS decile, c AS patients, rate AS readmission_rate_pct,
   CAST(sum(c) OVER () AS BIGINT) AS total_patients, round(sum(rate * c) OVER () / sum(c) OVER (), 6) AS weighted_rate_pct,
   d >= 9 AS highlighted FROM tenths""",
+    "q_score_comparison": f"""WITH {SCORED}, methods AS (
+  SELECT 'Points' AS method, lace_score::DOUBLE AS s, readmitted_30d::INT AS y, encounter_id AS id FROM scored
+  UNION ALL SELECT 'Prior stays', prior_inpatient, readmitted_30d::INT, encounter_id FROM scored
+  UNION ALL SELECT 'Medications per day', num_medications / los_days, readmitted_30d::INT, encounter_id FROM scored
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY method ORDER BY s DESC, id)
+      <= floor(0.2::DOUBLE * count(*) OVER (PARTITION BY method)) AS top,
+    rank() OVER (PARTITION BY method ORDER BY s)
+      + (count(*) OVER (PARTITION BY method, s) - 1) / 2 AS mid_rank
+  FROM methods
+)
+SELECT method,
+  round_even((sum(mid_rank) FILTER (y = 1) - sum(y)::DOUBLE * (sum(y) + 1) / 2)
+    / (sum(y)::DOUBLE * sum(1 - y)::DOUBLE), 3) AS auc,
+  round_even(100.0 * (sum(y) FILTER (top) / sum(y)), 1) AS readmissions_caught_top20_pct,
+  round_even(100.0 * avg(y) FILTER (top), 1) AS readmission_rate_in_top20_pct,
+  round_even(100.0 * avg(y), 2) AS baseline_rate_pct
+FROM placed GROUP BY method""",
     "q_logit_2x2": _wald(
         _CELLS,
         """SELECT 'tested', ln(x.e * u.o / (x.o * u.e)), 1 / x.e + 1 / x.o + 1 / u.e + 1 / u.o

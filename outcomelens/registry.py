@@ -268,6 +268,22 @@ def q_deciles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def q_score_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """The comparison table for scores that need no model: whole numbers with many ties, and a ratio."""
+    scratch = Scratch(spark)
+    scored = hospital.with_score(_cohort(spark, folder)).select(
+        "encounter_id",
+        F.col(hospital.OUTCOME).cast("int").alias("y"),
+        "lace_score",
+        "prior_inpatient",
+        (F.col("num_medications") / F.col("los_days")).alias("per_day"),
+    )
+    methods = {"Points": "lace_score", "Prior stays": "prior_inpatient", "Medications per day": "per_day"}
+    return evaluate.compare_scores(
+        scratch.table(scored, "scored"), methods, "y", "encounter_id", scratch, V.FOLLOW_UP_SHARE
+    )
+
+
 # ---------------------------------------------------------------- risk model
 
 
