@@ -65,20 +65,24 @@ class _Search:
         """Keep the one of five parts (under, at, between, at, over the pivots) that holds the position."""
         lo, hi = pivots
         under, at_lo, between, at_hi, over = counts
-        before = self.size
+        self.stuck = self.size in (under, between, over)
+        if self.stuck:
+            return  # nothing was cut off; the pivots may even lie outside
         if self.position <= under:
             self.below, self.size = lo, under
-        elif self.position <= under + at_lo:
-            return self.settle(lo, self.position - under, at_lo)
-        elif self.position <= under + at_lo + between:
-            self.position -= under + at_lo
+            return
+        self.position -= under
+        if self.position <= at_lo:
+            return self.settle(lo, self.position, at_lo)
+        self.position -= at_lo
+        if self.position <= between:
             self.above, self.below, self.size = lo, hi, between
-        elif self.position <= under + at_lo + between + at_hi:
-            return self.settle(hi, self.position - under - at_lo - between, at_hi)
-        else:
-            self.position -= under + at_lo + between + at_hi
-            self.above, self.size = hi, over
-        self.stuck = self.size == before
+            return
+        self.position -= between
+        if self.position <= at_hi:
+            return self.settle(hi, self.position, at_hi)
+        self.position -= at_hi
+        self.above, self.size = hi, over
 
 
 def order_statistics(
@@ -91,7 +95,8 @@ def order_statistics(
     """Key values of the rows at given 1-based positions, in ascending order of ``keys``.
 
     ``keys`` are numeric, never NULL, and unique together. ``positions`` gets the row count of each
-    stratum (of ``None`` without one) and returns ``(stratum, position)`` pairs.
+    stratum (of ``None`` without one) and returns ``(stratum, position)`` pairs. ``df`` is read several
+    times, a few columns each time: pass a written table (see ``Scratch``), not a long plan.
 
     Every round is two aggregates without a row-level shuffle: approximate percentiles close to each
     position, then exact counts around them. A round leaves a few thousandths of the candidates, and ties
@@ -99,23 +104,21 @@ def order_statistics(
     The last ``fetch_limit`` candidates at most are fetched. Approximation only chooses where to
     count; the result is exact.
     """
-    columns = [*keys] if stratum is None else [*keys, stratum]
-    with Scratch(df.sparkSession) as scratch:
-        rows = scratch.table(df.select(*columns), "keys")
-        if stratum is None:
-            sizes = {None: rows.count()}
-        else:
-            sizes = {row[0]: row[1] for row in rows.groupBy(stratum).count().collect()}
-        searches = [_Search(s, p, sizes.get(s, 0)) for s, p in positions(sizes)]
-        for search in searches:
-            if not 1 <= search.position <= search.size:
-                raise ValueError(f"no position {search.position} among {search.size} rows")
-        while True:
-            open_ = [s for s in searches if len(s.fixed) < len(keys) and s.size > fetch_limit]
-            if not open_:
-                break
-            _round(rows, keys, stratum, open_)
-        _fetch(rows, keys, stratum, [s for s in searches if len(s.fixed) < len(keys)])
+    rows = df.select(*keys) if stratum is None else df.select(*keys, stratum)
+    if stratum is None:
+        sizes = {None: rows.count()}
+    else:
+        sizes = {row[0]: row[1] for row in rows.groupBy(stratum).count().collect()}
+    searches = [_Search(s, p, sizes.get(s, 0)) for s, p in positions(sizes)]
+    for search in searches:
+        if not 1 <= search.position <= search.size:
+            raise ValueError(f"no position {search.position} among {search.size} rows")
+    while True:
+        wide = [s for s in searches if len(s.fixed) < len(keys) and s.size > fetch_limit]
+        if not wide:
+            break
+        _round(rows, keys, stratum, wide)
+    _fetch(rows, keys, stratum, [s for s in searches if len(s.fixed) < len(keys)])
     return [tuple(s.fixed) for s in searches]
 
 
