@@ -12,8 +12,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +98,13 @@ def _usable(patterns: DataFrame, categorical: Mapping[str, str | None]) -> tuple
     return patterns, levels
 
 
+def _check_rank(rows: DataFrame) -> None:
+    """The solver may return numbers for a singular design, so look at the correlations first."""
+    correlations = Correlation.corr(rows, "features").first()[0].toArray()
+    if np.linalg.eigvalsh(correlations).min() < 1e-9:
+        raise ValueError("no unique estimates: the design columns determine each other")
+
+
 def fit_logit(
     patterns: DataFrame, numeric: Mapping[str, Column], categorical: Mapping[str, str | None]
 ) -> list[Term]:
@@ -125,11 +134,9 @@ def fit_logit(
     )
     rows = rows.select("features", "label", "weight").persist()
     try:
+        _check_rank(rows)
         model = solver.fit(rows)
-        try:
-            errors = model.summary.coefficientStandardErrors
-        except Exception as exc:
-            raise ValueError("no standard errors: the design columns determine each other") from exc
+        errors = model.summary.coefficientStandardErrors
         return [Term(name, float(b), se) for name, b, se in zip(design, model.coefficients.toArray(), errors)]
     finally:
         rows.unpersist()

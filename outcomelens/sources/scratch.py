@@ -7,30 +7,25 @@ session without that setting gets a folder of its own.
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SETTING = "spark.checkpoint.dir"
-
 
 def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_SETTING} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="outcomelens-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set(_SETTING, folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="outcomelens-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 class Scratch:
-    """Writes tables to the shared folder; used as a context manager it deletes them at the end.
+    """Writes tables to the shared folder. They go at the end of a ``with`` block or of the application.
 
     >>> with Scratch(spark) as scratch:
     ...     rows = scratch.table(df)
@@ -44,16 +39,21 @@ class Scratch:
         path = f"{shared_folder(self.spark)}/{name}-{uuid4().hex}"
         df.write.parquet(path)
         self.paths.append(path)
+        files, place = self._files(path)
+        files.deleteOnExit(place)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for text in self.paths:
-            path = jvm.org.apache.hadoop.fs.Path(text)
-            path.getFileSystem(conf).delete(path, True)
+        for path in self.paths:
+            files, place = self._files(path)
+            files.delete(place, True)
         self.paths = []
 
+    def _files(self, path: str):
+        context = self.spark.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(context._jsc.hadoopConfiguration()), place
+
     def __enter__(self) -> Scratch:
         return self
 
