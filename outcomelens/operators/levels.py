@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 
 def top_levels(df: DataFrame, col: str, n: int) -> DataFrame:
     """The ``n`` most frequent levels with their counts; of equally frequent ones the first by name."""
-    return (
-        df.groupBy(col)
-        .agg(F.count("*").alias("n_rows"))
-        .orderBy(F.desc("n_rows"), F.col(col).asc_nulls_last())
-        .limit(n)
-    )
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n_rows"))
+    return counts.orderBy(F.desc("n_rows"), col).limit(n)
 
 
 def top_level_names(df: DataFrame, col: str, n: int) -> list[str]:

@@ -6,6 +6,8 @@ the same by necessity.
 
 from __future__ import annotations
 
+from .plans import fixed_values as V
+
 RAW = """
 raw_orders AS (
   SELECT *, date_diff('day', TIMESTAMP '1970-01-01', o_orderdate) AS dayno,
@@ -206,41 +208,33 @@ exposed AS (
 )"""
 )
 
-CHECKS = """
-checks(check_id, check_name, affected_rows, handling) AS (
-  SELECT 1, 'Duplicate encounter_id', count(*) - count(DISTINCT encounter_id),
-    'None found - encounter_id is a valid primary key' FROM raw
-  UNION ALL SELECT 2, 'Race recorded as ''?''', count_if(race = '?'), 'Set to NULL, reported as Unknown' FROM raw
-  UNION ALL SELECT 3, 'Weight recorded as ''?''', count_if(weight = '?'),
-    'Column dropped - 97% missing, not usable' FROM raw
-  UNION ALL SELECT 4, 'Payer code recorded as ''?''', count_if(payer_code = '?'),
-    'Column dropped - 40% missing and not needed for the question' FROM raw
-  UNION ALL SELECT 5, 'Medical specialty recorded as ''?''', count_if(medical_specialty = '?'),
-    'Kept as ''Unknown'' category (49% missing)' FROM raw
-  UNION ALL SELECT 6, 'Primary diagnosis (diag_1) recorded as ''?''', count_if(diag_1 = '?'),
-    'Grouped as ''Missing''' FROM raw
-  UNION ALL SELECT 7, 'Gender ''Unknown/Invalid''', count_if(gender = 'Unknown/Invalid'),
-    'Excluded from the analysis cohort' FROM raw
-  UNION ALL SELECT 8, 'Repeat encounters of the same patient', count(*) - count(DISTINCT patient_nbr),
-    'Keep first encounter per patient so observations are independent' FROM raw
-  UNION ALL SELECT 9, 'Discharged as died or to hospice (cannot be readmitted)',
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+CHECKS = f"""
+check_texts(check_id, check_name, handling) AS (
+  VALUES {", ".join(f"({i}, {_quoted(name)}, {_quoted(handling)})" for i, (name, handling) in V.CHECKS.items())}
+),
+orphans AS (
+  SELECT count(*) AS n FROM raw WHERE NOT (admission_type_id IN (SELECT t_id::VARCHAR FROM look_type)
+    AND admission_source_id IN (SELECT s_id::VARCHAR FROM look_source)
+    AND discharge_disposition_id IN (SELECT d_id::VARCHAR FROM look_exit))
+),
+repeats AS (SELECT s_text FROM look_source GROUP BY s_text HAVING count(*) > 1),
+hits AS (
+  SELECT [count(*) - count(DISTINCT encounter_id), count_if(race = '?'), count_if(weight = '?'),
+    count_if(payer_code = '?'), count_if(medical_specialty = '?'), count_if(diag_1 = '?'),
+    count_if(gender = 'Unknown/Invalid'), count(*) - count(DISTINCT patient_nbr),
     count_if(discharge_disposition_id IN ('11', '13', '14', '19', '20', '21')),
-    'Excluded from the analysis cohort' FROM raw
-  UNION ALL SELECT 10, 'Admission type unknown (NULL / Not Available / Not Mapped)',
-    count_if(admission_type_id IN ('5', '6', '8')), 'Grouped as ''Unknown''' FROM raw
-  UNION ALL SELECT 11, 'Admission source unknown (NULL / Not Available / Not Mapped / Invalid)',
-    count_if(admission_source_id IN ('9', '15', '17', '20', '21')), 'Grouped as ''Unknown''' FROM raw
-  UNION ALL SELECT 12, 'Discharge disposition unknown (NULL / Not Mapped / Invalid)',
-    count_if(discharge_disposition_id IN ('18', '25', '26')), 'Grouped as ''Unknown''' FROM raw
-  UNION ALL SELECT 13, 'Codes with no match in lookup tables (orphan keys)', count(*), 'Checked with LEFT JOINs'
-    FROM raw WHERE NOT (admission_type_id IN (SELECT t_id::VARCHAR FROM look_type)
-      AND admission_source_id IN (SELECT s_id::VARCHAR FROM look_source)
-      AND discharge_disposition_id IN (SELECT d_id::VARCHAR FROM look_exit))
-  UNION ALL SELECT 14, 'Lookup: same description used for two admission_source codes',
-    (SELECT count(*) FROM (SELECT s_text FROM look_source GROUP BY s_text HAVING count(*) > 1)),
-    'Harmless (both mean Not Available) - mapped to the same group'
-  UNION ALL SELECT 15, 'HbA1c test not performed (not an error - a care-quality signal)',
-    count_if(A1Cresult = 'None'), 'Kept - analysed as the exposure' FROM raw
+    count_if(admission_type_id IN ('5', '6', '8')),
+    count_if(admission_source_id IN ('9', '15', '17', '20', '21')),
+    count_if(discharge_disposition_id IN ('18', '25', '26')),
+    (SELECT n FROM orphans), (SELECT count(*) FROM repeats), count_if(A1Cresult = 'None')] AS n
+  FROM raw
+),
+checks AS (
+  SELECT check_id, check_name, CAST(n[check_id] AS BIGINT) AS affected_rows, handling FROM check_texts, hits
 )"""
 DQ = RAW + "," + CHECKS
 

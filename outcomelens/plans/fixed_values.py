@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from ..functions import CodeRule
 
-# Raw columns, as text.
-RAW_COLUMNS = [
-    "encounter_id", "patient_nbr", "race", "gender", "age", "weight", "admission_type_id",
-    "discharge_disposition_id", "admission_source_id", "time_in_hospital", "payer_code",
-    "medical_specialty", "num_lab_procedures", "num_procedures", "num_medications",
-    "number_outpatient", "number_emergency", "number_inpatient", "diag_1", "number_diagnoses",
-    "A1Cresult", "insulin", "change", "diabetesMed", "readmitted",
-]
+# Rows of the published raw table, reported against the rows loaded.
+EXPECTED_ENCOUNTERS = 101766
+
+# Order of the lookups in the stacked file.
+STACKED_LOOKUPS = ["admission_type", "discharge_disposition", "admission_source"]
 
 # Code groups.
 ADMISSION_TYPE_GROUPS = {"Emergency / trauma": [1, 7], "Urgent": [2], "Elective": [3]}

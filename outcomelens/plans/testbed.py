@@ -119,6 +119,8 @@ _ENCOUNTER = {
     "readmitted": "case when gap is null then 'NO' when gap < 30 then '<30' else '>30' end",
 }
 
+RAW_COLUMNS = list(_ENCOUNTER)
+
 
 def encounters(spark: SparkSession, folder: str) -> DataFrame:
     """One text row per order, in the columns of the hospital's raw table."""

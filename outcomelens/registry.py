@@ -25,19 +25,27 @@ def _cohort(spark: SparkSession, folder: str) -> DataFrame:
     return hospital.cohort(_staged(spark, folder))
 
 
-def _loaded(spark: SparkSession, folder: str) -> hospital.RawTables:
-    """Raw tables whose encounters are written once, for queries that read them several times."""
+def _loaded(spark: SparkSession, folder: str, columns: list[str]) -> hospital.RawTables:
+    """Raw tables with some encounter columns written once, for queries that read them several times."""
     raw = testbed.raw_tables(spark, folder)
-    return replace(raw, encounters=Scratch(spark).table(raw.encounters, "raw"))
+    return replace(raw, encounters=Scratch(spark).table(raw.encounters.select(*columns), "raw"))
+
+
+_CHECKED_COLUMNS = [
+    "encounter_id", "patient_nbr", "race", "weight", "payer_code", "medical_specialty", "diag_1", "gender",
+    "discharge_disposition_id", "admission_type_id", "admission_source_id", "A1Cresult",
+]
+
+
+_PROFILE_COLUMNS = [
+    "age_band", "primary_diagnosis_group", "admission_source_group", "discharge_group", "prior_inpatient",
+    "prior_emergency", "los_days", "hba1c_tested", hospital.OUTCOME,
+]
 
 
 def _cohort_table(spark: SparkSession, folder: str) -> DataFrame:
     """The cohort's profile columns written once, for queries that read them several times."""
-    needed = [
-        "age_band", "primary_diagnosis_group", "admission_source_group", "discharge_group", "prior_inpatient",
-        "prior_emergency", "los_days", "hba1c_tested", hospital.OUTCOME,
-    ]
-    return Scratch(spark).table(_cohort(spark, folder).select(*needed), "cohort")
+    return Scratch(spark).table(_cohort(spark, folder).select(*_PROFILE_COLUMNS), "cohort")
 
 
 def _baseline(members: DataFrame):
@@ -117,7 +125,7 @@ def q_code_chapters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_dq_suite(spark: SparkSession, folder: str) -> DataFrame:
-    return hospital.data_quality(_loaded(spark, folder))
+    return hospital.data_quality(_loaded(spark, folder, _CHECKED_COLUMNS))
 
 
 def q_orphan_keys(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +138,7 @@ def q_dup_descriptions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q_missing_share(spark: SparkSession, folder: str) -> DataFrame:
-    raw = _loaded(spark, folder)
+    raw = _loaded(spark, folder, _CHECKED_COLUMNS)
     total = raw.encounters.agg(F.count("*").alias("n")).select("n").scalar()
     return quality.missing_share(
         hospital.data_quality(raw), total, V.MISSING_SHARE_CHECKS, V.MISSING_LABEL, V.LABEL_NOTE
@@ -361,9 +369,9 @@ def q_logit_stratified(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_report_payload(spark: SparkSession, folder: str) -> DataFrame:
     """The payload of the SQL-made tables, read back and flattened to one row per record."""
-    raw = _loaded(spark, folder)
+    raw = _loaded(spark, folder, testbed.RAW_COLUMNS)
     staged = hospital.stage(raw)
-    members = Scratch(spark).table(hospital.cohort(staged), "cohort")
+    members = Scratch(spark).table(hospital.cohort(staged).select(*_PROFILE_COLUMNS), "cohort")
     payload = report_payload(
         spark,
         {"kpi": hospital.overall(members)},

@@ -11,15 +11,21 @@ from pyspark.sql import types as T
 
 
 def read_text_table(
-    spark: SparkSession, path: str | list[str], columns: Sequence[str], multi_line: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    columns: Sequence[str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Header CSV with every column as text, so that '?' and 'V57' survive for the checks.
 
-    ``columns`` are the file's columns in order. Embedded quotes are doubled quotes. ``multi_line``
-    is only for files whose fields hold line breaks: such a file cannot be split between tasks.
+    ``columns`` names all columns of the file in order; without it the header does. Embedded quotes are
+    doubled quotes. ``multi_line`` is only for files whose fields hold line breaks: such a file
+    cannot be split between tasks.
     """
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
-    return spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=multi_line)
+    reader = spark.read
+    if columns is not None:
+        reader = reader.schema(T.StructType([T.StructField(name, T.StringType()) for name in columns]))
+    return reader.csv(path, header=True, inferSchema=False, escape='"', multiLine=multi_line)
 
 
 def read_lookup(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
