@@ -48,7 +48,7 @@ def load(spark: SparkSession, encounters: str, lookups: Mapping[str, str] | str)
 def sql_tables(raw: hospital.RawTables, scratch: Scratch) -> dict[str, DataFrame]:
     """Everything up to the exposure comparison. The cohort is written once and read by the rest."""
     staged = hospital.stage(raw)
-    members = scratch.table(hospital.cohort(staged), "cohort")
+    members = scratch.table(hospital.cohort_from_raw(raw), "cohort")
     return {
         "load_counts": load_counts(
             {"encounters": raw.encounters, **{name: t.table for name, t in raw.lookups().items()}},

@@ -7,7 +7,7 @@ does; they read tables written once to the shared folder.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ from ..functions import (
     step,
     top_coded,
 )
-from ..operators.cohort import cohort_funnel, index_cohort
+from ..operators.cohort import cohort_funnel, first_per_entity, index_cohort
 from ..operators.evaluate import compare_scores, decile_table, with_quantile
 from ..operators.exposure import exposure_by_stratum, exposure_groups, exposure_summary
 from ..operators.inference import Term, covariate_patterns, fit_logit, stratified_logit
@@ -186,6 +186,18 @@ def cohort(staged: DataFrame) -> DataFrame:
     return index_cohort(staged, "patient_nbr", "encounter_id", _readmittable())
 
 
+def cohort_from_raw(raw: RawTables) -> DataFrame:
+    """The same cohort straight from the raw table: only first encounters are cleaned and coded.
+
+    Everything staging computes, and the wider rows it makes, is spent on one row per patient.
+    """
+    keyed = raw.encounters.withColumns(
+        {c: F.col(c).cast("bigint") for c in ("encounter_id", "patient_nbr")}
+    )
+    first = first_per_entity(keyed, "patient_nbr", "encounter_id")
+    return stage(replace(raw, encounters=first)).where(_readmittable())
+
+
 def funnel(staged: DataFrame) -> DataFrame:
     return cohort_funnel(staged, "patient_nbr", "encounter_id", _readmittable(), V.FUNNEL_STEPS)
 

@@ -22,7 +22,7 @@ def _staged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _cohort(spark: SparkSession, folder: str) -> DataFrame:
-    return hospital.cohort(_staged(spark, folder))
+    return hospital.cohort_from_raw(testbed.raw_tables(spark, folder))
 
 
 def _loaded(spark: SparkSession, folder: str, columns: list[str]) -> hospital.RawTables:
@@ -56,8 +56,11 @@ def _baseline(members: DataFrame):
 
 
 def q_load_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Row counts, with a claim about three tables, one of them wrong on purpose."""
     tables = {name: testbed.table(spark, folder, name) for name in testbed.SCHEMAS}
-    return load_counts(tables, {"region": 5, "nation": 25, "supplier": 0})
+    counts = load_counts(tables, {"region": 5, "nation": 25, "supplier": 0})
+    check = F.when(F.col("as_expected"), "as expected").when(~F.col("as_expected"), "differs")
+    return counts.select("table_name", "n_rows", check.otherwise("nothing expected").alias("check"))
 
 
 def q_stacked_sections(spark: SparkSession, folder: str) -> DataFrame:
@@ -371,7 +374,7 @@ def q_report_payload(spark: SparkSession, folder: str) -> DataFrame:
     """The payload of the SQL-made tables, read back and flattened to one row per record."""
     raw = _loaded(spark, folder, testbed.RAW_COLUMNS)
     staged = hospital.stage(raw)
-    members = Scratch(spark).table(hospital.cohort(staged).select(*_PROFILE_COLUMNS), "cohort")
+    members = Scratch(spark).table(hospital.cohort_from_raw(raw).select(*_PROFILE_COLUMNS), "cohort")
     payload = report_payload(
         spark,
         {"kpi": hospital.overall(members)},

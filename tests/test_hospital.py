@@ -101,6 +101,12 @@ def test_cohort_takes_first_stay_then_excludes(members):
     assert sorted(r.encounter_id for r in members.collect()) == [20, 40, 50, 60, 70, 80]
 
 
+def test_cohort_straight_from_raw_rows(raw, members):
+    direct = hospital.cohort_from_raw(raw)
+    assert direct.schema == members.schema
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, members.collect()))
+
+
 def test_funnel(staged):
     rows = hospital.funnel(staged).orderBy("step").collect()
     assert [(r.step, r.description, r.encounters) for r in rows] == list(zip((1, 2, 3), V.FUNNEL_STEPS, (10, 8, 6)))
