@@ -93,13 +93,19 @@ def report_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> dict[
         "rate_3_or_more_stays": (V.INPATIENT, "3+"),
         "rate_no_stay": (V.INPATIENT, "0"),
     }
+    diabetes = tables["hba1c_by_diagnosis"].where(F.col("primary_diagnosis_group") == "Diabetes")
     return {
         "missing_share": missing_share(
             tables["dq_results"], total, V.MISSING_SHARE_CHECKS, V.MISSING_LABEL, V.LABEL_NOTE
         ),
         "driver_flags": flag_drivers(profile, baseline, V.ORDINAL_DIMENSIONS),
         "top_category": top_category(profile, baseline),
-        "headlines": category_rates(profile, wanted),
+        "headlines": category_rates(profile, wanted).withColumns(
+            {
+                "diabetes_rate_tested": diabetes.select("tested_pct").scalar(),
+                "diabetes_rate_not_tested": diabetes.select("not_tested_pct").scalar(),
+            }
+        ),
         "payload": report_payload(
             spark,
             {"kpi": kpi, "hbaAll": tables["hba1c_tested_adjusted"]},

@@ -19,6 +19,8 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .risk_model import sized_for_solver
+
 _Z95 = NormalDist().inv_cdf(0.975)
 _MAX_LEVELS = 2000
 
@@ -132,7 +134,7 @@ def fit_logit(
     solver = GeneralizedLinearRegression(
         family="binomial", link="logit", weightCol="weight", regParam=0.0, maxIter=50, tol=1e-10
     )
-    rows = rows.select("features", "label", "weight").persist()
+    rows = sized_for_solver(rows.select("features", "label", "weight"), patterns.count(), len(names)).persist()
     try:
         _check_rank(rows)
         model = solver.fit(rows)

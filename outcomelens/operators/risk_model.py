@@ -98,6 +98,15 @@ def _assemble(df: DataFrame, encoding: Encoding) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(wide).drop(*names)
 
 
+def sized_for_solver(rows: DataFrame, n: int, width: int) -> DataFrame:
+    """At most one partition per 4 million numbers (32 MB).
+
+    A solver runs a job per iteration; with partitions much smaller than that it would mostly start tasks.
+    Larger data keeps its partitions.
+    """
+    return rows.coalesce(max(1, math.ceil(n * width / 4_000_000)))
+
+
 def fit_risk_model(
     train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, c: float = 0.5
 ) -> RiskModel:
@@ -114,4 +123,5 @@ def fit_risk_model(
     solver = LogisticRegression(
         weightCol="weight", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-8
     )
-    return RiskModel(encoding, list(encoding.features(train)), solver.fit(rows))
+    names = list(encoding.features(train))
+    return RiskModel(encoding, names, solver.fit(sized_for_solver(rows, n, len(names))))

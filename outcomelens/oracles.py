@@ -415,7 +415,11 @@ FROM best b, kpi k""",
 SELECT max(readmission_rate_pct) FILTER (dimension LIKE 'Inpatient%' AND category = '3+') AS rate_3_or_more_stays,
   max(readmission_rate_pct) FILTER (dimension LIKE 'Inpatient%' AND category = '0') AS rate_no_stay,
   max(readmission_rate_pct) FILTER (dimension LIKE 'HbA1c%' AND category = 'Tested') AS rate_tested,
-  max(readmission_rate_pct) FILTER (dimension LIKE 'HbA1c%' AND category = 'Not tested') AS rate_not_tested
+  max(readmission_rate_pct) FILTER (dimension LIKE 'HbA1c%' AND category = 'Not tested') AS rate_not_tested,
+  (SELECT round(100.0 * avg(readmitted_30d::INT), 2) FROM cohort
+    WHERE primary_diagnosis_group = 'Diabetes' AND hba1c_tested) AS diabetes_rate_tested,
+  (SELECT round(100.0 * avg(readmitted_30d::INT), 2) FROM cohort
+    WHERE primary_diagnosis_group = 'Diabetes' AND NOT hba1c_tested) AS diabetes_rate_not_tested
 FROM profile""",
     "q_points_score": f"""WITH {SCORED}
 SELECT encounter_id, patient_nbr, readmitted_30d, l_points, a_points, c_points, e_points, lace_score, risk_band

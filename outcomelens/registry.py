@@ -43,9 +43,9 @@ _PROFILE_COLUMNS = [
 ]
 
 
-def _cohort_table(spark: SparkSession, folder: str) -> DataFrame:
+def _cohort_table(spark: SparkSession, folder: str, *more: str) -> DataFrame:
     """The cohort's profile columns written once, for queries that read them several times."""
-    return Scratch(spark).table(_cohort(spark, folder).select(*_PROFILE_COLUMNS), "cohort")
+    return Scratch(spark).table(_cohort(spark, folder).select(*_PROFILE_COLUMNS, *more), "cohort")
 
 
 def _baseline(members: DataFrame):
@@ -189,7 +189,14 @@ def q_headlines(spark: SparkSession, folder: str) -> DataFrame:
         "rate_tested": (V.HBA1C, "Tested"),
         "rate_not_tested": (V.HBA1C, "Not tested"),
     }
-    return profile.category_rates(hospital.profile(_cohort(spark, folder)), wanted)
+    members = _cohort_table(spark, folder, "encounter_id", "hba1c_result", "medication_changed")
+    diabetes = hospital.hba1c_by_diagnosis(members).where(F.col("primary_diagnosis_group") == "Diabetes")
+    return profile.category_rates(hospital.profile(members), wanted).withColumns(
+        {
+            "diabetes_rate_tested": diabetes.select("tested_pct").scalar(),
+            "diabetes_rate_not_tested": diabetes.select("not_tested_pct").scalar(),
+        }
+    )
 
 
 # ---------------------------------------------------------------- score, exposure
