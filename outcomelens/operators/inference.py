@@ -19,6 +19,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import small_table
 from .risk_model import sized_for_solver
 
 _Z95 = NormalDist().inv_cdf(0.975)
@@ -63,7 +64,7 @@ def term_table(spark: SparkSession, terms: Sequence[Term]) -> DataFrame:
     """``term, estimate, se, z, p_value, odds_ratio, ci95_low, ci95_high, separated``."""
     rows = [(t.name, t.estimate, t.se, t.z, t.p_value, t.odds_ratio, *t.ci95, t.separated) for t in terms]
     schema = "term string, estimate double, se double, z double, p_value double, odds_ratio double, "
-    return spark.createDataFrame(rows, schema + "ci95_low double, ci95_high double, separated boolean")
+    return small_table(spark, rows, schema + "ci95_low double, ci95_high double, separated boolean")
 
 
 def _usable(patterns: DataFrame, categorical: Mapping[str, str | None]) -> tuple[DataFrame, dict[str, list[str]]]:

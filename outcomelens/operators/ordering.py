@@ -105,10 +105,12 @@ def order_statistics(
     count; the result is exact.
     """
     rows = df.select(*keys) if stratum is None else df.select(*keys, stratum)
-    if stratum is None:
-        sizes = {None: rows.count()}
-    else:
-        sizes = {row[0]: row[1] for row in rows.groupBy(stratum).count().collect()}
+    group = F.lit(None).cast("string") if stratum is None else F.col(stratum)
+    blank = reduce(Column.__or__, [F.col(key).isNull() for key in keys])
+    counted = rows.groupBy(group.alias("g")).agg(F.count("*").alias("n"), F.count_if(blank).alias("blank")).collect()
+    if any(row.blank for row in counted):
+        raise ValueError(f"NULL among {list(keys)}")
+    sizes = {row.g: row.n for row in counted} or {None: 0}
     searches = [_Search(s, p, sizes.get(s, 0)) for s, p in positions(sizes)]
     for search in searches:
         if not 1 <= search.position <= search.size:

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import small_table
 from .levels import distinct_levels
 
 
@@ -87,7 +88,7 @@ class RiskModel:
     def odds_table(self, df: DataFrame) -> DataFrame:
         """``feature, odds_ratio``, highest first; per standard deviation for numeric features."""
         rows = [(name, math.exp(b)) for name, b in zip(self.names, self.model.coefficients.toArray().tolist())]
-        table = df.sparkSession.createDataFrame(rows, "feature string, odds_ratio double")
+        table = small_table(df.sparkSession, rows, "feature string, odds_ratio double")
         return table.orderBy(F.desc("odds_ratio"), "feature")
 
 

@@ -44,7 +44,7 @@ from ..operators.quality import (
 from ..operators.risk_model import RiskModel, fit_risk_model
 from ..operators.score import band_validation, points_score
 from ..operators.split import stratified_split
-from ..sources.scratch import Scratch
+from ..sources import Scratch, small_table
 from . import fixed_values as V
 
 OUTCOME = "readmitted_30d"
@@ -389,12 +389,12 @@ def _rounded(table: DataFrame) -> DataFrame:
 
 def hba1c_adjusted(patterns: DataFrame) -> DataFrame:
     rows = [(t.name, t.odds_ratio, *t.ci95, t.p_value) for t in adjusted_groups(patterns)]
-    return _rounded(patterns.sparkSession.createDataFrame(rows, f"group_vs_not_tested string, {_ODDS_SCHEMA}"))
+    return _rounded(small_table(patterns.sparkSession, rows, f"group_vs_not_tested string, {_ODDS_SCHEMA}"))
 
 
 def hba1c_tested_adjusted(patterns: DataFrame) -> DataFrame:
     t = adjusted_tested(patterns)
-    return _rounded(patterns.sparkSession.createDataFrame([(t.odds_ratio, *t.ci95, t.p_value)], _ODDS_SCHEMA))
+    return _rounded(small_table(patterns.sparkSession, [(t.odds_ratio, *t.ci95, t.p_value)], _ODDS_SCHEMA))
 
 
 def hba1c_by_diagnosis_adjusted(patterns: DataFrame) -> DataFrame:
@@ -411,4 +411,4 @@ def hba1c_by_diagnosis_adjusted(patterns: DataFrame) -> DataFrame:
         "adjusted_odds_ratio double, ci95_low double, ci95_high double, p_value double, "
         "interaction_p_diabetes_vs_circulatory double"
     )
-    return _rounded(patterns.sparkSession.createDataFrame(rows, schema))
+    return _rounded(small_table(patterns.sparkSession, rows, schema))

@@ -1,7 +1,7 @@
 from .report import report_payload
 from .scratch import Scratch
 from .stacked import read_stacked, split_stacked
-from .tables import export_csv, load_counts, read_lookup, read_text_table
+from .tables import export_csv, load_counts, read_lookup, read_text_table, small_table
 
 __all__ = [
     "Scratch",
@@ -11,5 +11,6 @@ __all__ = [
     "read_stacked",
     "read_text_table",
     "report_payload",
+    "small_table",
     "split_stacked",
 ]

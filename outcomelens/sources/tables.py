@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +34,13 @@ def read_lookup(spark: SparkSession, path: str | list[str], schema: str) -> Data
     return spark.read.schema(schema).csv(path, header=True, escape='"', mode="FAILFAST")
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few driver rows (coefficients, say) as a local relation, which starts no tasks."""
+    names = T.StructType.fromDDL(schema).names
+    columns = {name: [row[i] for row in rows] for i, name in enumerate(names)}
+    return spark.createDataFrame(pa.table(columns), schema)
+
+
 def load_counts(tables: Mapping[str, DataFrame], expected: Mapping[str, int] | None = None) -> DataFrame:
     """Rows per table; with ``expected``, also whether the count is the expected one (NULL: no claim)."""
     counts = [

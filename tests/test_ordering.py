@@ -59,6 +59,12 @@ def test_position_out_of_range(spark):
         order_statistics(df, ["id"], lambda n: [(None, 2)])
 
 
+def test_null_keys_are_refused(spark):
+    df = _frame(spark, [(1.0, 1), (None, 2)], "score double, id bigint")
+    with pytest.raises(ValueError, match="NULL"):
+        order_statistics(df, ["score", "id"], lambda n: [(None, 1)])
+
+
 def test_after_is_lexicographic(spark):
     df = _frame(spark, [(1, 9), (2, 1), (2, 2), (3, 0)], "a int, b int")
     later = df.where(after([F.col("a"), F.col("b")], (2, 1))).collect()
