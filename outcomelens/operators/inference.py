@@ -32,6 +32,17 @@ def covariate_patterns(df: DataFrame, label: str, covariates: Sequence[str]) ->
     return complete.groupBy(*covariates).agg(F.count("*").alias("n"), F.sum("_event").alias("events"))
 
 
+class NotEstimable(ValueError):
+    """The rows do not determine the estimates asked for."""
+
+
+def _exp(x: float) -> float:
+    try:
+        return math.exp(x)
+    except OverflowError:
+        return math.inf
+
+
 @dataclass(frozen=True)
 class Term:
     name: str
@@ -48,11 +59,11 @@ class Term:
 
     @property
     def odds_ratio(self) -> float:
-        return math.exp(self.estimate)
+        return _exp(self.estimate)
 
     @property
     def ci95(self) -> tuple[float, float]:
-        return math.exp(self.estimate - _Z95 * self.se), math.exp(self.estimate + _Z95 * self.se)
+        return _exp(self.estimate - _Z95 * self.se), _exp(self.estimate + _Z95 * self.se)
 
     @property
     def separated(self) -> bool:
@@ -87,11 +98,13 @@ def _usable(patterns: DataFrame, categorical: Mapping[str, str | None]) -> tuple
         if len(found) > _MAX_LEVELS:
             raise ValueError(f"more than {_MAX_LEVELS} levels in {list(categorical)}")
         flat = [(row.factor, row.level) for row in found if row.events in (0, row.n)]
+        if not found:
+            raise NotEstimable("no level is left whose outcome varies")
         if not flat:
             break
         for factor, level in flat:
             if level == categorical[factor]:
-                raise ValueError(f"{factor}: the outcome does not vary at the reference {level!r}")
+                raise NotEstimable(f"{factor}: the outcome does not vary at the reference {level!r}")
             patterns = patterns.where(F.col(factor) != level)
     levels: dict[str, list[str]] = {c: [] for c in categorical}
     for row in found:
@@ -105,7 +118,7 @@ def _check_rank(rows: DataFrame) -> None:
     """The solver may return numbers for a singular design, so look at the correlations first."""
     correlations = Correlation.corr(rows, "features").first()[0].toArray()
     if np.linalg.eigvalsh(correlations).min() < 1e-9:
-        raise ValueError("no unique estimates: the design columns determine each other")
+        raise NotEstimable("no unique estimates: the design columns determine each other")
 
 
 def fit_logit(
@@ -125,6 +138,10 @@ def fit_logit(
         for level in names[1:]:
             design[f"{factor}={level}"] = (F.col(factor) == level).cast("double")
 
+    size = patterns.count()
+    if size < 2 or not design:
+        raise NotEstimable("all rows share one covariate pattern")
+
     # grouped binomial rows: the share of events, weighted by the size of the pattern
     names = [f"_x{i}" for i in range(len(design))]
     columns = [col.alias(name) for name, col in zip(names, design.values())]
@@ -135,7 +152,7 @@ def fit_logit(
     solver = GeneralizedLinearRegression(
         family="binomial", link="logit", weightCol="weight", regParam=0.0, maxIter=50, tol=1e-10
     )
-    rows = sized_for_solver(rows.select("features", "label", "weight"), patterns.count(), len(names)).persist()
+    rows = sized_for_solver(rows.select("features", "label", "weight"), size, len(names)).persist()
     try:
         _check_rank(rows)
         model = solver.fit(rows)
@@ -145,6 +162,17 @@ def fit_logit(
         rows.unpersist()
 
 
+def fit_term(
+    patterns: DataFrame, name: str, numeric: Mapping[str, Column], categorical: Mapping[str, str | None]
+) -> Term:
+    """One term of a fit; NaN where the rows do not determine it, as in a stratum without exposed rows."""
+    try:
+        terms = fit_logit(patterns, numeric, categorical)
+    except NotEstimable:
+        terms = []
+    return next((t for t in terms if t.name == name), Term(name, math.nan, math.nan))
+
+
 def stratified_logit(
     patterns: DataFrame,
     stratum: str,
@@ -153,22 +181,19 @@ def stratified_logit(
     exposed: Column,
     numeric: Mapping[str, Column],
     categorical: Mapping[str, str | None],
-) -> list[tuple[str, int, float, float, Term]]:
+) -> list[tuple[str, int, float | None, float | None, Term]]:
     """Adjusted effect of ``exposed`` within each named stratum: name, rows, both crude rates, term.
 
     Levels are taken anew in each stratum.
     """
+    size, events = F.col("n"), F.col("events")
     out = []
     for name in strata:
         part = patterns.where(F.col(stratum) == name)
-        n, n0, e0, n1, e1 = part.agg(
-            F.sum("n"),
-            F.sum(F.when(~exposed, F.col("n"))),
-            F.sum(F.when(~exposed, F.col("events"))),
-            F.sum(F.when(exposed, F.col("n"))),
-            F.sum(F.when(exposed, F.col("events"))),
+        n, *rates = part.agg(
+            F.coalesce(F.sum(size), F.lit(0)),
+            F.sum(F.when(~exposed, events)) / F.sum(F.when(~exposed, size)),
+            F.sum(F.when(exposed, events)) / F.sum(F.when(exposed, size)),
         ).first()
-        terms = fit_logit(part, {exposure: exposed, **numeric}, categorical)
-        term = next(t for t in terms if t.name == exposure)
-        out.append((name, n, e0 / n0, e1 / n1, term))
+        out.append((name, n, *rates, fit_term(part, exposure, {exposure: exposed, **numeric}, categorical)))
     return out

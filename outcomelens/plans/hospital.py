@@ -29,7 +29,7 @@ from ..functions import (
 from ..operators.cohort import cohort_funnel, first_per_entity, index_cohort
 from ..operators.evaluate import compare_scores, decile_table, with_quantile
 from ..operators.exposure import exposure_by_stratum, exposure_groups, exposure_summary
-from ..operators.inference import Term, covariate_patterns, fit_logit, stratified_logit
+from ..operators.inference import Term, covariate_patterns, fit_logit, fit_term, stratified_logit
 from ..operators.levels import top_level_names
 from ..operators.lookups import Lookup, attach_labels
 from ..operators.profile import kpi_row, rate_profile
@@ -352,24 +352,16 @@ def adjusted_groups(patterns: DataFrame) -> list[Term]:
 
 def adjusted_tested(patterns: DataFrame) -> Term:
     """Any test against none, adjusted."""
-    terms = fit_logit(
-        patterns, {"tested": _tested(), **_adjust()}, {"primary_diagnosis_group": None, **_ADJUST_FACTORS}
-    )
-    return next(t for t in terms if t.name == "tested")
+    factors = {"primary_diagnosis_group": None, **_ADJUST_FACTORS}
+    return fit_term(patterns, "tested", {"tested": _tested(), **_adjust()}, factors)
 
 
 def interaction(patterns: DataFrame, one: str = "Diabetes", other: str = "Circulatory") -> Term:
     """Does the effect of testing differ between two diagnoses? The product term."""
     pair = patterns.where(F.col("primary_diagnosis_group").isin(one, other))
     is_one = F.col("primary_diagnosis_group") == one
-    numeric = {
-        "tested": _tested(),
-        "subgroup": is_one,
-        "tested:subgroup": _tested() & is_one,
-        **_adjust(),
-    }
-    terms = fit_logit(pair, numeric, _ADJUST_FACTORS)
-    return next(t for t in terms if t.name == "tested:subgroup")
+    product = {"tested": _tested(), "subgroup": is_one, "tested:subgroup": _tested() & is_one}
+    return fit_term(pair, "tested:subgroup", {**product, **_adjust()}, _ADJUST_FACTORS)
 
 
 _ODDS_SCHEMA = "odds_ratio double, ci95_low double, ci95_high double, p_value double"
@@ -403,8 +395,8 @@ def hba1c_by_diagnosis_adjusted(patterns: DataFrame) -> DataFrame:
     )
     p = interaction(patterns).p_value
     rows = [
-        (name, n, 100 * rate0, 100 * rate1, t.odds_ratio, *t.ci95, t.p_value, p)
-        for name, n, rate0, rate1, t in fits
+        (name, n, *[r if r is None else 100 * r for r in rates], t.odds_ratio, *t.ci95, t.p_value, p)
+        for name, n, *rates, t in fits
     ]
     schema = (
         "primary_diagnosis string, patients bigint, rate_not_tested_pct double, rate_tested_pct double, "

@@ -101,6 +101,20 @@ def test_separated_level_leaves_the_fit(spark, df, sample):
     assert np.allclose([t.estimate for t in with_level], [t.estimate for t in without], atol=1e-10)
 
 
+def test_stratum_that_determines_nothing(spark, df):
+    patterns = covariate_patterns(df.where("grp = 'none' or place <> 'care'"), "y", ["stays", "grp", "place"])
+    exposed = F.col("grp") != "none"
+    (name, n, rate0, rate1, term), (_, n2, *none, term2) = stratified_logit(
+        patterns, "place", ["care", "nowhere"], "tested", exposed, {"stays": F.col("stays")}, {}
+    )
+    assert n > 0 and 0 < rate0 < 1 and rate1 is None and math.isnan(term.estimate)
+    assert (n2, none) == (0, [None, None]) and math.isnan(term2.p_value)
+
+
+def test_huge_estimates_stay_numbers():
+    assert Term("x", 20.0, 1e6).ci95 == (0.0, math.inf)
+
+
 def test_constant_column_is_left_out(df):
     patterns = covariate_patterns(df, "y", ["stays"])
     terms = fit_logit(patterns, {"stays": F.col("stays"), "same": F.lit(3)}, {})
