@@ -1,13 +1,12 @@
 """Intermediate tables that outlive the loss of an executor.
 
 A result that several jobs read is written once, as Parquet, to the shared folder the cluster names
-in ``spark.checkpoint.dir``: lineage ends there and later jobs prune its columns. Only a local
-session without that setting gets a folder of its own.
+in ``spark.checkpoint.dir``: lineage ends there and later jobs prune its columns. A session without that
+setting uses a folder in its warehouse, which is shared as well.
 """
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +16,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="outcomelens-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
