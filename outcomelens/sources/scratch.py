@@ -33,12 +33,17 @@ class Scratch:
         self.paths: list[str] = []
 
     def table(self, df: DataFrame, name: str = "table") -> DataFrame:
+        path = self.folder(name)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def folder(self, name: str) -> str:
+        """A path of its own for files that tasks write; they go with the tables."""
         path = f"{shared_folder(self.spark)}/{name}-{uuid4().hex}"
-        df.write.parquet(path)
         self.paths.append(path)
         files, place = self._files(path)
         files.deleteOnExit(place)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return path
 
     def drop(self) -> None:
         for path in self.paths:
