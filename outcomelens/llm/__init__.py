@@ -1 +1,10 @@
-"""Operators for preparing training text: each module holds one operator, ``queries`` registers them."""
+"""Operators for preparing training text: each module holds one operator, ``queries`` registers them.
+
+Functions that run in Python workers are sent by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import Scratch
+from .exact_dedup import mark_duplicates
+from .mixing import mix
+from .packing import pack
 from .sharding import shard
 
 
@@ -14,12 +17,33 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return mark_duplicates(read(spark, folder, "documents"), Scratch(spark))
+
+
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(read(spark, folder, "documents"), Scratch(spark))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard(read(spark, folder, "documents"), 8, Scratch(spark))
 
 
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(read(spark, folder, "documents"), Scratch(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
+    "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER texts AS keep_id, count(*) OVER texts AS group_size,
+               doc_id = max(doc_id) OVER texts AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW texts AS (PARTITION BY coalesce(text, ''))
+    """,
+}
