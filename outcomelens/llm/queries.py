@@ -5,18 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 from .exact_dedup import mark_duplicates
+from .language_id import held_out, identify, learn
 from .mixing import mix
 from .packing import pack
 from .sharding import shard
+from .toxicity import learn as learn_toxicity
+from .toxicity import score as score_toxicity
+from .warc import archive, page_of
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    kept_back = held_out("doc_id", 4, 2)
+    labelled = identify(docs.select("doc_id", "text"), learn(docs, ~kept_back))
+    return labelled.select("doc_id", kept_back.alias("held_out"), "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    kept_back = held_out("doc_id", 5, 0)
+    scored = score_toxicity(docs, learn_toxicity(docs, labels, ~kept_back))
+    return scored.select("doc_id", kept_back.alias("held_out"), "score", "predicted", "spans")
+
+
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archive(read(spark, folder, "pages"), Scratch(spark)).select(
+        page_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return mark_duplicates(read(spark, folder, "documents"), Scratch(spark))
 
@@ -34,6 +63,9 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
