@@ -11,6 +11,7 @@ from ..sources.scratch import Scratch
 from .exact_dedup import mark_duplicates
 from .language_id import held_out, identify, learn
 from .mixing import mix
+from .ngram_join import jaccard_components
 from .packing import pack
 from .sharding import shard
 from .toxicity import learn as learn_toxicity
@@ -58,6 +59,11 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard(read(spark, folder, "documents"), 8, Scratch(spark))
 
 
+def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    joined = jaccard_components(read(spark, folder, "documents"), Scratch(spark), n=4, percent=85)
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read(spark, folder, "documents"), Scratch(spark))
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
+    "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
 }
 
