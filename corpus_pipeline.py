@@ -5,12 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from outcomelens.llm.exact_dedup import drop_duplicates
+from outcomelens.llm.language_id import UNKNOWN, identify, learn
+from outcomelens.llm.mixing import mixed
+from outcomelens.llm.ngram_join import drop_near_duplicates
+from outcomelens.llm.packing import pack
 from outcomelens.sources.scratch import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+#: A document whose likeliest language has a mean probability below this is in no known language.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no known language: without a letter, or with no language likely. Fills missing labels in."""
+    labelled = identify(docs, learn(docs, F.lit(True)))
+    kept = labelled.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    columns = [F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns]
+    return kept.select(*columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return drop_duplicates(docs, Scratch(spark))
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a similarity of 0.8 one stays."""
+    return drop_near_duplicates(docs, Scratch(spark), n=5, percent=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it: never, once or twice."""
+    return mixed(docs, Scratch(spark))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token-budget batches in length buckets."""
+    return pack(docs, Scratch(spark))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("ngram_join", ngram_join),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
 #: SQL expresses neither the trained recogniser nor the balanced sample, so there is none for the whole.
 ORACLE_SQL: str | None = None

@@ -519,3 +519,24 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, n: int = 4, percent: i
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("leader", F.lit(True)).alias("leader"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, scratch: Scratch, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one of each component stays: that with the smallest doc_id.
+
+    Documents link as in ``jaccard_components``; of rows that repeat the smallest doc_id of a component one stays. Documents
+    without words link with nothing and stay.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    rows = scratch.table(plain.withColumn("key", F.monotonically_increasing_id()), "keyed")
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    groups = jaccard_components(rows.select(F.col("key").alias("doc_id"), text.alias("text")), scratch, n, percent)
+    groups = groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"))
+    groups = scratch.table(groups, "groups")
+    several = groups.groupBy("component").agg(F.count("*").alias("_rows")).where("_rows > 1").select("component")
+    members = groups.join(several, "component").join(rows.select("key", doc_id.alias("id")), "key")
+    best = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))).alias("best"))
+    dropped = scratch.table(members.join(best, "component").where(F.col("key") != F.col("best.key")).select("key"), "dropped")
+    kept = rows.join(_bounded(dropped), "key", "left_anti")
+    return kept.select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(names)])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 from .exact_dedup import mark_duplicates
+from .html_extract import main_text
 from .language_id import held_out, identify, learn
 from .mixing import mix
 from .ngram_join import jaccard_components
@@ -16,6 +17,7 @@ from .packing import pack
 from .sharding import shard
 from .toxicity import learn as learn_toxicity
 from .toxicity import score as score_toxicity
+from .vector_dedup import near_duplicates
 from .warc import archive, page_of
 
 
@@ -23,6 +25,10 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(read(spark, folder, "pages"), Scratch(spark))
+
+
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     kept_back = held_out("doc_id", 4, 2)
@@ -30,6 +36,10 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return labelled.select("doc_id", kept_back.alias("held_out"), "lang_pred", "score")
 
 
+def op3_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read(spark, folder, "embeddings"), Scratch(spark), threshold=0.9)
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
     kept_back = held_out("doc_id", 5, 0)
@@ -69,7 +79,9 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_language_id": op2_language_id,
+    "op3_vector_dedup": op3_vector_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_exact_dedup": op6_exact_dedup,
