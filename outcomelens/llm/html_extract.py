@@ -128,8 +128,9 @@ def parse(html: str) -> Node:
         name = match["name"]
         if not name:
             continue
-        if match["close"] != ">" and at >= end:  # the page ends inside a tag
-            break
+        if match["close"] != ">":  # a quote that never ends, or the page ends inside the tag
+            if (at := html.find(">", at) + 1) == 0:
+                break
         tag = name.lower()
         if match["end"]:
             for k in range(len(stack) - 1, 0, -1):
@@ -161,7 +162,7 @@ def parse(html: str) -> Node:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             node.dropped = True
             at = close.end() if close else end
-        elif tag not in _VOID and not match["rest"].endswith("/") and len(stack) < DEPTH:
+        elif tag not in _VOID and len(stack) < DEPTH:
             stack.append(node)
     return root
 
@@ -475,7 +476,10 @@ def extract(html: str | None, wrapper: Wrapper | None) -> str:
         found = blocks(root)
     template = wrapper.template if wrapper else frozenset()
     if template:
-        found = [b for b in found if (b[0], code_of(b[1])) not in template]
+        rest = [b for b in found if (b[0], code_of(b[1])) not in template]
+        # a template is the smaller part of a page; where most of it recurs, the article itself does
+        if 2 * sum(len(b[1]) for b in rest) >= sum(len(b[1]) for b in found):
+            found = rest
     return "\n".join(text for _, text, _ in found)
 
 
@@ -550,7 +554,7 @@ def main_text(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of (page_id, url, html): page_id, url, text, n_chars.
 
     Text is the article's blocks, character references decoded, white space within a block one space, blocks joined in page
-    order by a newline. Null and empty pages have empty text. Pages without a host in their url share the empty
+    order by a newline. Null and empty pages have empty text. Where template texts are most of an article, they stay. Pages without a host in their url share the empty
     host. A host with fewer than five pages has no template texts; its content is still found by its layout.
     Other columns are ignored.
     """

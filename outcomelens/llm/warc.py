@@ -35,6 +35,7 @@ from pyspark.sql.datasource import (
     EqualTo,
     In,
     InputPartition,
+    IsNotNull,
     WriterCommitMessage,
 )
 
@@ -201,9 +202,10 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payload = options["path"], str(options.get("payload", "true")).lower() != "false"
         self.wanted: dict[str, list] = {}
+        self.present: set[str] = set()
 
     def pushFilters(self, filters):
-        """Takes equality and membership tests on header columns; the rest stays with Spark."""
+        """Takes equality, membership and presence tests on header columns; the rest stays with Spark."""
         for one in filters:
             path = getattr(one, "attribute", ())
             column = path[0] if len(path) == 1 else None
@@ -211,6 +213,8 @@ class WarcReader(DataSourceReader):
                 values = [one.value] if isinstance(one, EqualTo) else list(one.value)
                 had = self.wanted.get(column)
                 self.wanted[column] = [v for v in values if had is None or v in had]
+            elif column in HEADERS and isinstance(one, IsNotNull):
+                self.present.add(column)
             else:
                 yield one
 
@@ -232,8 +236,12 @@ class WarcReader(DataSourceReader):
         wanted = {column: set(values) for column, values in self.wanted.items()}
 
         def accept(row: dict) -> bool:
+            if any(row[column] is None for column in self.present):
+                return False
             return all(row[column] in values for column, values in wanted.items())
 
+        if partition is None:  # what Spark passes if there are no files
+            return
         store, path = store_of(partition.path)
         rows, size = [], 0
         with store.open_input_file(path) as source:
