@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,73 +13,115 @@ from ..sources.scratch import Scratch
 from .ordering import after, order_statistics, running_totals
 
 
-def _by_score(df: DataFrame, score: Column, label: str) -> DataFrame:
+def _scored(df: DataFrame, scores: Mapping[str, str], *more: str) -> DataFrame:
+    """A row per method and row of ``df``: method, score."""
+    each = F.array(*[F.struct(F.lit(name).alias("method"), F.col(c).cast("double").alias("score")) for name, c in scores.items()])
+    return df.select(*more, F.inline(each))
+
+
+def _by_score(df: DataFrame, scores: Mapping[str, str], label: str, falling: bool = False) -> DataFrame:
     event = F.col(label).cast("int")
+    rows = _scored(df.select(event.alias("event"), *dict.fromkeys(scores.values())), scores, "event")
+    score = -F.col("score") if falling else F.col("score")
     return (
-        df.select(score.alias("score"), event.alias("event"))
-        .groupBy("score")
-        .agg(F.sum("event").alias("pos"), F.sum(1 - F.col("event")).alias("neg"))
+        rows.groupBy("method", score.alias("score"))
+        .agg(F.sum("event").alias("pos"), F.sum(1 - F.col("event")).alias("neg"), F.count_if(F.col("event").isNull()).alias("_blank"))
+        .withColumn("pos", F.when(F.col("_blank") > 0, F.raise_error(F.lit("NULL outcome"))).otherwise(F.col("pos")))
+        .drop("_blank")
     )
 
 
-def auc(df: DataFrame, score: str, label: str, scratch: Scratch) -> DataFrame:
-    """ROC AUC as one row: the share of (event, non-event) pairs ranked right, ties counting half.
+def areas(df: DataFrame, scores: Mapping[str, str], label: str, scratch: Scratch) -> DataFrame:
+    """``method, auc, positives, negatives`` for every score, all in the same passes.
 
-    Rows are first summed per distinct score; only those sums are accumulated.
+    AUC is the share of (event, non-event) pairs ranked right, ties counting half. Rows are first summed per distinct
+    score; only those sums are accumulated. NULL and NaN scores and NULL outcomes are refused.
     """
-    ranked = running_totals(_by_score(df, F.col(score), label), "score", {"neg_upto": "neg"}, scratch)
+    sums = _by_score(df, scores, label)
+    ranked = running_totals(sums, "score", {"neg_upto": "neg"}, scratch, by="method")
     right = F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)
-    return ranked.agg(
-        (F.sum(right) / (F.sum("pos").cast("double") * F.sum("neg"))).alias("auc"),
+    return ranked.groupBy("method").agg(
+        (F.sum(right) / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("auc"),
         F.sum("pos").alias("positives"),
         F.sum("neg").alias("negatives"),
     )
 
 
+def auc(df: DataFrame, score: str, label: str, scratch: Scratch) -> DataFrame:
+    """ROC AUC of one score as one row; NULL if the outcome does not vary."""
+    return areas(df, {score: score}, label, scratch).drop("method")
+
+
 def roc_points(df: DataFrame, score: str, label: str, scratch: Scratch) -> DataFrame:
-    """``threshold, tpr, fpr``, one row per distinct score: rates among rows scored at least that high."""
-    falling = _by_score(df, -F.col(score), label)
-    ranked = running_totals(falling, "score", {"tp": "pos", "fp": "neg"}, scratch)
+    """``threshold, tpr, fpr``: rates among rows scored at least that high, from (0, 0) at an infinite threshold.
+
+    One row per distinct score at which the curve turns: points on a straight piece between two others are left out.
+    """
+    falling = _by_score(df, {score: score}, label, falling=True)
+    ranked = running_totals(
+        falling, "score", {"tp": "pos", "fp": "neg"}, scratch, following={"pos_next": "pos", "neg_next": "neg"}
+    )
+    first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+    turns = (F.col("pos") != F.col("pos_next")) | (F.col("neg") != F.col("neg_next"))
+    kept = ranked.where(first | F.col("pos_next").isNull() | turns)
     sums = scratch.table(ranked.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")), "sums")
-    return ranked.select(
+    points = kept.select(
         (-F.col("score")).alias("threshold"),
-        (F.col("tp") / sums.select("p").scalar()).alias("tpr"),
-        (F.col("fp") / sums.select("n").scalar()).alias("fpr"),
+        (F.col("tp") / F.nullif(sums.select("p").scalar(), F.lit(0))).alias("tpr"),
+        (F.col("fp") / F.nullif(sums.select("n").scalar(), F.lit(0))).alias("fpr"),
+    )
+    origin = sums.where("p + n > 0").select(
+        F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr")
     )
+    return origin.unionByName(points)
 
 
-def capture_at(df: DataFrame, score: str, label: str, id_col: str, fraction: float) -> DataFrame:
-    """One row on following up the top ``fraction`` by score, equal scores by lower id.
+def captures(df: DataFrame, scores: Mapping[str, str], label: str, id_col: str, fraction: float) -> DataFrame:
+    """One row per method on following up the top ``fraction`` by its score, equal scores by lower id.
 
-    Share of all events captured, event rate inside, overall rate, and the lift over random choice.
+    Share of all events captured, event rate inside, overall rate, and the lift over random choice. All methods' cuts are
+    searched in the same rounds and counted in one pass.
     """
-    falling = (-F.col(score)).alias("_falling")
-    sizes: dict[None, int] = {}
+    wanted: dict[str, int] = {}
 
     def positions(counts):
-        sizes.update(counts)
-        wanted = int(counts[None] * fraction)
-        return [(None, wanted)] if wanted else []
-
-    cuts = order_statistics(df.select(falling, id_col), ["_falling", id_col], positions)
-    in_top = ~after([-F.col(score), F.col(id_col)], cuts[0]) if cuts else F.lit(False)
-    rows = df.select(F.col(label).cast("int").alias("event"), in_top.alias("in_top"))
-    totals = rows.agg(
-        F.count("*").alias("n_rows"),
-        F.count_if("in_top").alias("followed_up"),
-        F.sum("event").alias("events"),
-        F.sum(F.when(F.col("in_top"), F.col("event")).otherwise(0)).alias("events_caught"),
+        wanted.update({m: int(n * fraction) for m, n in counts.items() if int(n * fraction)})
+        return list(wanted.items())
+
+    falling = _scored(df, scores, id_col).select("method", (-F.col("score")).alias("_falling"), id_col)
+    cuts = dict(zip(wanted, order_statistics(falling, ["_falling", id_col], positions, "method"), strict=True)) if scores else {}
+    event = F.col(label).cast("int")
+    counted = []
+    for i, (name, score) in enumerate(scores.items()):
+        cut = cuts.get(name)
+        in_top = ~after([-F.col(score).cast("double"), F.col(id_col)], cut) if cut else F.lit(False)
+        counted += [F.count_if(in_top).alias(f"top_{i}"), F.coalesce(F.sum(F.when(in_top, event)), F.lit(0)).alias(f"hit_{i}")]
+    totals = df.agg(F.count("*").alias("n_rows"), F.sum(event).alias("events"), *counted)
+    each = F.array(
+        *[
+            F.struct(F.lit(name).alias("method"), F.col(f"top_{i}").alias("followed_up"), F.col(f"hit_{i}").alias("events_caught"))
+            for i, name in enumerate(scores)
+        ]
     )
-    caught = F.col("events_caught") / F.col("events")
-    return totals.select(
-        "*",
+    caught = F.col("events_caught") / F.nullif("events", F.lit(0))
+    return totals.select("n_rows", "events", F.inline(each)).select(
+        "method",
+        "n_rows",
+        "followed_up",
+        "events",
+        "events_caught",
         caught.alias("captured_share"),
         (F.col("events_caught") / F.nullif("followed_up", F.lit(0))).alias("rate_in_top"),
-        (F.col("events") / F.col("n_rows")).alias("baseline_rate"),
+        (F.col("events") / F.nullif("n_rows", F.lit(0))).alias("baseline_rate"),
         (caught / F.lit(float(fraction))).alias("lift"),
     )
 
 
+def capture_at(df: DataFrame, score: str, label: str, id_col: str, fraction: float) -> DataFrame:
+    """``captures`` of one score, as one row."""
+    return captures(df, {score: score}, label, id_col, fraction).drop("method")
+
+
 def with_quantile(df: DataFrame, score: str, id_col: str, bins: int = 10, name: str = "decile") -> DataFrame:
     """Append the equal-count bin (1 = lowest scores), equal scores ordered by id.
 
@@ -114,24 +155,24 @@ def decile_table(df: DataFrame, decile: str, label: str) -> DataFrame:
             F.sum(F.col("readmission_rate_pct") * F.col("patients")).over(everything)
             / F.sum("patients").over(everything)
         ).alias("weighted_rate_pct"),
-        (F.col(decile) >= 9).alias("highlighted"),
+        (F.col(decile) > F.max(decile).over(everything) - 2).alias("highlighted"),
     ).orderBy(decile)
 
 
 def compare_scores(
     df: DataFrame, scores: Mapping[str, str], label: str, id_col: str, scratch: Scratch, fraction: float = 0.2
 ) -> DataFrame:
-    """One row per scoring method: AUC, events caught and event rate in the top fraction, baseline."""
-    rows = []
-    for method, score in scores.items():
-        area = auc(df, score, label, scratch).select("auc").scalar()
-        rows.append(
-            capture_at(df, score, label, id_col, fraction).select(
-                F.lit(method).alias("method"),
-                round_half_even(area, 3).alias("auc"),
-                round_half_even(F.lit(100.0) * F.col("captured_share"), 1).alias("readmissions_caught_top20_pct"),
-                round_half_even(F.lit(100.0) * F.col("rate_in_top"), 1).alias("readmission_rate_in_top20_pct"),
-                round_half_even(F.lit(100.0) * F.col("baseline_rate"), 2).alias("baseline_rate_pct"),
-            )
-        )
-    return reduce(DataFrame.unionByName, rows)
+    """One row per scoring method, in the order given: AUC, events caught and event rate in the top fraction, baseline.
+
+    The number of passes does not depend on the number of methods.
+    """
+    area = areas(df, scores, label, scratch).select(F.col("method").alias("_method"), "auc")
+    place = F.array_position(F.array(*map(F.lit, scores)), F.col("method"))
+    table = captures(df, scores, label, id_col, fraction).join(area, F.col("method") == F.col("_method"), "left")
+    return table.orderBy(place).select(
+        "method",
+        round_half_even(F.col("auc"), 3).alias("auc"),
+        round_half_even(F.lit(100.0) * F.col("captured_share"), 1).alias("readmissions_caught_top20_pct"),
+        round_half_even(F.lit(100.0) * F.col("rate_in_top"), 1).alias("readmission_rate_in_top20_pct"),
+        round_half_even(F.lit(100.0) * F.col("baseline_rate"), 2).alias("baseline_rate_pct"),
+    )

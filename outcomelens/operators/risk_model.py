@@ -65,7 +65,9 @@ def learn_encoding(train: DataFrame, numeric: Sequence[str], categorical: Sequen
 
 def balanced_weights(train: DataFrame, label: str) -> tuple[Column, int]:
     """Weight column ``n / (2 n_k)`` from one count per class, and n."""
-    counts = {bool(row[0]): row[1] for row in train.groupBy(F.col(label).cast("boolean")).count().collect()}
+    counts = {row[0]: row[1] for row in train.groupBy(F.col(label).cast("boolean")).count().collect()}
+    if None in counts:
+        raise ValueError(f"NULL {label} in {counts[None]} rows")
     n = sum(counts.values())
     if len(counts) != 2:
         raise ValueError(f"{label} has one class only")

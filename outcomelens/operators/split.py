@@ -35,12 +35,14 @@ def stratified_split(
 ) -> DataFrame:
     """Append ``is_test``: per class of ``label``, exactly the first rows in hash order.
 
-    Only one cut per class has to be found; marking the rows needs no shuffle. ``label`` is not NULL.
+    Only one cut per class has to be found; marking the rows needs no shuffle. A NULL ``label`` is refused.
     """
     keyed = df.select(hash_order(id_col, seed).alias("_hash"), id_col, label)
     sizes: dict[Any, int] = {}
 
     def positions(counts: dict[Any, int]) -> list[tuple[Any, int]]:
+        if counts.get(None):
+            raise ValueError(f"NULL {label} in {counts[None]} rows")
         sizes.update({k: size for k, size in class_sizes(counts, fraction).items() if size > 0})
         return list(sizes.items())
 

@@ -7,8 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from outcomelens.operators.evaluate import auc, capture_at, decile_table, roc_points, with_quantile
+from outcomelens.operators import ordering
+from outcomelens.operators.evaluate import auc, capture_at, compare_scores, decile_table, roc_points, with_quantile
 from outcomelens.operators.ordering import after, order_statistics, running_totals
+from outcomelens.operators.risk_model import balanced_weights
 from outcomelens.operators.split import class_sizes, hash_order, stratified_split
 
 
@@ -117,23 +119,93 @@ def test_auc_by_pairs(spark, scratch):
     assert auc(df, "score", "y", scratch).first().auc == pytest.approx(_auc(rows), abs=1e-12)
 
 
-@pytest.mark.parametrize("limit", [0, 100_000])
-def test_running_totals_in_ranges(spark, scratch, limit):
+@pytest.mark.parametrize("range_rows", [1, 70, 100_000])
+def test_running_totals_in_ranges(spark, scratch, range_rows):
     rnd = random.Random(8)
     rows = [(k * 0.5 - 100, rnd.randrange(10)) for k in range(1000)]
     df = _frame(spark, rnd.sample(rows, len(rows)), "k double, v bigint")
-    got = {r.k: r.total for r in running_totals(df, "k", {"total": "v"}, scratch, limit).collect()}
+    totals = running_totals(df, "k", {"total": "v"}, scratch, following={"next": "v"}, range_rows=range_rows)
+    got = {r.k: (r.total, r.next) for r in totals.collect()}
     total, want = 0, {}
-    for k, v in rows:
+    for (k, v), after_it in zip(rows, [*rows[1:], (None, None)], strict=True):
         total += v
-        want[k] = total
+        want[k] = (total, after_it[1])
     assert got == want
 
 
+@pytest.mark.parametrize("range_rows", [3, 100_000])
+def test_running_totals_start_anew(spark, scratch, range_rows):
+    rows = [(g, float(k), k + 1) for g in "abc" for k in range(10)]
+    got = running_totals(_frame(spark, rows, "g string, k double, v bigint"), "k", {"t": "v"}, scratch, "g", {"next": "v"}, range_rows)
+    want = [(g, k, v, v * (v + 1) // 2, v + 1 if v < 10 else None) for g, k, v in rows]
+    assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+@pytest.mark.parametrize("rows", [1, 400])
+def test_blank_scores_are_refused(spark, scratch, monkeypatch, bad, rows):
+    monkeypatch.setattr(ordering, "_RANGE", 10)
+    df = _frame(spark, [(float(k), k, k % 2) for k in range(rows)] + [(bad, -1, 1)], "score double, id bigint, y int")
+    for measure in (lambda: auc(df, "score", "y", scratch), lambda: roc_points(df, "score", "y", scratch), lambda: capture_at(df, "score", "y", "id", 0.5)):
+        with pytest.raises(ValueError, match="NaN"):
+            measure()
+
+
+def test_null_outcomes_are_refused(spark, scratch):
+    df = _frame(spark, [(1.0, 1, 0), (2.0, 2, None), (3.0, 3, 1)], "score double, id bigint, y int")
+    with pytest.raises(ValueError, match="NULL y"):
+        stratified_split(df, "id", "y")
+    with pytest.raises(ValueError, match="NULL y"):
+        balanced_weights(df, "y")
+    with pytest.raises(Exception, match="NULL outcome"):
+        auc(df, "score", "y", scratch).collect()
+
+
+def test_histogram_rows_do_not_grow_with_the_map_tasks(spark):
+    """What the counting step shuffles to any task is bounded by the bins, whatever the number of partitions."""
+    sizes = []
+    for parts in (16, 64):
+        rows = spark.range(0, 40_000, 1, parts).select((F.col("id") * 7919 % 40_009).cast("double").alias("k"))
+        binned = rows.select(ordering._bin(F.col("k"), 0.0, 40_008.0).alias("bin"))
+        sizes.append(binned.groupBy("bin").count().count())
+        found = order_statistics(rows, ["k"], lambda n: [(None, 20_000)], fetch_limit=10)
+        assert found == [tuple(rows.orderBy("k").limit(20_000).agg(F.max("k")).first())]
+    assert sizes[0] == sizes[1] <= ordering._BINS
+
+
+def test_all_methods_share_their_passes(spark, scratch):
+    rnd = random.Random(4)
+    rows = [(k, int(rnd.random() < 0.3), rnd.random(), rnd.randrange(5), float(-k)) for k in range(300)]
+    df = _frame(spark, rows, "id bigint, y int, a double, b int, c double")
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for n in (1, 3):
+        group = f"methods-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        scores = dict(list({"z": "a", "a": "b", "m": "c"}.items())[:n])
+        table = compare_scores(df, scores, "y", "id", scratch).collect()
+        jobs.append(len(tracker.getJobIdsForGroup(group)))
+        assert [r.method for r in table] == list(scores)
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1]
+    for r, score in zip(table, ("a", "b", "c"), strict=True):
+        at = {"a": 2, "b": 3, "c": 4}[score]
+        assert r.auc == pytest.approx(_auc([(x[at], x[1]) for x in rows]), abs=5e-4)
+        top = sorted(rows, key=lambda x: (-x[at], x[0]))[:60]
+        assert r.readmissions_caught_top20_pct == pytest.approx(100 * sum(x[1] for x in top) / sum(x[1] for x in rows), abs=0.06)
+
+
 def test_roc_ends_at_one(spark, scratch):
     df = _frame(spark, [(3.0, 1), (2.0, 0), (2.0, 1), (1.0, 0)], "score double, y int")
     points = sorted(map(tuple, roc_points(df, "score", "y", scratch).collect()), reverse=True)
-    assert points == [(3.0, 0.5, 0.0), (2.0, 1.0, 0.5), (1.0, 1.0, 1.0)]
+    assert points == [(float("inf"), 0.0, 0.0), (3.0, 0.5, 0.0), (2.0, 1.0, 0.5), (1.0, 1.0, 1.0)]
+
+
+def test_roc_leaves_out_collinear_points(spark, scratch, monkeypatch):
+    monkeypatch.setattr(ordering, "_RANGE", 2)
+    rows = [(9.0, 1), (8.0, 1), (7.0, 1), (6.0, 0), (5.0, 0), (4.0, 1), (4.0, 0), (3.0, 1), (3.0, 0), (2.0, 0)]
+    points = sorted(map(tuple, roc_points(_frame(spark, rows, "s double, y int"), "s", "y", scratch).collect()), reverse=True)
+    assert [p[0] for p in points] == [float("inf"), 9.0, 7.0, 5.0, 3.0, 2.0]
 
 
 def test_class_sizes_share_out_the_total():
