@@ -23,17 +23,27 @@ from ..sources import small_table
 from .risk_model import sized_for_solver
 
 _Z95 = NormalDist().inv_cdf(0.975)
-_MAX_LEVELS = 2000
+#: Levels of one factor that a fit accepts unless told otherwise.
+MAX_LEVELS = 2000
 
 
 def covariate_patterns(df: DataFrame, label: str, covariates: Sequence[str]) -> DataFrame:
-    """Distinct covariate values with ``n`` rows and ``events``; rows with a NULL among them are left out."""
-    complete = df.select(*covariates, F.col(label).cast("int").alias("_event")).dropna()
-    return complete.groupBy(*covariates).agg(F.count("*").alias("n"), F.sum("_event").alias("events"))
+    """Distinct covariate values, NULL being one, with ``n`` rows and ``events``; rows without an outcome are left out."""
+    known = df.select(*covariates, F.col(label).cast("int").alias("_event")).dropna(subset=["_event"])
+    return known.groupBy(*covariates).agg(F.count("*").alias("n"), F.sum("_event").alias("events"))
+
+
+def _complete(patterns: DataFrame) -> DataFrame:
+    """Patterns without a NULL: the rows that a fit can use."""
+    return patterns.dropna(subset=[c for c in patterns.columns if c not in ("n", "events")])
 
 
 class NotEstimable(ValueError):
-    """The rows do not determine the estimates asked for."""
+    """The rows do not determine the estimates asked for; ``gone`` tells which levels had left the fit."""
+
+    def __init__(self, why: str, gone: Fit | None = None):
+        super().__init__(why)
+        self.gone = gone if gone is not None else Fit()
 
 
 def _exp(x: float) -> float:
@@ -45,9 +55,12 @@ def _exp(x: float) -> float:
 
 @dataclass(frozen=True)
 class Term:
+    """An estimate and what it is worth: ``estimated``, ``separated``, ``no rows`` or ``not estimable``."""
+
     name: str
     estimate: float
     se: float
+    told: str = ""
 
     @property
     def z(self) -> float:
@@ -70,6 +83,22 @@ class Term:
         """No finite estimate exists; the number only shows the direction."""
         return abs(self.estimate) > 15
 
+    @property
+    def status(self) -> str:
+        return self.told or ("separated" if self.separated else "estimated")
+
+    def numbers(self) -> tuple[float | None, ...]:
+        """Odds ratio, its limits and the p-value; nothing unless estimated."""
+        return (self.odds_ratio, *self.ci95, self.p_value) if self.status == "estimated" else (None,) * 4
+
+
+class Fit(list):
+    """The terms of a fit, the ``factor=level`` names that left it and how many rows they took along."""
+
+    def __init__(self, terms: Sequence[Term] = (), dropped: Sequence[str] = (), dropped_rows: int = 0):
+        super().__init__(terms)
+        self.dropped, self.dropped_rows = list(dropped), dropped_rows
+
 
 def term_table(spark: SparkSession, terms: Sequence[Term]) -> DataFrame:
     """``term, estimate, se, z, p_value, odds_ratio, ci95_low, ci95_high, separated``."""
@@ -78,58 +107,68 @@ def term_table(spark: SparkSession, terms: Sequence[Term]) -> DataFrame:
     return small_table(spark, rows, schema + "ci95_low double, ci95_high double, separated boolean")
 
 
-def _usable(patterns: DataFrame, categorical: Mapping[str, str | None]) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Levels per factor, reference first, and the patterns that inform the fit.
+def _usable(
+    patterns: DataFrame, categorical: Mapping[str, str | None], max_levels: int
+) -> tuple[DataFrame, dict[str, list[str]], Fit]:
+    """Levels per factor, reference first, the patterns that inform the fit, and what was dropped, as a fit without terms.
 
     A level with only events or only non-events has an infinite estimate. In that limit its rows say nothing
     about the other terms, so they leave the fit, repeatedly until no such level is left.
     """
+    gone = Fit()
     if not categorical:
-        return patterns, {}
+        return patterns, {}, gone
     while True:
         pairs = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("level")) for c in categorical])
-        found = (
+        table = (
             patterns.select(F.inline(pairs), "n", "events")
             .groupBy("factor", "level")
             .agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
-            .limit(_MAX_LEVELS + 1)
-            .collect()
         )
-        if len(found) > _MAX_LEVELS:
-            raise ValueError(f"more than {_MAX_LEVELS} levels in {list(categorical)}")
-        flat = [(row.factor, row.level) for row in found if row.events in (0, row.n)]
+        found = table.limit(max_levels * len(categorical) + 1).collect()
+        levels: dict[str, list[str]] = {c: [] for c in categorical}
+        for row in found:
+            levels[row.factor].append(row.level)
+        if crowded := [c for c, names in levels.items() if len(names) > max_levels]:
+            raise ValueError(f"more than {max_levels} levels in {crowded}")
+        flat = [row for row in found if row.events in (0, row.n)]
         if not found:
-            raise NotEstimable("no level is left whose outcome varies")
+            raise NotEstimable("no level is left whose outcome varies", gone)
         if not flat:
             break
-        for factor, level in flat:
-            if level == categorical[factor]:
-                raise NotEstimable(f"{factor}: the outcome does not vary at the reference {level!r}")
-            patterns = patterns.where(F.col(factor) != level)
-    levels: dict[str, list[str]] = {c: [] for c in categorical}
-    for row in found:
-        levels[row.factor].append(row.level)
+        for row in flat:
+            if row.level == categorical[row.factor]:
+                raise NotEstimable(f"{row.factor}: the outcome does not vary at the reference {row.level!r}", gone)
+        before = patterns.agg(F.sum("n")).first()[0]
+        for row in flat:
+            gone.dropped.append(f"{row.factor}={row.level}")
+            patterns = patterns.where(F.col(row.factor) != row.level)
+        gone.dropped_rows += before - (patterns.agg(F.sum("n")).first()[0] or 0)
     for factor, reference in categorical.items():
         levels[factor].sort(key=lambda level: (level != reference, level))
-    return patterns, levels
+    return patterns, levels, gone
 
 
-def _check_rank(rows: DataFrame) -> None:
+def _check_rank(rows: DataFrame, gone: Fit) -> None:
     """The solver may return numbers for a singular design, so look at the correlations first."""
     correlations = Correlation.corr(rows, "features").first()[0].toArray()
     if np.linalg.eigvalsh(correlations).min() < 1e-9:
-        raise NotEstimable("no unique estimates: the design columns determine each other")
+        raise NotEstimable("no unique estimates: the design columns determine each other", gone)
 
 
 def fit_logit(
-    patterns: DataFrame, numeric: Mapping[str, Column], categorical: Mapping[str, str | None]
-) -> list[Term]:
+    patterns: DataFrame,
+    numeric: Mapping[str, Column],
+    categorical: Mapping[str, str | None],
+    max_levels: int = MAX_LEVELS,
+) -> Fit:
     """Terms of the fit without the intercept: ``numeric`` by name, factors as ``factor=level``.
 
-    ``categorical`` maps each factor to its reference level, ``None`` meaning the first by name. Constant
-    columns are left out. Raises if the remaining columns determine each other.
+    ``categorical`` maps each factor to its reference level, ``None`` meaning the first by name; a factor of more than
+    ``max_levels`` levels is refused. Patterns with a NULL are not used. Constant columns are left out, and levels whose
+    outcome does not vary, which the result names. Raises if the remaining columns determine each other.
     """
-    patterns, levels = _usable(patterns, categorical)
+    patterns, levels, gone = _usable(_complete(patterns), categorical, max_levels)
     design = {name: col.cast("double") for name, col in numeric.items()}
     if design:
         spread = patterns.agg(*[F.struct(F.min(col), F.max(col)).alias(name) for name, col in design.items()]).first()
@@ -140,7 +179,7 @@ def fit_logit(
 
     size = patterns.count()
     if size < 2 or not design:
-        raise NotEstimable("all rows share one covariate pattern")
+        raise NotEstimable("all rows share one covariate pattern", gone)
 
     # grouped binomial rows: the share of events, weighted by the size of the pattern
     names = [f"_x{i}" for i in range(len(design))]
@@ -154,23 +193,43 @@ def fit_logit(
     )
     rows = sized_for_solver(rows.select("features", "label", "weight"), size, len(names)).persist()
     try:
-        _check_rank(rows)
+        _check_rank(rows, gone)
         model = solver.fit(rows)
         errors = model.summary.coefficientStandardErrors
-        return [Term(name, float(b), se) for name, b, se in zip(design, model.coefficients.toArray(), errors)]
+        terms = [Term(name, float(b), se) for name, b, se in zip(design, model.coefficients.toArray(), errors)]
+        return Fit(terms, gone.dropped, gone.dropped_rows)
     finally:
         rows.unpersist()
 
 
-def fit_term(
-    patterns: DataFrame, name: str, numeric: Mapping[str, Column], categorical: Mapping[str, str | None]
-) -> Term:
-    """One term of a fit; NaN where the rows do not determine it, as in a stratum without exposed rows."""
+def fit_terms(
+    patterns: DataFrame,
+    names: Sequence[str],
+    numeric: Mapping[str, Column],
+    categorical: Mapping[str, str | None],
+    max_levels: int = MAX_LEVELS,
+) -> Fit:
+    """Every term of ``names``, in that order, whether the rows determine it or not.
+
+    A level that only events or only non-events have is ``separated``, one that no row has is ``no rows``, and what the rows
+    leave open otherwise, as in a stratum without exposed rows, is ``not estimable``; those have NaN.
+    """
     try:
-        terms = fit_logit(patterns, numeric, categorical)
-    except NotEstimable:
-        terms = []
-    return next((t for t in terms if t.name == name), Term(name, math.nan, math.nan))
+        fit = fit_logit(patterns, numeric, categorical, max_levels)
+    except NotEstimable as why:
+        fit = why.gone
+    found = {t.name: t for t in fit}
+    terms = []
+    for name in names:
+        term = found.get(name)
+        if term is None:
+            factor, _, level = name.partition("=")
+            told = "separated" if name in fit.dropped else "not estimable"
+            if told == "not estimable" and factor in categorical and not _complete(patterns).where(F.col(factor) == level).take(1):
+                told = "no rows"
+            term = Term(name, math.nan, math.nan, told)
+        terms.append(term)
+    return Fit(terms, fit.dropped, fit.dropped_rows)
 
 
 def stratified_logit(
@@ -181,10 +240,11 @@ def stratified_logit(
     exposed: Column,
     numeric: Mapping[str, Column],
     categorical: Mapping[str, str | None],
-) -> list[tuple[str, int, float | None, float | None, Term]]:
-    """Adjusted effect of ``exposed`` within each named stratum: name, rows, both crude rates, term.
+) -> list[tuple[str, int, float | None, float | None, Fit]]:
+    """Adjusted effect of ``exposed`` within each named stratum: name, rows, both crude rates, fit of that one term.
 
-    Levels are taken anew in each stratum.
+    Rows and rates are over all rows of the stratum, those with a NULL covariate included, which the fit cannot use. Levels
+    are taken anew in each stratum.
     """
     size, events = F.col("n"), F.col("events")
     out = []
@@ -195,5 +255,6 @@ def stratified_logit(
             F.sum(F.when(~exposed, events)) / F.sum(F.when(~exposed, size)),
             F.sum(F.when(exposed, events)) / F.sum(F.when(exposed, size)),
         ).first()
-        out.append((name, n, *rates, fit_term(part, exposure, {exposure: exposed, **numeric}, categorical)))
+        fit = fit_terms(part, [exposure], {exposure: exposed, **numeric}, categorical)
+        out.append((name, n, *rates, fit))
     return out

@@ -20,12 +20,12 @@ def top_level_names(df: DataFrame, col: str, n: int) -> list[str]:
 
 
 def distinct_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 2000) -> dict[str, list[str]]:
-    """Sorted levels of each column, as text, in one pass. Refuses columns that are not categories."""
+    """Sorted levels of each column, as text, in one pass. Refuses columns of more than ``max_levels`` levels."""
     pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("level")) for c in cols])
-    found = df.select(F.inline(pairs)).where(F.col("level").isNotNull()).distinct().limit(max_levels + 1).collect()
-    if len(found) > max_levels:
-        raise ValueError(f"more than {max_levels} levels in {list(cols)}")
+    found = df.select(F.inline(pairs)).where(F.col("level").isNotNull()).distinct().limit(max_levels * len(cols) + 1).collect()
     levels: dict[str, list[str]] = {c: [] for c in cols}
     for col, level in found:
         levels[col].append(level)
+    if crowded := [c for c, names in levels.items() if len(names) > max_levels]:
+        raise ValueError(f"more than {max_levels} levels in {crowded}")
     return {c: sorted(names) for c, names in levels.items()}

@@ -38,27 +38,30 @@ def attach_labels(fact: DataFrame, lookups: dict[str, Lookup]) -> DataFrame:
     return out.drop(*[f"_{name}_key" for name in lookups])
 
 
-def mark_orphans(fact: DataFrame, lookups: Sequence[Lookup], flag: str) -> DataFrame:
-    """Append ``flag``: true where at least one code has no row in its lookup."""
-    out, misses = fact, []
-    for i, lookup in enumerate(lookups):
+def mark_each(fact: DataFrame, lookups: Sequence[Lookup], flags: Sequence[str]) -> DataFrame:
+    """Append a flag per lookup: true where its code has no row there. One join a lookup."""
+    out = fact
+    for i, (lookup, flag) in enumerate(zip(lookups, flags, strict=True)):
         key = f"_{flag}_{i}"
         keys = lookup.table.select(F.col(lookup.key).alias(key)).where(F.col(key).isNotNull()).distinct()
-        out = out.join(keys, lookup.code == F.col(key), "left")
-        misses.append(F.col(key).isNull())
-    out = out.withColumn(flag, reduce(Column.__or__, misses))
-    return out.drop(*[f"_{flag}_{i}" for i in range(len(lookups))])
+        out = out.join(keys, lookup.code == F.col(key), "left").withColumn(flag, F.col(key).isNull()).drop(key)
+    return out
+
+
+def mark_orphans(fact: DataFrame, lookups: Sequence[Lookup], flag: str) -> DataFrame:
+    """Append ``flag``: true where at least one code has no row in its lookup."""
+    flags = [f"_{flag}_miss_{i}" for i in range(len(lookups))]
+    marked = mark_each(fact, lookups, flags)
+    return marked.withColumn(flag, reduce(Column.__or__, map(F.col, flags))).drop(*flags)
 
 
 def orphan_keys(fact: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
     """One row: fact rows, rows with any orphan code, and orphan rows per lookup key."""
-    out = mark_orphans(fact, lookups, "any_orphan")
-    for lookup in lookups:
-        out = mark_orphans(out, [lookup], f"orphan_{lookup.key}")
-    return out.agg(
+    flags = [f"orphan_{lookup.key}" for lookup in lookups]
+    return mark_each(fact, lookups, flags).agg(
         F.count("*").alias("n_rows"),
-        F.count_if("any_orphan").alias("rows_with_orphan"),
-        *[F.count_if(f"orphan_{lookup.key}").alias(f"orphan_{lookup.key}") for lookup in lookups],
+        F.count_if(reduce(Column.__or__, map(F.col, flags))).alias("rows_with_orphan"),
+        *[F.count_if(flag).alias(flag) for flag in flags],
     )
 
 

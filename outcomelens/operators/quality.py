@@ -97,9 +97,9 @@ def run_suite(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def missing_share(
     results: DataFrame, total: Column, check_ids: Sequence[int], literal: tuple[str, str], drop_pattern: str
 ) -> DataFrame:
-    """Chosen checks as a share of all rows, under tidied labels, checks without hits left out."""
+    """Chosen checks as a share of all rows, under tidied labels; a check without hits has share 0."""
     return (
-        results.where(F.col("check_id").isin(*check_ids) & (F.col("affected_rows") > 0))
+        results.where(F.col("check_id").isin(*check_ids))
         .select(
             "check_id",
             tidy_label(F.col("check_name"), literal, drop_pattern).alias("label"),
@@ -108,3 +108,9 @@ def missing_share(
         )
         .orderBy("share_pct", "check_id")
     )
+
+
+def quality_table(results: DataFrame) -> DataFrame:
+    """The checks with hits, as shown to readers: name, rows, handling."""
+    shown = results.where(F.col("affected_rows") > 0).orderBy("check_id")
+    return shown.select("check_name", "affected_rows", "handling")

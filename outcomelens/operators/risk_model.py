@@ -50,8 +50,10 @@ class Encoding:
         return {**self.numeric(), **self.dummies(df)}
 
 
-def learn_encoding(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Encoding:
-    """Two small aggregates over the train rows."""
+def learn_encoding(
+    train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], max_levels: int = 2000
+) -> Encoding:
+    """Two small aggregates over the train rows; a column of more than ``max_levels`` levels is refused."""
     stats = train.agg(
         *[F.avg(c).alias(f"avg_{c}") for c in numeric], *[F.stddev_pop(c).alias(f"sd_{c}") for c in numeric]
     ).first()
@@ -59,7 +61,7 @@ def learn_encoding(train: DataFrame, numeric: Sequence[str], categorical: Sequen
     return Encoding(
         {c: stats[f"avg_{c}"] for c in numeric},
         {c: stats[f"sd_{c}"] for c in numeric},
-        distinct_levels(texts, categorical),
+        distinct_levels(texts, categorical, max_levels),
     )
 
 
@@ -104,10 +106,11 @@ def _assemble(df: DataFrame, encoding: Encoding) -> DataFrame:
 def sized_for_solver(rows: DataFrame, n: int, width: int) -> DataFrame:
     """At most one partition per 4 million numbers (32 MB).
 
-    A solver runs a job per iteration; with partitions much smaller than that it would mostly start tasks.
-    Larger data keeps its partitions.
+    A solver runs a job per iteration; with partitions much smaller than that it would mostly start tasks. Rows are dealt
+    anew, so what makes them (a scan, a filter) keeps its own tasks. Larger data keeps its partitions.
     """
-    return rows.coalesce(max(1, math.ceil(n * width / 4_000_000)))
+    wanted = max(1, math.ceil(n * width / 4_000_000))
+    return rows.repartition(wanted) if wanted < rows.rdd.getNumPartitions() else rows
 
 
 def fit_risk_model(

@@ -29,7 +29,7 @@ from ..functions import (
 from ..operators.cohort import cohort_funnel, first_per_entity, index_cohort
 from ..operators.evaluate import compare_scores, decile_table, with_quantile
 from ..operators.exposure import exposure_by_stratum, exposure_groups, exposure_summary
-from ..operators.inference import Term, covariate_patterns, fit_logit, fit_term, stratified_logit
+from ..operators.inference import Fit, Term, covariate_patterns, fit_terms, stratified_logit
 from ..operators.levels import top_level_names
 from ..operators.lookups import Lookup, attach_labels
 from ..operators.profile import kpi_row, rate_profile
@@ -340,20 +340,17 @@ def _adjust() -> dict[str, Column]:
     return {name: F.col(name) for name in V.ADJUST_NUMERIC}
 
 
-def adjusted_groups(patterns: DataFrame) -> list[Term]:
-    """Each exposure group against 'Not tested', adjusted."""
+def adjusted_groups(patterns: DataFrame) -> Fit:
+    """Each exposure group against 'Not tested', adjusted; every group has a term."""
     factors = {"hba1c_group": V.MODEL_EXPOSURE_LABELS[0], "primary_diagnosis_group": None, **_ADJUST_FACTORS}
-    terms = fit_logit(patterns, _adjust(), factors)
-    prefix = "hba1c_group="
-    return [
-        Term(t.name.removeprefix(prefix), t.estimate, t.se) for t in terms if t.name.startswith(prefix)
-    ]
+    names = [f"hba1c_group={label}" for label in sorted(V.MODEL_EXPOSURE_LABELS[1:])]
+    return fit_terms(patterns, names, _adjust(), factors)
 
 
-def adjusted_tested(patterns: DataFrame) -> Term:
+def adjusted_tested(patterns: DataFrame) -> Fit:
     """Any test against none, adjusted."""
     factors = {"primary_diagnosis_group": None, **_ADJUST_FACTORS}
-    return fit_term(patterns, "tested", {"tested": _tested(), **_adjust()}, factors)
+    return fit_terms(patterns, ["tested"], {"tested": _tested(), **_adjust()}, factors)
 
 
 def interaction(patterns: DataFrame, one: str = "Diabetes", other: str = "Circulatory") -> Term:
@@ -361,10 +358,15 @@ def interaction(patterns: DataFrame, one: str = "Diabetes", other: str = "Circul
     pair = patterns.where(F.col("primary_diagnosis_group").isin(one, other))
     is_one = F.col("primary_diagnosis_group") == one
     product = {"tested": _tested(), "subgroup": is_one, "tested:subgroup": _tested() & is_one}
-    return fit_term(pair, "tested:subgroup", {**product, **_adjust()}, _ADJUST_FACTORS)
+    return fit_terms(pair, ["tested:subgroup"], {**product, **_adjust()}, _ADJUST_FACTORS)[0]
 
 
 _ODDS_SCHEMA = "odds_ratio double, ci95_low double, ci95_high double, p_value double"
+_FIT_SCHEMA = "status string, dropped_levels string, dropped_rows bigint"
+
+
+def _fit_notes(term: Term, fit: Fit) -> tuple[str, str, int]:
+    return term.status, ", ".join(fit.dropped), fit.dropped_rows
 
 
 def _rounded(table: DataFrame) -> DataFrame:
@@ -380,27 +382,39 @@ def _rounded(table: DataFrame) -> DataFrame:
 
 
 def hba1c_adjusted(patterns: DataFrame) -> DataFrame:
-    rows = [(t.name, t.odds_ratio, *t.ci95, t.p_value) for t in adjusted_groups(patterns)]
-    return _rounded(small_table(patterns.sparkSession, rows, f"group_vs_not_tested string, {_ODDS_SCHEMA}"))
+    """A row for every exposure group; numbers only where ``status`` is ``estimated``."""
+    fit = adjusted_groups(patterns)
+    rows = [(t.name.partition("=")[2], *t.numbers(), *_fit_notes(t, fit)) for t in fit]
+    schema = f"group_vs_not_tested string, {_ODDS_SCHEMA}, {_FIT_SCHEMA}"
+    return _rounded(small_table(patterns.sparkSession, rows, schema))
 
 
 def hba1c_tested_adjusted(patterns: DataFrame) -> DataFrame:
-    t = adjusted_tested(patterns)
-    return _rounded(small_table(patterns.sparkSession, [(t.odds_ratio, *t.ci95, t.p_value)], _ODDS_SCHEMA))
+    fit = adjusted_tested(patterns)
+    rows = [(*fit[0].numbers(), *_fit_notes(fit[0], fit))]
+    return _rounded(small_table(patterns.sparkSession, rows, f"{_ODDS_SCHEMA}, {_FIT_SCHEMA}"))
 
 
 def hba1c_by_diagnosis_adjusted(patterns: DataFrame) -> DataFrame:
+    """A row for every diagnosis of the study, in its order."""
     fits = stratified_logit(
         patterns, "primary_diagnosis_group", V.MODEL_STRATA, "tested", _tested(), _adjust(), _ADJUST_FACTORS
     )
-    p = interaction(patterns).p_value
+    product = interaction(patterns)
     rows = [
-        (name, n, *[r if r is None else 100 * r for r in rates], t.odds_ratio, *t.ci95, t.p_value, p)
-        for name, n, *rates, t in fits
+        (
+            name,
+            n,
+            *[r if r is None else 100 * r for r in rates],
+            *fit[0].numbers(),
+            product.numbers()[-1],
+            *_fit_notes(fit[0], fit),
+        )
+        for name, n, *rates, fit in fits
     ]
     schema = (
         "primary_diagnosis string, patients bigint, rate_not_tested_pct double, rate_tested_pct double, "
         "adjusted_odds_ratio double, ci95_low double, ci95_high double, p_value double, "
-        "interaction_p_diabetes_vs_circulatory double"
+        f"interaction_p_diabetes_vs_circulatory double, {_FIT_SCHEMA}"
     )
     return _rounded(small_table(patterns.sparkSession, rows, schema))

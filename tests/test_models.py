@@ -12,10 +12,11 @@ from outcomelens.operators.inference import (
     Term,
     covariate_patterns,
     fit_logit,
+    fit_terms,
     stratified_logit,
     term_table,
 )
-from outcomelens.operators.risk_model import fit_risk_model, learn_encoding
+from outcomelens.operators.risk_model import fit_risk_model, learn_encoding, sized_for_solver
 
 
 def newton(x, y, w=None, penalty=0.0):
@@ -79,7 +80,7 @@ def test_stratified_logit(df, sample):
     out = stratified_logit(
         patterns, "place", ["care", "home"], "tested", exposed, {"age": F.col("age"), "stays": F.col("stays")}, {}
     )
-    for name, n, rate0, rate1, term in out:
+    for name, n, rate0, rate1, (term,) in out:
         rows = [r for r in sample if r[4] == name]
         y = np.array([r[5] for r in rows], float)
         t = np.array([r[3] != "none" for r in rows])
@@ -104,11 +105,63 @@ def test_separated_level_leaves_the_fit(spark, df, sample):
 def test_stratum_that_determines_nothing(spark, df):
     patterns = covariate_patterns(df.where("grp = 'none' or place <> 'care'"), "y", ["stays", "grp", "place"])
     exposed = F.col("grp") != "none"
-    (name, n, rate0, rate1, term), (_, n2, *none, term2) = stratified_logit(
+    (name, n, rate0, rate1, (term,)), (_, n2, *none, (term2,)) = stratified_logit(
         patterns, "place", ["care", "nowhere"], "tested", exposed, {"stays": F.col("stays")}, {}
     )
     assert n > 0 and 0 < rate0 < 1 and rate1 is None and math.isnan(term.estimate)
     assert (n2, none) == (0, [None, None]) and math.isnan(term2.p_value)
+    assert term.status == term2.status == "not estimable" and term.numbers() == (None,) * 4
+
+
+def test_stratum_counts_rows_with_a_blank_covariate(spark, df):
+    blank = spark.createDataFrame([(20_000 + i, None, 1, "none", "care", i % 2) for i in range(10)], df.schema)
+    exposed, numeric = F.col("grp") != "none", {"age": F.col("age")}
+    covariates = ["age", "grp", "place"]
+    plain = stratified_logit(covariate_patterns(df, "y", covariates), "place", ["care"], "t", exposed, numeric, {})[0]
+    more = stratified_logit(covariate_patterns(df.union(blank), "y", covariates), "place", ["care"], "t", exposed, numeric, {})[0]
+    assert more[1] == plain[1] + 10 and more[2] != plain[2] and more[3] == plain[3]
+    assert more[4][0].estimate == pytest.approx(plain[4][0].estimate, abs=1e-9)
+
+
+@pytest.mark.parametrize(("group", "outcome"), [("high", 0), ("high", 1)])
+def test_groups_without_variation_keep_their_row(df, group, outcome):
+    rows = df.withColumn("y", F.when(F.col("grp") == group, outcome).otherwise(F.col("y")))
+    patterns = covariate_patterns(rows, "y", ["age", "grp", "place"])
+    names = ["grp=high", "grp=normal", "grp=other"]
+    fit = fit_terms(patterns, names, {"age": F.col("age")}, {"grp": "none", "place": None})
+    assert [(t.name, t.status) for t in fit] == list(zip(names, ["separated", "estimated", "no rows"], strict=True))
+    assert fit.dropped == ["grp=high"] and fit.dropped_rows == rows.where("grp = 'high'").count()
+
+
+def test_reference_without_variation_keeps_all_rows(df):
+    rows = df.withColumn("y", F.when(F.col("grp") == "none", 0).otherwise(F.col("y")))
+    patterns = covariate_patterns(rows, "y", ["age", "grp"])
+    fit = fit_terms(patterns, ["grp=high", "grp=normal"], {"age": F.col("age")}, {"grp": "none"})
+    assert [t.status for t in fit] == ["not estimable"] * 2
+
+
+def test_separated_exposure_has_no_numbers(df):
+    rows = df.withColumn("y", F.when(F.col("grp") == "high", 0).otherwise(F.col("y")))
+    patterns = covariate_patterns(rows, "y", ["age", "grp"])
+    (term,) = fit_terms(patterns, ["t"], {"t": F.col("grp") == "high", "age": F.col("age")}, {})
+    assert term.status == "separated" and term.numbers() == (None,) * 4
+
+
+def test_level_cap_is_per_factor(df):
+    patterns = covariate_patterns(df, "y", ["grp", "place"])
+    assert len(fit_logit(patterns, {}, {"grp": None, "place": None}, max_levels=3)) == 4
+    with pytest.raises(ValueError, match="more than 2 levels"):
+        fit_logit(patterns, {}, {"grp": None, "place": None}, max_levels=2)
+    with pytest.raises(ValueError, match="more than 2 levels"):
+        learn_encoding(df, ["age"], ["grp"], max_levels=2)
+
+
+def test_solver_partitions_leave_the_scan_alone(spark, df, scratch):
+    table = scratch.table(df.repartition(12), "wide").where("place = 'care'")
+    sized = sized_for_solver(table, 100, 5)
+    assert sized.rdd.getNumPartitions() == 1
+    assert "Exchange" in sized._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in sized._jdf.queryExecution().executedPlan().toString()
 
 
 def test_huge_estimates_stay_numbers():
