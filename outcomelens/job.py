@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,13 @@ from pyspark.sql import functions as F
 from .operators.evaluate import roc_points
 from .operators.lookups import orphan_keys
 from .operators.profile import category_rates, flag_drivers, top_category
-from .operators.quality import missing_share
+from .operators.quality import missing_share, quality_table
 from .plans import fixed_values as V
-from .plans import hospital
+from .plans import hospital, testbed
 from .sources import (
     Scratch,
     export_csv,
+    in_order,
     load_counts,
     read_lookup,
     read_stacked,
@@ -30,6 +32,26 @@ from .sources import (
 ROW_LEVEL = ["cohort", "risk_scores"]
 
 
+def sort_orders() -> dict[str, list]:
+    """How the rows of small result tables are sorted in their files: as the study publishes them."""
+    bands = [V.LOWEST_BAND, *[label for _, label in reversed(V.SCORE_BANDS)]]
+    return {
+        "dq_results": ["check_id"],
+        "quality_table": [in_order("check_name", [name for name, _ in V.CHECKS.values()])],
+        "missing_share": ["share_pct", "check_id"],
+        "cohort_funnel": ["step"],
+        "readmission_profile": ["dimension", "category"],
+        "risk_band_validation": [in_order("risk_band", bands)],
+        "hba1c_summary": ["hba1c_group"],
+        "hba1c_by_diagnosis": [F.desc("patients"), "primary_diagnosis_group"],
+        "model_comparison": [in_order("method", list(V.METHODS))],
+        "model_odds_ratios": [F.desc("odds_ratio"), "feature"],
+        "risk_deciles": ["decile"],
+        "hba1c_adjusted": ["group_vs_not_tested"],
+        "hba1c_by_diagnosis_adjusted": [in_order("primary_diagnosis", V.MODEL_STRATA)],
+    }
+
+
 def load(spark: SparkSession, encounters: str, lookups: Mapping[str, str] | str) -> hospital.RawTables:
     """``lookups`` is one CSV path per lookup name, or the path of the file that stacks all three."""
     if isinstance(lookups, str):
@@ -95,6 +117,7 @@ def report_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> dict[
     }
     diabetes = tables["hba1c_by_diagnosis"].where(F.col("primary_diagnosis_group") == "Diabetes")
     return {
+        "quality_table": quality_table(tables["dq_results"]),
         "missing_share": missing_share(
             tables["dq_results"], total, V.MISSING_SHARE_CHECKS, V.MISSING_LABEL, V.LABEL_NOTE
         ),
@@ -111,9 +134,12 @@ def report_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> dict[
             {"kpi": kpi, "hbaAll": tables["hba1c_tested_adjusted"]},
             {
                 "profile": (profile, ["dimension", "category"]),
-                "models": (tables["model_comparison"], ["method"]),
+                "models": (tables["model_comparison"], [in_order("method", list(V.METHODS))]),
                 "deciles": (tables["risk_deciles"].select("decile", "patients", "readmission_rate_pct"), ["decile"]),
-                "hba": (tables["hba1c_by_diagnosis_adjusted"], ["primary_diagnosis"]),
+                "hba": (
+                    tables["hba1c_by_diagnosis_adjusted"],
+                    [in_order("primary_diagnosis", V.MODEL_STRATA)],
+                ),
                 "funnel": (tables["cohort_funnel"].drop("share_pct"), ["step"]),
                 "dq": (tables["dq_results"], ["check_id"]),
             },
@@ -122,20 +148,27 @@ def report_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> dict[
 
 
 def run(spark: SparkSession, raw: hospital.RawTables, out: str) -> None:
+    """The encounters' text is parsed once; everything else reads a written copy of the columns it needs."""
+    if spark.conf.get("spark.sql.ansi.enabled").lower() != "true":
+        raise ValueError("strict casts need spark.sql.ansi.enabled: without it bad text would silently become NULL")
     with Scratch(spark) as scratch:
+        used = [c for c in testbed.RAW_COLUMNS if c in raw.encounters.columns]
+        raw = replace(raw, encounters=scratch.table(raw.encounters.select(*used), "encounters"))
         tables = sql_tables(raw, scratch)
         tables |= model_tables(tables["cohort"], scratch)
         tables |= report_tables(spark, tables)
         payload = tables.pop("payload")
-        export_csv(tables, out, ROW_LEVEL)
+        export_csv(tables, out, ROW_LEVEL, sort_orders())
         payload.write.mode("overwrite").text(f"{out}/payload")
 
 
 def preview(spark: SparkSession, out: str) -> None:
     """Print the small tables a reader wants to see first."""
-    for name in ["cohort_funnel", "kpi_overall", "risk_band_validation", "hba1c_summary", "model_comparison"]:
+    names = ["dq_results", "cohort_funnel", "kpi_overall", "risk_band_validation", "hba1c_summary", "model_comparison"]
+    for name in names:
         print(name)
-        spark.read.csv(f"{out}/{name}", header=True, escape='"').show(truncate=False)
+        table = spark.read.csv(f"{out}/{name}", header=True, escape='"')
+        (table.drop("handling") if name == "dq_results" else table).show(truncate=False)
 
 
 def main() -> None:

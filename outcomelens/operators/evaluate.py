@@ -31,14 +31,16 @@ def _by_score(df: DataFrame, scores: Mapping[str, str], label: str, falling: boo
     )
 
 
-def areas(df: DataFrame, scores: Mapping[str, str], label: str, scratch: Scratch) -> DataFrame:
+def areas(
+    df: DataFrame, scores: Mapping[str, str], label: str, scratch: Scratch, range_rows: int | None = None
+) -> DataFrame:
     """``method, auc, positives, negatives`` for every score, all in the same passes.
 
     AUC is the share of (event, non-event) pairs ranked right, ties counting half. Rows are first summed per distinct
     score; only those sums are accumulated. NULL and NaN scores and NULL outcomes are refused.
     """
     sums = _by_score(df, scores, label)
-    ranked = running_totals(sums, "score", {"neg_upto": "neg"}, scratch, by="method")
+    ranked = running_totals(sums, "score", {"neg_upto": "neg"}, scratch, by="method", range_rows=range_rows)
     right = F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)
     return ranked.groupBy("method").agg(
         (F.sum(right) / F.nullif(F.sum("pos").cast("double") * F.sum("neg"), F.lit(0.0))).alias("auc"),
@@ -47,9 +49,9 @@ def areas(df: DataFrame, scores: Mapping[str, str], label: str, scratch: Scratch
     )
 
 
-def auc(df: DataFrame, score: str, label: str, scratch: Scratch) -> DataFrame:
+def auc(df: DataFrame, score: str, label: str, scratch: Scratch, range_rows: int | None = None) -> DataFrame:
     """ROC AUC of one score as one row; NULL if the outcome does not vary."""
-    return areas(df, {score: score}, label, scratch).drop("method")
+    return areas(df, {score: score}, label, scratch, range_rows).drop("method")
 
 
 def roc_points(df: DataFrame, score: str, label: str, scratch: Scratch) -> DataFrame:

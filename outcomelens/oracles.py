@@ -306,13 +306,18 @@ SELECT a.encounter_id, {scaled}, coalesce(dummies, '') AS dummies,
 FROM analysis a LEFT JOIN named ON id = a.encounter_id"""
 
 
-def _wald(cte: str, estimates: str) -> str:
+#: Two-sided p-value of a normal z by the power series of the error function; beyond 6 it is 0 to eight places.
+_P_VALUE = """if(abs(b / sqrt(v)) > 6, 0.0, round_even(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120),
+    lambda n: if(n % 2 = 0, 1, -1) * exp((2 * n + 1) * ln(greatest(abs(b / sqrt(v)), 1e-300) / sqrt(2)) - lgamma(n + 1.0)) / (2 * n + 1))), 4))"""
+
+
+def _wald(cte: str, estimates: str, more: str = "") -> str:
     """Estimates and variances to the columns of a coefficient table; 1.95996... is the normal 97.5 % point."""
     q = 1.959963984540054
-    return f"""WITH {cte}, est(term, b, v) AS ({estimates})
-SELECT term, round_even(b, 6) AS estimate, round_even(sqrt(v), 6) AS se, round_even(b / sqrt(v), 6) AS z,
+    return f"""WITH {cte}, est AS ({estimates})
+SELECT {more}term, round_even(b, 6) AS estimate, round_even(sqrt(v), 6) AS se, round_even(b / sqrt(v), 6) AS z,
   round_even(exp(b), 6) AS odds_ratio, round_even(exp(b - {q} * sqrt(v)), 6) AS ci95_low,
-  round_even(exp(b + {q} * sqrt(v)), 6) AS ci95_high FROM est"""
+  round_even(exp(b + {q} * sqrt(v)), 6) AS ci95_high, {_P_VALUE} AS p_value FROM est"""
 
 
 _CELLS = (
@@ -335,8 +340,8 @@ def _cell(t: bool, d: bool, what: str) -> str:
 def _interaction() -> str:
     l00, l01, l10, l11 = (_cell(t, d, "l") for t in (False, True) for d in (False, True))
     v00, v01, v10, v11 = (_cell(t, d, "v") for t in (False, True) for d in (False, True))
-    return f"""VALUES ('tested', {l10} - {l00}, {v10} + {v00}), ('diabetes', {l01} - {l00}, {v01} + {v00}),
-  ('tested:diabetes', {l11} - {l10} - {l01} + {l00}, {v11} + {v10} + {v01} + {v00})"""
+    return f"""SELECT * FROM (VALUES ('tested', {l10} - {l00}, {v10} + {v00}), ('diabetes', {l01} - {l00}, {v01} + {v00}),
+  ('tested:diabetes', {l11} - {l10} - {l01} + {l00}, {v11} + {v10} + {v01} + {v00})) t(term, b, v)"""
 
 
 _TABLES = (
@@ -350,9 +355,9 @@ ORACLES: dict[str, str] = {
     + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _TABLES)
     + ")",
     "q_stacked_sections": """
-SELECT p_partkey, 'brand' AS section, p_size AS id, p_brand || ', new' AS description FROM part
+SELECT p_partkey, 'brand' AS section, CAST(p_size AS BIGINT) AS id, p_brand || ', new' AS description FROM part
 UNION ALL SELECT p_partkey, 'brand', p_size + 1, p_brand FROM part
-UNION ALL SELECT p_partkey, 'type', CAST(p_partkey AS INT), p_type FROM part
+UNION ALL SELECT p_partkey, 'type', p_partkey, p_type FROM part
 UNION ALL SELECT p_partkey, 'name', p_size, 'the "' || p_name || '"' FROM part""",
     "q_staging": f"WITH {STAGED} SELECT * FROM staged",
     "q_band_midpoint": f"WITH {STAGED} SELECT age_band, age_mid, count(*) AS n_rows FROM staged GROUP BY ALL",
@@ -386,7 +391,8 @@ SELECT s_text AS description, count(*) AS times FROM look_source GROUP BY s_text
     "q_missing_share": f"""WITH {DQ}
 SELECT check_id, regexp_replace(replace(check_name, ' recorded as ''?''', ' missing'), ' \\(.*\\)', '') AS label,
   affected_rows, round_even(100.0 * affected_rows / (SELECT count(*) FROM orders), 2) AS share_pct
-FROM checks WHERE check_id IN (2, 3, 4, 5, 10, 11, 12) AND affected_rows > 0""",
+FROM checks WHERE check_id IN (2, 3, 4, 5, 10, 11, 12)""",
+    "q_dq_display": f"WITH {DQ} SELECT check_name, affected_rows, handling FROM checks WHERE affected_rows > 0",
     "q_cohort": f"WITH {COHORT} SELECT * FROM cohort",
     "q_cohort_funnel": f"""WITH {COHORT}, steps AS (
   SELECT 1 AS step, 'All hospital encounters' AS description, count(*) AS encounters FROM staged
@@ -453,13 +459,24 @@ SELECT medical_specialty, count(*) AS n_rows FROM cohort GROUP BY 1 ORDER BY 2 D
 SELECT round((SELECT sum(a.p::DOUBLE * b.n * if(a.s > b.s, 1, 0.5)) FROM per_score a, per_score b WHERE a.s >= b.s)
   / (sum(p)::DOUBLE * sum(n)::DOUBLE), 9) AS auc, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives
 FROM per_score""",
-    "q_roc_points": f"""WITH {SCORED}
-SELECT DISTINCT lace_score AS threshold,
-  (SELECT count(*) FROM scored i WHERE i.readmitted_30d AND i.lace_score >= o.lace_score)
-    / (SELECT count_if(readmitted_30d) FROM scored) AS tpr,
-  (SELECT count(*) FROM scored i WHERE NOT i.readmitted_30d AND i.lace_score >= o.lace_score)
-    / (SELECT count_if(NOT readmitted_30d) FROM scored) AS fpr
-FROM scored o""",
+    "q_roc_points": f"""WITH {SCORED}, steps AS (
+  SELECT lace_score AS threshold, count_if(readmitted_30d) AS p, count_if(NOT readmitted_30d) AS n FROM scored GROUP BY 1
+), curve AS (
+  SELECT threshold, sum(p) OVER falling AS tp, sum(n) OVER falling AS fp, p, n, row_number() OVER falling AS place,
+    lead(p) OVER falling AS p_next, lead(n) OVER falling AS n_next
+  FROM steps WINDOW falling AS (ORDER BY threshold DESC)
+)
+SELECT 'inf'::DOUBLE AS threshold, 0::DOUBLE AS tpr, 0::DOUBLE AS fpr
+UNION ALL SELECT threshold, tp / (SELECT sum(p) FROM steps), fp / (SELECT sum(n) FROM steps)
+FROM curve WHERE place = 1 OR p_next IS NULL OR p <> p_next OR n <> n_next""",
+    "q_auc_ratio": f"""WITH {SCORED}, ratios AS (
+  SELECT num_medications / los_days AS s, readmitted_30d::INT AS y FROM scored
+), placed AS (
+  SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS mid_rank FROM ratios
+)
+SELECT round((sum(mid_rank) FILTER (y = 1) - sum(y)::DOUBLE * (sum(y) + 1) / 2)
+    / (sum(y)::DOUBLE * sum(1 - y)::DOUBLE), 9) AS auc,
+  CAST(sum(y) AS BIGINT) AS positives, CAST(sum(1 - y) AS BIGINT) AS negatives FROM placed""",
     "q_capture_top_frac": f"""WITH {SCORED}, placed AS (
   SELECT readmitted_30d::INT AS y, row_number() OVER (ORDER BY lace_score DESC, encounter_id)
     <= CAST(floor(0.2::DOUBLE * count(*) OVER ()) AS BIGINT) AS top FROM scored
@@ -499,9 +516,30 @@ SELECT method,
 FROM placed GROUP BY method""",
     "q_logit_2x2": _wald(
         _CELLS,
-        """SELECT 'tested', ln(x.e * u.o / (x.o * u.e)), 1 / x.e + 1 / x.o + 1 / u.e + 1 / u.o
+        """SELECT 'tested' AS term, ln(x.e * u.o / (x.o * u.e)) AS b, 1 / x.e + 1 / x.o + 1 / u.e + 1 / u.o AS v
   FROM pair x, pair u WHERE x.t AND NOT u.t""",
     ),
+    "q_logit_groups": _wald(
+        ANALYSIS
+        + """, by_group AS (
+  SELECT hba1c_group AS g, sum(y)::DOUBLE AS e, sum(1 - y)::DOUBLE AS o FROM analysis GROUP BY 1
+)""",
+        """SELECT 'hba1c_group=' || x.g AS term, ln(x.e * u.o / (x.o * u.e)) AS b,
+  1 / x.e + 1 / x.o + 1 / u.e + 1 / u.o AS v
+  FROM by_group x, by_group u WHERE x.g <> 'Not tested' AND u.g = 'Not tested'""",
+    ),
+    "q_logit_strata_crude": _wald(
+        ANALYSIS
+        + """, by_side AS (
+  SELECT primary_diagnosis_group AS g, hba1c_group <> 'Not tested' AS t, sum(y)::DOUBLE AS e, sum(1 - y)::DOUBLE AS o
+  FROM analysis GROUP BY ALL
+)""",
+        f"""SELECT x.g AS term, CAST(x.e + x.o + u.e + u.o AS BIGINT) AS n_rows, round(u.e / (u.e + u.o), 9) AS rate_0,
+  round(x.e / (x.e + x.o), 9) AS rate_1, ln(x.e * u.o / (x.o * u.e)) AS b, 1 / x.e + 1 / x.o + 1 / u.e + 1 / u.o AS v
+  FROM by_side x JOIN by_side u USING (g) WHERE x.t AND NOT u.t
+    AND x.g IN ({", ".join(map(_quoted, V.MODEL_STRATA))})""",
+        "n_rows, rate_0, rate_1, ",
+    ),
     "q_logit_interaction": _wald(_CELLS, _interaction()),
     "q_covariate_patterns": f"""WITH {ANALYSIS}
 SELECT age_mid, los_days, prior_inpatient, prior_emergency, number_diagnoses, hba1c_group, primary_diagnosis_group,

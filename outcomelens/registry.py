@@ -12,7 +12,7 @@ from .functions import round_half_even
 from .operators import evaluate, inference, levels, lookups, profile, quality, risk_model
 from .plans import fixed_values as V
 from .plans import hospital, testbed
-from .sources import Scratch, load_counts, report_payload, split_stacked
+from .sources import Scratch, load_counts, report_payload, small_table, split_stacked
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,7 +72,7 @@ def q_stacked_sections(spark: SparkSession, folder: str) -> DataFrame:
     def row(number, text):
         return F.concat(number.cast("string"), F.lit(',"'), text, F.lit('"'))
 
-    size, key = F.col("p_size"), F.col("p_partkey").cast("int")
+    size, key = F.col("p_size"), F.col("p_partkey")
     text = F.concat_ws(
         ",\n",
         section("size,brand", row(size, F.concat("p_brand", F.lit(", new"))), row(size + 1, F.col("p_brand"))),
@@ -81,7 +81,7 @@ def q_stacked_sections(spark: SparkSession, folder: str) -> DataFrame:
     )
     files = testbed.table(spark, folder, "part").select("p_partkey", text.alias("text"))
     return split_stacked(
-        files, "text", ["brand", "type", "name"], "id int, description string", keep=["p_partkey"]
+        files, "text", ["brand", "type", "name"], "id bigint, description string", keep=["p_partkey"]
     )
 
 
@@ -140,6 +140,10 @@ def q_dup_descriptions(spark: SparkSession, folder: str) -> DataFrame:
     return lookups.repeated_labels(testbed.raw_tables(spark, folder).admission_source)
 
 
+def q_dq_display(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_table(hospital.data_quality(_loaded(spark, folder, _CHECKED_COLUMNS)))
+
+
 def q_missing_share(spark: SparkSession, folder: str) -> DataFrame:
     raw = _loaded(spark, folder, _CHECKED_COLUMNS)
     total = raw.encounters.agg(F.count("*").alias("n")).select("n").scalar()
@@ -269,6 +273,16 @@ def q_auc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def q_auc_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """AUC of a ratio: hundreds of distinct scores, summed in several ranges of a few scores."""
+    scratch = Scratch(spark)
+    ratio = F.col("num_medications") / F.col("los_days")
+    rows = scratch.table(_cohort(spark, folder).select(hospital.OUTCOME, ratio.alias("per_day")), "ratio")
+    return evaluate.auc(rows, "per_day", hospital.OUTCOME, scratch, range_rows=16).select(
+        F.round("auc", 9).alias("auc"), "positives", "negatives"
+    )
+
+
 def q_roc_points(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark)
     return evaluate.roc_points(_scored_cohort(spark, folder, scratch), "lace_score", hospital.OUTCOME, scratch)
@@ -338,7 +352,8 @@ def _patterns(spark: SparkSession, folder: str) -> DataFrame:
 def _estimates(spark: SparkSession, terms: list[inference.Term]) -> DataFrame:
     table = inference.term_table(spark, terms)
     numbers = ["estimate", "se", "z", "odds_ratio", "ci95_low", "ci95_high"]
-    return table.select("term", *[round_half_even(F.col(c), 6).alias(c) for c in numbers])
+    rounded = [round_half_even(F.col(c), 6).alias(c) for c in numbers]
+    return table.select("term", *rounded, round_half_even(F.col("p_value"), 4).alias("p_value"))
 
 
 def q_logit_2x2(spark: SparkSession, folder: str) -> DataFrame:
@@ -358,6 +373,31 @@ def q_logit_interaction(spark: SparkSession, folder: str) -> DataFrame:
     return _estimates(spark, inference.fit_logit(patterns, numeric, {}))
 
 
+def _exposure_patterns(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    patterns = _patterns(spark, folder)
+    return patterns.groupBy("hba1c_group", *more).agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
+
+
+def q_logit_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The four exposure groups without covariates."""
+    patterns = Scratch(spark).table(_exposure_patterns(spark, folder), "groups")
+    names = [f"hba1c_group={label}" for label in V.MODEL_EXPOSURE_LABELS[1:]]
+    return _estimates(spark, inference.fit_terms(patterns, names, {}, {"hba1c_group": V.MODEL_EXPOSURE_LABELS[0]}))
+
+
+def q_logit_strata_crude(spark: SparkSession, folder: str) -> DataFrame:
+    """Testing per diagnosis without covariates, with rows and crude rates."""
+    patterns = Scratch(spark).table(_exposure_patterns(spark, folder, "primary_diagnosis_group"), "strata")
+    tested = F.col("hba1c_group") != V.MODEL_EXPOSURE_LABELS[0]
+    fits = inference.stratified_logit(patterns, "primary_diagnosis_group", V.MODEL_STRATA, "tested", tested, {}, {})
+    crude = small_table(
+        spark, [(name, n, *rates) for name, n, *rates, _ in fits], "term string, n_rows bigint, rate_0 double, rate_1 double"
+    )
+    terms = [inference.Term(name, fit[0].estimate, fit[0].se, fit[0].told) for name, *_, fit in fits]
+    crude = crude.withColumns({c: F.round(c, 9) for c in ("rate_0", "rate_1")})
+    return crude.join(_estimates(spark, terms), "term")
+
+
 def q_covariate_patterns(spark: SparkSession, folder: str) -> DataFrame:
     return _patterns(spark, folder)
 

@@ -1,4 +1,4 @@
-from .report import report_payload
+from .report import in_order, report_payload
 from .scratch import Scratch
 from .stacked import read_stacked, split_stacked
 from .tables import export_csv, load_counts, read_lookup, read_text_table, small_table
@@ -6,6 +6,7 @@ from .tables import export_csv, load_counts, read_lookup, read_text_table, small
 __all__ = [
     "Scratch",
     "export_csv",
+    "in_order",
     "load_counts",
     "read_lookup",
     "read_stacked",

@@ -8,9 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _ordered(df: DataFrame, order: Sequence[str]) -> Column:
+def in_order(name: str, values: Sequence[str]) -> Column:
+    """Place of a column's value in a list, to sort by."""
+    return F.array_position(F.array(*map(F.lit, values)), F.col(name))
+
+
+def _ordered(df: DataFrame, order: Sequence[str | Column]) -> Column:
     """All rows of a small aggregate as one sorted array."""
-    keyed = F.struct(*[F.col(c) for c in order], F.struct("*").alias("_row"))
+    places = [(F.col(c) if isinstance(c, str) else c).alias(f"_order_{i}") for i, c in enumerate(order)]
+    keyed = F.struct(*places, F.struct("*").alias("_row"))
     rows = F.transform(F.array_sort(F.collect_list(keyed)), lambda r: r["_row"])
     return df.agg(rows.alias("rows")).select("rows").scalar()
 
@@ -18,7 +24,7 @@ def _ordered(df: DataFrame, order: Sequence[str]) -> Column:
 def report_payload(
     spark: SparkSession,
     single: Mapping[str, DataFrame],
-    listed: Mapping[str, tuple[DataFrame, Sequence[str]]],
+    listed: Mapping[str, tuple[DataFrame, Sequence[str | Column]]],
 ) -> DataFrame:
     """One row, one column ``payload``.
 

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,10 +56,20 @@ def load_counts(tables: Mapping[str, DataFrame], expected: Mapping[str, int] | N
     )
 
 
-def export_csv(tables: Mapping[str, DataFrame], folder: str, row_level: Iterable[str] = ()) -> None:
-    """Aggregate tables as CSV with a header; the ``row_level`` ones as Parquet, in many files."""
-    as_parquet = set(row_level)
+def export_csv(
+    tables: Mapping[str, DataFrame],
+    folder: str,
+    row_level: Iterable[str] = (),
+    order: Mapping[str, Sequence[str | Column]] | None = None,
+) -> None:
+    """Aggregate tables as CSV with a header; the ``row_level`` ones as Parquet, in many files.
+
+    A table with an ``order`` is small and becomes a single sorted file.
+    """
+    as_parquet, order = set(row_level), order or {}
     for name, df in tables.items():
+        if name in order:
+            df = df.coalesce(1).sortWithinPartitions(*order[name])
         writer = df.write.mode("overwrite")
         if name in as_parquet:
             writer.parquet(f"{folder}/{name}")

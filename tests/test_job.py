@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import json
+from pathlib import Path
 
 import pytest
 
@@ -18,7 +20,8 @@ FOLDER = "/root/testdata/sf0.01"
 def out(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("job")
     raw = testbed.raw_tables(spark, FOLDER)
-    raw.encounters.write.csv(f"{d}/encounters", header=True, escape='"')
+    # columns that the study does not read are not copied
+    raw.encounters.withColumn("unused", raw.encounters[0]).write.csv(f"{d}/encounters", header=True, escape='"')
     blocks = []
     for name in V.STACKED_LOOKUPS:
         rows = raw.lookups()[name].table.collect()
@@ -49,6 +52,11 @@ def _query(spark, name, drop=()):
         ("missing_share", "q_missing_share"),
         ("driver_flags", "q_driver_flags"),
         ("hba1c_adjusted", "q_logit_adjusted"),
+        ("hba1c_tested_adjusted", "q_logit_tested"),
+        ("hba1c_by_diagnosis_adjusted", "q_logit_stratified"),
+        ("quality_table", "q_dq_display"),
+        ("model_comparison", "q_model_comparison"),
+        ("orphan_keys", "q_orphan_keys"),
     ],
 )
 def test_same_as_the_query(spark, out, table, query):
@@ -62,7 +70,7 @@ def test_row_level_tables(spark, out):
 
 
 def test_model_tables(spark, out):
-    assert [r[0] for r in _csv(spark, out, "model_comparison")] == sorted(V.METHODS)
+    assert [r[0] for r in spark.read.csv(f"{out}/model_comparison", header=True).collect()] == list(V.METHODS)
     deciles = _csv(spark, out, "risk_deciles")
     assert len(deciles) == 10 and sum(r[1] for r in deciles) == deciles[0][3]
     assert len(_csv(spark, out, "hba1c_by_diagnosis_adjusted")) == len(V.MODEL_STRATA)
@@ -72,9 +80,29 @@ def test_payload(spark, out):
     payload = json.loads(spark.read.text(f"{out}/payload").first()[0])
     assert set(payload) == {"kpi", "hbaAll", "profile", "models", "deciles", "hba", "funnel", "dq"}
     assert [row["check_id"] for row in payload["dq"]] == list(range(1, 16))
+    assert [row["method"] for row in payload["models"]] == list(V.METHODS)
+    assert [row["primary_diagnosis"] for row in payload["hba"]] == V.MODEL_STRATA
     assert payload["kpi"]["patients"] == payload["funnel"][2]["encounters"]
 
 
 def test_preview(spark, out, capsys):
     job.preview(spark, out)
-    assert "Moderate (5-9)" in capsys.readouterr().out
+    shown = capsys.readouterr().out
+    assert "Moderate (5-9)" in shown and V.CHECKS[1][0] in shown and V.CHECKS[1][1] not in shown
+
+
+@pytest.mark.parametrize(("table", "column"), [("cohort_funnel", "step"), ("readmission_profile", "dimension"), ("risk_deciles", "decile")])
+def test_small_tables_are_one_sorted_file(out, table, column):
+    (path,) = Path(f"{out}/{table}").glob("*.csv")
+    rows = list(csv.DictReader(path.open()))
+    values = [int(r[column]) if r[column].isdigit() else r[column] for r in rows]
+    assert len(values) > 2 and values == sorted(values)
+
+
+def test_sessions_without_strict_casts_are_refused(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(ValueError, match="ansi"):
+            job.run(spark, testbed.raw_tables(spark, FOLDER), "/nowhere")
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
