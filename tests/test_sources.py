@@ -60,18 +60,16 @@ def test_scratch_tables_go_with_the_block(spark):
     assert not os.path.exists(path)
 
 
-@pytest.mark.parametrize("master, configured", [("yarn", "hdfs:///shared/"), ("local[2]", None), ("yarn", None)])
-def test_shared_folder(master, configured):
+@pytest.mark.parametrize("configured", ["hdfs:///shared/", None])
+def test_shared_folder(configured):
+    """The cluster's folder, or one in the warehouse, which is shared as well; never a machine's own."""
     made = []
-    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append)
-    session = SimpleNamespace(conf={"spark.checkpoint.dir": configured}, sparkContext=context)
-    if configured:
-        assert shared_folder(session) == "hdfs:///shared" and not made
-    elif master == "yarn":
-        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-            shared_folder(session)
-    else:
-        assert shared_folder(session) == made[0]
+    context = SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+    conf = {"spark.checkpoint.dir": configured, "spark.sql.warehouse.dir": "hdfs:///warehouse/"}
+    session = SimpleNamespace(conf=conf, sparkContext=context)
+    folder = shared_folder(session)
+    assert folder == ("hdfs:///shared" if configured else "hdfs:///warehouse/_scratch")
+    assert made == ([] if configured else [folder])
 
 
 def test_payload(spark):
