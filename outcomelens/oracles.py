@@ -7,6 +7,7 @@ the same by necessity.
 from __future__ import annotations
 
 from .plans import fixed_values as V
+from .plans.testbed import RAW_COLUMNS
 
 RAW = """
 raw_orders AS (
@@ -68,34 +69,45 @@ look_source AS (SELECT n_nationkey + 1 AS s_id, r_name AS s_text FROM nation JOI
 look_exit AS (SELECT n_nationkey + 1 AS d_id, n_name AS d_text FROM nation)
 """
 
-CODED = """
-type_groups(tg_code, tg) AS (VALUES (1, 'Emergency / trauma'), (2, 'Urgent'), (3, 'Elective'),
-  (7, 'Emergency / trauma')),
-source_groups AS (
-  SELECT unnest([1, 2, 3]) AS sg_code, 'Referral' AS sg
-  UNION ALL SELECT unnest([4, 5, 6, 10, 18, 22, 25, 26]), 'Transfer'
-  UNION ALL SELECT 7, 'Emergency room'
-),
-exit_groups AS (
-  SELECT unnest([3, 4, 5, 15, 22, 23, 24, 27, 28, 29, 30]) AS xg_code, 'Care facility (SNF / rehab / other)' AS xg
-  UNION ALL SELECT unnest([11, 13, 14, 19, 20, 21]), 'Died / hospice'
-  UNION ALL SELECT unnest([6, 8]), 'Home with health service'
-  UNION ALL VALUES (1, 'Home'), (2, 'Other hospital'), (7, 'Left against medical advice')
-)
-"""
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
 
-CHAPTERS = """
-chapter_ranges(lo, hi, chapter_name) AS (VALUES
-  (140.0, 239.99, 'Neoplasms'), (390, 459, 'Circulatory'), (460, 519, 'Respiratory'), (520, 579, 'Digestive'),
-  (580, 629.99, 'Genitourinary'), (710, 739.99, 'Musculoskeletal'), (785, 785.99, 'Circulatory'),
-  (786, 786.99, 'Respiratory'), (787, 787.99, 'Digestive'), (788, 788.99, 'Genitourinary'), (800, 999.99, 'Injury'))
+def _strings(codes: list[int]) -> str:
+    return ", ".join(f"'{c}'" for c in codes)
+
+
+def _code_table(groups: dict[str, list[int]]) -> str:
+    return "VALUES " + ", ".join(f"({code}, {_quoted(name)})" for name, codes in groups.items() for code in codes)
+
+
+CODED = f"""
+type_groups(tg_code, tg) AS ({_code_table(V.ADMISSION_TYPE_GROUPS)}),
+source_groups(sg_code, sg) AS ({_code_table(V.ADMISSION_SOURCE_GROUPS)}),
+exit_groups(xg_code, xg) AS ({_code_table(V.DISCHARGE_GROUPS)})
 """
 
+_RANGES = ", ".join(
+    f"({low}, {high}, {_quoted(rule.label)})" for rule in V.DIAGNOSIS_RULES for low, high in rule.ranges
+)
+CHAPTERS = f"""
+chapter_ranges(lo, hi, chapter_name) AS (SELECT lo::DOUBLE, hi::DOUBLE, name FROM (VALUES {_RANGES}) t(lo, hi, name))"""
+
 
 def _chapter(code: str) -> str:
     """Chapter of a code whose row is left joined to chapter_ranges (the ranges do not overlap)."""
-    return f"""CASE WHEN {code} = '?' THEN 'Missing' WHEN left({code}, 1) IN ('V', 'E') THEN 'Other'
-      WHEN left({code}, 3) = '250' THEN 'Diabetes' ELSE coalesce(chapter_name, 'Other') END"""
+    cases = ""
+    for rule in V.DIAGNOSIS_RULES:
+        cases += "".join(f" WHEN {code} = {_quoted(text)} THEN {_quoted(rule.label)}" for text in rule.equals)
+        cases += "".join(f" WHEN starts_with({code}, {_quoted(text)}) THEN {_quoted(rule.label)}" for text in rule.prefixes)
+    return f"CASE{cases} ELSE coalesce(chapter_name, {_quoted(V.DIAGNOSIS_DEFAULT)}) END"
+
+
+def _steps(col: str, steps: tuple) -> str:
+    """Value up to and including a bound; beyond the last, and for NULL, the value that remains."""
+    bounds, rest = steps
+    shown = (lambda v: _quoted(v)) if isinstance(rest, str) else str
+    return "CASE" + "".join(f" WHEN {col} <= {bound} THEN {shown(value)}" for bound, value in bounds) + f" ELSE {shown(rest)} END"
 
 
 STAGED = (
@@ -163,8 +175,7 @@ facets AS (
      'category': if(prior_inpatient IN (0, 1, 2), prior_inpatient::VARCHAR, '3+')},
     {'dimension': 'Emergency visits in prior year',
      'category': if(prior_emergency IN (0, 1), prior_emergency::VARCHAR, '2+')},
-    {'dimension': 'Length of stay', 'category': CASE WHEN los_days > 7 THEN '8-14 days' WHEN los_days > 4
-       THEN '5-7 days' WHEN los_days > 2 THEN '3-4 days' ELSE '1-2 days' END},
+    {'dimension': 'Length of stay', 'category': @STAY@},
     {'dimension': 'HbA1c test', 'category': if(hba1c_tested, 'Tested', 'Not tested')}
   ], recursive := true)
   FROM cohort
@@ -174,19 +185,17 @@ profile AS (
          round(100.0 * avg(y), 2) AS readmission_rate_pct
   FROM facets GROUP BY ALL HAVING count(*) >= 100
 )"""
-)
+).replace("@STAY@", _steps("los_days", V.STAY_RANGES))
 
 SCORED = (
     COHORT
-    + """,
+    + f""",
 pointed AS (
   SELECT *,
-    CASE WHEN los_days > 13 THEN 7 WHEN los_days > 6 THEN 5 WHEN los_days > 3 THEN 4 ELSE greatest(los_days, 0) END
-      AS l_points,
+    {_steps("los_days", V.LENGTH_OF_STAY_POINTS)} AS l_points,
     3 * (admission_type_group = 'Emergency / trauma' OR admission_source_group = 'Emergency room')::INT AS a_points,
-    CASE WHEN number_diagnoses > 8 THEN 5 WHEN number_diagnoses > 7 THEN 3 WHEN number_diagnoses > 5 THEN 2
-         WHEN number_diagnoses > 3 THEN 1 ELSE 0 END AS c_points,
-    if(prior_emergency > 4, 4, prior_emergency) AS e_points
+    {_steps("number_diagnoses", V.DIAGNOSES_POINTS)} AS c_points,
+    least(prior_emergency, {V.MAX_EMERGENCY_POINTS}) AS e_points
   FROM cohort
 ),
 scored AS (
@@ -208,10 +217,6 @@ exposed AS (
 )"""
 )
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 CHECKS = f"""
 check_texts(check_id, check_name, handling) AS (
   VALUES {", ".join(f"({i}, {_quoted(name)}, {_quoted(handling)})" for i, (name, handling) in V.CHECKS.items())}
@@ -226,10 +231,10 @@ hits AS (
   SELECT [count(*) - count(DISTINCT encounter_id), count_if(race = '?'), count_if(weight = '?'),
     count_if(payer_code = '?'), count_if(medical_specialty = '?'), count_if(diag_1 = '?'),
     count_if(gender = 'Unknown/Invalid'), count(*) - count(DISTINCT patient_nbr),
-    count_if(discharge_disposition_id IN ('11', '13', '14', '19', '20', '21')),
-    count_if(admission_type_id IN ('5', '6', '8')),
-    count_if(admission_source_id IN ('9', '15', '17', '20', '21')),
-    count_if(discharge_disposition_id IN ('18', '25', '26')),
+    count_if(discharge_disposition_id IN ({_strings(V.DISCHARGE_GROUPS[V.NOT_READMITTABLE])})),
+    count_if(admission_type_id IN ({_strings(V.UNKNOWN_ADMISSION_TYPES)})),
+    count_if(admission_source_id IN ({_strings(V.UNKNOWN_ADMISSION_SOURCES)})),
+    count_if(discharge_disposition_id IN ({_strings(V.UNKNOWN_DISCHARGES)})),
     (SELECT n FROM orphans), (SELECT count(*) FROM repeats), count_if(A1Cresult = 'None')] AS n
   FROM raw
 ),
@@ -272,14 +277,7 @@ analysis AS (
 )"""
 )
 
-_NUMERIC = [
-    "age_mid", "los_days", "num_lab_procedures", "num_procedures", "num_medications", "number_diagnoses",
-    "prior_outpatient", "prior_emergency", "prior_inpatient",
-]
-_CATEGORICAL = [
-    "gender", "race", "admission_type_group", "admission_source_group", "discharge_group", "primary_diagnosis_group",
-    "specialty_grp", "hba1c_group", "insulin", "medication_changed", "on_diabetes_medication",
-]
+_NUMERIC, _CATEGORICAL = V.NUMERIC_FEATURES, V.CATEGORICAL_FEATURES
 _BOOLEAN = {"medication_changed", "on_diabetes_medication"}
 
 
@@ -359,6 +357,8 @@ SELECT p_partkey, 'brand' AS section, CAST(p_size AS BIGINT) AS id, p_brand || '
 UNION ALL SELECT p_partkey, 'brand', p_size + 1, p_brand FROM part
 UNION ALL SELECT p_partkey, 'type', p_partkey, p_type FROM part
 UNION ALL SELECT p_partkey, 'name', p_size, 'the "' || p_name || '"' FROM part""",
+    "q_read_text": f"WITH {RAW} SELECT {', '.join(RAW_COLUMNS)} FROM raw",
+    "q_read_lookup": f"WITH {RAW} SELECT CAST(s_id AS INT) AS admission_source_id, s_text AS description FROM look_source",
     "q_staging": f"WITH {STAGED} SELECT * FROM staged",
     "q_band_midpoint": f"WITH {STAGED} SELECT age_band, age_mid, count(*) AS n_rows FROM staged GROUP BY ALL",
     "q_code_groups": f"""WITH {STAGED}
@@ -391,7 +391,7 @@ SELECT s_text AS description, count(*) AS times FROM look_source GROUP BY s_text
     "q_missing_share": f"""WITH {DQ}
 SELECT check_id, regexp_replace(replace(check_name, ' recorded as ''?''', ' missing'), ' \\(.*\\)', '') AS label,
   affected_rows, round_even(100.0 * affected_rows / (SELECT count(*) FROM orders), 2) AS share_pct
-FROM checks WHERE check_id IN (2, 3, 4, 5, 10, 11, 12)""",
+FROM checks WHERE check_id IN ({', '.join(map(str, V.MISSING_SHARE_CHECKS))})""",
     "q_dq_display": f"WITH {DQ} SELECT check_name, affected_rows, handling FROM checks WHERE affected_rows > 0",
     "q_cohort": f"WITH {COHORT} SELECT * FROM cohort",
     "q_cohort_funnel": f"""WITH {COHORT}, steps AS (
@@ -447,7 +447,7 @@ SELECT primary_diagnosis_group,
   round(100.0 * (count_if(readmitted_30d AND hba1c_tested) / nullif(count_if(hba1c_tested), 0)), 2) AS tested_pct,
   count(*) FILTER (hba1c_tested) AS tested_patients, count(*) AS patients
 FROM exposed GROUP BY 1
-HAVING primary_diagnosis_group IN ('Circulatory', 'Diabetes', 'Digestive', 'Injury', 'Other', 'Respiratory')""",
+HAVING primary_diagnosis_group IN ({', '.join(map(_quoted, V.EXPOSURE_STRATA))})""",
     "q_top_levels": f"""WITH {COHORT}
 SELECT medical_specialty, count(*) AS n_rows FROM cohort GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
     "q_kept_levels": f"WITH {ANALYSIS} SELECT specialty_grp, race, count(*) AS n_rows FROM analysis GROUP BY ALL",

@@ -12,7 +12,16 @@ from .functions import round_half_even
 from .operators import evaluate, inference, levels, lookups, profile, quality, risk_model
 from .plans import fixed_values as V
 from .plans import hospital, testbed
-from .sources import Scratch, load_counts, report_payload, small_table, split_stacked
+from .sources import (
+    Scratch,
+    export_csv,
+    load_counts,
+    read_lookup,
+    read_text_table,
+    report_payload,
+    small_table,
+    split_stacked,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +72,21 @@ def q_load_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select("table_name", "n_rows", check.otherwise("nothing expected").alias("check"))
 
 
+def q_read_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw encounters as header CSV files in the shared folder, read back as text."""
+    out = Scratch(spark).folder("csv")
+    export_csv({"encounters": testbed.encounters(spark, folder).select(*testbed.RAW_COLUMNS)}, out)
+    return read_text_table(spark, f"{out}/encounters")
+
+
+def q_read_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """A lookup as a sorted CSV file, read back with its types."""
+    out = Scratch(spark).folder("csv")
+    table = testbed.raw_tables(spark, folder).admission_source
+    export_csv({"lookup": table}, out, order={"lookup": table.columns})
+    return read_lookup(spark, f"{out}/lookup", "admission_source_id int, description string")
+
+
 def q_stacked_sections(spark: SparkSession, folder: str) -> DataFrame:
     """Every part as a stacked file of three small tables, split and parsed again."""
 
