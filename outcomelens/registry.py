@@ -35,9 +35,11 @@ def _cohort(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _loaded(spark: SparkSession, folder: str, columns: list[str]) -> hospital.RawTables:
-    """Raw tables with some encounter columns written once, for queries that read them several times."""
+    """Raw tables with some encounter columns written once, for queries that read them several times; the rest is NULL."""
     raw = testbed.raw_tables(spark, folder)
-    return replace(raw, encounters=Scratch(spark).table(raw.encounters.select(*columns), "raw"))
+    written = Scratch(spark).table(raw.encounters.select(*columns), "raw")
+    absent = {c: F.lit(None).cast("string") for c in testbed.RAW_COLUMNS if c not in columns}
+    return replace(raw, encounters=written.withColumns(absent))
 
 
 _CHECKED_COLUMNS = [
@@ -46,6 +48,9 @@ _CHECKED_COLUMNS = [
 ]
 
 
+_REPORT_COLUMNS = [*_CHECKED_COLUMNS, "age", "time_in_hospital", "number_inpatient", "number_emergency", "readmitted"]
+
+
 _PROFILE_COLUMNS = [
     "age_band", "primary_diagnosis_group", "admission_source_group", "discharge_group", "prior_inpatient",
     "prior_emergency", "los_days", "hba1c_tested", hospital.OUTCOME,
@@ -443,7 +448,7 @@ def q_logit_stratified(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_report_payload(spark: SparkSession, folder: str) -> DataFrame:
     """The payload of the SQL-made tables, read back and flattened to one row per record."""
-    raw = _loaded(spark, folder, testbed.RAW_COLUMNS)
+    raw = _loaded(spark, folder, _REPORT_COLUMNS)
     staged = hospital.stage(raw)
     members = Scratch(spark).table(hospital.cohort_from_raw(raw).select(*_PROFILE_COLUMNS), "cohort")
     payload = report_payload(

@@ -45,6 +45,12 @@ class Scratch:
         files.deleteOnExit(place)
         return path
 
+    def release(self, path: str) -> None:
+        """Deletes one table before the others; nothing may read it any more."""
+        files, place = self._files(path)
+        files.delete(place, True)
+        self.paths.remove(path)
+
     def drop(self) -> None:
         for path in self.paths:
             files, place = self._files(path)
