@@ -26,6 +26,29 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Tables of at most so many rows of a few numbers are broadcast, after they were counted.
+SMALL = 1_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """Marks a table for broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def sampled(rows: DataFrame, group: str, counts: dict, most: int, order: Column, *ties: str) -> DataFrame:
+    """At most ``most`` rows of each group of ``counts`` (rows by group): those with the smallest ``order``, a hash.
+
+    A first cut by the hash leaves about four times as many, so the task that ranks a group gets a bounded number of rows
+    however many there are. Adds the rank as ``_rank``.
+    """
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col(group) == value, min(1.0, 4 * most / max(1, n))).otherwise(share)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_order", *ties))
+    near = rows.withColumn("_order", order).where(F.pmod("_order", F.lit(1 << 20)) < share * (1 << 20))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_order")
+
+
 def numbered(
     df: DataFrame, scratch: Scratch, groups: list[str], key: list[str], name: str, rows_per_block: int = 50_000
 ) -> DataFrame:

@@ -30,14 +30,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
-from .common import components
+from .common import bounded, components
 
 #: A cell of more sets is dealt out as pairs of tiles; one of more than a leaf gets a tree.
 TILE, LEAF = 4096, 32
 #: A cell that finds more pairs than this a set sends a few and is looked at again.
 PAIRS_A_SET = 4
-#: Tables of at most so many rows of a few numbers are broadcast, after they were counted.
-SMALL = 1_000_000
 _CLASS_BITS = 6
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -275,34 +273,43 @@ def _cell_pairs(percent: int, again: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cells in _whole_cells(batches):
-            out = [np.empty((3, 0), np.int64)]
-            key = cells["key"]
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            ends = np.append(starts[1:], len(key))
-            length = np.array([len(p) for p in cells["point"]])
-            size_of_cell = ends - starts
-            for width in np.unique(length[starts]):
-                own = length[starts] == width
-                small = np.flatnonzero(own & (size_of_cell > 1) & (size_of_cell <= 2 * LEAF))
-                groups = [(starts[small[size_of_cell[small] == s]], s) for s in np.unique(size_of_cell[small])]
-                for first, s in groups:
-                    step = max(1, min(200_000 // (s * s), (8 << 20) // (s * int(width))))
-                    for k in range(0, len(first), step):
-                        out.append(_leaf_pairs(cells, first[k : k + step], int(s), percent, again))
-                for k in np.flatnonzero(own & (size_of_cell > 2 * LEAF)):
-                    out.append(_tree_pairs(cells, starts[k], ends[k], percent, again))
-            found = np.concatenate(out, axis=1)
-            for k in range(0, found.shape[1], 100_000):
-                part = found[:, k : k + 100_000]
-                void = part[1] < 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[0]), pa.array(part[1], mask=void), pa.array(part[2], mask=void)], names=["key", "a", "b"]
-                )
+        held, count = [], 0
+        for piece in (p for cells in _whole_cells(batches) for p in _pieces(cells, percent, again)):
+            held.append(piece)
+            count += piece.shape[1]
+            if count >= 50_000:
+                yield _rows_of(held)
+                held, count = [], 0
+        if held:
+            yield _rows_of(held)
 
     return run
 
 
+def _rows_of(pieces: list[np.ndarray]) -> pa.RecordBatch:
+    key, a, b = np.concatenate(pieces, axis=1)
+    void = a < 0
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a, mask=void), pa.array(b, mask=void)], names=["key", "a", "b"])
+
+
+def _pieces(cells: dict[str, np.ndarray], percent: int, again: bool) -> Iterator[np.ndarray]:
+    """Rows (key, a, b) of some whole cells, a bounded number of cells or leaves at a time."""
+    key = cells["key"]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    ends = np.append(starts[1:], len(key))
+    width_of = np.array([len(cells["point"][k]) for k in starts])
+    members = ends - starts
+    for width in np.unique(width_of):
+        small = np.flatnonzero((width_of == width) & (members > 1) & (members <= 2 * LEAF))
+        for s in np.unique(members[small]):
+            first = starts[small[members[small] == s]]
+            step = max(1, min(200_000 // int(s * s), (8 << 20) // int(s * width)))
+            for k in range(0, len(first), step):
+                yield _leaf_pairs(cells, first[k : k + step], int(s), percent, again)
+    for k in np.flatnonzero(members > 2 * LEAF):
+        yield from _tree_pairs(cells, starts[k], ends[k], percent, again)
+
+
 def _whole_cells(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[dict[str, np.ndarray]]:
     """Columns of some whole cells at a time; a cell is one tile pair at most, so this is bounded."""
     held: list[pa.RecordBatch] = []
@@ -373,27 +380,31 @@ def _leaf_pairs(cells: dict, first: np.ndarray, s: int, percent: int, again: boo
     return np.concatenate(out, axis=1)
 
 
-def _tree_pairs(cells: dict, start: int, end: int, percent: int, again: bool) -> np.ndarray:
-    """Close pairs of one large cell."""
+def _tree_pairs(cells: dict, start: int, end: int, percent: int, again: bool) -> Iterator[np.ndarray]:
+    """Close pairs of one large cell, leaf by leaf."""
     node, component, n = (cells[c][start:end] for c in ("node", "component", "n"))
+    key = cells["key"][start]
     tree = RTree(_matrix(cells["point"][start:end]), n)
     least, count, found = np.full(len(node), len(node)), 0, [np.empty((2, 0), np.int64)]
     for x, y in tree.join(percent):
         if again:
             cross = component[x] != component[y]
-            x, y = x[cross], y[cross]
-        else:
-            np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
+            if cross.any():
+                yield np.stack([np.full(cross.sum(), key), node[x[cross]], node[y[cross]]])
+            continue
+        np.minimum.at(least, np.maximum(x, y), np.minimum(x, y))
         count += len(x)
-        if again or count <= PAIRS_A_SET * len(node):
+        if count <= PAIRS_A_SET * len(node):
             found.append(np.stack([x, y]))
-    key = cells["key"][start]
-    if not again and count > PAIRS_A_SET * len(node):
-        has = np.flatnonzero(least < len(node))
-        rows = np.stack([np.full(len(has), key), node[has], node[least[has]]])
-        return np.concatenate([rows, [[key], [-1], [-1]]], axis=1)
-    x, y = np.concatenate(found, axis=1)
-    return np.stack([np.full(len(x), key), node[x], node[y]])
+    if again:
+        return
+    if count <= PAIRS_A_SET * len(node):
+        x, y = np.concatenate(found, axis=1)
+        yield np.stack([np.full(len(x), key), node[x], node[y]])
+        return
+    has = np.flatnonzero(least < len(node))
+    yield np.stack([np.full(len(has), key), node[has], node[least[has]]])
+    yield np.array([[key], [-1], [-1]])
 
 
 def _verified(percent: int):
@@ -431,16 +442,11 @@ def _codes_of(n: int):
     return run
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """Marks a table for broadcast if it was counted to be small."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs that link. Sets are made again from the texts of the documents concerned."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = scratch.table(sets.join(nodes, "node").select("node", "doc_id", "f1", "f2"), "wanted")
-    ids = _bounded(scratch.table(wanted.select(F.col("doc_id").alias("_id")).distinct(), "ids"))
+    ids = bounded(scratch.table(wanted.select(F.col("doc_id").alias("_id")).distinct(), "ids"))
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     made = texts.mapInArrow(_codes_of(n), f"doc_id {dict(docs.dtypes)['doc_id']}, f1 long, f2 long, codes array<long>")
     same = F.col("made.doc_id").eqNullSafe(F.col("wanted.doc_id"))
@@ -467,26 +473,34 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, n: int = 4, percent: i
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, node long, first long, n long, f1 long, f2 long, class int, point binary, upper binary, keys array<long>"
-    sets = scratch.table(docs.mapInArrow(_sets(n, percent), schema), "sets")
+    made = scratch.table(docs.mapInArrow(_sets(n, percent), schema), "made")
+    made_at = scratch.paths[-1]
+    sets = scratch.table(made.select("doc_id", "node", "first", "n", "f1", "f2"), "sets")
 
     # equal sets: of each task's first ones, the smallest number goes on alone
     firsts = sets.where("node = first and n > 0").select("node", "n", "f1", "f2")
     classes = firsts.groupBy("n", "f1", "f2").agg(F.min("node").alias("root"), F.count("*").alias("_copies")).where("_copies > 1")
     same = scratch.table(firsts.join(classes, ["n", "f1", "f2"]).where("node <> root").select("node", "root"), "same")
 
-    keys = sets.select("node", F.explode("keys").alias("key")).join(_bounded(same.select("node")), "node", "left_anti")
+    keys = made.select("node", F.explode("keys").alias("key")).join(bounded(same.select("node")), "node", "left_anti")
     cell = Window.partitionBy("key")
-    cells = keys.withColumn("members", F.count("*").over(cell)).where("members > 1")
+    # sets that share many slices share many cells: of cells with the same members one stays, named by a hash of them
+    one = F.shiftleft(F.bit_xor(F.xxhash64("node")).over(cell), _CLASS_BITS).bitwiseOR(
+        F.col("key").bitwiseAND((1 << _CLASS_BITS) - 1)
+    )
+    cells = keys.withColumn("members", F.count("*").over(cell)).withColumn("_same", one).where("members > 1")
+    cells = cells.select(F.col("_same").alias("key"), "node", "members").distinct()
     # a very large cell becomes pairs of tiles, each a cell of its own
     tiles = F.ceil(F.col("members") / TILE).cast("long")
     cells = cells.withColumn("_tiles", tiles).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_tiles")))
     cells = cells.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
     pair = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
     cells = cells.select("node", F.when(F.col("_tiles") == 1, F.col("key")).otherwise(pair).alias("key"), F.col("key").bitwiseAND((1 << _CLASS_BITS) - 1).alias("_class"))
-    cells = cells.join(sets.select("node", "n", "class", "point", "upper"), "node").select(
+    cells = cells.join(made.select("node", "n", "class", "point", "upper"), "node").select(
         "key", "node", "n", F.when(F.col("_class") == F.col("class"), F.col("point")).otherwise(F.col("upper")).alias("point")
     )
     cells = scratch.table(cells, "cells")
+    scratch.release(made_at)  # the keys are the largest table of all
 
     def close(rows: DataFrame, again: bool) -> DataFrame:
         rows = rows.select("key", "node", "n", "component", "point").repartition("key").sortWithinPartitions("key", "node")
@@ -538,5 +552,5 @@ def drop_near_duplicates(docs: DataFrame, scratch: Scratch, n: int = 5, percent:
     members = groups.join(several, "component").join(rows.select("key", doc_id.alias("id")), "key")
     best = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))).alias("best"))
     dropped = scratch.table(members.join(best, "component").where(F.col("key") != F.col("best.key")).select("key"), "dropped")
-    kept = rows.join(_bounded(dropped), "key", "left_anti")
+    kept = rows.join(bounded(dropped), "key", "left_anti")
     return kept.select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(names)])
