@@ -21,6 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Writes tables to the shared folder. They go at the end of a ``with`` block or of the application.
 
@@ -34,7 +37,13 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str = "table") -> DataFrame:
         path = self.folder(name)
-        df.write.option("compression", "zstd").parquet(path)
+        # the shuffles behind a table are of no use once it is written, so their files go at once
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def folder(self, name: str) -> str:

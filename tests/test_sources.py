@@ -60,6 +60,16 @@ def test_scratch_tables_go_with_the_block(spark):
     assert not os.path.exists(path)
 
 
+def test_scratch_tables_can_go_early(spark, scratch):
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    kept = scratch.table(spark.range(4).groupBy("id").count())
+    scratch.table(spark.range(3))
+    path = scratch.paths[-1]
+    scratch.release(path)
+    assert not os.path.exists(path) and path not in scratch.paths and kept.count() == 4
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
 @pytest.mark.parametrize("configured", ["hdfs:///shared/", None])
 def test_shared_folder(configured):
     """The cluster's folder, or one in the warehouse, which is shared as well; never a machine's own."""
