@@ -14,6 +14,7 @@ varying text. A page's content is what aligns with that root.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from html import unescape
@@ -526,8 +527,13 @@ def _merged(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": rows["host"].iloc[:1].to_numpy(), "tree": [json.dumps(trees[0].to_list())]})
 
 
-def wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
-    """(host, tree) for every host of (host, html): a task's wrappers meet in two steps, so no task merges very many."""
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, tree) for every host of (host, html).
+
+    Every scan task may have a wrapper of a large host. They meet in two steps, each of about the square root of the
+    number of tasks, so no task merges very many.
+    """
+    salts = math.isqrt(pages.rdd.getNumPartitions()) + 1
     local = pages.mapInArrow(_induce, "host string, tree string")
     salted = local.withColumn("_salt", F.pmod(F.xxhash64("tree"), F.lit(salts)))
     some = salted.groupBy("host", "_salt").applyInPandas(_merged, "host string, tree string")
