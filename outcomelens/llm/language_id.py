@@ -12,9 +12,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 #: Bounds of the training sample: documents a language, and characters of a document.
 DOCS_PER_LANGUAGE, EXCERPT = 400, 400
 #: At most so many languages are learned, the most frequent ones.
@@ -251,14 +253,12 @@ def learn(
     teach nothing. Without any left there is no network.
     """
     rows = docs.where(train_on & F.col("lang").isNotNull() & (F.length("text") > 0))
-    known = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    known = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     order = F.xxhash64(F.col("doc_id"), F.lit(3))
     place = F.pmod(order, F.greatest(F.length("text") - excerpt, F.lit(0)) + 1) + 1
-    sample = rows.where(F.col("lang").isin(known)).select(
-        "lang", order.alias("_order"), F.substring(F.col("text"), place.cast("int"), F.lit(excerpt)).alias("_excerpt")
-    )
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "_excerpt"))
-    picked = sample.withColumn("_rank", rank).where(F.col("_rank") <= docs_per_language).orderBy("lang", "_rank").collect()
+    excerpts = rows.select("doc_id", "lang", F.substring(F.col("text"), place.cast("int"), F.lit(excerpt)).alias("_excerpt"))
+    sample = sampled(excerpts, "lang", known, docs_per_language, order, "_excerpt")
+    picked = sample.orderBy("lang", "_rank").collect()
     return train([r["_excerpt"] for r in picked], [r["lang"] for r in picked], settings)
 
 
