@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 #: Bounds of the training sample: toxic and clean documents, and the longest text that is taken into it, in characters.
 TOXIC_DOCS, CLEAN_DOCS, LONGEST = 1_200, 2_400, 8_000
 #: At most so many features are kept.
@@ -88,8 +90,9 @@ def _sequences(texts: list[str], toxic: list[int], known: dict[str, int], reach:
     rows, had = [], {}
     for text, y in zip(texts, toxic, strict=True):
         words = text.split()
-        for t in set(words) - had.keys():
-            had[t] = [known[f] for f in features(t) if f in known]
+        for t in words:
+            if t not in had:
+                had[t] = [known[f] for f in features(t) if f in known]
         tokens = [had[t] for t in words]
         begins, upto = {0}, -1
         for k, has in enumerate(tokens):
@@ -294,12 +297,12 @@ def learn(
     without texts that are null or longer than ``longest``. Labels other than 0 and 1 teach nothing; a document
     labelled both ways is in the sample with both.
     """
+    rows = labels.where(train_on & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
+    counts = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
-    rows = labels.where(train_on & F.col("toxic").isin(0, 1)).select("doc_id", "toxic", order.alias("_order")).distinct()
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("_order", "doc_id"))
     # twice as many ids as documents are wanted, as some texts are too long
     room = F.when(F.col("toxic") == 1, toxic_docs).otherwise(clean_docs)
-    picked = rows.withColumn("_rank", rank).where(F.col("_rank") <= 2 * max(toxic_docs, clean_docs)).where(F.col("_rank") <= 2 * room)
+    picked = sampled(rows, "toxic", counts, 2 * max(toxic_docs, clean_docs), order, "doc_id").where(F.col("_rank") <= 2 * room)
     texts = docs.select(F.col("doc_id"), "text").where(F.col("text").isNotNull() & (F.length("text") <= longest))
     # at most 2 * (toxic_docs + clean_docs) rows of three numbers are broadcast
     found = texts.join(F.broadcast(picked), "doc_id")
