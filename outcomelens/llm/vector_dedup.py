@@ -143,7 +143,7 @@ def near_duplicates(
     Two vectors link when their cosine is at least ``threshold``. Vectors that are null, empty or zero, or hold null or
     non-finite components, link with nothing, nor do vectors of different lengths. ``n_links`` counts other rows, equal
     vectors included; ``component_id`` is the smallest vec_id that links reach. Rows with a null vec_id link with nothing and
-    have a null component; rows that repeat a vec_id are vectors of their own that share a component. Other columns are
+    have a null component; rows that repeat a vec_id are vectors of their own. Other columns are
     ignored.
     """
     if not 0 < threshold < 1:
@@ -159,12 +159,15 @@ def near_duplicates(
     size = F.size("embedding")
     room = F.greatest(F.lit(16), F.floor(F.lit(tile) / size))
     counted = classes.groupBy(size.alias("_size")).agg(F.ceil(F.count("*") / F.first(room)).cast("long").alias("_tiles"))
-    dealt = classes.withColumn("_size", size).join(counted, "_size")
+    # one row of two numbers for each length of vector, of which there are no more than the longest vector has components
+    dealt = classes.withColumn("_size", size).join(F.broadcast(counted), "_size")
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("_tiles")))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)))
     dealt = dealt.select(
         "_size", F.least("tile", "_other").alias("left"), F.greatest("tile", "_other").alias("right"), "tile", "node", "copies", "embedding"
     )
+    # dealt by tile pair whatever the plan so far is partitioned by
+    dealt = dealt.repartition("_size", "left", "right")
     found = dealt.groupBy("_size", "left", "right").applyInPandas(
         _compare(turns, threshold), "node long, links long, least long"
     )
