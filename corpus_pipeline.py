@@ -20,8 +20,20 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 LEAST_SCORE = 0.3
 
 
+_open: list[Scratch] = []
+
+
+def _scratch(spark: SparkSession) -> Scratch:
+    """Tables of a stage. Those of the stage before go: its result has been written when the next stage is called."""
+    while _open:
+        _open.pop().drop()
+    _open.append(Scratch(spark))
+    return _open[-1]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no known language: without a letter, or with no language likely. Fills missing labels in."""
+    _scratch(spark)
     labelled = identify(docs, learn(docs, F.lit(True)))
     kept = labelled.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     columns = [F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns]
@@ -30,22 +42,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    return drop_duplicates(docs, Scratch(spark))
+    return drop_duplicates(docs, _scratch(spark))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8 one stays."""
-    return drop_near_duplicates(docs, Scratch(spark), n=5, percent=80)
+    return drop_near_duplicates(docs, _scratch(spark), n=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: never, once or twice."""
-    return mixed(docs, Scratch(spark))
+    return mixed(docs, _scratch(spark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-budget batches in length buckets."""
-    return pack(docs, Scratch(spark))
+    return pack(docs, _scratch(spark))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -66,4 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        for path in scratch.paths[:-1]:
+            scratch.release(path)
     return docs

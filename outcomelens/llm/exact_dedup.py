@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.scratch import Scratch
-from .common import store_of
+from .common import bounded, store_of
 
 #: Content a table holds before it spills (or, in a scan, starts anew).
 TABLE_BYTES = 64 << 20
@@ -260,7 +260,9 @@ def drop_duplicates(
 ) -> DataFrame:
     """The rows that stay, with all their columns as they were."""
     rows, groups = _grouped(docs, scratch, text, doc_id, room, fanout)
-    kept = groups.select(F.col("keep_row").alias("row")).distinct()
-    return rows.join(kept, "row", "left_semi").select(
+    # few rows go as a rule: then the texts need no second shuffle
+    members = rows.select("row", "first").join(groups.select("first", "keep_row"), "first")
+    dropped = scratch.table(members.where("row <> keep_row").select("row"), "dropped")
+    return rows.join(bounded(dropped), "row", "left_anti").select(
         *[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)]
     )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
-from .common import words
+from .common import bounded, words
 
 #: Weights by the sources' code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, scratch: Scratch, seed: int = 0, block: int = BLOCK) ->
     same result; rows equal in all columns read are interchangeable. Other columns are not read.
     """
     rows = scratch.table(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
-    goal = targets(rows).withColumnRenamed("source", "_source")
+    goal = bounded(scratch.table(targets(rows), "targets").withColumnRenamed("source", "_source"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(2.0))).otherwise(0.0)
     rows = (
         rows.join(goal, F.col("source").eqNullSafe(F.col("_source")))
@@ -139,6 +139,8 @@ def mix(docs: DataFrame, scratch: Scratch, seed: int = 0, block: int = BLOCK) ->
         last = largest <= block
         rows = rows.withColumn("_block", F.pmod(F.col("_order"), F.ceil(F.col("documents") / block)))
         schema = rows.drop("_block", "documents").schema
+        # dealt by block, so that a join by source before never keeps a large source together
+        rows = rows.repartition("source", "_block")
         moved = scratch.table(rows.groupBy("source", "_block").applyInPandas(_balance(last, seed), schema), "flight")
         if last:
             done.append(moved)
@@ -147,6 +149,7 @@ def mix(docs: DataFrame, scratch: Scratch, seed: int = 0, block: int = BLOCK) ->
             done.append(moved.where(~is_open))
             rest = moved.where(is_open)
             counts = rest.groupBy("source").agg(F.count("*").alias("documents")).withColumnRenamed("source", "_source")
+            counts = bounded(scratch.table(counts, "open"))
             rows = rest.join(counts, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
             # a later round deals its rows anew, else the same ones would meet again
             rows = rows.withColumn("_order", F.xxhash64("_order", F.lit(len(done))))
@@ -166,5 +169,6 @@ def mixed(docs: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
     times = counts.groupBy(F.col("doc_id").alias("_id")).agg(
         F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1)).cast("int").alias("_times")
     )
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).where("_times > 0")
+    times = bounded(scratch.table(times.where("_times > 0"), "times"))
+    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
