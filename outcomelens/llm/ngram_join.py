@@ -489,7 +489,8 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, n: int = 4, percent: i
         F.col("key").bitwiseAND((1 << _CLASS_BITS) - 1)
     )
     cells = keys.withColumn("members", F.count("*").over(cell)).withColumn("_same", one).where("members > 1")
-    cells = cells.select(F.col("_same").alias("key"), "node", "members").distinct()
+    # written before the points join, so that the keys' shuffle files are gone by then
+    cells = scratch.table(cells.select(F.col("_same").alias("key"), "node", "members").distinct(), "members")
     # a very large cell becomes pairs of tiles, each a cell of its own
     tiles = F.ceil(F.col("members") / TILE).cast("long")
     cells = cells.withColumn("_tiles", tiles).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_tiles")))
