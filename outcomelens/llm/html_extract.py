@@ -3,10 +3,10 @@
 Pages of a host share a template. Every scan task aligns the DOM trees of the pages it meets, host by host, by simple
 tree matching: two nodes match if their labels do, and the children of matched nodes are aligned in order so
 that the most nodes match. The merged tree of a host is its wrapper; it counts, for every node, the pages
-that have it, its text and link characters, and which texts recur. Wrappers of different tasks are merged in
+that have it and its text and link characters. Wrappers of different tasks are merged in
 the same way, so all pages of a host count and only wrappers are shuffled.
 
-A text that recurs at its node on nearly all pages is template. Varying slots are content, those of menus, adverts,
+A text that recurs at its kind of node on nearly all pages is template: the pages of every text are counted, none left out. Varying slots are content, those of menus, adverts,
 footers and the like excepted; the content's root is the deepest container that holds most of the
 varying text. A page's content is what aligns with that root.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
+from .common import bounded
 
 #: A text is template if it stands at its node on at least this share of a host's pages, of which there are at least so many.
 CONSTANT, ENOUGH = 0.8, 5
-#: Bounds of a wrapper: recurring texts remembered at a node, and nodes. Rare ones go first.
-TEXTS, NODES = 32, 2000
-#: Hosts a scan task holds wrappers of before it passes them on.
-HOSTS = 2000
+#: Nodes of a wrapper of all pages of a host. Rare ones go first.
+NODES = 2000
+#: Hosts, nodes of their wrappers and counts of texts that a scan task holds before it passes them on.
+HOSTS, HELD, COUNTS = 2000, 200_000, 200_000
 #: Wrappers are broadcast up to this size in all, measured beforehand.
 BROADCAST_BYTES = 64 << 20
 #: Deeper elements become siblings.
@@ -238,34 +240,40 @@ def blocks(node: Node) -> list[tuple[str, str, int]]:
 class Shape:
     """A node of a generalised tree: block elements only, a run of like siblings being one node.
 
-    ``pages`` had it, with ``chars`` of own text in all, ``links`` of them in links; ``texts`` counts the pages of recurring texts.
+    ``pages`` had it, with ``chars`` of own text in all, ``links`` of them in links.
     """
 
-    __slots__ = ("label", "tag", "dropped", "pages", "chars", "links", "texts", "kids", "nodes")
+    __slots__ = ("label", "tag", "dropped", "pages", "chars", "links", "kids", "nodes")
 
     def __init__(self, label: str, tag: str, dropped: bool):
         self.label, self.tag, self.dropped = label, tag, dropped
         self.pages, self.chars, self.links = 1, 0, 0
-        self.texts: dict[int, int] = {}
         self.kids: list[Shape] = []
         self.nodes: list[Node] = []
 
     def to_list(self) -> list:
-        return [self.label, self.tag, int(self.dropped), self.pages, self.chars, self.links, list(self.texts.items()), [k.to_list() for k in self.kids]]
+        return [self.label, self.tag, int(self.dropped), self.pages, self.chars, self.links, [k.to_list() for k in self.kids]]
 
     @classmethod
     def from_list(cls, row: list) -> Shape:
         one = cls(row[0], row[1], bool(row[2]))
-        one.pages, one.chars, one.links, one.texts = row[3], row[4], row[5], dict(row[6])
-        one.kids = [cls.from_list(k) for k in row[7]]
+        one.pages, one.chars, one.links = row[3], row[4], row[5]
+        one.kids = [cls.from_list(k) for k in row[6]]
         return one
 
     def size(self) -> int:
         return 1 + sum(k.size() for k in self.kids)
 
+    def forget(self) -> None:
+        """Lets go of the page's elements."""
+        self.nodes = []
+        for kid in self.kids:
+            kid.forget()
 
-def code_of(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+def code_of(label: str, text: str) -> int:
+    """A hash of a text and the label of its node, in the range of a signed long."""
+    return xxhash.xxh3_64_intdigest(f"{label}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def shape_of(node: Node) -> Shape:
@@ -278,7 +286,6 @@ def shape_of(node: Node) -> Shape:
         text = tidy("".join(parts))
         if text:
             shape.chars += len(text)
-            shape.texts[code_of(text)] = 1
         parts.clear()
 
     def walk(one: Node, linked: bool) -> None:
@@ -314,7 +321,6 @@ def _absorb(run: Shape, kid: Shape) -> None:
     """Adds a like sibling of the same page to a run: the page still counts once."""
     run.chars += kid.chars
     run.links += kid.links
-    run.texts.update(kid.texts)
     run.nodes += kid.nodes
     for a, b in align(run.kids, kid.kids):
         if a is not None and b is not None:
@@ -332,7 +338,14 @@ def matching(a: Shape, b: Shape) -> int:
         return 1
     if len(x) == len(y) and all(p.label == q.label for p, q in zip(x, y, strict=True)):
         return 1 + sum(map(matching, x, y))
-    return 1 + _table(x, y)[0][-1][-1]
+    x, y = _shared(x, y)
+    return 1 + _table(x, y)[0][-1][-1] if x else 1
+
+
+def _shared(x: list[Shape], y: list[Shape]) -> tuple[list[Shape], list[Shape]]:
+    """The nodes whose label the other list has as well; no others can match."""
+    both = {k.label for k in x} & {k.label for k in y}
+    return [k for k in x if k.label in both], [k for k in y if k.label in both]
 
 
 def _table(x: list[Shape], y: list[Shape]):
@@ -349,20 +362,25 @@ def align(x: list[Shape], y: list[Shape]) -> list[tuple[Shape | None, Shape | No
     """Both lists in order, matched nodes side by side."""
     if len(x) == len(y) and all(p.label == q.label for p, q in zip(x, y, strict=True)):
         return list(zip(x, y, strict=True))
-    best, score = _table(x, y)
-    out: list[tuple[Shape | None, Shape | None]] = []
-    i, j = len(x), len(y)
-    while i or j:
-        if i and j and score[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + score[i - 1][j - 1]:
+    p, q = _shared(x, y)
+    best, score = _table(p, q)
+    pairs: list[tuple[Shape, Shape]] = []
+    i, j = len(p), len(q)
+    while i and j:
+        if score[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + score[i - 1][j - 1]:
             i, j = i - 1, j - 1
-            out.append((x[i], y[j]))
-        elif j and (not i or best[i][j] == best[i][j - 1]):
+            pairs.append((p[i], q[j]))
+        elif best[i][j] == best[i][j - 1]:
             j -= 1
-            out.append((None, y[j]))
         else:
             i -= 1
-            out.append((x[i], None))
-    return out[::-1]
+    out: list[tuple[Shape | None, Shape | None]] = []
+    left, right = iter(x), iter(y)
+    for a, b in reversed(pairs):
+        out += [(one, None) for one in iter(lambda: next(left), a)]
+        out += [(None, one) for one in iter(lambda: next(right), b)]
+        out.append((a, b))
+    return out + [(one, None) for one in left] + [(None, one) for one in right]
 
 
 def merge(wrapper: Shape, other: Shape) -> None:
@@ -370,36 +388,24 @@ def merge(wrapper: Shape, other: Shape) -> None:
     wrapper.pages += other.pages
     wrapper.chars += other.chars
     wrapper.links += other.links
-    texts = wrapper.texts
-    for code, pages in other.texts.items():
-        texts[code] = texts.get(code, 0) + pages
-    if len(texts) > 4 * TEXTS:
-        wrapper.texts = dict(sorted(texts.items(), key=lambda e: (-e[1], e[0]))[:TEXTS])
     kids = []
     for a, b in align(wrapper.kids, other.kids):
         if a is not None and b is not None:
             merge(a, b)
+        elif b is not None:
+            b.forget()
         kids.append(a if a is not None else b)
     wrapper.kids = kids
     wrapper.nodes = []
 
 
 def prune(wrapper: Shape) -> None:
-    """Drops the rarest nodes and texts of a wrapper that has outgrown its bounds."""
+    """Drops the rarest nodes of a wrapper of all pages of a host that has outgrown its bound."""
     least = 2
     while wrapper.size() > NODES:
         _without(wrapper, least)
         least *= 2
 
-    def shrink(one: Shape) -> None:
-        if len(one.texts) > TEXTS:
-            one.texts = dict(sorted(one.texts.items(), key=lambda e: (-e[1], e[0]))[:TEXTS])
-        one.nodes = []
-        for kid in one.kids:
-            shrink(kid)
-
-    shrink(wrapper)
-
 
 def _without(one: Shape, least: int) -> None:
     one.kids = [k for k in one.kids if k.pages >= least]
@@ -407,32 +413,27 @@ def _without(one: Shape, least: int) -> None:
         _without(kid, least)
 
 
-def page_shape(html: str) -> tuple[Node, Shape]:
+def page_tree(html: str) -> Node:
     root = parse(html)
     _spare_main(root, max(1, _weigh(root)))
+    return root
+
+
+def page_shape(html: str) -> tuple[Node, Shape]:
+    root = page_tree(html)
     return root, shape_of(root)
 
 
 class Wrapper:
-    """What extraction needs of a host's merged tree: its template texts and the way to the content's root."""
+    """What extraction needs of a host: the codes of its template texts and the way to the content's root in its merged tree."""
 
-    def __init__(self, tree: Shape):
-        self.tree = tree
-        self.template: set[tuple[str, int]] = set()
+    def __init__(self, tree: Shape, template: frozenset[int] = frozenset()):
+        self.tree, self.template = tree, template
         self.way: list[Shape] = [tree]
-        if tree.pages >= ENOUGH:
-            self._constants(tree)
         self._mass: dict[int, float] = {}
         self._weigh(tree)
         self._descend(tree)
 
-    def _constants(self, one: Shape) -> None:
-        for code, pages in one.texts.items():
-            if pages >= CONSTANT * self.tree.pages:
-                self.template.add((one.label, code))
-        for kid in one.kids:
-            self._constants(kid)
-
     def _weigh(self, one: Shape) -> float:
         """Varying text outside of links, dropped elements excepted."""
         own = 0.0
@@ -477,7 +478,7 @@ def extract(html: str | None, wrapper: Wrapper | None) -> str:
         found = blocks(root)
     template = wrapper.template if wrapper else frozenset()
     if template:
-        rest = [b for b in found if (b[0], code_of(b[1])) not in template]
+        rest = [b for b in found if code_of(b[0], b[1]) not in template]
         # a template is the smaller part of a page; where most of it recurs, the article itself does
         if 2 * sum(len(b[1]) for b in rest) >= sum(len(b[1]) for b in found):
             found = rest
@@ -489,13 +490,47 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scan task over (host, html): the pages of every host (no code) and of every text of its."""
+    held: Counter[tuple[str, int | None]] = Counter()
+
+    def passed_on() -> pa.RecordBatch:
+        arrays = [pa.array([h for h, _ in held], pa.string()), pa.array([c for _, c in held], pa.int64()), pa.array(held.values(), pa.int64())]
+        rows = pa.RecordBatch.from_arrays(arrays, names=["host", "code", "n"])
+        held.clear()
+        return rows
+
+    for batch in batches:
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if not html:
+                continue
+            held[host, None] += 1
+            for code in {code_of(label, text) for label, text, _ in blocks(page_tree(html))}:
+                held[host, code] += 1
+            if len(held) >= COUNTS:
+                yield passed_on()
+    yield passed_on()
+
+
+def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, codes) for the hosts of (host, html) that have template texts.
+
+    Every text of every page is counted, in partial sums by host and text, so the result does not depend on how pages
+    fall into tasks. A host has at most 1 / CONSTANT times as many template texts as its pages have texts.
+    """
+    n = pages.mapInArrow(_count, "host string, code long, n long").groupBy("host", "code").agg(F.sum("n").alias("n"))
+    n = scratch.table(n.where(F.col("code").isNull() | (F.col("n") >= math.ceil(CONSTANT * ENOUGH))), "texts")
+    hosts = n.where(F.col("code").isNull() & (F.col("n") >= ENOUGH)).select("host", F.col("n").alias("pages"))
+    common = n.where("code is not null").join(bounded(hosts), "host").where(F.col("n") >= F.col("pages") * CONSTANT - 1e-6)
+    return common.groupBy("host").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+
+
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scan task over (host, html): the wrappers of the hosts it meets."""
+    """Scan task over (host, html): the wrappers of the hosts it meets, with all their nodes."""
     held: dict[str, Shape] = {}
+    nodes = 0
 
     def passed_on() -> pa.RecordBatch:
-        for one in held.values():
-            prune(one)
         rows = pa.RecordBatch.from_arrays(
             [pa.array(list(held), pa.string()), pa.array([json.dumps(w.to_list()) for w in held.values()], pa.string())], names=["host", "tree"]
         )
@@ -507,15 +542,17 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not html:
                 continue
             _, shape = page_shape(html)
+            nodes += shape.size()
             if host in held:
                 merge(held[host], shape)
-                if held[host].pages % 64 == 0:
-                    prune(held[host])
             else:
-                if len(held) >= HOSTS:
-                    yield passed_on()
-                shape.nodes = []
+                shape.forget()
                 held[host] = shape
+            if nodes > HELD:  # so far counted as if none had matched
+                nodes = sum(w.size() for w in held.values())
+            if len(held) >= HOSTS or 2 * nodes > HELD:
+                yield passed_on()
+                nodes = 0
     yield passed_on()
 
 
@@ -523,10 +560,17 @@ def _merged(rows: pd.DataFrame) -> pd.DataFrame:
     trees = [Shape.from_list(json.loads(t)) for t in sorted(rows["tree"])]
     for other in trees[1:]:
         merge(trees[0], other)
-    prune(trees[0])
     return pd.DataFrame({"host": rows["host"].iloc[:1].to_numpy(), "tree": [json.dumps(trees[0].to_list())]})
 
 
+def _whole(rows: pd.DataFrame) -> pd.DataFrame:
+    """The last merge: all pages of the host have met."""
+    out = _merged(rows)
+    tree = Shape.from_list(json.loads(out["tree"].iloc[0]))
+    prune(tree)
+    return out.assign(tree=[json.dumps(tree.to_list())])
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, tree) for every host of (host, html).
 
@@ -537,25 +581,31 @@ def wrappers(pages: DataFrame) -> DataFrame:
     local = pages.mapInArrow(_induce, "host string, tree string")
     salted = local.withColumn("_salt", F.pmod(F.xxhash64("tree"), F.lit(salts)))
     some = salted.groupBy("host", "_salt").applyInPandas(_merged, "host string, tree string")
-    return some.groupBy("host").applyInPandas(_merged, "host string, tree string")
+    return some.groupBy("host").applyInPandas(_whole, "host string, tree string")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    had: dict[str, Wrapper] = {}
+    had: dict[tuple[str, str], Wrapper] = {}
     for batch in batches:
         texts = []
-        for html, tree in zip(batch.column("html").to_pylist(), batch.column("tree").to_pylist(), strict=True):
-            if tree is not None and tree not in had:
+        columns = [batch.column(c).to_pylist() for c in ("html", "host", "tree", "codes")]
+        for html, host, tree, codes in zip(*columns, strict=True):
+            if tree is not None and (host, tree) not in had:
                 if len(had) > 200:
                     had.clear()
-                had[tree] = Wrapper(Shape.from_list(json.loads(tree)))
-            texts.append(extract(html, had[tree] if tree is not None else None))
+                had[host, tree] = Wrapper(Shape.from_list(json.loads(tree)), frozenset(codes or ()))
+            texts.append(extract(html, had[host, tree] if tree is not None else None))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
         )
 
 
+def _small(df: DataFrame, size) -> DataFrame:
+    """Marks a table for broadcast if its measured size allows."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
 def main_text(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of (page_id, url, html): page_id, url, text, n_chars.
 
@@ -565,10 +615,11 @@ def main_text(pages: DataFrame, scratch: Scratch) -> DataFrame:
     Other columns are ignored.
     """
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    trees = scratch.table(wrappers(rows.select("host", "html")), "wrappers")
-    size = trees.agg(F.sum(F.length("tree") + 40)).first()[0] or 0
-    trees = F.broadcast(trees) if size <= BROADCAST_BYTES else trees
+    fixed = scratch.table(templates(rows.select("host", "html"), scratch), "templates")
+    trees = wrappers(rows.select("host", "html")).join(_small(fixed, F.size("codes") * 8 + 40), "host", "left")
+    trees = scratch.table(trees, "wrappers")
+    trees = _small(trees, F.length("tree") + F.coalesce(F.size("codes"), F.lit(0)) * 8 + 40)
     kind = dict(pages.dtypes)["page_id"]
-    return rows.join(trees, "host", "left").select("page_id", "url", "html", "tree").mapInArrow(
+    return rows.join(trees, "host", "left").select("page_id", "url", "html", "host", "tree", "codes").mapInArrow(
         _extract, f"page_id {kind}, url string, text string, n_chars long"
     )

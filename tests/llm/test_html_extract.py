@@ -121,3 +121,19 @@ def test_outgrown_wrappers_lose_their_rarest_nodes(monkeypatch):
         H.merge(whole, H.page_shape(f"<body><article><p>{words(r, 3)}</p></article><div id='{words(r, 1)}'><p>y</p></div></body>")[1])
     H.prune(whole)
     assert whole.size() <= 30 and [s.label for s in H.Wrapper(whole).way][-1] == "article"
+
+
+def test_template_texts_of_long_pages_in_any_grouping(spark, scratch):
+    """Many texts a page and one page a task: every template text is found, whatever its hash."""
+    r = random.Random(6)
+    fixed = [f"fixed {words(r, 6)}" for _ in range(8)]
+    rows, want = [], {}
+    for k in range(12):
+        own = [words(r, 12) for _ in range(60)]
+        html = "".join(f"<p>{p}</p>" for p in [*fixed[:4], *own, *fixed[4:]])
+        rows.append((k, "http://long.example/", f"<html><body><div class='text'>{html}</div></body></html>", "x"))
+        want[k] = "\n".join(own)
+    pages = spark.createDataFrame(rows, SCHEMA)
+    for tasks in (12, 1):
+        got = {x.page_id: x.text for x in H.main_text(pages.repartition(tasks), scratch).collect()}
+        assert got == want
