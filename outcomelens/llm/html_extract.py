@@ -7,8 +7,8 @@ that have it and its text and link characters. Wrappers of different tasks are m
 the same way, so all pages of a host count and only wrappers are shuffled.
 
 A text that recurs at its kind of node on nearly all pages is template: the pages of every text are counted, none left out. Varying slots are content, those of menus, adverts,
-footers and the like excepted; the content's root is the deepest container that holds most of the
-varying text. A page's content is what aligns with that root.
+footers and the like excepted; the content's root is the deepest container outside of which no varying text stands but
+in links, or an article or main element that holds half of it. A page's content is what aligns with that root.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -180,7 +180,7 @@ def _weigh(node: Node) -> int:
 
 
 def _spare_main(node: Node, whole: int, in_article: bool = False) -> None:
-    """A name like 'sidebar' drops no element that holds most of the page's text; a header outside the article goes."""
+    """A name like 'sidebar' drops no element that holds most of the page's text; a header outside the article or main goes."""
     for child in node.children:
         if type(child) is str:
             continue
@@ -189,7 +189,7 @@ def _spare_main(node: Node, whole: int, in_article: bool = False) -> None:
         if child.tag == "header" and not in_article and 10 * child.weight <= 6 * whole:
             child.dropped = True
         if not child.dropped:
-            _spare_main(child, whole, in_article or child.tag == "article")
+            _spare_main(child, whole, in_article or child.tag in ("article", "main"))
 
 
 def tidy(text: str) -> str:
@@ -240,7 +240,7 @@ def blocks(node: Node) -> list[tuple[str, str, int]]:
 class Shape:
     """A node of a generalised tree: block elements only, a run of like siblings being one node.
 
-    ``pages`` had it, with ``chars`` of own text in all, ``links`` of them in links.
+    ``pages`` had it, with ``chars`` of own text in all that is not template, ``links`` of them in links.
     """
 
     __slots__ = ("label", "tag", "dropped", "pages", "chars", "links", "kids", "nodes")
@@ -276,27 +276,41 @@ def code_of(label: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{label}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def shape_of(node: Node) -> Shape:
-    """The generalised tree of one page or element."""
-    shape = Shape(node.label, node.tag, node.dropped)
+def shape_of(node: Node, template: frozenset[int] = frozenset()) -> Shape:
+    """The generalised tree of one page or element. Its texts are those of ``blocks``."""
+    shape = Shape(node.label + "!" * node.dropped, node.tag, node.dropped)  # a dropped element matches no other
     shape.nodes.append(node)
     parts: list[str] = []
+    links = 0
 
     def flush() -> None:
+        nonlocal links
         text = tidy("".join(parts))
-        if text:
+        if text and code_of(node.label, text) not in template:
             shape.chars += len(text)
+            shape.links += min(links, len(text))
         parts.clear()
+        links = 0
+
+    def add(child: Node) -> None:
+        kid = shape_of(child, template)
+        if shape.kids and shape.kids[-1].label == kid.label:
+            _absorb(shape.kids[-1], kid)
+        else:
+            shape.kids.append(kid)
 
     def walk(one: Node, linked: bool) -> None:
+        nonlocal links
         for child in one.children:
             if type(child) is str:
                 parts.append(child)
                 if linked:
-                    shape.links += len(child.strip())
+                    links += len(child.strip())
             elif child.tag in _RAW or child.tag == "head":
                 continue
-            elif child.tag in _INLINE and not child.dropped:
+            elif child.dropped:
+                add(child)
+            elif child.tag in _INLINE:
                 parts.append(" " if child.tag == "br" else "")
                 walk(child, linked or child.tag == "a")
             elif child.tag in _CELL:
@@ -305,15 +319,10 @@ def shape_of(node: Node) -> Shape:
                 parts.append(" ")
             else:
                 flush()
-                kid = shape_of(child)
-                if shape.kids and shape.kids[-1].label == kid.label:
-                    _absorb(shape.kids[-1], kid)
-                else:
-                    shape.kids.append(kid)
+                add(child)
 
     walk(node, False)
     flush()
-    shape.links = min(shape.links, shape.chars)
     return shape
 
 
@@ -399,18 +408,19 @@ def merge(wrapper: Shape, other: Shape) -> None:
     wrapper.nodes = []
 
 
-def prune(wrapper: Shape) -> None:
-    """Drops the rarest nodes of a wrapper of all pages of a host that has outgrown its bound."""
+def prune(wrapper: Shape, way: Iterable[Shape] = ()) -> None:
+    """Drops the rarest nodes of a wrapper of all pages of a host that has outgrown its bound, those of ``way`` excepted."""
+    kept = {id(one) for one in way}
     least = 2
-    while wrapper.size() > NODES:
-        _without(wrapper, least)
+    while wrapper.size() > NODES and least <= 2 * wrapper.pages:
+        _without(wrapper, least, kept)
         least *= 2
 
 
-def _without(one: Shape, least: int) -> None:
-    one.kids = [k for k in one.kids if k.pages >= least]
+def _without(one: Shape, least: int, kept: set[int]) -> None:
+    one.kids = [k for k in one.kids if k.pages >= least or id(k) in kept]
     for kid in one.kids:
-        _without(kid, least)
+        _without(kid, least, kept)
 
 
 def page_tree(html: str) -> Node:
@@ -419,41 +429,66 @@ def page_tree(html: str) -> Node:
     return root
 
 
-def page_shape(html: str) -> tuple[Node, Shape]:
+def page_shape(html: str, template: frozenset[int] = frozenset()) -> tuple[Node, Shape]:
     root = page_tree(html)
-    return root, shape_of(root)
+    return root, shape_of(root, template)
 
 
 class Wrapper:
     """What extraction needs of a host: the codes of its template texts and the way to the content's root in its merged tree."""
 
-    def __init__(self, tree: Shape, template: frozenset[int] = frozenset()):
+    def __init__(self, tree: Shape, template: frozenset[int] = frozenset(), way: list[int] | None = None):
         self.tree, self.template = tree, template
         self.way: list[Shape] = [tree]
-        self._mass: dict[int, float] = {}
-        self._weigh(tree)
-        self._descend(tree)
+        if way is None:
+            self._mass: dict[int, int] = {}
+            self._weigh(tree)
+            self._descend(tree, False)
+        else:
+            for k in way:
+                self.way.append(self.way[-1].kids[k])
 
-    def _weigh(self, one: Shape) -> float:
+    def to_json(self) -> str:
+        """The tree, pruned off the way, and the way."""
+        prune(self.tree, self.way)
+        places = [[id(k) for k in before.kids].index(id(step)) for before, step in zip(self.way, self.way[1:], strict=False)]
+        return json.dumps([self.tree.to_list(), places])
+
+    @classmethod
+    def from_json(cls, text: str, template: frozenset[int]) -> Wrapper:
+        tree, way = json.loads(text)
+        return cls(Shape.from_list(tree), template, way)
+
+    def _weigh(self, one: Shape) -> int:
         """Varying text outside of links, dropped elements excepted."""
-        own = 0.0
+        own = 0
         if not one.dropped:
-            own = max(0, one.chars - 2 * one.links) + sum(self._weigh(k) for k in one.kids)
+            own = max(0, one.chars - one.links) + sum(self._weigh(k) for k in one.kids)
         self._mass[id(one)] = own
         return own
 
-    def _descend(self, one: Shape) -> None:
+    def _marked(self, one: Shape) -> bool:
+        """Whether an article or main element in it holds at least half of the varying text."""
+        if one.dropped or 2 * self._mass[id(one)] < self._mass[id(self.tree)] or not self._mass[id(one)]:
+            return False
+        return one.tag in ("article", "main") or any(map(self._marked, one.kids))
+
+    def _varies(self, one: Shape) -> bool:
+        """Whether varying text stands in it that is not mostly links; a headline may be one."""
+        return not one.dropped and (one.chars > (0 if one.tag == "h1" else 2 * one.links) or any(map(self._varies, one.kids)))
+
+    def _descend(self, one: Shape, in_main: bool) -> None:
         if one.tag == "article":
             return
-        articles = [k for k in one.kids if k.tag in ("article", "main") and not k.dropped and self._mass[id(k)] > 0]
-        inner = [k for k in one.kids if not k.dropped and k.tag not in _LEAF]
-        heavy = max(inner, key=lambda k: self._mass[id(k)], default=None)
-        goal = max(articles, key=lambda k: self._mass[id(k)], default=None)
-        if goal is None and heavy is not None and self._mass[id(heavy)] >= 0.6 * self._mass[id(one)] > 0:
-            goal = heavy
+        in_main |= one.tag == "main"
+        goal = None if in_main else next(filter(self._marked, one.kids), None)
+        if goal is None and one.chars <= 2 * one.links:
+            holding = list(filter(self._varies, one.kids))
+            if len(holding) == 1 and holding[0].tag not in _LEAF:
+                goal = holding[0]
         if goal is not None:
             self.way.append(goal)
-            self._descend(goal)
+            self._descend(goal, in_main)
 
     def roots(self, shape: Shape) -> list[Node]:
         """The page's elements that align with the content's root; none if the page has another layout."""
@@ -469,7 +504,7 @@ def extract(html: str | None, wrapper: Wrapper | None) -> str:
     """A page's main text: its blocks joined by newlines."""
     if not html:
         return ""
-    root, shape = page_shape(html)
+    root, shape = page_shape(html, wrapper.template if wrapper else frozenset())
     nodes = wrapper.roots(shape) if wrapper else []
     found = [b for node in nodes for b in blocks(node)]
     if not found:  # another layout: the page is its own wrapper
@@ -526,8 +561,9 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scan task over (host, html): the wrappers of the hosts it meets, with all their nodes."""
+    """Scan task over (host, html, codes): the wrappers of the hosts it meets, with all their nodes."""
     held: dict[str, Shape] = {}
+    template: dict[str, frozenset[int]] = {}
     nodes = 0
 
     def passed_on() -> pa.RecordBatch:
@@ -535,13 +571,16 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array(list(held), pa.string()), pa.array([json.dumps(w.to_list()) for w in held.values()], pa.string())], names=["host", "tree"]
         )
         held.clear()
+        template.clear()
         return rows
 
     for batch in batches:
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for host, html, codes in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             if not html:
                 continue
-            _, shape = page_shape(html)
+            if host not in template:
+                template[host] = frozenset(codes or ())
+            _, shape = page_shape(html, template[host])
             nodes += shape.size()
             if host in held:
                 merge(held[host], shape)
@@ -556,23 +595,24 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield passed_on()
 
 
-def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+def _met(rows: pd.DataFrame) -> Shape:
     trees = [Shape.from_list(json.loads(t)) for t in sorted(rows["tree"])]
     for other in trees[1:]:
         merge(trees[0], other)
-    return pd.DataFrame({"host": rows["host"].iloc[:1].to_numpy(), "tree": [json.dumps(trees[0].to_list())]})
+    return trees[0]
+
+
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"host": rows["host"].iloc[:1].to_numpy(), "tree": [json.dumps(_met(rows).to_list())]})
 
 
 def _whole(rows: pd.DataFrame) -> pd.DataFrame:
-    """The last merge: all pages of the host have met."""
-    out = _merged(rows)
-    tree = Shape.from_list(json.loads(out["tree"].iloc[0]))
-    prune(tree)
-    return out.assign(tree=[json.dumps(tree.to_list())])
+    """The last merge: all pages of the host have met, so the way is found before any node goes."""
+    return pd.DataFrame({"host": rows["host"].iloc[:1].to_numpy(), "tree": [Wrapper(_met(rows)).to_json()]})
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, tree) for every host of (host, html).
+    """(host, tree) for every host of (host, html, codes of the host's template texts).
 
     Every scan task may have a wrapper of a large host. They meet in two steps, each of about the square root of the
     number of tasks, so no task merges very many.
@@ -593,7 +633,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if tree is not None and (host, tree) not in had:
                 if len(had) > 200:
                     had.clear()
-                had[host, tree] = Wrapper(Shape.from_list(json.loads(tree)), frozenset(codes or ()))
+                had[host, tree] = Wrapper.from_json(tree, frozenset(codes or ()))
             texts.append(extract(html, had[host, tree] if tree is not None else None))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
@@ -616,8 +656,9 @@ def main_text(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     fixed = scratch.table(templates(rows.select("host", "html"), scratch), "templates")
-    trees = wrappers(rows.select("host", "html")).join(_small(fixed, F.size("codes") * 8 + 40), "host", "left")
-    trees = scratch.table(trees, "wrappers")
+    fixed = _small(fixed, F.size("codes") * 8 + 40)
+    trees = wrappers(rows.join(fixed, "host", "left").select("host", "html", "codes"))
+    trees = scratch.table(trees.join(fixed, "host", "left"), "wrappers")
     trees = _small(trees, F.length("tree") + F.coalesce(F.size("codes"), F.lit(0)) * 8 + 40)
     kind = dict(pages.dtypes)["page_id"]
     return rows.join(trees, "host", "left").select("page_id", "url", "html", "host", "tree", "codes").mapInArrow(

@@ -137,3 +137,33 @@ def test_template_texts_of_long_pages_in_any_grouping(spark, scratch):
     for tasks in (12, 1):
         got = {x.page_id: x.text for x in H.main_text(pages.repartition(tasks), scratch).collect()}
         assert got == want
+
+
+LAYOUTS = {
+    "headline beside the text": lambda h, a, b: f"<div id=post><h1>{h}</h1><div class=entry><p>{a}</p><p>{b}</p></div></div>",
+    "headline in main": lambda h, a, b: f"<main><h1>{h}</h1><div class=entry><p>{a}</p><p>{b}</p></div></main>",
+    "header in main": lambda h, a, b: f"<main><header><h1><a href=x>{h}</a></h1></header><article><p>{a}</p><p>{b}</p></article></main>",
+    "lead beside the text": lambda h, a, b: f"<div class=page><div class=title>{h}</div><div class=lead>{a}</div><div class=body><p>{b}</p></div></div>",
+    "long terms": lambda h, a, b: f"<div id=post><h1>{h}</h1><p>{a}</p><p>{b}</p></div><div class=terms><p>{'terms ' * 400}</p></div>",
+}
+
+
+def test_content_holds_all_varying_text(spark, scratch):
+    r = random.Random(7)
+    rows, want = [], {}
+    for place, make in enumerate(LAYOUTS.values()):
+        for _ in range(8):
+            headline, lead, text = words(r, 3), words(r, 20), words(r, 90)
+            html = f"<body><div class=top>Daily paper</div>{make(headline, lead, text)}<div class=list><a href=x>{words(r, 5)}</a></div></body>"
+            want[len(rows)] = "\n".join([headline, lead, text])
+            rows.append((len(rows), f"http://h{place}.example/", html, "x"))
+    got = {x.page_id: x.text for x in H.main_text(spark.createDataFrame(rows, SCHEMA).repartition(3), scratch).collect()}
+    for k in want:
+        assert got[k] == want[k], list(LAYOUTS)[k // 8]
+
+
+def test_the_way_outlasts_pruning(monkeypatch):
+    monkeypatch.setattr(H, "NODES", 5)
+    tree = H.page_shape("<body><div id=a><div id=b><h2>x y</h2><p>z</p></div><div id=c></div><div id=d></div></div></body>")[1]
+    one = H.Wrapper.from_json(H.Wrapper(tree).to_json(), frozenset())
+    assert [s.label for s in one.way] == ["#root", "body", "div.a", "div.b"] and one.tree.size() <= 5
