@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -37,7 +37,7 @@ NODES = 2000
 HOSTS, HELD, COUNTS = 2000, 200_000, 200_000
 #: Wrappers are broadcast up to this size in all, measured beforehand.
 BROADCAST_BYTES = 64 << 20
-#: Deeper elements become siblings.
+#: Deeper elements become siblings; their end tags still close them and nothing else.
 DEPTH = 150
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -119,7 +119,25 @@ def parse(html: str) -> Node:
     """A tree of the page, whatever its errors: open elements end with their parents or the page."""
     root = Node("#root")
     stack = [root]
+    opened: dict[str, int] = defaultdict(int)
     at, end = 0, len(html)
+
+    def push(node: Node) -> None:
+        inside = len(stack) > DEPTH and stack[-1].dropped
+        if len(stack) >= DEPTH and (inside or not node.dropped):
+            flat = Node(node.tag, dropped=inside)
+            flat.children = stack[-1].children
+            node = flat
+        stack.append(node)
+        opened[node.tag] += 1
+
+    def pop(k: int) -> None:
+        for one in stack[k:]:
+            opened[one.tag] -= 1
+        if k >= DEPTH and any(one.tag not in _INLINE for one in stack[k:]):
+            stack[k - 1].children.append(Node("div"))  # what follows is a block of its own
+        del stack[k:]
+
     while at < end:
         match = _TAG.search(html, at)
         if not match:
@@ -136,9 +154,11 @@ def parse(html: str) -> Node:
                 break
         tag = name.lower()
         if match["end"]:
+            if not opened.get(tag):
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    pop(k)
                     break
                 if tag == "p" and stack[k].tag in ("article", "section", "div", "main"):
                     break
@@ -149,13 +169,13 @@ def parse(html: str) -> Node:
                 if stack[k].tag in until:
                     break
                 if stack[k].tag in closed:
-                    del stack[k:]
+                    pop(k)
                     if tag not in ("tr", "dt", "dd"):
                         break
         if tag in _ENDS_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    pop(k)
                     break
                 if stack[k].tag not in _INLINE:
                     break
@@ -165,8 +185,8 @@ def parse(html: str) -> Node:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             node.dropped = True
             at = close.end() if close else end
-        elif tag not in _VOID and len(stack) < DEPTH:
-            stack.append(node)
+        elif tag not in _VOID:
+            push(node)
     return root
 
 

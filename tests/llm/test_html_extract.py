@@ -167,3 +167,11 @@ def test_the_way_outlasts_pruning(monkeypatch):
     tree = H.page_shape("<body><div id=a><div id=b><h2>x y</h2><p>z</p></div><div id=c></div><div id=d></div></div></body>")[1]
     one = H.Wrapper.from_json(H.Wrapper(tree).to_json(), frozenset())
     assert [s.label for s in one.way] == ["#root", "body", "div.a", "div.b"] and one.tree.size() <= 5
+
+
+def test_end_tags_of_deep_elements_close_only_them():
+    deep, up = "<div>" * 400, "</div>" * 400
+    page = f"<div class=wrap><article>{deep}a<div>b</div>c<nav><div>menu<aside>x</aside></div></nav>{up}<p>rest</p></article></div><p>after</p>"
+    root = H.parse(page)
+    assert [b[1] for b in H.blocks(root)] == ["a", "b", "c", "rest", "after"]
+    assert H.extract(page, None) == "a\nb\nc\nrest"
