@@ -260,25 +260,25 @@ def blocks(node: Node) -> list[tuple[str, str, int]]:
 class Shape:
     """A node of a generalised tree: block elements only, a run of like siblings being one node.
 
-    ``pages`` had it, with ``chars`` of own text in all that is not template, ``links`` of them in links.
+    ``pages`` had it, with ``chars`` of own text in all that is not template, ``links`` of them in links; ``fixed`` are the template's.
     """
 
-    __slots__ = ("label", "tag", "dropped", "pages", "chars", "links", "kids", "nodes")
+    __slots__ = ("label", "tag", "dropped", "pages", "chars", "links", "fixed", "kids", "nodes")
 
     def __init__(self, label: str, tag: str, dropped: bool):
         self.label, self.tag, self.dropped = label, tag, dropped
-        self.pages, self.chars, self.links = 1, 0, 0
+        self.pages, self.chars, self.links, self.fixed = 1, 0, 0, 0
         self.kids: list[Shape] = []
         self.nodes: list[Node] = []
 
     def to_list(self) -> list:
-        return [self.label, self.tag, int(self.dropped), self.pages, self.chars, self.links, [k.to_list() for k in self.kids]]
+        return [self.label, self.tag, int(self.dropped), self.pages, self.chars, self.links, self.fixed, [k.to_list() for k in self.kids]]
 
     @classmethod
     def from_list(cls, row: list) -> Shape:
         one = cls(row[0], row[1], bool(row[2]))
-        one.pages, one.chars, one.links = row[3], row[4], row[5]
-        one.kids = [cls.from_list(k) for k in row[6]]
+        one.pages, one.chars, one.links, one.fixed = row[3], row[4], row[5], row[6]
+        one.kids = [cls.from_list(k) for k in row[7]]
         return one
 
     def size(self) -> int:
@@ -306,7 +306,9 @@ def shape_of(node: Node, template: frozenset[int] = frozenset()) -> Shape:
     def flush() -> None:
         nonlocal links
         text = tidy("".join(parts))
-        if text and code_of(node.label, text) not in template:
+        if text and code_of(node.label, text) in template:
+            shape.fixed += len(text)
+        elif text:
             shape.chars += len(text)
             shape.links += min(links, len(text))
         parts.clear()
@@ -350,6 +352,7 @@ def _absorb(run: Shape, kid: Shape) -> None:
     """Adds a like sibling of the same page to a run: the page still counts once."""
     run.chars += kid.chars
     run.links += kid.links
+    run.fixed += kid.fixed
     run.nodes += kid.nodes
     for a, b in align(run.kids, kid.kids):
         if a is not None and b is not None:
@@ -417,6 +420,7 @@ def merge(wrapper: Shape, other: Shape) -> None:
     wrapper.pages += other.pages
     wrapper.chars += other.chars
     wrapper.links += other.links
+    wrapper.fixed += other.fixed
     kids = []
     for a, b in align(wrapper.kids, other.kids):
         if a is not None and b is not None:
@@ -455,15 +459,25 @@ def page_shape(html: str, template: frozenset[int] = frozenset()) -> tuple[Node,
 
 
 class Wrapper:
-    """What extraction needs of a host: the codes of its template texts and the way to the content's root in its merged tree."""
+    """What extraction needs of a host: the codes of its template texts, whether they stay in the content, and the way to the
+    content's root in its merged tree.
 
-    def __init__(self, tree: Shape, template: frozenset[int] = frozenset(), way: list[int] | None = None):
-        self.tree, self.template = tree, template
+    They stay where they are most of the root's text over all pages: there the article itself recurs. Where nothing varies, the
+    recurring text shows the way.
+    """
+
+    def __init__(self, tree: Shape, template: frozenset[int] = frozenset(), way: list[int] | None = None, stay: bool = False):
+        self.tree, self.template, self.stay = tree, template, stay
         self.way: list[Shape] = [tree]
         if way is None:
+            chars, fixed = self._sums(tree)
+            if not chars and fixed:
+                self._release(tree)
             self._mass: dict[int, int] = {}
             self._weigh(tree)
             self._descend(tree, False)
+            sums = self._sums(self.way[-1])
+            self.stay = sums[1] > sums[0] or (not chars and fixed > 0)
         else:
             for k in way:
                 self.way.append(self.way[-1].kids[k])
@@ -472,12 +486,24 @@ class Wrapper:
         """The tree, pruned off the way, and the way."""
         prune(self.tree, self.way)
         places = [[id(k) for k in before.kids].index(id(step)) for before, step in zip(self.way, self.way[1:], strict=False)]
-        return json.dumps([self.tree.to_list(), places])
+        return json.dumps([self.tree.to_list(), places, self.stay])
 
     @classmethod
     def from_json(cls, text: str, template: frozenset[int]) -> Wrapper:
-        tree, way = json.loads(text)
-        return cls(Shape.from_list(tree), template, way)
+        tree, way, stay = json.loads(text)
+        return cls(Shape.from_list(tree), template, way, stay)
+
+    def _sums(self, one: Shape) -> tuple[int, int]:
+        """Characters of varying and of template text, dropped elements excepted."""
+        if one.dropped:
+            return 0, 0
+        parts = [self._sums(k) for k in one.kids]
+        return one.chars + sum(p[0] for p in parts), one.fixed + sum(p[1] for p in parts)
+
+    def _release(self, one: Shape) -> None:
+        one.chars, one.fixed = one.chars + one.fixed, 0
+        for kid in one.kids:
+            self._release(kid)
 
     def _weigh(self, one: Shape) -> int:
         """Varying text outside of links, dropped elements excepted."""
@@ -531,12 +557,9 @@ def extract(html: str | None, wrapper: Wrapper | None) -> str:
         found = [b for node in Wrapper(shape).roots(shape) for b in blocks(node)]
     if not found:
         found = blocks(root)
-    template = wrapper.template if wrapper else frozenset()
-    if template:
-        rest = [b for b in found if code_of(b[0], b[1]) not in template]
-        # a template is the smaller part of a page; where most of it recurs, the article itself does
-        if 2 * sum(len(b[1]) for b in rest) >= sum(len(b[1]) for b in found):
-            found = rest
+    if wrapper and wrapper.template and not wrapper.stay:
+        # a page without any other text keeps its template's
+        found = [b for b in found if code_of(b[0], b[1]) not in wrapper.template] or found
     return "\n".join(text for _, text, _ in found)
 
 
@@ -670,7 +693,7 @@ def main_text(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """One row per row of (page_id, url, html): page_id, url, text, n_chars.
 
     Text is the article's blocks, character references decoded, white space within a block one space, blocks joined in page
-    order by a newline. Null and empty pages have empty text. Where template texts are most of an article, they stay. Pages without a host in their url share the empty
+    order by a newline. Null and empty pages have empty text. Where template texts are most of the content of a host, they stay. Pages without a host in their url share the empty
     host. A host with fewer than five pages has no template texts; its content is still found by its layout.
     Other columns are ignored.
     """

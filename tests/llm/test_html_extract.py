@@ -175,3 +175,19 @@ def test_end_tags_of_deep_elements_close_only_them():
     root = H.parse(page)
     assert [b[1] for b in H.blocks(root)] == ["a", "b", "c", "rest", "after"]
     assert H.extract(page, None) == "a\nb\nc\nrest"
+
+
+def test_template_texts_go_from_all_pages_of_a_host_or_stay_in_all(spark, scratch):
+    r = random.Random(8)
+    notice = words(r, 60)
+    rows, want = [], {}
+    for k in range(24):
+        own = words(r, 400 if k % 3 == 0 else 4) if k < 12 else words(r, 4)
+        url, html = ("http://some.example/", f"<p>{notice}</p><p>{own}</p>") if k < 12 else ("http://copies.example/", f"<p>{notice}</p><p>{own}</p>")
+        rows.append((k, url, f"<body><div class=text>{html}</div></body>", "x"))
+        want[k] = own if k < 12 else f"{notice}\n{own}"
+    for k in range(24, 30):  # nothing varies
+        rows.append((k, "http://same.example/", f"<body><nav>menu</nav><article><p>{notice}</p></article><div>end</div></body>", "x"))
+        want[k] = notice
+    got = {x.page_id: x.text for x in H.main_text(spark.createDataFrame(rows, SCHEMA).repartition(4), scratch).collect()}
+    assert got == want
