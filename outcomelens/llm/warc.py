@@ -9,7 +9,8 @@ is a gzip member whose extra field tells its compressed length.
 Reading: a partition per file. Headers are inflated and parsed first; record-type and header predicates that
 Spark pushes down are decided on them, and the payload of a record that fails, or of any record if option
 ``payload`` is ``false``, is skipped by its length without being inflated (members without a length field are
-inflated, not decoded).
+inflated, not decoded). A member that is cut off or damaged raises an error with file and offset; so do plain
+``.warc`` files in a folder without ``_MANIFEST``.
 """
 
 from __future__ import annotations
@@ -137,15 +138,21 @@ class _Member:
         while not self.inflater.eof and (data := self.source.read(1 << 18)):
             parts.append(self.inflater.decompress(data))
         self.text = b"".join(parts)
+        if not self.inflater.eof:
+            raise EOFError("cut off")
         return self.text
 
     def leave(self, inflated: bool) -> None:
         """Moves the file to the next member."""
         if self.size and not inflated:
-            self.source.seek(self.begin + self.size)
+            self.source.seek(self.begin + self.size - 1)
+            if not self.source.read(1):
+                raise EOFError("cut off")
             return
         while not self.inflater.eof and (data := self.source.read(1 << 18)):
             self.inflater.decompress(data)
+        if not self.inflater.eof:
+            raise EOFError("cut off")
         self.source.seek(self.source.tell() - len(self.inflater.unused_data))
 
 
@@ -161,33 +168,50 @@ def _columns(headers: dict[str, str]) -> dict:
     return row
 
 
-def records(source, accept, payload: bool = True) -> Iterator[dict]:
+def records(source, accept, payload: bool = True, name: str = "archive") -> Iterator[dict]:
     """Rows of the accepted records of an open archive of gzip members.
 
     A payload is what follows the HTTP headers of the block. Its length, where no header tells it, and its
-    digest, where a response is decoded, are computed from it.
+    digest, where a response is decoded, are computed from it. A member without a whole record raises ValueError.
     """
+    begin = source.tell()
     while first := source.read(1 << 12):
-        one = _Member(source, first)
-        end = one.until(b"\r\n\r\n")
-        if end < 0:
-            return
-        headers = _parse(one.text[:end])
-        row = _columns(headers)
-        if not accept(row):
-            one.leave(False)
-            continue
-        row["payload"] = None
-        if payload and row["record_type"] != "revisit":
-            block = one.rest()[end + 4 : end + 4 + int(headers.get("content-length", 0))]
-            http = block.startswith(b"HTTP/")
-            row["payload"] = block.partition(b"\r\n\r\n")[2] if http else block
-            row["payload_bytes"] = len(row["payload"])
-            row["payload_digest"] = digest_of(row["payload"])
+        try:
+            row = _record(_Member(source, first), accept, payload)
+        except (EOFError, zlib.error) as e:
+            raise ValueError(f"{name}: the member at byte {begin} is not whole: {e}") from e
+        if row is not None:
+            yield row
+        begin = source.tell()
+
+
+def _record(one: _Member, accept, payload: bool) -> dict | None:
+    """The row of a member's record if it is accepted; the file moves to the next member."""
+    end = one.until(b"\r\n\r\n")
+    if end < 0:
+        if one.inflater.eof and not one.text:  # an empty member
             one.leave(True)
-        else:
-            one.leave(False)
-        yield row
+            return None
+        raise EOFError("no complete header")
+    headers = _parse(one.text[:end])
+    row = _columns(headers)
+    if not accept(row):
+        one.leave(False)
+        return None
+    row["payload"] = None
+    if payload and row["record_type"] != "revisit":
+        length = int(headers.get("content-length", 0))
+        block = one.rest()[end + 4 : end + 4 + length]
+        if len(block) < length:
+            raise EOFError("shorter than its Content-Length")
+        http = block.startswith(b"HTTP/")
+        row["payload"] = block.partition(b"\r\n\r\n")[2] if http else block
+        row["payload_bytes"] = len(row["payload"])
+        row["payload_digest"] = digest_of(row["payload"])
+        one.leave(True)
+    else:
+        one.leave(False)
+    return row
 
 
 @dataclass
@@ -226,7 +250,9 @@ class WarcReader(DataSourceReader):
                 names = json.loads(f.read())
             return [_File(f"{self.path.rstrip('/')}/{name}") for name in names]
         found = store.get_file_info(fs.FileSelector(folder))
-        names = sorted(x.base_name for x in found if x.is_file and x.base_name.endswith(".warc.gz"))
+        names = sorted(x.base_name for x in found if x.is_file and x.base_name.endswith((".warc.gz", ".warc")))
+        if plain := [name for name in names if name.endswith(".warc")]:
+            raise ValueError(f"{self.path}: archives of gzip members are read, not {plain[0]}")
         return [_File(f"{self.path.rstrip('/')}/{name}") for name in names]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
@@ -245,7 +271,7 @@ class WarcReader(DataSourceReader):
         store, path = store_of(partition.path)
         rows, size = [], 0
         with store.open_input_file(path) as source:
-            for row in records(source, accept, self.payload):
+            for row in records(source, accept, self.payload, partition.path):
                 rows.append(row)
                 size += len(row["payload"] or b"") + 256
                 if size >= 4 << 20:

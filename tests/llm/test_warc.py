@@ -104,3 +104,19 @@ def test_files_of_failed_tasks_are_not_read(spark, scratch):
 
 def test_empty_table(spark, scratch):
     assert W.archive(spark.createDataFrame([], SCHEMA), scratch).count() == 0
+
+
+def test_cut_off_members_and_plain_files_are_refused(tmp_path):
+    row = {"payload": os.urandom(20_000), "record_type": "response", "record_id": "<urn:page:1>", "target_uri": "u", "payload_digest": None, "payload_bytes": None, "refers_to": None}
+    for make in (W.member, gzip.compress):
+        one = make(W.record_bytes(row))
+        for accept, payload in ((lambda r: True, True), (lambda r: True, False), (lambda r: False, True)):
+            assert len(list(W.records(io.BytesIO(one + gzip.compress(b"") + one), lambda r: True, payload))) == 2
+            for cut in (one[:60], one[:5_000], one[:-1]):
+                with pytest.raises(ValueError, match=f"f.warc.gz: the member at byte {len(one)} "):
+                    list(W.records(io.BytesIO(one + cut), accept, payload, "f.warc.gz"))
+            with pytest.raises(ValueError, match="byte 0 "):
+                list(W.records(io.BytesIO(gzip.compress(b"no header") + one), accept, payload))
+    (tmp_path / "a.warc").write_bytes(W.record_bytes(row))
+    with pytest.raises(ValueError, match="a.warc"):
+        W.WarcReader({"path": str(tmp_path)}).partitions()
