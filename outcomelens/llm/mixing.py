@@ -116,14 +116,14 @@ def _balance(last: bool, seed: int):
     return block
 
 
-def mix(docs: DataFrame, scratch: Scratch, seed: int = 0, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, scratch: Scratch, seed: int = 0, block: int = BLOCK, keys: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
 
     ``size`` counts the words of the whole text (null: none). Null is a source of its own, the last. Documents without
     words are taken at any count, as 0 words. A document is taken at most twice. The same rows and seed give the
-    same result; rows equal in all columns read are interchangeable. Other columns are not read.
+    same result; rows equal in all columns read are interchangeable. Columns ``keys`` are passed on; others are not read.
     """
-    rows = scratch.table(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
+    rows = scratch.table(docs.select("doc_id", "source", words(F.col("text")).alias("size"), *keys), "sizes")
     goal = bounded(scratch.table(targets(rows), "targets").withColumnRenamed("source", "_source"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(2.0))).otherwise(0.0)
     rows = (
@@ -157,18 +157,18 @@ def mix(docs: DataFrame, scratch: Scratch, seed: int = 0, block: int = BLOCK) ->
     for more in done[1:]:
         out = out.unionByName(more)
     taken = (F.col("size") * (F.col("copies") + F.col("chance"))).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *keys)
 
 
 def mixed(docs: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
     """The mix itself: the documents' rows with all their columns, each as often as it is taken.
 
-    Rows join their count by doc_id; a doc_id that repeats takes the largest count among its rows.
+    Every row has a key of its own in a written table, so rows that share a doc_id, or have none, each keep their own count.
     """
-    counts = mix(docs, scratch, seed)
-    times = counts.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1)).cast("int").alias("_times")
-    )
+    rows = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    counts = mix(rows, scratch, seed, keys=("_row",))
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
+    times = counts.select(F.col("_row").alias("_id"), times.alias("_times"))
     times = bounded(scratch.table(times.where("_times > 0"), "times"))
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = rows.join(times, F.col("_row") == F.col("_id"))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

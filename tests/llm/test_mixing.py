@@ -93,3 +93,14 @@ def test_mixed_repeats_rows_with_their_columns(spark, scratch):
 
 def test_empty_table(spark, scratch):
     assert M.mix(spark.createDataFrame([], SCHEMA), scratch).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_own_counts(spark, scratch):
+    rows = [(None if k % 2 else 7, "w " * (1 + k % 50), "a", k) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, k long").repartition(3)
+    got = M.mixed(docs, scratch)
+    assert got.columns == docs.columns
+    taken = [r.k for r in got.collect()]
+    size = {k: 1 + k % 50 for *_, k in rows}
+    assert set(taken) == set(size) and max(taken.count(k) for k in size) == 2
+    assert abs(sum(size[k] for k in taken) - 1.5 * sum(size.values())) <= 50
