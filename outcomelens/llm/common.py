@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def split_words(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8; null has none. ``bytes.split`` parts at the very characters that ``WORD`` leaves out."""
+    return text.encode().split() if text else []
+
+
 #: Tables of at most so many rows of a few numbers are broadcast, after they were counted.
 SMALL = 1_000_000
 
@@ -35,6 +41,25 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows with a key of their own, columns ``_file`` and ``_at``, the same whenever they are read.
+
+    For rows read from files, projected or filtered, that is a hash of the file's path and the row's place in it; all others are written
+    once, with a number each.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.children().size() == 1:
+        node = node.children().head()
+    if node.nodeName() in ("Relation", "LogicalRelation") or node.getClass().getSimpleName() == "LogicalRelation":
+        try:
+            place = docs.metadataColumn("_metadata")
+            return docs.select("*", F.xxhash64(place["file_path"]).alias("_file"), place["row_index"].alias("_at"))
+        except AnalysisException:  # a format without row numbers
+            pass
+    numbers = docs.select("*", F.lit(0).cast("long").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    return scratch.table(numbers, "keyed")
+
+
 def sampled(rows: DataFrame, group: str, counts: dict, most: int, order: Column, *ties: str) -> DataFrame:
     """At most ``most`` rows of each group of ``counts`` (rows by group): those with the smallest ``order``, a hash.
 
