@@ -18,7 +18,8 @@ def store_of(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     if "://" in uri:
-        return fs.FileSystem.from_uri(uri)
+        # Hadoop's names of the object store
+        return fs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith(("s3a:", "s3n:")) else uri)
     return fs.LocalFileSystem(), uri
 
 

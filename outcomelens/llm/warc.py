@@ -3,14 +3,16 @@
 ``register(spark)`` makes ``format("warc")`` known for reading and writing.
 
 Writing: each task writes files of its own under a name that holds its attempt; the driver lists the files of the
-tasks that succeeded in ``_MANIFEST``, so files that lost executors leave behind are never read. Every record
-is a gzip member whose extra field tells its compressed length.
+tasks that succeeded in a manifest, one for each write, so files that lost executors leave behind are never read. An append
+adds a manifest; an overwrite replaces those it finds, and their files. Every record is a gzip member whose extra field tells its
+compressed length.
 
-Reading: a partition per file. Headers are inflated and parsed first; record-type and header predicates that
-Spark pushes down are decided on them, and the payload of a record that fails, or of any record if option
+Reading: a partition per file. Headers are inflated and parsed first; predicates on the record type and other columns that only
+headers tell are pushed down and decided on them, and the payload of a record that fails, or of any record if option
 ``payload`` is ``false``, is skipped by its length without being inflated (members without a length field are
-inflated, not decoded). A member that is cut off or damaged raises an error with file and offset; so do plain
-``.warc`` files in a folder without ``_MANIFEST``.
+inflated, not decoded). Length and digest of a payload are computed where it is decoded, so predicates on them stay with Spark;
+without payloads they are what headers tell, or null. A member that is cut off or damaged raises an error with file and offset; so do plain
+``.warc`` files in a folder without manifests.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from uuid import uuid4
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
@@ -41,7 +43,7 @@ from pyspark.sql.datasource import (
 )
 
 from ..sources.scratch import Scratch
-from .common import store_of
+from .common import bounded, keyed, store_of
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, payload_digest string, payload_bytes long, "
@@ -56,6 +58,10 @@ HEADERS = {
     "payload_bytes": "X-Payload-Length",
     "refers_to": "WARC-Refers-To",
 }
+#: The columns that nothing but a header tells: predicates on them are decided before a payload is inflated.
+TOLD = ("record_id", "record_type", "target_uri", "refers_to")
+#: Name of a manifest, before what tells writes apart.
+MANIFEST = "_MANIFEST"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -135,7 +141,9 @@ class _Member:
 
     def rest(self) -> bytes:
         parts = [self.text]
-        while not self.inflater.eof and (data := self.source.read(1 << 18)):
+        # all that is left of the member where its length is told, and no more
+        step = max(1, self.begin + self.size - self.source.tell()) if self.size else 1 << 16
+        while not self.inflater.eof and (data := self.source.read(step)):
             parts.append(self.inflater.decompress(data))
         self.text = b"".join(parts)
         if not self.inflater.eof:
@@ -214,6 +222,16 @@ def _record(one: _Member, accept, payload: bool) -> dict | None:
     return row
 
 
+def _manifests(store: fs.FileSystem, folder: str) -> list[str]:
+    found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(x.path for x in found if x.is_file and x.base_name.startswith(MANIFEST))
+
+
+def _listed(store: fs.FileSystem, manifest: str) -> list[str]:
+    with store.open_input_stream(manifest) as f:
+        return json.loads(f.read())
+
+
 @dataclass
 class _File(InputPartition):
     path: str
@@ -229,25 +247,23 @@ class WarcReader(DataSourceReader):
         self.present: set[str] = set()
 
     def pushFilters(self, filters):
-        """Takes equality, membership and presence tests on header columns; the rest stays with Spark."""
+        """Takes equality, membership and presence tests on columns that headers tell; the rest stays with Spark."""
         for one in filters:
             path = getattr(one, "attribute", ())
             column = path[0] if len(path) == 1 else None
-            if column in HEADERS and isinstance(one, (EqualTo, In)):
+            if column in TOLD and isinstance(one, (EqualTo, In)):
                 values = [one.value] if isinstance(one, EqualTo) else list(one.value)
                 had = self.wanted.get(column)
                 self.wanted[column] = [v for v in values if had is None or v in had]
-            elif column in HEADERS and isinstance(one, IsNotNull):
+            elif column in TOLD and isinstance(one, IsNotNull):
                 self.present.add(column)
             else:
                 yield one
 
     def partitions(self) -> list[_File]:
         store, folder = store_of(self.path)
-        manifest = f"{folder}/_MANIFEST"
-        if store.get_file_info(manifest).type == fs.FileType.File:
-            with store.open_input_stream(manifest) as f:
-                names = json.loads(f.read())
+        if manifests := _manifests(store, folder):
+            names = sorted(name for manifest in manifests for name in _listed(store, manifest))
             return [_File(f"{self.path.rstrip('/')}/{name}") for name in names]
         found = store.get_file_info(fs.FileSelector(folder))
         names = sorted(x.base_name for x in found if x.is_file and x.base_name.endswith((".warc.gz", ".warc")))
@@ -286,31 +302,37 @@ class _Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path, self.most = options["path"], int(options.get("fileBytes", FILE_BYTES))
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.most, self.overwrite = options["path"], int(options.get("fileBytes", FILE_BYTES)), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         store, folder = store_of(self.path)
         store.create_dir(folder, recursive=True)
         task, names, out = TaskContext.get(), [], None
         for batch in iterator:
-            columns = {name: batch.column(name).to_pylist() for name in [*HEADERS, "payload"]}
-            for values in zip(*columns.values(), strict=True):
+            for k in range(len(batch)):  # a record at a time: payloads may be long
+                row = {name: batch.column(name)[k].as_py() for name in (*HEADERS, "payload")}
                 if out is None or out.tell() >= self.most:
                     if out:
                         out.close()
                     names.append(f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(names)}-{uuid4().hex[:8]}.warc.gz")
                     out = store.open_output_stream(f"{folder}/{names[-1]}", compression=None)
-                out.write(member(record_bytes(dict(zip(columns, values, strict=True)))))
+                out.write(member(record_bytes(row)))
         if out:
             out.close()
         return _Written(names)
 
     def commit(self, messages) -> None:
+        """A manifest of this write. After an overwrite the ones before it go, then the files they list."""
         store, folder = store_of(self.path)
         store.create_dir(folder, recursive=True)
-        with store.open_output_stream(f"{folder}/_MANIFEST") as f:
+        old = _manifests(store, folder) if self.overwrite else []
+        with store.open_output_stream(f"{folder}/{MANIFEST}-{uuid4().hex}") as f:
             f.write(json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
+        gone = [name for manifest in old for name in _listed(store, manifest)]
+        for path in [*old, *(f"{folder}/{name}" for name in gone)]:
+            if store.get_file_info(path).is_file:
+                store.delete_file(path)
 
     def abort(self, messages) -> None:
         store, folder = store_of(self.path)
@@ -330,44 +352,59 @@ class WarcSource(DataSource):
         return WarcReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known. Spark pushes predicates to Python sources only with a session setting, which stays on."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
 
 
-def page_records(pages: DataFrame, least: int = 0) -> DataFrame:
-    """A record per row of (page_id, url, html), to be written with ``format("warc")``.
+def _urn(page: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(">"))
+
+
+def page_records(pages: DataFrame, scratch: Scratch, least: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Responses and revisits of the rows of (page_id, url, html), to be written with ``format("warc")``.
 
     The payload is the html in UTF-8, empty for null. Of records with equal payloads of at least ``least`` bytes the
     one with the smallest page_id is the response, the others revisit it; rows that repeat that page_id are
     responses too. Smaller payloads are all responses. A null page_id is never the smallest unless all are null,
     and its record id ends in ``null``. A null url gives no target. Other columns are ignored.
+
+    Payloads are not dealt out to compare them: their digests are, a row per task and digest however often it repeats. Revisits are
+    made of what is left of a row without its payload, and responses are the rows that no revisit stands for.
     """
-    rows = pages.select(
-        F.col("page_id").cast("string").alias("page"),
-        F.col("page_id").alias("number"),
+    rows = keyed(pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")), scratch)
+    told = rows.select("_file", "_at", "page_id", "url", F.sha1("payload").alias("sha"), F.octet_length("payload").cast("long").alias("payload_bytes"))
+    told = scratch.table(told, "digests")
+    long = told.where(F.col("payload_bytes") >= least)
+    first = long.groupBy("sha", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+    first = first.where("copies > 1").select(F.col("sha").alias("_sha"), F.col("payload_bytes").alias("_bytes"), "first")
+    first = bounded(scratch.table(first, "first"))
+    again = told.join(first, (F.col("sha") == F.col("_sha")) & (F.col("payload_bytes") == F.col("_bytes")))
+    again = scratch.table(again.where(~F.col("page_id").eqNullSafe(F.col("first"))).drop("_sha", "_bytes"), "again")
+    nothing = F.lit(None).cast("string")
+    revisits = again.select(
+        _urn(F.col("page_id")).alias("record_id"),
+        F.lit("revisit").alias("record_type"),
         F.col("url").alias("target_uri"),
-        F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("sha", F.sha1("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    # one row per task and payload is shuffled here, however often a payload repeats
-    first = rows.groupBy("sha", "payload_bytes").agg(F.min("number").alias("first"), F.count("*").alias("copies"))
-    first = first.where((F.col("copies") > 1) & (F.col("payload_bytes") >= least)).drop("copies")
-    rows = rows.join(first, ["sha", "payload_bytes"], "left")
-    again = F.col("first").isNotNull() & ~F.col("number").eqNullSafe(F.col("first"))
-    urn = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page, F.lit("null")), F.lit(">"))
-    return rows.select(
-        urn(F.col("page")).alias("record_id"),
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        "target_uri",
         F.col("sha").alias("payload_digest"),
         "payload_bytes",
-        F.when(again, urn(F.col("first").cast("string"))).alias("refers_to"),
-        F.when(~again, F.col("payload")).alias("payload"),
+        _urn(F.col("first")).alias("refers_to"),
+        F.lit(None).cast("binary").alias("payload"),
+    )
+    responses = rows.join(bounded(again.select("_file", "_at")), ["_file", "_at"], "left_anti").select(
+        _urn(F.col("page_id")).alias("record_id"),
+        F.lit("response").alias("record_type"),
+        F.col("url").alias("target_uri"),
+        nothing.alias("payload_digest"),  # the writer computes it
+        F.lit(None).cast("long").alias("payload_bytes"),
+        nothing.alias("refers_to"),
+        "payload",
     )
+    return responses, revisits
 
 
 def page_of(urn):
@@ -376,9 +413,15 @@ def page_of(urn):
 
 
 def archive(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
-    """Writes the pages to archives in the shared folder and returns what a read of them gives."""
+    """Writes the pages to archives in the shared folder and returns what a read of them gives.
+
+    Responses are read with their payloads, whose length and digest are computed anew; revisits by their headers.
+    """
     spark = pages.sparkSession
     register(spark)
     folder = scratch.folder("warc")
-    page_records(pages, least).write.format("warc").mode("append").save(folder)
-    return spark.read.format("warc").load(folder)
+    for records in page_records(pages, scratch, least):
+        records.write.format("warc").mode("append").save(folder)
+    read = lambda payload: spark.read.format("warc").option("payload", payload).load(folder)
+    revisits = read("false").where("record_type = 'revisit'")
+    return read("true").where("record_type = 'response'").unionByName(revisits)
