@@ -74,12 +74,14 @@ _WORDS = frozenset(
     "gdpr notice notices popup modal overlay newsletter subscribe subscription social share sharing related recommended "
     "recommendations widget toolbar pagination pager login signup signin search copyright".split()
 )
+#: After a name stand attributes. A quote opens a string only right after an equals sign; elsewhere it is a character like any other, and so
+#: is one that never ends.
 _TAG = re.compile(
     r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)"
-    r"(?P<rest>[^\"'>]*(?:\"[^\"]*\"[^\"'>]*|'[^']*'[^\"'>]*)*)(?P<close>>|\Z)?)",
+    r"(?P<rest>(?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s\"'>][^\s>]*|=)*+)(?P<close>>|\Z)?)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?", re.S)
 _SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -149,7 +151,7 @@ def parse(html: str) -> Node:
         name = match["name"]
         if not name:
             continue
-        if match["close"] != ">":  # a quote that never ends, or the page ends inside the tag
+        if match["close"] != ">":  # the page ends inside the tag
             if (at := html.find(">", at) + 1) == 0:
                 break
         tag = name.lower()
@@ -433,8 +435,8 @@ def merge(wrapper: Shape, other: Shape) -> None:
 
 
 def prune(wrapper: Shape, way: Iterable[Shape] = ()) -> None:
-    """Drops the rarest nodes of a wrapper of all pages of a host that has outgrown its bound, those of ``way`` excepted."""
-    kept = {id(one) for one in way}
+    """Drops the rarest nodes of a wrapper of all pages of a host that has outgrown its bound, those of ``way`` and beside it excepted."""
+    kept = {id(one) for step in way for one in (step, *step.kids)}
     least = 2
     while wrapper.size() > NODES and least <= 2 * wrapper.pages:
         _without(wrapper, least, kept)
