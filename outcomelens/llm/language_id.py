@@ -7,6 +7,7 @@ language. Tasks label every position of every whole text and average the positio
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,8 +20,10 @@ from .common import sampled
 
 #: Bounds of the training sample: documents a language, and characters of a document.
 DOCS_PER_LANGUAGE, EXCERPT = 400, 400
-#: At most so many languages are learned, the most frequent ones.
-LANGUAGES = 64
+#: Excerpts of all languages together; with very many languages each has fewer, but this many at least.
+EXCERPTS, FEWEST = 25_600, 8
+#: How far above an even spread over the languages a document's likeliest one must be, as a share of the way to certainty.
+ABOVE = 1 / 15
 UNKNOWN = "und"
 
 
@@ -244,24 +247,48 @@ def learn(
     settings: Settings | None = None,
     docs_per_language: int = DOCS_PER_LANGUAGE,
     excerpt: int = EXCERPT,
-    languages: int = LANGUAGES,
 ) -> Network | None:
     """Fits a network to the rows of (doc_id, text, lang) that ``train_on`` holds for.
 
     The sample is the documents with the smallest hash of their id, at most ``docs_per_language`` of a language, and of each
-    an excerpt of at most ``excerpt`` characters from a place given by the hash. Rows without text or language
-    teach nothing. Without any left there is no network.
+    an excerpt of at most ``excerpt`` characters from a place given by the hash. Every language is learned; where there are very many, the
+    sample of each is smaller, so that all together stay near ``EXCERPTS``. Rows without text or language
+    teach nothing. Without any left there is no network. Of documents with equal hashes the first excerpts by code point are taken.
     """
     rows = docs.where(train_on & F.col("lang").isNotNull() & (F.length("text") > 0))
-    known = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    known = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    docs_per_language = min(docs_per_language, max(FEWEST, EXCERPTS // max(1, len(known))))
     order = F.xxhash64(F.col("doc_id"), F.lit(3))
     place = F.pmod(order, F.greatest(F.length("text") - excerpt, F.lit(0)) + 1) + 1
     excerpts = rows.select("doc_id", "lang", F.substring(F.col("text"), place.cast("int"), F.lit(excerpt)).alias("_excerpt"))
     sample = sampled(excerpts, "lang", known, docs_per_language, order, "_excerpt")
     picked = sample.orderBy("lang", "_rank").collect()
+    taken = Counter(r["lang"] for r in picked)
+    if short := [lang for lang, n in known.items() if taken[lang] < min(n, docs_per_language)]:
+        # very many rows share an id: the cut is by id and excerpt then, and equal ones teach once
+        rest = excerpts.where(F.col("lang").isin(short)).distinct()
+        counts = {r[0]: r[1] for r in rest.groupBy("lang").count().collect()}
+        sample = sampled(rest, "lang", counts, docs_per_language, F.xxhash64(order, "_excerpt"), "_excerpt")
+        picked = [r for r in picked if r["lang"] not in short] + sample.orderBy("lang", "_rank").collect()
     return train([r["_excerpt"] for r in picked], [r["lang"] for r in picked], settings)
 
 
+def least_score(network: Network) -> float:
+    """The score under which a text is in none of the network's languages. With one language, it is that one."""
+    even = 1 / len(network.languages)
+    return even + ABOVE * (1 - even) if len(network.languages) > 1 else 0.0
+
+
+def recognised(docs: DataFrame, network: Network | None) -> DataFrame:
+    """The rows in a known language, with ``lang_pred`` and ``score``: those without a letter go, and those no language is likely for.
+
+    Where no label taught a network, every text with a letter stays, as ``und``.
+    """
+    if network is None:
+        return identify(docs, None).where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return identify(docs, network).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score(network)))
+
+
 def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score`` in their places or after them.
 

@@ -50,6 +50,36 @@ def test_nothing_to_learn_from(spark):
     assert L.identify(empty, L.learn(empty, L.F.lit(True))).count() == 0
 
 
+QUICK = L.Settings(hidden=4, block=24, steps=30, batch=32)
+
+
+@pytest.mark.parametrize("languages", [0, 1, 3, 100])
+def test_every_label_is_learned_and_none_loses_its_documents(spark, languages):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} " * 20, f"l{k % languages}" if languages else None, "x") for k in range(400)]
+    rows += [(900, None, "l0", "x"), (901, "", None, "x"), (902, "12 %", None, "x"), (903, "ä", None, "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    network = L.learn(docs, L.F.lit(True), QUICK)
+    assert (network.languages if network else []) == sorted(f"l{k}" for k in range(languages))
+    kept = {r.doc_id: r.lang_pred for r in L.recognised(docs, network).collect()}
+    assert not {900, 901, 902} & set(kept)
+    if languages < 2:
+        assert set(kept) == {*range(400), 903} and set(kept.values()) == {"l0" if languages else L.UNKNOWN}
+
+
+def test_the_bar_is_relative_to_the_number_of_languages():
+    bars = [L.least_score(L.Network(["x"] * n, 8)) for n in (1, 2, 4, 100)]
+    assert bars[0] == 0 and bars[2] == pytest.approx(0.3) and all(b > 1 / n for b, n in zip(bars[1:], (2, 4, 100), strict=True))
+
+
+def test_ties_of_hash_and_likelihood(spark):
+    rows = [(1, f"text {k}", lang, "x") for k in range(60) for lang in ("b", "a")]  # one id, so one hash
+    docs = spark.createDataFrame(rows, SCHEMA)
+    one, two = (L.learn(d, L.F.lit(True), QUICK, docs_per_language=10) for d in (docs, docs.repartition(5)))
+    assert one.languages == ["a", "b"] and all((one.weights[k] == two.weights[k]).all() for k in one.weights)
+    flat = L.Network(["b", "a"], 8, {k: v * 0 for k, v in L._start(3, 2, np.random.default_rng(1)).items()})
+    assert {r.lang_pred for r in L.identify(docs, flat).collect()} == {"b"}
+
+
 def test_sample_is_bounded(spark):
     docs = spark.createDataFrame(corpus(2, 600), SCHEMA)
     got = L.sampled(docs.select("doc_id", "lang"), "lang", {"aa": 300, "bb": 150, "cc": 150}, 10, L.F.xxhash64("doc_id"), "doc_id").collect()
