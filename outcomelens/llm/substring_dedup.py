@@ -36,7 +36,7 @@ WINDOW, ANCHOR = 20, 6
 #: Words that a shard's index holds on average.
 SHARD_WORDS = 500_000
 #: Different passages of one anchor; with more they are dealt out by window.
-MOST_PASSAGES = 20_000
+MOST_PASSAGES = 4_000
 _CHUNK = 1 << 16
 
 
