@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outcomelens.llm.exact_dedup import drop_duplicates
-from outcomelens.llm.language_id import UNKNOWN, identify, learn
+from outcomelens.llm.language_id import UNKNOWN, learn, recognised
 from outcomelens.llm.mixing import mixed
 from outcomelens.llm.ngram_join import drop_near_duplicates
 from outcomelens.llm.packing import pack
@@ -16,10 +16,6 @@ from outcomelens.sources.scratch import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: A document whose likeliest language has a mean probability below this is in no known language.
-LEAST_SCORE = 0.3
-
-
 _open: list[Scratch] = []
 
 
@@ -34,10 +30,10 @@ def _scratch(spark: SparkSession) -> Scratch:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no known language: without a letter, or with no language likely. Fills missing labels in."""
     _scratch(spark)
-    labelled = identify(docs, learn(docs, F.lit(True)))
-    kept = labelled.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    columns = [F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns]
-    return kept.select(*columns)
+    own = {c: f"_own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    kept = recognised(docs.withColumnsRenamed(own), learn(docs, F.lit(True)))
+    found = F.coalesce("lang", F.nullif("lang_pred", F.lit(UNKNOWN)))
+    return kept.select(*[(found if c == "lang" else F.col(own.get(c, c))).alias(c) for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
