@@ -6,8 +6,9 @@
 from __future__ import annotations
 
 import argparse
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +18,12 @@ from .operators.lookups import orphan_keys
 from .operators.profile import category_rates, flag_drivers, top_category
 from .operators.quality import missing_share, quality_table
 from .plans import fixed_values as V
-from .plans import hospital, testbed
+from .plans import hospital
 from .sources import (
     Scratch,
     export_csv,
     in_order,
-    load_counts,
+    load_tables,
     read_lookup,
     read_stacked,
     read_text_table,
@@ -30,6 +31,8 @@ from .sources import (
 )
 
 ROW_LEVEL = ["cohort", "risk_scores"]
+#: The curve of a score that turns at nearly every row is cut down to twice as many points.
+CURVE_STEPS = 1000
 
 
 def sort_orders() -> dict[str, list]:
@@ -55,7 +58,7 @@ def sort_orders() -> dict[str, list]:
 def load(spark: SparkSession, encounters: str, lookups: Mapping[str, str] | str) -> hospital.RawTables:
     """``lookups`` is one CSV path per lookup name, or the path of the file that stacks all three."""
     if isinstance(lookups, str):
-        stacked = read_stacked(spark, lookups, V.STACKED_LOOKUPS, "id int, description string")
+        stacked = read_stacked(spark, lookups, V.STACKED_LOOKUPS, "id int, description string", Scratch(spark))
         tables = {
             name: stacked.where(F.col("section") == name).select(F.col("id").alias(f"{name}_id"), "description")
             for name in V.STACKED_LOOKUPS
@@ -67,15 +70,19 @@ def load(spark: SparkSession, encounters: str, lookups: Mapping[str, str] | str)
     return hospital.RawTables(read_text_table(spark, encounters), **tables)
 
 
+def loaded(raw: hospital.RawTables, scratch: Scratch) -> tuple[hospital.RawTables, DataFrame]:
+    """The raw tables written, with the columns that are used, and how many rows that were, counted on the way."""
+    used = [c for c in V.RAW_COLUMNS if c in raw.encounters.columns]
+    tables = {"encounters": raw.encounters.select(*used), **{name: lookup.table for name, lookup in raw.lookups().items()}}
+    written, counts = load_tables(tables, scratch, {"encounters": V.EXPECTED_ENCOUNTERS})
+    return replace(raw, **written), counts
+
+
 def sql_tables(raw: hospital.RawTables, scratch: Scratch) -> dict[str, DataFrame]:
     """Everything up to the exposure comparison. The cohort is written once and read by the rest."""
     staged = hospital.stage(raw)
     members = scratch.table(hospital.cohort_from_raw(raw), "cohort")
     return {
-        "load_counts": load_counts(
-            {"encounters": raw.encounters, **{name: t.table for name, t in raw.lookups().items()}},
-            {"encounters": V.EXPECTED_ENCOUNTERS},
-        ),
         "dq_results": scratch.table(hospital.data_quality(raw), "dq"),
         "orphan_keys": orphan_keys(raw.encounters, list(raw.lookups().values())),
         "cohort": members,
@@ -99,7 +106,7 @@ def model_tables(members: DataFrame, scratch: Scratch) -> dict[str, DataFrame]:
         "model_comparison": scratch.table(hospital.model_comparison(test, scratch), "comparison"),
         "model_odds_ratios": model.odds_table(rows),
         "risk_deciles": scratch.table(hospital.risk_deciles(test), "deciles"),
-        "roc_points": roc_points(test, "model_risk", "y", scratch),
+        "roc_points": roc_points(test, "model_risk", "y", scratch, CURVE_STEPS),
         "hba1c_adjusted": hospital.hba1c_adjusted(patterns),
         "hba1c_tested_adjusted": hospital.hba1c_tested_adjusted(patterns),
         "hba1c_by_diagnosis_adjusted": hospital.hba1c_by_diagnosis_adjusted(patterns),
@@ -129,22 +136,22 @@ def report_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> dict[
                 "diabetes_rate_not_tested": diabetes.select("not_tested_pct").scalar(),
             }
         ),
-        "payload": report_payload(
-            spark,
-            {"kpi": kpi, "hbaAll": tables["hba1c_tested_adjusted"]},
-            {
-                "profile": (profile, ["dimension", "category"]),
-                "models": (tables["model_comparison"], [in_order("method", list(V.METHODS))]),
-                "deciles": (tables["risk_deciles"].select("decile", "patients", "readmission_rate_pct"), ["decile"]),
-                "hba": (
-                    tables["hba1c_by_diagnosis_adjusted"],
-                    [in_order("primary_diagnosis", V.MODEL_STRATA)],
-                ),
-                "funnel": (tables["cohort_funnel"].drop("share_pct"), ["step"]),
-                "dq": (tables["dq_results"], ["check_id"]),
-            },
-        ),
+        "payload": payload_of(spark, tables),
+    }
+
+
+def payload_of(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The eight parts of the report as one record, in the study's order."""
+    single = {"kpi": tables["kpi_overall"], "hbaAll": tables["hba1c_tested_adjusted"]}
+    listed = {
+        "profile": (tables["readmission_profile"], ["dimension", "category"]),
+        "models": (tables["model_comparison"], [in_order("method", list(V.METHODS))]),
+        "deciles": (tables["risk_deciles"].select("decile", "patients", "readmission_rate_pct"), ["decile"]),
+        "hba": (tables["hba1c_by_diagnosis_adjusted"], [in_order("primary_diagnosis", V.MODEL_STRATA)]),
+        "funnel": (tables["cohort_funnel"].drop("share_pct"), ["step"]),
+        "dq": (tables["dq_results"], ["check_id"]),
     }
+    return report_payload(spark, single, listed, V.PAYLOAD_PARTS)
 
 
 def run(spark: SparkSession, raw: hospital.RawTables, out: str) -> None:
@@ -152,9 +159,8 @@ def run(spark: SparkSession, raw: hospital.RawTables, out: str) -> None:
     if spark.conf.get("spark.sql.ansi.enabled").lower() != "true":
         raise ValueError("strict casts need spark.sql.ansi.enabled: without it bad text would silently become NULL")
     with Scratch(spark) as scratch:
-        used = [c for c in testbed.RAW_COLUMNS if c in raw.encounters.columns]
-        raw = replace(raw, encounters=scratch.table(raw.encounters.select(*used), "encounters"))
-        tables = sql_tables(raw, scratch)
+        raw, counts = loaded(raw, scratch)
+        tables = {"load_counts": counts} | sql_tables(raw, scratch)
         tables |= model_tables(tables["cohort"], scratch)
         tables |= report_tables(spark, tables)
         payload = tables.pop("payload")
@@ -162,10 +168,23 @@ def run(spark: SparkSession, raw: hospital.RawTables, out: str) -> None:
         payload.write.mode("overwrite").text(f"{out}/payload")
 
 
+PREVIEWED = ["dq_results", "cohort_funnel", "kpi_overall", "risk_band_validation", "hba1c_summary", "model_comparison"]
+
+
+def preview_lines(spark: SparkSession, out: str, names: Sequence[str], hidden: Sequence[str] = ("handling",)) -> DataFrame:
+    """The rows of small exported tables as they stand in their files: table_name, place, line."""
+    lines = []
+    for name in names:
+        table = spark.read.csv(f"{out}/{name}", header=True, escape='"').drop(*hidden)
+        # a table with an order is one sorted file, read by one task
+        place = (F.monotonically_increasing_id() + 1).alias("place")
+        lines.append(table.select(F.lit(name).alias("table_name"), place, F.concat_ws(" | ", *table.columns).alias("line")))
+    return reduce(DataFrame.unionByName, lines)
+
+
 def preview(spark: SparkSession, out: str) -> None:
     """Print the small tables a reader wants to see first."""
-    names = ["dq_results", "cohort_funnel", "kpi_overall", "risk_band_validation", "hba1c_summary", "model_comparison"]
-    for name in names:
+    for name in PREVIEWED:
         print(name)
         table = spark.read.csv(f"{out}/{name}", header=True, escape='"')
         (table.drop("handling") if name == "dq_results" else table).show(truncate=False)

@@ -54,19 +54,29 @@ def auc(df: DataFrame, score: str, label: str, scratch: Scratch, range_rows: int
     return areas(df, {score: score}, label, scratch, range_rows).drop("method")
 
 
-def roc_points(df: DataFrame, score: str, label: str, scratch: Scratch) -> DataFrame:
+def roc_points(df: DataFrame, score: str, label: str, scratch: Scratch, steps: int | None = None) -> DataFrame:
     """``threshold, tpr, fpr``: rates among rows scored at least that high, from (0, 0) at an infinite threshold.
 
-    One row per distinct score at which the curve turns: points on a straight piece between two others are left out.
+    One row per distinct score at which the curve turns: points on a straight piece between two others are left out. A continuous score
+    turns at nearly every row. With ``steps`` such a curve of more than 2 * steps + 1 points is cut down: of the points whose rates fall
+    into the same pair of steps of 1 / steps the last one stays. There are 2 * steps + 1 of them at most then, however many rows, and every point left out
+    has one that stays within 1 / steps of it in both rates. Curves of fewer points are exact.
     """
     falling = _by_score(df, {score: score}, label, falling=True)
     ranked = running_totals(
         falling, "score", {"tp": "pos", "fp": "neg"}, scratch, following={"pos_next": "pos", "neg_next": "neg"}
     )
+    if steps is not None:
+        ranked = scratch.table(ranked, "curve")
     first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
     turns = (F.col("pos") != F.col("pos_next")) | (F.col("neg") != F.col("neg_next"))
     kept = ranked.where(first | F.col("pos_next").isNull() | turns)
     sums = scratch.table(ranked.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")), "sums")
+    if steps is not None and kept.limit(2 * steps + 2).count() > 2 * steps + 1:
+        p, n = sums.first()
+        cell = lambda reached, total: F.floor(reached * F.lit(steps) / F.lit(max(1, total)))
+        same = (cell(F.col("tp"), p) == cell(F.col("tp") + F.col("pos_next"), p)) & (cell(F.col("fp"), n) == cell(F.col("fp") + F.col("neg_next"), n))
+        kept = ranked.where(F.col("pos_next").isNull() | ~same)
     points = kept.select(
         (-F.col("score")).alias("threshold"),
         (F.col("tp") / F.nullif(sums.select("p").scalar(), F.lit(0))).alias("tpr"),

@@ -9,18 +9,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from statistics import NormalDist
 
-import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import small_table
-from .risk_model import sized_for_solver
+from .newton import Design, packed_rows, sized_for_solver, solve
 
 _Z95 = NormalDist().inv_cdf(0.975)
 #: Levels of one factor that a fit accepts unless told otherwise.
@@ -80,7 +76,7 @@ class Term:
 
     @property
     def separated(self) -> bool:
-        """No finite estimate exists; the number only shows the direction."""
+        """Taken to have no finite estimate: beyond 15 an odds ratio is in the millions. A guess by size, not a test."""
         return abs(self.estimate) > 15
 
     @property
@@ -107,53 +103,111 @@ def term_table(spark: SparkSession, terms: Sequence[Term]) -> DataFrame:
     return small_table(spark, rows, schema + "ci95_low double, ci95_high double, separated boolean")
 
 
+@dataclass(frozen=True)
+class Model:
+    """What one fit is about: the patterns it uses, numeric terms by name, factors with their reference level (``None``: the first by name)."""
+
+    numeric: Mapping[str, Column]
+    categorical: Mapping[str, str | None] = field(default_factory=dict)
+    rows: Column | None = None
+
+
 def _usable(
-    patterns: DataFrame, categorical: Mapping[str, str | None], max_levels: int
-) -> tuple[DataFrame, dict[str, list[str]], Fit]:
-    """Levels per factor, reference first, the patterns that inform the fit, and what was dropped, as a fit without terms.
+    patterns: DataFrame, models: Mapping[str, Model], max_levels: int
+) -> tuple[dict[str, Column], dict[str, dict[str, list[str]]], dict[str, Fit], dict[str, NotEstimable]]:
+    """For each model the patterns that inform its fit, levels per factor, reference first, and what was dropped; or why there is no fit.
 
     A level with only events or only non-events has an infinite estimate. In that limit its rows say nothing
-    about the other terms, so they leave the fit, repeatedly until no such level is left.
+    about the other terms, so they leave the fit, repeatedly until no such level is left. A round counts the levels of all models at once.
     """
-    gone = Fit()
-    if not categorical:
-        return patterns, {}, gone
-    while True:
-        pairs = F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("level")) for c in categorical])
+    rows = {name: F.lit(True) if m.rows is None else F.coalesce(m.rows, F.lit(False)) for name, m in models.items()}
+    gone = {name: Fit() for name in models}
+    levels: dict[str, dict[str, list[str]]] = {name: {} for name, m in models.items() if not m.categorical}
+    failed: dict[str, NotEstimable] = {}
+    before: dict[str, int] = {}
+    while open_ := [name for name in models if name not in levels and name not in failed]:
+        pairs = [
+            F.when(rows[name], F.struct(F.lit(name).alias("model"), F.lit(c).alias("factor"), F.col(c).cast("string").alias("level")))
+            for name in open_
+            for c in models[name].categorical
+        ]
         table = (
-            patterns.select(F.inline(pairs), "n", "events")
-            .groupBy("factor", "level")
+            patterns.select(F.inline(F.array_compact(F.array(*pairs))), "n", "events")
+            .groupBy("model", "factor", "level")
             .agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
         )
-        found = table.limit(max_levels * len(categorical) + 1).collect()
-        levels: dict[str, list[str]] = {c: [] for c in categorical}
-        for row in found:
-            levels[row.factor].append(row.level)
-        if crowded := [c for c, names in levels.items() if len(names) > max_levels]:
-            raise ValueError(f"more than {max_levels} levels in {crowded}")
-        flat = [row for row in found if row.events in (0, row.n)]
-        if not found:
-            raise NotEstimable("no level is left whose outcome varies", gone)
-        if not flat:
-            break
-        for row in flat:
-            if row.level == categorical[row.factor]:
-                raise NotEstimable(f"{row.factor}: the outcome does not vary at the reference {row.level!r}", gone)
-        before = patterns.agg(F.sum("n")).first()[0]
-        for row in flat:
-            gone.dropped.append(f"{row.factor}={row.level}")
-            patterns = patterns.where(F.col(row.factor) != row.level)
-        gone.dropped_rows += before - (patterns.agg(F.sum("n")).first()[0] or 0)
-    for factor, reference in categorical.items():
-        levels[factor].sort(key=lambda level: (level != reference, level))
-    return patterns, levels, gone
-
-
-def _check_rank(rows: DataFrame, gone: Fit) -> None:
-    """The solver may return numbers for a singular design, so look at the correlations first."""
-    correlations = Correlation.corr(rows, "features").first()[0].toArray()
-    if np.linalg.eigvalsh(correlations).min() < 1e-9:
-        raise NotEstimable("no unique estimates: the design columns determine each other", gone)
+        found = table.limit(max_levels * len(pairs) + 1).collect()
+        for name in open_:
+            factors = models[name].categorical
+            own = [row for row in found if row.model == name]
+            counted = {c: sorted(row.level for row in own if row.factor == c) for c in factors}
+            if crowded := [c for c, names in counted.items() if len(names) > max_levels]:
+                raise ValueError(f"more than {max_levels} levels in {crowded}")
+            size = sum(row.n for row in own if row.factor == next(iter(factors)))
+            gone[name].dropped_rows += before.get(name, size) - size
+            before[name] = size
+            flat = sorted((row for row in own if row.events in (0, row.n)), key=lambda r: (list(factors).index(r.factor), r.level))
+            if not own:
+                failed[name] = NotEstimable("no level is left whose outcome varies", gone[name])
+            elif fixed := next((row for row in flat if row.level == factors[row.factor]), None):
+                failed[name] = NotEstimable(f"{fixed.factor}: the outcome does not vary at the reference {fixed.level!r}", gone[name])
+            elif flat:
+                for row in flat:
+                    gone[name].dropped.append(f"{row.factor}={row.level}")
+                    rows[name] = rows[name] & (F.col(row.factor) != row.level)
+            else:
+                first = lambda c: lambda level: (level != factors[c], level)  # noqa: E731, B023
+                levels[name] = {c: sorted(names, key=first(c)) for c, names in counted.items()}
+    return rows, levels, gone, failed
+
+
+def fit_models(patterns: DataFrame, models: Mapping[str, Model], max_levels: int = MAX_LEVELS) -> dict[str, Fit | NotEstimable]:
+    """Fits of several models to the same patterns, by name; a model that its rows do not determine has the reason in place of a fit.
+
+    The terms of a fit are without the intercept: numeric ones by name, factors as ``factor=level``. A factor of more than
+    ``max_levels`` levels is refused. Patterns with a NULL are not used. Constant columns are left out, and levels whose
+    outcome does not vary, which the result names. However many models there are, the levels, the spread of the columns and each
+    step of the fits are counted in one pass for all of them.
+    """
+    patterns = _complete(patterns)
+    rows, levels, gone, failed = _usable(patterns, models, max_levels)
+    out: dict[str, Fit | NotEstimable] = dict(failed)
+    open_ = [name for name in models if name not in failed]
+    if not open_:
+        return out
+    spans = patterns.agg(
+        *[
+            F.struct(F.count_if(rows[name]), *[F.min(F.when(rows[name], x)) for c in models[name].numeric.values() for x in (c.cast("double"),)],
+                     *[F.max(F.when(rows[name], x)) for c in models[name].numeric.values() for x in (c.cast("double"),)])
+            for name in open_
+        ]
+    ).first()
+    designs: dict[str, Design] = {}
+    for name, (size, *ends) in zip(open_, spans, strict=True):
+        model = models[name]
+        half = len(ends) // 2
+        varying = {c: col for (c, col), least, most in zip(model.numeric.items(), ends[:half], ends[half:], strict=True) if least != most}
+        factors = {c: (F.col(c).cast("string"), found[1:]) for c, found in levels[name].items()}
+        design = Design(varying, factors, rows[name])
+        if size < 2 or not design.names:
+            out[name] = NotEstimable("all rows share one covariate pattern", gone[name])
+        else:
+            designs[name] = design
+    if not designs:
+        return out
+    fits = list(designs.values())
+    packed = packed_rows(patterns, fits, F.col("events"), F.col("n"))
+    packed = sized_for_solver(packed, patterns.count(), sum(sum(d.widths()[1], len(d.numeric)) for d in fits)).persist()
+    try:
+        for (name, design), found in zip(designs.items(), solve(packed, fits), strict=True):
+            if not found.determined:
+                out[name] = NotEstimable("no unique estimates: the design columns determine each other", gone[name])
+            else:
+                terms = [Term(t, found.estimate(t), found.error(t)) for t in design.names]
+                out[name] = Fit(terms, gone[name].dropped, gone[name].dropped_rows)
+    finally:
+        packed.unpersist()
+    return out
 
 
 def fit_logit(
@@ -162,44 +216,42 @@ def fit_logit(
     categorical: Mapping[str, str | None],
     max_levels: int = MAX_LEVELS,
 ) -> Fit:
-    """Terms of the fit without the intercept: ``numeric`` by name, factors as ``factor=level``.
+    """The fit of one model, as in ``fit_models``. Raises if the rows do not determine it."""
+    fit = fit_models(patterns, {"": Model(numeric, categorical)}, max_levels)[""]
+    if isinstance(fit, NotEstimable):
+        raise fit
+    return fit
 
-    ``categorical`` maps each factor to its reference level, ``None`` meaning the first by name; a factor of more than
-    ``max_levels`` levels is refused. Patterns with a NULL are not used. Constant columns are left out, and levels whose
-    outcome does not vary, which the result names. Raises if the remaining columns determine each other.
+
+def named_terms(
+    patterns: DataFrame, models: Mapping[str, Model], names: Mapping[str, Sequence[str]], max_levels: int = MAX_LEVELS
+) -> dict[str, Fit]:
+    """For each model the terms asked for, in that order, whether the rows determine them or not.
+
+    A level that only events or only non-events have is ``separated``, one that no row has is ``no rows``, and what the rows
+    leave open otherwise, as in a stratum without exposed rows, is ``not estimable``; those have NaN.
     """
-    patterns, levels, gone = _usable(_complete(patterns), categorical, max_levels)
-    design = {name: col.cast("double") for name, col in numeric.items()}
-    if design:
-        spread = patterns.agg(*[F.struct(F.min(col), F.max(col)).alias(name) for name, col in design.items()]).first()
-        design = {name: col for name, col in design.items() if spread[name][0] != spread[name][1]}
-    for factor, names in levels.items():
-        for level in names[1:]:
-            design[f"{factor}={level}"] = (F.col(factor) == level).cast("double")
-
-    size = patterns.count()
-    if size < 2 or not design:
-        raise NotEstimable("all rows share one covariate pattern", gone)
-
-    # grouped binomial rows: the share of events, weighted by the size of the pattern
-    names = [f"_x{i}" for i in range(len(design))]
-    columns = [col.alias(name) for name, col in zip(names, design.values())]
-    grouped = patterns.select(
-        *columns, (F.col("events") / F.col("n")).alias("label"), F.col("n").cast("double").alias("weight")
-    )
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(grouped)
-    solver = GeneralizedLinearRegression(
-        family="binomial", link="logit", weightCol="weight", regParam=0.0, maxIter=50, tol=1e-10
-    )
-    rows = sized_for_solver(rows.select("features", "label", "weight"), size, len(names)).persist()
-    try:
-        _check_rank(rows, gone)
-        model = solver.fit(rows)
-        errors = model.summary.coefficientStandardErrors
-        terms = [Term(name, float(b), se) for name, b, se in zip(design, model.coefficients.toArray(), errors)]
-        return Fit(terms, gone.dropped, gone.dropped_rows)
-    finally:
-        rows.unpersist()
+    fits = fit_models(patterns, models, max_levels)
+    fits = {name: fit.gone if isinstance(fit, NotEstimable) else fit for name, fit in fits.items()}
+    found = {name: {t.name: t for t in fit} for name, fit in fits.items()}
+    missing = [
+        (name, term, *term.partition("=")[::2])
+        for name in models
+        for term in names[name]
+        if term not in found[name] and term not in fits[name].dropped and term.partition("=")[0] in models[name].categorical
+    ]
+    if missing:  # one pass tells which of those levels have rows at all
+        held = [F.lit(True) if models[name].rows is None else models[name].rows for name, *_ in missing]
+        seen = _complete(patterns).agg(*[F.count_if(rows & (F.col(factor) == level)) for rows, (_, _, factor, level) in zip(held, missing, strict=True)]).first()
+        missing = [(name, term) for (name, term, *_), n in zip(missing, seen, strict=True) if not n]
+    out = {}
+    for name in models:
+        terms = []
+        for term in names[name]:
+            told = "separated" if term in fits[name].dropped else "no rows" if (name, term) in missing else "not estimable"
+            terms.append(found[name].get(term) or Term(term, math.nan, math.nan, told))
+        out[name] = Fit(terms, fits[name].dropped, fits[name].dropped_rows)
+    return out
 
 
 def fit_terms(
@@ -209,27 +261,8 @@ def fit_terms(
     categorical: Mapping[str, str | None],
     max_levels: int = MAX_LEVELS,
 ) -> Fit:
-    """Every term of ``names``, in that order, whether the rows determine it or not.
-
-    A level that only events or only non-events have is ``separated``, one that no row has is ``no rows``, and what the rows
-    leave open otherwise, as in a stratum without exposed rows, is ``not estimable``; those have NaN.
-    """
-    try:
-        fit = fit_logit(patterns, numeric, categorical, max_levels)
-    except NotEstimable as why:
-        fit = why.gone
-    found = {t.name: t for t in fit}
-    terms = []
-    for name in names:
-        term = found.get(name)
-        if term is None:
-            factor, _, level = name.partition("=")
-            told = "separated" if name in fit.dropped else "not estimable"
-            if told == "not estimable" and factor in categorical and not _complete(patterns).where(F.col(factor) == level).take(1):
-                told = "no rows"
-            term = Term(name, math.nan, math.nan, told)
-        terms.append(term)
-    return Fit(terms, fit.dropped, fit.dropped_rows)
+    """Every term of ``names`` of one model, as in ``named_terms``."""
+    return named_terms(patterns, {"": Model(numeric, categorical)}, {"": names}, max_levels)[""]
 
 
 def stratified_logit(
@@ -240,21 +273,25 @@ def stratified_logit(
     exposed: Column,
     numeric: Mapping[str, Column],
     categorical: Mapping[str, str | None],
+    also: Mapping[str, tuple[Model, str]] | None = None,
 ) -> list[tuple[str, int, float | None, float | None, Fit]]:
     """Adjusted effect of ``exposed`` within each named stratum: name, rows, both crude rates, fit of that one term.
 
     Rows and rates are over all rows of the stratum, those with a NULL covariate included, which the fit cannot use. Levels
-    are taken anew in each stratum.
+    are taken anew in each stratum. ``also`` names more models and the term asked of each; they are fitted in the same passes, and come after the
+    strata, with no rows and rates. The number of passes does not depend on the number of strata.
     """
+    also = also or {}
     size, events = F.col("n"), F.col("events")
-    out = []
-    for name in strata:
-        part = patterns.where(F.col(stratum) == name)
-        n, *rates = part.agg(
-            F.coalesce(F.sum(size), F.lit(0)),
-            F.sum(F.when(~exposed, events)) / F.sum(F.when(~exposed, size)),
-            F.sum(F.when(exposed, events)) / F.sum(F.when(exposed, size)),
-        ).first()
-        fit = fit_terms(part, [exposure], {exposure: exposed, **numeric}, categorical)
-        out.append((name, n, *rates, fit))
-    return out
+    crude = patterns.where(F.col(stratum).isin(list(strata))).groupBy(stratum).agg(
+        F.sum(size),
+        F.sum(F.when(~exposed, events)) / F.sum(F.when(~exposed, size)),
+        F.sum(F.when(exposed, events)) / F.sum(F.when(exposed, size)),
+    )
+    crude = {name: numbers for name, *numbers in crude.collect()}
+    models = {f"stratum {name}": Model({exposure: exposed, **numeric}, categorical, F.col(stratum) == name) for name in strata}
+    models |= {name: model for name, (model, _) in also.items()}
+    names = {name: [exposure] for name in models} | {name: [term] for name, (_, term) in also.items()}
+    fits = named_terms(patterns, models, names)
+    out = [(name, *crude.get(name, (0, None, None)), fits[f"stratum {name}"]) for name in strata]
+    return out + [(name, 0, None, None, fits[name]) for name in also]

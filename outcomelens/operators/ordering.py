@@ -4,7 +4,8 @@
 into constants, so "is this row in the top 20 %" or "which decile is this row in" becomes a plain
 expression inside the map task: no sort, no shuffle and no single task that holds a large group.
 
-``running_totals`` gives cumulative sums over distinct values, cut into ranges of rows.
+``running_totals`` gives cumulative sums over distinct values and ``global_rank`` numbers all rows in an order, both cut into
+ranges of rows.
 """
 
 from __future__ import annotations
@@ -53,6 +54,9 @@ def refuse_blank(df: DataFrame, cols: Sequence[str], what: str) -> int:
 def _bin(key: Column, least: Any, most: Any) -> Column:
     """Number of the bin between the least and the largest key; it never falls as the key grows."""
     low, high = float(least), float(most)
+    if math.isinf(low) or math.isinf(high):  # the infinite ones stand apart, and the others have a span of their own next time
+        key = key.cast("double")
+        return F.when(key == F.lit(-math.inf), 0).when(key == F.lit(math.inf), 2).otherwise(1)
     width = high / _BINS - low / _BINS
     if width > 0:
         share = (key.cast("double") / _BINS - F.lit(low / _BINS)) / F.lit(width)
@@ -103,7 +107,7 @@ def order_statistics(
 ) -> list[tuple]:
     """Key values of the rows at given 1-based positions, in ascending order of ``keys``.
 
-    ``keys`` are numeric, never NULL or NaN, and unique together. ``positions`` gets the row count of each
+    ``keys`` are numeric, never NULL or NaN, and unique together; infinities are the least and the greatest numbers. ``positions`` gets the row count of each
     stratum (of ``None`` without one) and returns ``(stratum, position)`` pairs. ``df`` is read several
     times, a few columns each time: pass a written table (see ``Scratch``), not a long plan.
 
@@ -247,3 +251,41 @@ def running_totals(
     # values are not NULL, so a NULL says that the next row is in the next range
     totals |= {name: F.coalesce(F.lead(value).over(inside), F.col(f"_next_{name}")) for name, value in following.items()}
     return ranged.join(base, same).withColumns(totals).select(*rows.columns, *totals)
+
+
+def global_rank(
+    df: DataFrame,
+    order: Sequence[Column | str],
+    scratch: Scratch,
+    name: str = "rank",
+    sums: Mapping[str, str] | None = None,
+    range_rows: int | None = None,
+) -> DataFrame:
+    """Append each row's place in ``order``, from 1 without gaps, and ``sums``: running totals of columns, the row included.
+
+    Order columns have any type and may say how they sort. Infinities are the least and the greatest numbers, NaN comes after them,
+    and NULL first unless a column says otherwise. Rows equal in all of them take places in any order; sums of NULL count as 0.
+
+    Rows are dealt out by ranges of the order of about ``range_rows`` rows, 100,000 unless given, and written before any
+    place is taken, so a lost executor finds the same ranges again. A range is numbered by itself and raised by what the ranges before it hold:
+    no task gets more than a range, equal rows are dealt to several, and one row a range meets in one window.
+    """
+    rows = scratch.table(df, "ranking")
+    sums = sums or {}
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranges = max(1, math.ceil(rows.count() / (range_rows or _RANGE)))
+    ranged = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(ranges, *keys, "_tie")
+    ranged = scratch.table(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_range").orderBy(*keys, "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("_range").agg(
+        F.count("*").alias("_size"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_sum_{total}") for total, c in sums.items()]
+    )
+    base = base.select(
+        F.col("_range").alias("_on"),
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"),
+        *[F.coalesce(F.sum(f"_sum_{total}").over(before), F.lit(0)).alias(f"_base_{total}") for total in sums],
+    )
+    places = {name: (F.count("*").over(inside) + F.col("_base")).cast("bigint")}
+    places |= {total: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_base_{total}") for total, c in sums.items()}
+    return ranged.join(base, F.col("_range") == F.col("_on")).withColumns(places).select(*rows.columns, *places)

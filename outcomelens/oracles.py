@@ -281,6 +281,147 @@ _NUMERIC, _CATEGORICAL = V.NUMERIC_FEATURES, V.CATEGORICAL_FEATURES
 _BOOLEAN = {"medication_changed", "on_diabetes_medication"}
 
 
+def _newton(penalty: float = 0.0, steps: int = 15) -> str:
+    """Fits of every group of ``design(g, x, e, n)``: e events of n trials at x, 1 for the intercept first. ``fit(g, b, v)``: estimates, variances.
+
+    Each step adds the matrix and the gradient up entry by entry and eliminates column after column of both and the unit matrix.
+    """
+    return f"""newton AS (
+  SELECT g, 0 AS k, list_transform(range(any_value(len(x))), lambda i: 0.0::DOUBLE) AS b, NULL::DOUBLE[][] AS a FROM design GROUP BY g
+  UNION ALL
+  SELECT g, k + 1, list_transform(range(len(b)), lambda i: b[i + 1] + solved[i + 1][len(b) + 1]),
+    list_transform(solved, lambda r: r[len(b) + 2:])
+  FROM (
+    SELECT g, any_value(k) AS k, any_value(b) AS b, list_reduce(range(1, any_value(len(b)) + 1), lambda m, c:
+        list_transform(m, lambda r, i: CASE WHEN i = c THEN list_transform(r, lambda z: z / m[c][c])
+          ELSE list_transform(r, lambda z, j: z - r[c] * m[c][j] / m[c][c]) END), list(line ORDER BY i)) AS solved
+    FROM (
+      SELECT g, i, any_value(k) AS k, any_value(b) AS b,
+        list_concat(list(z ORDER BY j), list_transform(range(1, any_value(len(b)) + 1), lambda c: if(c = i, 1.0, 0.0)::DOUBLE)) AS line
+      FROM (
+        SELECT g, i, j, any_value(k) AS k, any_value(b) AS b,
+          sum(if(j > len(b), x[i] * (e - n * chance), x[i] * x[j] * n * chance * (1 - chance)))
+            + {penalty} * any_value(if(i = 1, 0, if(j > len(b), -b[i], if(i = j, 1, 0)))) AS z
+        FROM (
+          SELECT g, k, b, x, e, n, 1 / (1 + exp(-list_dot_product(x, b))) AS chance FROM newton JOIN design USING (g) WHERE k < {steps}
+        ), (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM design))) AS i), (SELECT unnest(range(1, (SELECT max(len(x)) + 2 FROM design))) AS j)
+        WHERE i <= len(b) AND j <= len(b) + 1 GROUP BY g, i, j
+      ) GROUP BY g, i
+    ) GROUP BY g
+  )
+),
+fit AS (SELECT g, b, list_transform(range(1, len(b) + 1), lambda i: a[i][i]) AS v FROM newton WHERE k = {steps})"""
+
+
+def _models(models: dict[str, tuple[str, dict[str, str], dict[str, str | None]]]) -> str:
+    """Unpenalised fits of ``analysis``: by name the rows, numeric columns by term, factors with their reference.
+
+    Levels whose outcome does not vary go with their rows, four times over; constant columns are left out. ``terms(g, term, b, v)``,
+    ``lost(g, dropped, dropped_rows)``.
+    """
+    given = " UNION ALL ".join(
+        f"SELECT {_quoted(g)} AS g, y, [{', '.join(f'({x})::DOUBLE' for x in numeric.values())}] AS xs, "
+        f"[{', '.join(factors)}]::VARCHAR[] AS fs FROM analysis WHERE {rows}"
+        for g, (rows, numeric, factors) in models.items()
+    )
+    names = ", ".join(
+        f"({_quoted(g)}, {k}, {_quoted(f)}, {_quoted(ref) if ref else 'NULL'})" for g, (_, _, factors) in models.items() for k, (f, ref) in enumerate(factors.items(), 1)
+    )
+    terms = ", ".join(f"({_quoted(g)}, {k}, {_quoted(t)})" for g, (_, numeric, _) in models.items() for k, t in enumerate(numeric, 1))
+    rounds = ""
+    for r in range(4):
+        rounds += f""",
+flat{r} AS (
+  SELECT g, k, level FROM (SELECT g, y, unnest(fs) AS level, unnest(range(1, len(fs) + 1)) AS k FROM used{r})
+  GROUP BY g, k, level HAVING sum(y) IN (0, count(*))
+),
+used{r + 1} AS (
+  SELECT * FROM used{r} u WHERE NOT EXISTS (FROM flat{r} t WHERE t.g = u.g AND u.fs[t.k] = t.level)
+)"""
+    return f"""used0 AS ({given}),
+factor_names(g, k, factor, reference) AS (VALUES {names}),
+numeric_names(g, k, term) AS (VALUES {terms}){rounds},
+lost AS (
+  SELECT g, coalesce(string_agg(factor || '=' || level, ', ' ORDER BY r, k, level), '') AS dropped,
+    (SELECT count(*) FROM used0 u WHERE u.g = m.g) - (SELECT count(*) FROM used4 u WHERE u.g = m.g) AS dropped_rows
+  FROM (SELECT DISTINCT g FROM factor_names) m
+  LEFT JOIN ({" UNION ALL ".join(f"SELECT {r} AS r, * FROM flat{r}" for r in range(4))}) USING (g) LEFT JOIN factor_names USING (g, k) GROUP BY g
+),
+levels AS (
+  SELECT g, k, factor, level, row_number() OVER (PARTITION BY g, k ORDER BY level IS DISTINCT FROM reference, level) AS place
+  FROM (SELECT DISTINCT g, unnest(fs) AS level, unnest(range(1, len(fs) + 1)) AS k FROM used4) JOIN factor_names USING (g, k)
+),
+columns AS (
+  SELECT g, list({{'k': k, 'level': level, 'term': term}} ORDER BY kind, k, level) AS cs FROM (
+    SELECT g, 0 AS kind, k, NULL AS level, term FROM numeric_names
+    WHERE (SELECT min(xs[k]) < max(xs[k]) FROM used4 u WHERE u.g = numeric_names.g)
+    UNION ALL SELECT g, 1, k, level, factor || '=' || level FROM levels WHERE place > 1
+  ) GROUP BY g
+),
+design AS (
+  SELECT g, list_concat([1.0::DOUBLE], list_transform(cs, lambda c: if(c.level IS NULL, xs[c.k], (fs[c.k] = c.level)::INT::DOUBLE))) AS x,
+    sum(y)::DOUBLE AS e, count(*)::DOUBLE AS n
+  FROM used4 JOIN columns USING (g) GROUP BY 1, 2
+),
+{_newton()},
+terms AS (
+  SELECT g, unnest(list_transform(cs, lambda c: c.term)) AS term, unnest(b[2:]) AS b, unnest(v[2:]) AS v FROM fit JOIN columns USING (g)
+)"""
+
+
+_ADJUSTED = {c: c for c in V.ADJUST_NUMERIC}
+_PLACES: dict[str, str | None] = {"admission_source_group": None, "discharge_group": None}
+_TESTED = {"tested": "hba1c_group <> 'Not tested'"}
+
+
+def _ratios(places: int = 3) -> str:
+    q = 1.959963984540054
+    told = "if(b IS NOT NULL AND abs(b) <= 15, @, NULL)"
+    return ", ".join(
+        told.replace("@", f"round_even({sql}, {places})") + f" AS {name}"
+        for name, sql in (("odds_ratio", "exp(b)"), ("ci95_low", f"exp(b - {q} * sqrt(v))"), ("ci95_high", f"exp(b + {q} * sqrt(v))"))
+    ) + f", {told.replace('@', _P_VALUE)} AS p_value"
+
+
+def _status(term: str) -> str:
+    return f"""CASE WHEN b IS NOT NULL AND abs(b) > 15 THEN 'separated' WHEN b IS NOT NULL THEN 'estimated'
+    WHEN list_contains(string_split(dropped, ', '), {term}) THEN 'separated' ELSE 'not estimable' END AS status, dropped AS dropped_levels, dropped_rows"""
+
+
+def _adjusted_groups() -> str:
+    factors = {"hba1c_group": "Not tested", "primary_diagnosis_group": None, **_PLACES}
+    groups = ", ".join(f"({_quoted(label)})" for label in V.MODEL_EXPOSURE_LABELS[1:])
+    return f"""WITH RECURSIVE {ANALYSIS},
+{_models({"all": ("TRUE", _ADJUSTED, factors)})}
+SELECT label AS group_vs_not_tested, {_ratios()}, {_status("'hba1c_group=' || label")}
+FROM (VALUES {groups}) groups(label) CROSS JOIN lost LEFT JOIN terms ON term = 'hba1c_group=' || label"""
+
+
+def _adjusted_tested() -> str:
+    return f"""WITH RECURSIVE {ANALYSIS},
+{_models({"all": ("TRUE", _TESTED | _ADJUSTED, {"primary_diagnosis_group": None, **_PLACES})})}
+SELECT {_ratios()}, {_status("'tested'")} FROM lost LEFT JOIN terms ON term = 'tested'"""
+
+
+def _adjusted_strata() -> str:
+    models = {g: (f"primary_diagnosis_group = {_quoted(g)}", _TESTED | _ADJUSTED, _PLACES) for g in V.MODEL_STRATA}
+    product = {"subgroup": "primary_diagnosis_group = 'Diabetes'", "tested:subgroup": "hba1c_group <> 'Not tested' AND primary_diagnosis_group = 'Diabetes'"}
+    models["product"] = ("primary_diagnosis_group IN ('Diabetes', 'Circulatory')", _TESTED | product | _ADJUSTED, _PLACES)
+    rate = lambda side: f"round_even(100.0 * avg(y) FILTER ({side} (hba1c_group <> 'Not tested')), 2)"
+    return f"""WITH RECURSIVE {ANALYSIS},
+{_models(models)},
+crude AS (
+  SELECT primary_diagnosis_group AS g, count(*) AS patients, {rate('NOT')} AS rate_not_tested_pct, {rate('')} AS rate_tested_pct
+  FROM analysis GROUP BY 1
+),
+product AS (SELECT {_P_VALUE} AS p FROM terms WHERE g = 'product' AND term = 'tested:subgroup')
+SELECT g AS primary_diagnosis, coalesce(patients, 0) AS patients, rate_not_tested_pct, rate_tested_pct,
+  {_ratios().replace("AS odds_ratio", "AS adjusted_odds_ratio")}, (SELECT p FROM product) AS interaction_p_diabetes_vs_circulatory,
+  {_status("'tested'")}
+FROM (VALUES {", ".join(f"({_quoted(g)})" for g in V.MODEL_STRATA)}) strata(g)
+LEFT JOIN crude USING (g) LEFT JOIN lost USING (g) LEFT JOIN (SELECT * FROM terms WHERE term = 'tested') USING (g)"""
+
+
 def _features() -> str:
     scaled = ",\n  ".join(
         f"round((a.{c} - (SELECT avg({c}) FROM train)) / (SELECT stddev_pop({c}) FROM train), 6) AS {c}"
@@ -304,6 +445,40 @@ SELECT a.encounter_id, {scaled}, coalesce(dummies, '') AS dummies,
 FROM analysis a LEFT JOIN named ON id = a.encounter_id"""
 
 
+def _risk_model() -> str:
+    """``features(feature, place)`` after the intercept, ``odds``, and ``scored_test`` with every method's score, by the penalised fit."""
+    numeric = ", ".join(f"(a.{c} - (SELECT avg({c}) FROM train)) / (SELECT stddev_pop({c}) FROM train)" for c in _NUMERIC)
+    text = lambda c: f"if({c}, 'True', 'False')" if c in _BOOLEAN else c
+    seen = " UNION ALL ".join(f"SELECT DISTINCT {k} AS k, '{c}' AS col, {text(c)} AS level FROM train" for k, c in enumerate(_CATEGORICAL))
+    names = ", ".join(f"({k}, '{c}')" for k, c in enumerate(_NUMERIC))
+    return f"""WITH RECURSIVE {ANALYSIS},
+train AS (SELECT * FROM analysis WHERE NOT is_test),
+dummies AS (
+  SELECT list({{'k': k + 1, 'level': level}} ORDER BY k, level) AS ds
+  FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level) AS place FROM ({seen})) WHERE place > 1
+),
+features AS (
+  SELECT feature, row_number() OVER (ORDER BY kind, k, level) AS place FROM (
+    SELECT 0 AS kind, k, NULL AS level, name AS feature FROM (VALUES {names}) numeric_names(k, name)
+    UNION ALL SELECT 1, k, level, col || '_' || level FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY level) AS place FROM ({seen})) WHERE place > 1
+  )
+),
+rows AS (
+  SELECT a.encounter_id, a.y, a.is_test, a.lace_score, a.prior_inpatient, list_concat([1.0::DOUBLE, {numeric}],
+    list_transform(ds, lambda d: ([{", ".join("a." + c if c not in _BOOLEAN else f"if(a.{c}, 'True', 'False')" for c in _CATEGORICAL)}])[d.k] = d.level)::INT[]::DOUBLE[]) AS x
+  FROM analysis a, dummies
+),
+design AS (
+  SELECT 'model' AS g, x, y * w AS e, w AS n
+  FROM (SELECT x, y, (SELECT count(*) FROM train) / (2.0 * count(*) OVER (PARTITION BY y)) AS w FROM rows WHERE NOT is_test)
+),
+{_newton(2.0, 9)},
+odds AS (SELECT feature, round(exp(b[place + 1]), 6) AS odds_ratio FROM features, fit),
+scored_test AS (
+  SELECT encounter_id, y, 1 / (1 + exp(-list_dot_product(x, b))) AS model_risk, lace_score, prior_inpatient FROM rows, fit WHERE is_test
+)"""
+
+
 #: Two-sided p-value of a normal z by the power series of the error function; beyond 6 it is 0 to eight places.
 _P_VALUE = """if(abs(b / sqrt(v)) > 6, 0.0, round_even(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120),
     lambda n: if(n % 2 = 0, 1, -1) * exp((2 * n + 1) * ln(greatest(abs(b / sqrt(v)), 1e-300) / sqrt(2)) - lgamma(n + 1.0)) / (2 * n + 1))), 4))"""
@@ -347,6 +522,42 @@ _TABLES = (
     "labels conversations"
 ).split()
 
+ORACLE_COMPARISON = f"""{_risk_model()}, methods AS (
+  {" UNION ALL ".join(f"SELECT {_quoted(m)} AS method, {c}::DOUBLE AS s, y, encounter_id AS id FROM scored_test" for m, c in V.METHODS.items())}
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY method ORDER BY s DESC, id)
+      <= floor(0.2::DOUBLE * count(*) OVER (PARTITION BY method)) AS top,
+    rank() OVER (PARTITION BY method ORDER BY s) + (count(*) OVER (PARTITION BY method, s) - 1) / 2 AS mid_rank
+  FROM methods
+)
+SELECT method,
+  round_even((sum(mid_rank) FILTER (y = 1) - sum(y)::DOUBLE * (sum(y) + 1) / 2)
+    / (sum(y)::DOUBLE * sum(1 - y)::DOUBLE), 3) AS auc,
+  round_even(100.0 * (sum(y) FILTER (top) / sum(y)), 1) AS readmissions_caught_top20_pct,
+  round_even(100.0 * avg(y) FILTER (top), 1) AS readmission_rate_in_top20_pct,
+  round_even(100.0 * avg(y), 2) AS baseline_rate_pct
+FROM placed GROUP BY method"""
+
+ORACLE_DECILES = f"""{_risk_model()}, placed AS (
+  SELECT y, row_number() OVER (ORDER BY model_risk, encounter_id) AS r, count(*) OVER () AS n FROM scored_test
+), tenths AS (
+  SELECT greatest(1, (10 * (r - 1) + n - 2) // (n - 1)) AS d, count(*) AS c, round_even(100.0 * avg(y), 2) AS rate
+  FROM placed GROUP BY 1
+)
+SELECT CAST(d AS INT) AS decile, c AS patients, rate AS readmission_rate_pct,
+  CAST(sum(c) OVER () AS BIGINT) AS total_patients, round(sum(rate * c) OVER () / sum(c) OVER (), 6) AS weighted_rate_pct,
+  d >= 9 AS highlighted FROM tenths"""
+
+ORACLE_BANDS = f"""WITH {SCORED}
+SELECT risk_band, count(*) AS patients, round(100.0 * count(*) / (SELECT count(*) FROM cohort), 1)
+  AS share_of_patients_pct, CAST(sum(readmitted_30d::INT) AS BIGINT) AS readmitted,
+  round(100.0 * avg(readmitted_30d::INT), 2) AS readmission_rate_pct
+FROM scored GROUP BY risk_band"""
+
+ORACLE_SUMMARY = f"""WITH {EXPOSED}
+SELECT hba1c_group, count(*) AS patients, round(100.0 * avg(readmitted_30d::INT), 2) AS readmission_rate_pct
+FROM exposed GROUP BY hba1c_group"""
+
 ORACLES: dict[str, str] = {
     "q_load_counts": "SELECT *, CASE WHEN table_name IN ('region', 'nation') THEN 'as expected' "
     "WHEN table_name = 'supplier' THEN 'differs' ELSE 'nothing expected' END AS check FROM ("
@@ -430,16 +641,10 @@ FROM profile""",
     "q_points_score": f"""WITH {SCORED}
 SELECT encounter_id, patient_nbr, readmitted_30d, l_points, a_points, c_points, e_points, lace_score, risk_band
 FROM scored""",
-    "q_band_validation": f"""WITH {SCORED}
-SELECT risk_band, count(*) AS patients, round(100.0 * count(*) / (SELECT count(*) FROM cohort), 1)
-  AS share_of_patients_pct, CAST(sum(readmitted_30d::INT) AS BIGINT) AS readmitted,
-  round(100.0 * avg(readmitted_30d::INT), 2) AS readmission_rate_pct
-FROM scored GROUP BY risk_band""",
+    "q_band_validation": ORACLE_BANDS,
     "q_exposure_groups": f"""WITH {EXPOSED}
 SELECT encounter_id, hba1c_group, primary_diagnosis_group, readmitted_30d FROM exposed""",
-    "q_exposure_summary": f"""WITH {EXPOSED}
-SELECT hba1c_group, count(*) AS patients, round(100.0 * avg(readmitted_30d::INT), 2) AS readmission_rate_pct
-FROM exposed GROUP BY hba1c_group""",
+    "q_exposure_summary": ORACLE_SUMMARY,
     "q_exposure_by_group": f"""WITH {EXPOSED}
 SELECT primary_diagnosis_group,
   round(100.0 * (count_if(readmitted_30d AND NOT hba1c_tested) / nullif(count_if(NOT hba1c_tested), 0)), 2)
@@ -545,12 +750,87 @@ FROM placed GROUP BY method""",
 SELECT age_mid, los_days, prior_inpatient, prior_emergency, number_diagnoses, hba1c_group, primary_diagnosis_group,
   admission_source_group, discharge_group, count(*) AS n, CAST(sum(y) AS BIGINT) AS events
 FROM analysis GROUP BY ALL""",
-    "q_report_payload": f"""WITH {PROFILE}, {CHECKS},
-kpi AS ({KPI})
-SELECT 'kpi' AS section, 'all' AS name, patients AS n_rows, readmission_rate_pct AS rate_pct FROM kpi
-UNION ALL SELECT 'profile', dimension || ': ' || category, patients, readmission_rate_pct FROM profile
-UNION ALL SELECT 'funnel', 'All hospital encounters', count(*), NULL FROM staged
-UNION ALL SELECT 'funnel', 'First encounter per patient', count(DISTINCT patient_nbr), NULL FROM staged
-UNION ALL SELECT 'funnel', 'Excluding died / hospice and invalid gender', count(*), NULL FROM cohort
-UNION ALL SELECT 'dq', check_name, affected_rows, NULL FROM checks""",
+    "q_global_rank": """WITH priced AS (
+  SELECT l_orderkey, l_linenumber, if(l_discount = 0, 'inf'::DOUBLE, l_extendedprice / nullif(l_discount, 0)) AS per FROM lineitem
+)
+SELECT l_orderkey, l_linenumber, row_number() OVER by_price AS place, CAST(sum(l_linenumber) OVER by_price AS BIGINT) AS lines_upto
+FROM priced WINDOW by_price AS (ORDER BY per, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)""",
+    "q_risk_model": f"""{_risk_model()}
+SELECT encounter_id, y, round(model_risk, 6) AS model_risk, lace_score, prior_inpatient FROM scored_test""",
+    "q_odds_table": f"{_risk_model()} SELECT * FROM odds",
+    "q_score_equations": f"""{_risk_model()}
+SELECT 'intercept' AS feature, 0::DOUBLE AS off UNION ALL SELECT feature, 0 FROM features""",
+    "q_model_comparison": ORACLE_COMPARISON,
+    "q_model_deciles": ORACLE_DECILES,
+    "q_model_roc": f"""{_risk_model()}, steps AS (
+  SELECT model_risk AS threshold, sum(y) AS p, sum(1 - y) AS n FROM scored_test GROUP BY 1
+), curve AS (
+  SELECT threshold, sum(p) OVER falling AS tp, sum(n) OVER falling AS fp, p, n, row_number() OVER falling AS place,
+    lead(p) OVER falling AS p_next, lead(n) OVER falling AS n_next
+  FROM steps WINDOW falling AS (ORDER BY threshold DESC)
+)
+SELECT 'inf'::DOUBLE AS threshold, 0::DOUBLE AS tpr, 0::DOUBLE AS fpr
+UNION ALL SELECT round(threshold, 6), tp / (SELECT sum(p) FROM steps), fp / (SELECT sum(n) FROM steps)
+FROM curve WHERE place = 1 OR p_next IS NULL OR p <> p_next OR n <> n_next""",
+    "q_logit_adjusted": _adjusted_groups(),
+    "q_logit_tested": _adjusted_tested(),
+    "q_logit_stratified": _adjusted_strata(),
+    "q_stacked_files": """
+SELECT p_size, 'brand' AS section, p_partkey, p_brand || ', new' AS description FROM part
+UNION ALL SELECT p_size, 'type', p_partkey, p_type FROM part
+UNION ALL SELECT p_size, 'name', p_partkey, 'the "' || p_name || '"' FROM part""",
+    "q_load_written": "SELECT *, CASE WHEN table_name IN ('region', 'nation') THEN 'as expected' "
+    "WHEN table_name = 'supplier' THEN 'differs' ELSE 'nothing expected' END AS check FROM ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in "region nation supplier part customer orders".split())
+    + ")",
+    "q_code_groups_table": f"""WITH {STAGED}
+SELECT encounter_id, admission_type_group, admission_source_group, discharge_group FROM staged""",
+    "q_roc_bounded": """WITH steps AS (
+  SELECT l_extendedprice AS threshold, count_if(l_quantity > 25) AS p, count_if(l_quantity <= 25) AS n FROM lineitem GROUP BY 1
+), curve AS (
+  SELECT threshold, sum(p) OVER falling AS tp, sum(n) OVER falling AS fp, sum(p) OVER () AS p_all, sum(n) OVER () AS n_all
+  FROM steps WINDOW falling AS (ORDER BY threshold DESC)
+)
+SELECT 'inf'::DOUBLE AS threshold, 0::DOUBLE AS tpr, 0::DOUBLE AS fpr
+UNION ALL SELECT min(threshold), max(tp) / any_value(p_all), max(fp) / any_value(n_all)
+FROM curve GROUP BY floor(tp * 25 / p_all), floor(fp * 25 / n_all)""",
+    "q_report_payload": f"""WITH RECURSIVE {PROFILE}, {CHECKS},
+kpi AS ({KPI}),
+compared AS (SELECT * FROM ({ORACLE_COMPARISON})),
+tenths AS (SELECT * FROM ({ORACLE_DECILES})),
+strata AS (SELECT * FROM ({_adjusted_strata()})),
+tested AS (SELECT * FROM ({_adjusted_tested()}))
+SELECT 1::INT AS part, 'kpi' AS section, 'all' AS name, patients AS n_rows, readmission_rate_pct AS value FROM kpi
+UNION ALL SELECT 2, 'profile', dimension || ': ' || category, patients, readmission_rate_pct FROM profile
+UNION ALL SELECT 3, 'models', method || ': auc', NULL, auc FROM compared
+UNION ALL SELECT 3, 'models', method || ': readmissions_caught_top20_pct', NULL, readmissions_caught_top20_pct FROM compared
+UNION ALL SELECT 4, 'deciles', decile::VARCHAR, patients, readmission_rate_pct FROM tenths
+UNION ALL SELECT 5, 'hba', primary_diagnosis || ': adjusted_odds_ratio', patients, adjusted_odds_ratio FROM strata
+UNION ALL SELECT 5, 'hba', primary_diagnosis || ': p_value', patients, p_value FROM strata
+UNION ALL SELECT 6, 'hbaAll', 'odds_ratio', NULL, odds_ratio FROM tested
+UNION ALL SELECT 6, 'hbaAll', 'ci95_low', NULL, ci95_low FROM tested
+UNION ALL SELECT 6, 'hbaAll', 'ci95_high', NULL, ci95_high FROM tested
+UNION ALL SELECT 6, 'hbaAll', 'p_value', NULL, p_value FROM tested
+UNION ALL SELECT 7, 'funnel', 'All hospital encounters', count(*), NULL FROM staged
+UNION ALL SELECT 7, 'funnel', 'First encounter per patient', count(DISTINCT patient_nbr), NULL FROM staged
+UNION ALL SELECT 7, 'funnel', 'Excluding died / hospice and invalid gender', count(*), NULL FROM cohort
+UNION ALL SELECT 8, 'dq', check_name, affected_rows, NULL FROM checks""",
+    "q_export_preview": f"""WITH {PROFILE}, {CHECKS},
+kpi AS ({KPI}),
+bands AS (SELECT * FROM ({ORACLE_BANDS})),
+summary AS (SELECT * FROM ({ORACLE_SUMMARY})),
+placed AS (
+  SELECT 'dq_results' AS table_name, check_id AS place, concat_ws(' | ', check_id, check_name, affected_rows) AS line FROM checks
+  UNION ALL SELECT 'cohort_funnel', 1, concat_ws(' | ', 1, 'All hospital encounters', count(*)) FROM staged
+  UNION ALL SELECT 'cohort_funnel', 2, concat_ws(' | ', 2, 'First encounter per patient', count(DISTINCT patient_nbr)) FROM staged
+  UNION ALL SELECT 'cohort_funnel', 3, concat_ws(' | ', 3, 'Excluding died / hospice and invalid gender', count(*)) FROM cohort
+  UNION ALL SELECT 'kpi_overall', 1, concat_ws(' | ', patients, readmitted_30d, readmission_rate_pct, avg_los_days, hba1c_tested_pct) FROM kpi
+  UNION ALL SELECT 'risk_band_validation', row_number() OVER (ORDER BY CASE risk_band[1] WHEN 'L' THEN 1 WHEN 'M' THEN 2 ELSE 3 END),
+    concat_ws(' | ', risk_band, patients, share_of_patients_pct, readmitted, readmission_rate_pct) FROM bands
+  UNION ALL SELECT 'hba1c_summary', row_number() OVER (ORDER BY hba1c_group), concat_ws(' | ', hba1c_group, patients, readmission_rate_pct) FROM summary
+)
+SELECT table_name, place::BIGINT AS place, line FROM placed""",
+    "q_export_cohort": f"WITH {COHORT} SELECT encounter_id, age_mid, los_days, prior_inpatient, readmitted_30d FROM cohort",
+    "q_export_statistics": f"""SELECT 'hba1c_adjusted' AS table_name, group_vs_not_tested AS name, odds_ratio, p_value FROM ({_adjusted_groups()})
+UNION ALL SELECT 'hba1c_by_diagnosis_adjusted', primary_diagnosis, adjusted_odds_ratio, p_value FROM ({_adjusted_strata()})""",
 }

@@ -7,6 +7,14 @@ from ..functions import CodeRule
 # Rows of the published raw table, reported against the rows loaded.
 EXPECTED_ENCOUNTERS = 101766
 
+# Columns of the raw table that the study reads.
+RAW_COLUMNS = [
+    "encounter_id", "patient_nbr", "race", "gender", "age", "weight", "admission_type_id", "discharge_disposition_id",
+    "admission_source_id", "time_in_hospital", "payer_code", "medical_specialty", "num_lab_procedures", "num_procedures",
+    "num_medications", "number_outpatient", "number_emergency", "number_inpatient", "diag_1", "number_diagnoses", "A1Cresult",
+    "insulin", "change", "diabetesMed", "readmitted",
+]
+
 # Order of the lookups in the stacked file.
 STACKED_LOOKUPS = ["admission_type", "discharge_disposition", "admission_source"]
 
@@ -149,3 +157,6 @@ METHODS = {
     "Prior inpatient stays only": "prior_inpatient",
 }
 ADJUST_NUMERIC = ["age_mid", "los_days", "prior_inpatient", "prior_emergency", "number_diagnoses"]
+
+# Parts of the report payload, in order.
+PAYLOAD_PARTS = ["kpi", "profile", "models", "deciles", "hba", "hbaAll", "funnel", "dq"]

@@ -29,7 +29,7 @@ from ..functions import (
 from ..operators.cohort import cohort_funnel, first_per_entity, index_cohort
 from ..operators.evaluate import compare_scores, decile_table, with_quantile
 from ..operators.exposure import exposure_by_stratum, exposure_groups, exposure_summary
-from ..operators.inference import Fit, Term, covariate_patterns, fit_terms, stratified_logit
+from ..operators.inference import Fit, Model, Term, covariate_patterns, fit_terms, named_terms, stratified_logit
 from ..operators.levels import top_level_names
 from ..operators.lookups import Lookup, attach_labels
 from ..operators.profile import kpi_row, rate_profile
@@ -283,7 +283,7 @@ def hba1c_by_diagnosis(members: DataFrame) -> DataFrame:
 
 
 def analysis_rows(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """The cohort with score, outcome, filled race, grouped specialty, exposure and test mark, written once.
+    """The cohort with score, outcome, filled race, grouped specialty, exposure and test mark, all written: fits read it many times.
 
     The specialties to keep are chosen over all rows, before the split.
     """
@@ -298,7 +298,7 @@ def analysis_rows(members: DataFrame, scratch: Scratch) -> DataFrame:
     )
     top = top_level_names(scored, "medical_specialty", V.TOP_SPECIALTIES)
     grouped = scored.withColumn("specialty_grp", keep_levels(F.col("medical_specialty"), top))
-    return stratified_split(grouped.select(*wanted), "encounter_id", "y", V.TEST_SHARE, V.SEED)
+    return scratch.table(stratified_split(grouped.select(*wanted), "encounter_id", "y", V.TEST_SHARE, V.SEED), "analysis")
 
 
 def fit_model(rows: DataFrame) -> RiskModel:
@@ -353,12 +353,16 @@ def adjusted_tested(patterns: DataFrame) -> Fit:
     return fit_terms(patterns, ["tested"], {"tested": _tested(), **_adjust()}, factors)
 
 
-def interaction(patterns: DataFrame, one: str = "Diabetes", other: str = "Circulatory") -> Term:
-    """Does the effect of testing differ between two diagnoses? The product term."""
-    pair = patterns.where(F.col("primary_diagnosis_group").isin(one, other))
+def _interaction(one: str = "Diabetes", other: str = "Circulatory") -> tuple[Model, str]:
+    """Does the effect of testing differ between two diagnoses? The model and its product term."""
     is_one = F.col("primary_diagnosis_group") == one
     product = {"tested": _tested(), "subgroup": is_one, "tested:subgroup": _tested() & is_one}
-    return fit_terms(pair, ["tested:subgroup"], {**product, **_adjust()}, _ADJUST_FACTORS)[0]
+    return Model({**product, **_adjust()}, _ADJUST_FACTORS, F.col("primary_diagnosis_group").isin(one, other)), "tested:subgroup"
+
+
+def interaction(patterns: DataFrame) -> Term:
+    model, term = _interaction()
+    return named_terms(patterns, {"": model}, {"": [term]})[""][0]
 
 
 _ODDS_SCHEMA = "odds_ratio double, ci95_low double, ci95_high double, p_value double"
@@ -397,17 +401,16 @@ def hba1c_tested_adjusted(patterns: DataFrame) -> DataFrame:
 
 def hba1c_by_diagnosis_adjusted(patterns: DataFrame) -> DataFrame:
     """A row for every diagnosis of the study, in its order."""
-    fits = stratified_logit(
-        patterns, "primary_diagnosis_group", V.MODEL_STRATA, "tested", _tested(), _adjust(), _ADJUST_FACTORS
+    *fits, (*_, product) = stratified_logit(
+        patterns, "primary_diagnosis_group", V.MODEL_STRATA, "tested", _tested(), _adjust(), _ADJUST_FACTORS, {"interaction": _interaction()}
     )
-    product = interaction(patterns)
     rows = [
         (
             name,
             n,
             *[r if r is None else 100 * r for r in rates],
             *fit[0].numbers(),
-            product.numbers()[-1],
+            product[0].numbers()[-1],
             *_fit_notes(fit[0], fit),
         )
         for name, n, *rates, fit in fits

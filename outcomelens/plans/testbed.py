@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import fixed_values as V
 from .hospital import RawTables
 
 # Declared, so that opening a table starts no job to read the schema from its files.
@@ -119,7 +120,7 @@ _ENCOUNTER = {
     "readmitted": "case when gap is null then 'NO' when gap < 30 then '<30' else '>30' end",
 }
 
-RAW_COLUMNS = list(_ENCOUNTER)
+RAW_COLUMNS = V.RAW_COLUMNS
 
 
 def encounters(spark: SparkSession, folder: str) -> DataFrame:

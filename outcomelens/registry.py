@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import job
 from .functions import round_half_even
-from .operators import evaluate, inference, levels, lookups, profile, quality, risk_model
+from .operators import evaluate, inference, levels, lookups, ordering, profile, quality, risk_model
 from .plans import fixed_values as V
 from .plans import hospital, testbed
 from .sources import (
     Scratch,
     export_csv,
     load_counts,
+    load_tables,
     read_lookup,
+    read_stacked,
     read_text_table,
-    report_payload,
     small_table,
     split_stacked,
 )
@@ -48,9 +51,6 @@ _CHECKED_COLUMNS = [
 ]
 
 
-_REPORT_COLUMNS = [*_CHECKED_COLUMNS, "age", "time_in_hospital", "number_inpatient", "number_emergency", "readmitted"]
-
-
 _PROFILE_COLUMNS = [
     "age_band", "primary_diagnosis_group", "admission_source_group", "discharge_group", "prior_inpatient",
     "prior_emergency", "los_days", "hba1c_tested", hospital.OUTCOME,
@@ -114,6 +114,32 @@ def q_stacked_sections(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def q_stacked_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A stacked file per part size, written line by line and read back over its splits."""
+    parts = testbed.table(spark, folder, "part")
+    key = F.col("p_partkey").cast("string")
+    quoted = lambda text: F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    texts = [F.concat("p_brand", F.lit(", new")), F.col("p_type"), F.concat(F.lit('the "'), "p_name", F.lit('"'))]
+    rows = [F.struct(F.lit(k).alias("part"), F.lit(1).alias("kind"), F.concat_ws(",", key, quoted(text)).alias("line")) for k, text in enumerate(texts)]
+    lines = parts.select(F.col("p_size").alias("file"), "p_partkey", F.inline(F.array(*rows)))
+    edges = [F.struct(F.lit(k).alias("part"), F.lit(kind).alias("kind"), F.lit(text).alias("line")) for k in range(3) for kind, text in ((0, "key,text"), (2, ",")) if (k, kind) != (2, 2)]
+    edges = parts.select(F.col("p_size").alias("file")).distinct().select("file", F.lit(0).cast("bigint").alias("p_partkey"), F.inline(F.array(*edges)))
+    out = Scratch(spark).folder("stacked")
+    placed = lines.unionByName(edges).repartition("file").sortWithinPartitions("file", "part", "kind", "p_partkey")
+    placed.select("file", "line").write.partitionBy("file").text(out)
+    read = read_stacked(spark, f"{out}/*/*.txt", ["brand", "type", "name"], "p_partkey bigint, description string", Scratch(spark), keep_file=True)
+    size = F.regexp_extract("file", r"/file=(\d+)/", 1).cast("int")
+    return read.select(size.alias("p_size"), "section", "p_partkey", "description")
+
+
+def q_load_written(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables written once and counted on the way, with the same claims as above."""
+    tables = {name: testbed.table(spark, folder, name) for name in ("region", "nation", "supplier", "part", "customer", "orders")}
+    _, counts = load_tables(tables, Scratch(spark), {"region": 5, "nation": 25, "supplier": 0})
+    check = F.when(F.col("as_expected"), "as expected").when(~F.col("as_expected"), "differs")
+    return counts.select("table_name", "n_rows", check.otherwise("nothing expected").alias("check"))
+
+
 # ---------------------------------------------------------------- staging
 
 
@@ -133,6 +159,22 @@ def q_code_groups(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def q_code_groups_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The same groups by mapping tables: one broadcast, the others joined as mappings too large for it are."""
+    scratch = Scratch(spark)
+    columns = ["encounter_id", "admission_type_id", "admission_source_id", "discharge_disposition_id"]
+    out = scratch.table(testbed.encounters(spark, folder).select(*columns), "codes")
+    groups = {
+        "admission_type_group": ("admission_type_id", V.ADMISSION_TYPE_GROUPS, V.ADMISSION_TYPE_DEFAULT, lookups.MAPPING_BYTES),
+        "admission_source_group": ("admission_source_id", V.ADMISSION_SOURCE_GROUPS, V.ADMISSION_SOURCE_DEFAULT, 0),
+        "discharge_group": ("discharge_disposition_id", V.DISCHARGE_GROUPS, V.DISCHARGE_DEFAULT, 0),
+    }
+    for name, (code, labels, default, most) in groups.items():
+        mapping = small_table(spark, [(c, label) for label, codes in labels.items() for c in codes], "code int, label string")
+        out = lookups.attach_groups(out, F.col(code).cast("int"), mapping, default, name, scratch, most)
+    return out.select(F.col("encounter_id").cast("bigint").alias("encounter_id"), *groups)
+
+
 def q_code_chapters(spark: SparkSession, folder: str) -> DataFrame:
     """Awkward codes made from events: letters, decimals, blanks, suffixes, padding, NULL."""
     events = testbed.table(spark, folder, "events")
@@ -317,6 +359,14 @@ def q_roc_points(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.roc_points(_scored_cohort(spark, folder, scratch), "lace_score", hospital.OUTCOME, scratch)
 
 
+def q_roc_bounded(spark: SparkSession, folder: str) -> DataFrame:
+    """The curve of a price over all lines, which turns at nearly every row, in 25 steps a side."""
+    scratch = Scratch(spark)
+    lines = testbed.table(spark, folder, "lineitem")
+    rows = scratch.table(lines.select("l_extendedprice", (F.col("l_quantity") > 25).alias("large")), "prices")
+    return evaluate.roc_points(rows, "l_extendedprice", "large", scratch, steps=25)
+
+
 def q_capture_top_frac(spark: SparkSession, folder: str) -> DataFrame:
     rows = _scored_cohort(spark, folder, Scratch(spark))
     return evaluate.capture_at(rows, "lace_score", hospital.OUTCOME, "encounter_id", V.FOLLOW_UP_SHARE)
@@ -329,6 +379,16 @@ def q_deciles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def q_global_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line's place by price per discount, infinite without one: many equal infinities, in several ranges."""
+    lines = testbed.table(spark, folder, "lineitem")
+    per = F.when(F.col("l_discount") == 0, F.lit(math.inf)).otherwise(F.col("l_extendedprice") / F.nullif("l_discount", F.lit(0.0)))
+    rows = lines.select("l_orderkey", "l_linenumber", per.alias("per_discount"))
+    order = ["per_discount", "l_orderkey", "l_linenumber"]
+    ranked = ordering.global_rank(rows, order, Scratch(spark), "place", {"lines_upto": "l_linenumber"}, range_rows=10_000)
+    return ranked.select("l_orderkey", "l_linenumber", "place", "lines_upto")
+
+
 def q_score_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """The comparison table for scores that need no model: whole numbers with many ties, and a ratio."""
     scratch = Scratch(spark)
@@ -348,27 +408,47 @@ def q_score_comparison(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- risk model
 
 
-def q_risk_model(spark: SparkSession, folder: str) -> DataFrame:
+def _model_scores(spark: SparkSession, folder: str) -> DataFrame:
     scratch = Scratch(spark)
     rows = _analysis(spark, folder, scratch)
     return hospital.scored_test_rows(rows, hospital.fit_model(rows), scratch)
 
 
+def q_risk_model(spark: SparkSession, folder: str) -> DataFrame:
+    return _model_scores(spark, folder).withColumn("model_risk", F.round("model_risk", 6))
+
+
 def q_odds_table(spark: SparkSession, folder: str) -> DataFrame:
     rows = _analysis(spark, folder, Scratch(spark))
-    return hospital.fit_model(rows).odds_table(rows)
+    return hospital.fit_model(rows).odds_table(rows).withColumn("odds_ratio", F.round("odds_ratio", 6))
+
+
+def q_score_equations(spark: SparkSession, folder: str) -> DataFrame:
+    """At the fit, weighted residuals times each feature add up to the penalty's pull; to the intercept's, nothing pulls."""
+    rows = _analysis(spark, folder, Scratch(spark))
+    train = rows.where(~F.col("is_test"))
+    model = hospital.fit_model(rows)
+    weight, _ = risk_model.balanced_weights(train, "y")
+    rest = weight * (F.col("y") - model.probability(train))
+    sums = {"intercept": F.sum(rest)} | {
+        name: F.sum(rest * x) - F.lit(b / risk_model.INVERSE_PENALTY)
+        for (name, x), b in zip(model.encoding.features(train).items(), model.coefficients, strict=True)
+    }
+    off = F.array(*[F.struct(F.lit(name).alias("feature"), (F.round(total, 4) + 0.0).alias("off")) for name, total in sums.items()])
+    return train.agg(off.alias("off")).select(F.inline("off"))
 
 
 def q_model_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    return hospital.model_comparison(q_risk_model(spark, folder), Scratch(spark))
+    return hospital.model_comparison(_model_scores(spark, folder), Scratch(spark))
 
 
 def q_model_deciles(spark: SparkSession, folder: str) -> DataFrame:
-    return hospital.risk_deciles(q_risk_model(spark, folder))
+    return hospital.risk_deciles(_model_scores(spark, folder)).withColumn("weighted_rate_pct", F.round("weighted_rate_pct", 6))
 
 
 def q_model_roc(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.roc_points(q_risk_model(spark, folder), "model_risk", "y", Scratch(spark))
+    points = evaluate.roc_points(_model_scores(spark, folder), "model_risk", "y", Scratch(spark))
+    return points.withColumn("threshold", F.round("threshold", 6))
 
 
 # ---------------------------------------------------------------- inference
@@ -446,49 +526,92 @@ def q_logit_stratified(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- report
 
 
+def _result_tables(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The result tables without the models', and the cohort."""
+    raw = _loaded(spark, folder, V.RAW_COLUMNS)
+    scratch = Scratch(spark)
+    members = scratch.table(hospital.cohort_from_raw(raw), "cohort")
+    return {
+        "kpi_overall": hospital.overall(members),
+        "readmission_profile": scratch.table(hospital.profile(members), "profile"),
+        "cohort_funnel": scratch.table(hospital.funnel(hospital.stage(raw)), "funnel"),
+        "dq_results": scratch.table(hospital.data_quality(raw), "dq"),
+        "risk_band_validation": hospital.score_bands(members),
+        "hba1c_summary": hospital.hba1c_summary(members),
+    }, members
+
+
 def q_report_payload(spark: SparkSession, folder: str) -> DataFrame:
-    """The payload of the SQL-made tables, read back and flattened to one row per record."""
-    raw = _loaded(spark, folder, _REPORT_COLUMNS)
-    staged = hospital.stage(raw)
-    members = Scratch(spark).table(hospital.cohort_from_raw(raw).select(*_PROFILE_COLUMNS), "cohort")
-    payload = report_payload(
-        spark,
-        {"kpi": hospital.overall(members)},
-        {
-            "profile": (hospital.profile(members), ["dimension", "category"]),
-            "funnel": (hospital.funnel(staged).drop("share_pct"), ["step"]),
-            "dq": (hospital.data_quality(raw), ["check_id"]),
-        },
-    )
+    """All parts of the payload, read back and flattened to one row per record and number: its part's place among the others, too."""
+    tables, members = _result_tables(spark, folder)
+    payload = job.payload_of(spark, tables | job.model_tables(members, Scratch(spark)))
     schema = (
         "kpi struct<patients: bigint, readmitted_30d: bigint, readmission_rate_pct: double>, "
         "profile array<struct<dimension: string, category: string, patients: bigint, readmission_rate_pct: double>>, "
+        "models array<struct<method: string, auc: double, readmissions_caught_top20_pct: double>>, "
+        "deciles array<struct<decile: int, patients: bigint, readmission_rate_pct: double>>, "
+        "hba array<struct<primary_diagnosis: string, patients: bigint, adjusted_odds_ratio: double, p_value: double>>, "
+        "hbaAll struct<odds_ratio: double, ci95_low: double, ci95_high: double, p_value: double>, "
         "funnel array<struct<description: string, encounters: bigint>>, "
         "dq array<struct<check_name: string, affected_rows: bigint>>"
     )
-    record = payload.select(F.from_json("payload", schema).alias("r")).select("r.*")
+    record = payload.select(F.from_json("payload", schema).alias("r"), F.json_object_keys("payload").alias("parts")).select("r.*", "parts")
 
-    def flat(part: str, name, count, rate=None):
+    def flat(part: str, name, count=None, rate=None):
         return F.struct(
+            F.array_position("parts", F.lit(part)).cast("int").alias("part"),
             F.lit(part).alias("section"),
             name.alias("name"),
-            count.alias("n_rows"),
-            (F.lit(None).cast("double") if rate is None else rate).alias("rate_pct"),
+            (F.lit(None).cast("bigint") if count is None else count).alias("n_rows"),
+            (F.lit(None).cast("double") if rate is None else rate).alias("value"),
         )
 
     kpi = F.array(flat("kpi", F.lit("all"), F.col("kpi.patients"), F.col("kpi.readmission_rate_pct")))
     rates = F.transform(
         "profile",
-        lambda p: flat(
-            "profile",
-            F.concat_ws(": ", p["dimension"], p["category"]),
-            p["patients"],
-            p["readmission_rate_pct"],
-        ),
+        lambda p: flat("profile", F.concat_ws(": ", p["dimension"], p["category"]), p["patients"], p["readmission_rate_pct"]),
     )
+
+    def numbers(part: str, name: str, column: str, count: str | None = None):
+        return F.transform(part, lambda r: flat(part, F.concat(r[name], F.lit(f": {column}")), r[count] if count else None, r[column]))
+
+    models = [numbers("models", "method", c) for c in ("auc", "readmissions_caught_top20_pct")]
+    deciles = F.transform("deciles", lambda d: flat("deciles", d["decile"].cast("string"), d["patients"], d["readmission_rate_pct"]))
+    strata = [numbers("hba", "primary_diagnosis", c, "patients") for c in ("adjusted_odds_ratio", "p_value")]
+    tested = F.array(*[flat("hbaAll", F.lit(c), None, F.col(f"hbaAll.{c}")) for c in ("odds_ratio", "ci95_low", "ci95_high", "p_value")])
     steps = F.transform("funnel", lambda f: flat("funnel", f["description"], f["encounters"]))
     checks = F.transform("dq", lambda d: flat("dq", d["check_name"], d["affected_rows"]))
-    return record.select(F.inline(F.concat(kpi, rates, steps, checks)))
+    return record.select(F.inline(F.concat(kpi, rates, *models, deciles, *strata, tested, steps, checks)))
+
+
+def q_export_preview(spark: SparkSession, folder: str) -> DataFrame:
+    """Small result tables exported in the study's order and read back as they stand in their files."""
+    tables, _ = _result_tables(spark, folder)
+    out = Scratch(spark).folder("export")
+    names = [name for name in job.PREVIEWED if name in tables]
+    export_csv({name: tables[name] for name in names}, out, order=job.sort_orders())
+    return job.preview_lines(spark, out, names, hidden=("handling", "share_pct"))
+
+
+def q_export_cohort(spark: SparkSession, folder: str) -> DataFrame:
+    """The cohort exported row by row and read again with the few columns that the models' comparison needs."""
+    out = Scratch(spark).folder("export")
+    export_csv({"cohort": _cohort(spark, folder)}, out, row_level=["cohort"])
+    return spark.read.parquet(f"{out}/cohort").select("encounter_id", "age_mid", "los_days", "prior_inpatient", hospital.OUTCOME)
+
+
+def q_export_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables of adjusted odds ratios exported and read again, typed."""
+    patterns = _patterns(spark, folder)
+    tables = {"hba1c_adjusted": hospital.hba1c_adjusted(patterns), "hba1c_by_diagnosis_adjusted": hospital.hba1c_by_diagnosis_adjusted(patterns)}
+    out = Scratch(spark).folder("export")
+    export_csv(tables, out, order=job.sort_orders())
+    found = []
+    for name, df in tables.items():
+        read = read_lookup(spark, f"{out}/{name}", ", ".join(f"{c} {kind}" for c, kind in df.dtypes))
+        columns = [c for c in df.columns if c in ("odds_ratio", "adjusted_odds_ratio", "p_value")]
+        found.append(read.select(F.lit(name).alias("table_name"), F.col(df.columns[0]).alias("name"), *[F.col(c).alias(c.removeprefix("adjusted_")) for c in columns]))
+    return found[0].unionByName(found[1])
 
 
 QUERIES: dict[str, Query] = {name: fn for name, fn in list(globals().items()) if name.startswith("q_")}

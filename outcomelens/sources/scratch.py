@@ -2,7 +2,7 @@
 
 A result that several jobs read is written once, as Parquet, to the shared folder the cluster names
 in ``spark.checkpoint.dir``: lineage ends there and later jobs prune its columns. A session without that
-setting uses a folder in its warehouse, which is shared as well.
+setting uses a folder in its warehouse, which is shared as well unless it is a local folder: that is refused on a cluster.
 """
 
 from __future__ import annotations
@@ -16,7 +16,10 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith(("file:", "/")) and not context.master.startswith("local"):
+            raise ValueError(f"executors do not share {warehouse}: set spark.checkpoint.dir to a folder that they do")
+        folder = f"{warehouse.rstrip('/')}/_scratch"
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 

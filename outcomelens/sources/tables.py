@@ -6,10 +6,12 @@ from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import Scratch
+
 
 def read_text_table(
     spark: SparkSession,
@@ -56,6 +58,22 @@ def load_counts(tables: Mapping[str, DataFrame], expected: Mapping[str, int] | N
     )
 
 
+def load_tables(
+    tables: Mapping[str, DataFrame], scratch: Scratch, expected: Mapping[str, int] | None = None
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every table written once, and the counts of ``load_counts``, taken while writing: no table is read a second time for them."""
+    written, counts = {}, []
+    for name, df in tables.items():
+        rows = Observation()
+        written[name] = scratch.table(df.observe(rows, F.count(F.lit(1)).alias("n_rows")), "loaded")
+        counts.append((name, rows.get["n_rows"], (expected or {}).get(name)))
+    if not counts:
+        raise ValueError("no tables")
+    session = next(iter(written.values())).sparkSession
+    table = small_table(session, counts, "table_name string, n_rows bigint, expected_rows bigint")
+    return written, table.withColumn("as_expected", F.col("n_rows") == F.col("expected_rows"))
+
+
 def export_csv(
     tables: Mapping[str, DataFrame],
     folder: str,

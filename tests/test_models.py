@@ -9,14 +9,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from outcomelens.operators.inference import (
+    Model,
+    NotEstimable,
     Term,
     covariate_patterns,
     fit_logit,
+    fit_models,
     fit_terms,
     stratified_logit,
     term_table,
 )
-from outcomelens.operators.risk_model import fit_risk_model, learn_encoding, sized_for_solver
+from outcomelens.operators.newton import Design, packed_rows, sized_for_solver, solve
+from outcomelens.operators.risk_model import _assembled, fit_risk_model, learn_encoding
 
 
 def newton(x, y, w=None, penalty=0.0):
@@ -197,10 +201,10 @@ def test_risk_model(df, sample):
     y = np.array([r[5] for r in sample], float)
     w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
     beta, _ = newton(x, y, w, penalty=1 / 0.5)
-    assert np.allclose(model.model.coefficients.toArray(), beta[1:], atol=1e-5)
+    assert np.allclose([model.intercept, *model.coefficients], beta, atol=1e-9)
     risk = {r.id: r.model_risk for r in model.score(df).select("id", "model_risk").collect()}
     want = 1 / (1 + np.exp(-np.column_stack([np.ones(len(y)), x]) @ beta))
-    assert np.allclose([risk[i] for i in range(len(y))], want, atol=1e-5)
+    assert np.allclose([risk[i] for i in range(len(y))], want, atol=1e-9)
     odds = model.odds_table(df).collect()
     assert [r.odds_ratio for r in odds] == sorted((r.odds_ratio for r in odds), reverse=True)
 
@@ -218,3 +222,75 @@ def test_boolean_levels_and_constant_numbers(spark):
     encoding = learn_encoding(train, ["same"], ["flag"])
     assert list(encoding.dummies(train)) == ["flag_True"]
     assert [r[0] for r in train.select(encoding.numeric()["same"]).collect()] == [0.0, 0.0]
+
+
+def test_wide_models_take_sparse_vectors_to_the_quasi_newton_solver(df):
+    """The same model either way; the scores' plan has no Python and no vectors."""
+    one = fit_risk_model(df, ["age", "stays"], ["grp", "place"], "y")
+    other = fit_risk_model(df, ["age", "stays"], ["grp", "place"], "y", newton=0)
+    assert one.names == other.names and np.allclose(one.coefficients, other.coefficients, atol=1e-5)
+    vector = _assembled(df, other.encoding).select("features").first()[0]
+    assert type(vector).__name__ == "SparseVector" or vector.size == len(other.names)
+    plan = one.score(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "UDF" not in plan
+
+
+def test_thousands_of_levels(spark):
+    rows = [(k, f"l{k % 2000}", k % 7, int(k % 3 == 0)) for k in range(6000)]
+    df = spark.createDataFrame(rows, "id int, level string, x int, y int")
+    model = fit_risk_model(df, ["x"], ["level"], "y")
+    assert len(model.names) == 2000 and model.score(df).agg(F.avg("model_risk")).first()[0] == pytest.approx(0.5, abs=0.02)
+
+
+def test_many_models_in_the_same_passes(df, sample):
+    """One stratum or all: the slowest fit tells how many jobs there are, and the fits are those of each alone."""
+    patterns = covariate_patterns(df, "y", ["age", "stays", "grp", "place"]).cache()
+    exposed, numeric = F.col("grp") != "none", {"age": F.col("age"), "stays": F.col("stays")}
+    context = df.sparkSession.sparkContext
+    jobs, found = [], []
+    for strata in (["care"], ["care", "home", "ward"]):
+        context.setJobGroup(f"strata {len(strata)}", "")
+        out = stratified_logit(patterns, "place", strata, "t", exposed, numeric, {})
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"strata {len(strata)}")))
+        found.append({name: fit[0] for name, *_, fit in out})
+    context.setJobGroup("", "")
+    assert jobs[1] <= jobs[0] + 4
+    assert found[0]["care"].estimate == pytest.approx(found[1]["care"].estimate, abs=1e-10)
+
+
+def test_models_of_other_rows_and_factors(df):
+    patterns = covariate_patterns(df, "y", ["age", "stays", "grp", "place"])
+    models = {
+        "all": Model({"age": F.col("age")}, {"grp": "none"}),
+        "care": Model({"stays": F.col("stays"), "age": F.col("age")}, {}, F.col("place") == "care"),
+        "nowhere": Model({"age": F.col("age")}, {"grp": None}, F.col("place") == "nowhere"),
+        "constant": Model({"x": F.lit(1)}, {}),
+    }
+    fits = fit_models(patterns, models)
+    alone = fit_logit(patterns, {"age": F.col("age")}, {"grp": "none"})
+    assert [(t.name, round(t.estimate, 9)) for t in fits["all"]] == [(t.name, round(t.estimate, 9)) for t in alone]
+    care = fit_logit(patterns.where("place = 'care'"), {"stays": F.col("stays"), "age": F.col("age")}, {})
+    assert [t.se for t in fits["care"]] == pytest.approx([t.se for t in care], abs=1e-9)
+    assert isinstance(fits["nowhere"], NotEstimable) and isinstance(fits["constant"], NotEstimable)
+
+
+def test_steps_that_overshoot_are_halved(spark):
+    """Newton's first step from 0 is too long here; the likelihood still ends at its maximum."""
+    rows = [(1.0, 1000, 1000), (-30.0, 5, 0), (2.0, 4000, 3990), (-1.0, 1, 1)]
+    df = spark.createDataFrame(rows, "x double, n long, events long")
+    design = Design({"x": F.col("x")})
+    (found,) = solve(packed_rows(df, [design], F.col("events"), F.col("n")), [design])
+    x = np.array([[1, r[0]] for r in rows])
+    n, e = (np.array([r[k] for r in rows], float) for k in (1, 2))
+    chance = 1 / (1 + np.exp(-x @ found.estimates))
+    assert np.abs(x.T @ (e - n * chance)).max() < 1e-4 * n.sum()
+    assert found.determined
+
+
+def test_designs_too_wide_and_rows_that_take_no_part(spark):
+    df = spark.createDataFrame([(1.0, 2, 1)], "x double, n long, events long")
+    none = Design({"x": F.col("x")}, rows=F.lit(False))
+    (found,) = solve(packed_rows(df, [none], F.col("events"), F.col("n")), [none])
+    assert not found.determined
+    with pytest.raises(ValueError, match="columns"):
+        solve(df, [Design({}, {"f": (F.col("x"), [str(k) for k in range(3000)])})])

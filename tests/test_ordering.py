@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from outcomelens.operators import ordering
 from outcomelens.operators.evaluate import auc, capture_at, compare_scores, decile_table, roc_points, with_quantile
-from outcomelens.operators.ordering import after, order_statistics, running_totals
+from outcomelens.operators.ordering import after, global_rank, order_statistics, running_totals
 from outcomelens.operators.risk_model import balanced_weights
 from outcomelens.operators.split import class_sizes, hash_order, stratified_split
 
@@ -225,3 +226,79 @@ def test_split_is_exact_and_repeatable(spark):
     for y, size in class_sizes({0: 3556, 1: 445}, 0.25).items():
         members = sorted((i for i in range(4001) if (i % 9 == 0) == bool(y)), key=lambda i: (order[i], i))
         assert sorted(members[:size]) == [i for i in ids if (i % 9 == 0) == bool(y)]
+
+
+INF = math.inf
+
+
+def _infinite(n: int = 6000, seed: int = 9) -> list[tuple[float, int, int]]:
+    """A seventh of all scores is infinite, some are minus infinite."""
+    rnd = random.Random(seed)
+    scores = [INF if k % 7 == 0 else -INF if k % 50 == 1 else round(rnd.gauss(0, 5), 1) for k in range(n)]
+    return [(s, i, int(rnd.random() < 0.2)) for s, i in zip(scores, rnd.sample(range(10**6), n), strict=True)]
+
+
+@pytest.mark.parametrize("fetch_limit", [1, 2000])
+def test_infinite_scores_end(spark, fetch_limit):
+    rows = _infinite()
+    df = _frame(spark, rows, "score double, id bigint, y int")
+    places = [1, 100, 121, 2500, 5142, 5143, 5999, 6000]
+    found = order_statistics(df, ["score", "id"], lambda n: [(None, p) for p in places], fetch_limit=fetch_limit)
+    ordered = sorted((s, i) for s, i, _ in rows)
+    assert found == [ordered[p - 1] for p in places]
+    only = _frame(spark, [(INF, k) for k in range(3000)] + [(-INF, 5000)], "score double, id bigint")
+    assert order_statistics(only, ["score", "id"], lambda n: [(None, 1), (None, 2), (None, 3001)]) == [(-INF, 5000), (INF, 0), (INF, 2999)]
+
+
+def test_evaluation_with_infinite_scores(spark, scratch):
+    rows = _infinite()
+    df = scratch.table(_frame(spark, rows, "score double, id bigint, y int"))
+    top = sorted(rows, key=lambda r: (-r[0], r[1]))[: int(len(rows) * 0.2)]
+    caught = capture_at(df, "score", "y", "id", 0.2).first()
+    assert (caught.followed_up, caught.events_caught) == (len(top), sum(r[2] for r in top))
+    tenths = {r.id: r.decile for r in with_quantile(df, "score", "id").collect()}
+    ordered = [i for _, i, _ in sorted(rows)]
+    assert [tenths[i] for i in ordered] == sorted(tenths.values())
+    assert [r.patients for r in decile_table(with_quantile(df, "score", "id"), "decile", "y").collect()] == [600] * 10
+    compared = compare_scores(df, {"m": "score"}, "y", "id", scratch).first()
+    assert 0 < compared.auc < 1
+
+
+@pytest.mark.parametrize("range_rows", [None, 100])
+def test_global_rank_is_a_sort(spark, scratch, range_rows):
+    rows = _infinite(3000) + [(math.nan, 10**7, 1), (None, 10**7 + 1, 0)]
+    df = _frame(spark, rows, "score double, id bigint, y int").repartition(5)
+    got = global_rank(df, ["score", "id"], scratch, "place", {"upto": "y"}, range_rows).collect()
+    key = lambda r: (r[0] is not None, r[0] is not None and math.isnan(r[0]), 0 if r[0] is None or math.isnan(r[0]) else r[0], r[1])
+    total, want = 0, {}
+    for place, row in enumerate(sorted(rows, key=key), 1):
+        total += row[2]
+        want[row[1]] = (place, total)
+    assert {r.id: (r.place, r.upto) for r in got} == want
+
+
+def test_global_rank_orders_as_told_and_splits_ties(spark, scratch):
+    rows = [("b" if k % 3 else None, k) for k in range(900)]
+    df = _frame(spark, rows, "name string, id int")
+    got = global_rank(df, [F.col("name").asc_nulls_last()], scratch, range_rows=100)
+    ranges = spark.read.parquet(next(p for p in scratch.paths if "ranges" in p)).groupBy("_range").count().collect()
+    assert max(r["count"] for r in ranges) < 300  # a range has about 100, however many are equal
+    assert sorted(r.rank for r in got.collect()) == list(range(1, 901))
+    assert {r.rank for r in got.where("name is null").collect()} == set(range(601, 901))
+    assert global_rank(df.where("id < 0"), ["id"], scratch).count() == 0
+
+
+def test_bounded_curves(spark, scratch):
+    rnd = random.Random(5)
+    rows = [(rnd.gauss(y, 1.5), y) for y in (int(rnd.random() < 0.3) for _ in range(4000))]
+    df = scratch.table(_frame(spark, rows, "score double, y int"))
+    n, full, tp, fp = [sum(y == k for _, y in rows) for k in (0, 1)], [(INF, 0.0, 0.0)], 0, 0
+    for x, y in sorted(rows, reverse=True):
+        tp, fp = tp + y, fp + 1 - y
+        full.append((x, tp / n[1], fp / n[0]))
+    for steps in (10, 40):
+        cut = sorted(map(tuple, roc_points(df, "score", "y", scratch, steps).collect()), reverse=True)
+        assert set(cut) <= set(full) and len(cut) <= 2 * steps + 2 and cut[0] == full[0] and cut[-1] == full[-1]
+        assert max(min(max(abs(a[1] - b[1]), abs(a[2] - b[2])) for b in cut[1:]) for a in full[1:]) <= 1 / steps
+    few = scratch.table(df.withColumn("score", F.round("score", 0)))
+    assert roc_points(few, "score", "y", scratch, 40).count() == roc_points(few, "score", "y", scratch).count()
