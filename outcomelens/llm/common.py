@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
@@ -33,13 +35,16 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-#: Tables of at most so many rows of a few numbers are broadcast, after they were counted.
-SMALL = 1_000_000
+#: Tables of at most so many bytes are broadcast, after they were measured.
+SMALL = 32 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """Marks a table for broadcast if it was counted to be small."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+    """Marks a table of numbers and short texts for broadcast if it was measured to be small."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    width = 24 + 8 * len(df.columns)
+    size = df.agg(F.coalesce(F.sum(reduce(Column.__add__, texts, F.lit(width)).cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= SMALL else df
 
 
 def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -75,6 +80,31 @@ def sampled(rows: DataFrame, group: str, counts: dict, most: int, order: Column,
     return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_order")
 
 
+def told_apart(rows: DataFrame, scratch: Scratch, key: list[str], most: int) -> DataFrame:
+    """Adds ``_copy``: where more than ``most`` rows of a written table are equal in ``key``, their number from 0 without gaps; else 0.
+
+    Equal rows are numbered by blocks of about ``most``, so none of them meet in one task, and which number a row gets does not matter.
+    """
+    equal = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    equal = equal.select(*[F.col(c).alias(f"_e{k}") for k, c in enumerate(key)], "_n", F.monotonically_increasing_id().alias("_equal"))
+    equal = scratch.table(equal, "equal")
+    if equal.isEmpty():
+        return rows.withColumn("_copy", F.lit(0).cast("long"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_e{k}")) for k, c in enumerate(key)])
+    equal = bounded(equal)
+    parts = keyed(rows, scratch).join(equal, same).drop(*[f"_e{k}" for k in range(len(key))])
+    parts = parts.withColumn("_part", F.pmod(F.xxhash64("_file", "_at"), F.ceil(F.col("_n") / most)))
+    sizes = parts.groupBy("_equal", "_part").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy("_equal").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        F.col("_equal").alias("_on"), F.col("_part").alias("_of"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base")
+    )
+    place = F.row_number().over(Window.partitionBy("_equal", "_part").orderBy("_file", "_at")) - 1
+    parts = parts.withColumn("_place", place).join(sizes, (F.col("_equal") == F.col("_on")) & (F.col("_part") == F.col("_of")))
+    parts = parts.select(*rows.columns, (F.col("_place") + F.col("_base")).cast("long").alias("_copy"))
+    return rows.join(equal, same, "left_anti").withColumn("_copy", F.lit(0).cast("long")).unionByName(parts)
+
+
 def numbered(
     df: DataFrame, scratch: Scratch, groups: list[str], key: list[str], name: str, rows_per_block: int = 50_000
 ) -> DataFrame:
@@ -82,11 +112,17 @@ def numbered(
 
     Rows fall into blocks by a hash of ``key``; they are numbered within their block, and a block starts
     where the ones before it end. So no task sorts a whole group, however large. The numbers depend on
-    the rows only. Rows equal in ``key`` share a block and are numbered in any order.
+    the rows only. Rows equal in ``key`` are numbered in any order; where a block's worth of them is equal, they
+    are dealt out by a number each.
     """
     rows = scratch.table(df, "numbered")
     blocks = max(1, -(-rows.count() // rows_per_block))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64(*key, F.lit(11)), F.lit(blocks)))
+    block = F.pmod(F.xxhash64(*key, F.lit(11)), F.lit(blocks))
+    if not rows.groupBy(block).count().where(F.col("count") > 2 * rows_per_block).isEmpty():
+        rows = scratch.table(told_apart(rows, scratch, [*groups, *key], rows_per_block // 2), "numbered")
+        apart = F.when(F.col("_copy") > 0, F.xxhash64(*key, F.lit(11), "_copy")).otherwise(F.xxhash64(*key, F.lit(11)))
+        block = F.pmod(apart, F.lit(blocks))
+    rows = rows.withColumn("_block", block)
     place = Window.partitionBy(*groups).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy(*groups, "_block")

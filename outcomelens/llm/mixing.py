@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import global_rank
 from ..sources.scratch import Scratch
-from .common import bounded, words
+from .common import bounded, keyed, told_apart, words
 
 #: Weights by the sources' code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -26,32 +27,31 @@ BLOCK = 4096
 _NEAR = 1e-9
 
 
-def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def targets(
+    rows: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, range_rows: int | None = None
+) -> DataFrame:
     """(source, documents, source_size, target) from rows with (source, size).
 
     Sources share ``share`` times all sizes by weight, null last in their order; a target stops at ``most`` times
     its source's size and the excess goes to the others by weight. The level at which that ends follows from
-    running sums over the sources in the order in which they fill up. One row per source is all that meets in a window.
+    running sums over the sources in the order in which they fill up. Sources are numbered and summed by ranges (of ``range_rows``), so
+    there may be as many of them as documents.
     """
     if not 0 < share <= most:
         raise ValueError("the sources cannot fill the mix")
     sources = rows.groupBy("source").agg(F.count("*").alias("documents"), F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    cap = F.col("source_size") * F.lit(float(most))
-    full = Window.orderBy("_ratio", "_rank")
-    everything = Window.partitionBy()
-    sources = (
-        sources.withColumn("_rank", rank)
-        .withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int")))
-        .withColumn("_cap", cap)
-        .withColumn("_ratio", F.col("_cap") / F.col("_weight"))
-        .withColumn("_all", F.sum("source_size").over(everything) * F.lit(float(share)))
-        .withColumn("_filled", F.coalesce(F.sum("_cap").over(full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("_open", F.sum("_weight").over(full.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("_level", (F.col("_all") - F.col("_filled")) / F.col("_open"))
-        .withColumn("_level", F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", "_rank", "_level"))).over(everything)["_level"])
-    )
-    target = F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("_level") * F.col("_weight")))
+    sources = global_rank(sources, [F.col("source").asc_nulls_last()], scratch, "_rank", range_rows=range_rows)
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("_rank") - 1) % len(weights) + 1).cast("int"))
+    sources = sources.withColumn("_weight", weight).withColumn("_cap", F.col("source_size") * F.lit(float(most)))
+    sources = sources.withColumn("_ratio", F.col("_cap") / F.col("_weight"))
+    filling = {"_caps": "_cap", "_weights": "_weight"}
+    sources = scratch.table(global_rank(sources, ["_ratio", "_rank"], scratch, "_place", filling, range_rows), "filling")
+    size, weight = sources.agg(F.sum("source_size"), F.sum("_weight")).first()
+    still = F.lit(float((size or 0) * share)) - (F.col("_caps") - F.col("_cap"))
+    level = still / (F.lit(weight or 1) - F.col("_weights") + F.col("_weight"))
+    # the first source, in that order, that does not fill up
+    first = sources.withColumn("_level", level).where("_ratio >= _level").agg(F.min_by("_level", "_place")).first()[0]
+    target = F.col("_cap") if first is None else F.least("_cap", F.lit(first) * F.col("_weight"))
     return sources.select("source", "documents", "source_size", target.cast("double").alias("target"))
 
 
@@ -124,14 +124,17 @@ def mix(docs: DataFrame, scratch: Scratch, seed: int = 0, block: int = BLOCK, ke
     same result; rows equal in all columns read are interchangeable. Columns ``keys`` are passed on; others are not read.
     """
     rows = scratch.table(docs.select("doc_id", "source", words(F.col("text")).alias("size"), *keys), "sizes")
-    goal = bounded(scratch.table(targets(rows), "targets").withColumnRenamed("source", "_source"))
+    # where very many rows have one id and size, each has a number of its own to be dealt out by
+    rows = told_apart(rows, scratch, ["doc_id", "source", "size"], max(1, block // 4))
+    goal = bounded(scratch.table(targets(rows, scratch), "targets").withColumnRenamed("source", "_source"))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(2.0))).otherwise(0.0)
     rows = (
         rows.join(goal, F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
         .withColumn("copies", F.floor(rate).cast("long"))
         .withColumn("chance", rate - F.floor(rate))
-        .withColumn("_order", F.xxhash64("doc_id", "size", F.lit(seed)))
+        .withColumn("_order", F.when(F.col("_copy") > 0, F.xxhash64("doc_id", "size", "_copy", F.lit(seed))).otherwise(F.xxhash64("doc_id", "size", F.lit(seed))))
+        .drop("_copy")
     )
     done, last = [], False
     while not last:
@@ -163,12 +166,15 @@ def mix(docs: DataFrame, scratch: Scratch, seed: int = 0, block: int = BLOCK, ke
 def mixed(docs: DataFrame, scratch: Scratch, seed: int = 0) -> DataFrame:
     """The mix itself: the documents' rows with all their columns, each as often as it is taken.
 
-    Every row has a key of its own in a written table, so rows that share a doc_id, or have none, each keep their own count.
+    Every row has a key of its own, its place in the files it is read from, so rows that share a doc_id, or have none, each keep their
+    own count, and texts are written only where they come from no file.
     """
-    rows = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    counts = mix(rows, scratch, seed, keys=("_row",))
+    plain = keyed(docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), scratch)
+    read = {name: F.col(f"c{docs.columns.index(name)}").alias(name) for name in ("doc_id", "source", "text")}
+    counts = mix(plain.select(*read.values(), "_file", "_at"), scratch, seed, keys=("_file", "_at"))
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
-    times = counts.select(F.col("_row").alias("_id"), times.alias("_times"))
+    times = counts.select("_file", "_at", times.alias("_times"))
     times = bounded(scratch.table(times.where("_times > 0"), "times"))
-    rows = rows.join(times, F.col("_row") == F.col("_id"))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = plain.join(times, ["_file", "_at"])
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return rows.select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(docs.columns)])

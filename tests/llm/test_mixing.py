@@ -104,3 +104,35 @@ def test_rows_that_share_an_id_keep_their_own_counts(spark, scratch):
     size = {k: 1 + k % 50 for *_, k in rows}
     assert set(taken) == set(size) and max(taken.count(k) for k in size) == 2
     assert abs(sum(size[k] for k in taken) - 1.5 * sum(size.values())) <= 50
+
+
+def test_targets_by_ranges_of_sources(spark, scratch):
+    r = random.Random(8)
+    rows = [(k, " ".join(["w"] * r.randrange(30)), f"s{r.randrange(300)}" if k % 50 else None, "t") for k in range(900)]
+    size, target = expected_targets(rows)
+    sizes = spark.createDataFrame(rows, SCHEMA).select("source", M.words(M.F.col("text")).alias("size"))
+    got = M.targets(sizes, scratch, range_rows=40).collect()
+    assert {x.source: x.source_size for x in got} == size
+    assert all(x.target == pytest.approx(target[x.source], abs=1e-6) for x in got)
+
+
+def test_many_rows_alike_are_dealt_out(spark, scratch):
+    """A third of all rows without an id and of one size: no block has more than its share."""
+    block = 256
+    rows = [(None, "a b c", "hot", "t")] * 6000 + [(k, "w " * (k % 20), "hot", "t") for k in range(6000)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    apart = M.told_apart(scratch.table(docs.select("doc_id", "source")), scratch, ["doc_id", "source"], block // 4)
+    numbers = sorted(x[0] for x in apart.where("doc_id is null").select("_copy").collect())
+    assert numbers == list(range(6000)) and apart.where("doc_id is not null and _copy <> 0").isEmpty()
+    got = M.mix(docs, scratch, block=block).collect()
+    total = sum(len(t.split()) for _, t, *_ in rows)
+    assert len(got) == 12_000 and abs(sum(x.taken for x in got) - 1.5 * total) <= 20
+    again = M.mix(docs.repartition(3), scratch, block=block).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
+def test_very_long_text_and_ties(spark, scratch):
+    rows = [(1, "w " * 400_000, "a", "t"), (2, "w " * 400_000, "a", "t"), (3, "w", "b", "t"), (4, "w", "b", "t")]
+    got = {x.doc_id: x for x in M.mix(spark.createDataFrame(rows, SCHEMA), scratch).collect()}
+    assert got[1].size == 400_000 and got[1].source_size == 800_000 and got[3].target == 4.0
+    assert got[1].taken + got[2].taken == 1_200_000 and got[3].taken + got[4].taken == 4
