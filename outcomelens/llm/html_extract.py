@@ -9,6 +9,9 @@ the same way, so all pages of a host count and only wrappers are shuffled.
 A text that recurs at its kind of node on nearly all pages is template: the pages of every text are counted, none left out. Varying slots are content, those of menus, adverts,
 footers and the like excepted; the content's root is the deepest container outside of which no varying text stands but
 in links, or an article or main element that holds half of it. A page's content is what aligns with that root.
+
+Names of classes and ids are a prior: where all words of a name say the same, the element goes; where others stand beside them, it
+goes if pages of its host have it throughout.
 """
 
 from __future__ import annotations
@@ -74,6 +77,13 @@ _WORDS = frozenset(
     "gdpr notice notices popup modal overlay newsletter subscribe subscription social share sharing related recommended "
     "recommendations widget toolbar pagination pager login signup signin search copyright".split()
 )
+#: Words that say nothing about what an element is. A name of these and of the words above names a kind of element for sure; with any other
+#: word in it, it may be the article's own matter (the history of social work, the law of copyright) and recurrence decides.
+_PLAIN = frozenset(
+    "area bar block body bottom box button buttons card cell center col column container content count div entry feed fixed footer form "
+    "frame global grid group header holder icon icons inline inner item items label left link links list main middle module outer page "
+    "panel primary right row rows secondary section site slot small sticky tab text thread title top unit view wrap wrapper zone".split()
+)
 #: After a name stand attributes. A quote opens a string only right after an equals sign; elsewhere it is a character like any other, and so
 #: is one that never ends.
 _TAG = re.compile(
@@ -88,17 +98,16 @@ _SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 class Node:
     """An element: its children are elements and texts."""
 
-    __slots__ = ("tag", "label", "dropped", "children", "weight")
+    __slots__ = ("tag", "label", "dropped", "suspect", "children", "weight")
 
-    def __init__(self, tag: str, label: str = "", dropped: bool = False):
-        self.tag, self.label, self.dropped, self.children, self.weight = tag, label or tag, dropped, [], -1
+    def __init__(self, tag: str, label: str = "", dropped: bool = False, suspect: bool = False):
+        self.tag, self.label, self.dropped, self.suspect, self.children, self.weight = tag, label or tag, dropped, suspect, [], -1
 
 
 def _element(tag: str, rest: str) -> Node:
     if "=" not in rest and "hidden" not in rest:
         return Node(tag, tag, tag in _DROPPED)
-    names: list[str] = []
-    dropped = tag in _DROPPED
+    dropped, suspect = tag in _DROPPED, False
     identity = ""
     for match in _ATTRIBUTE.finditer(rest):
         name = match[1].lower()
@@ -106,7 +115,11 @@ def _element(tag: str, rest: str) -> Node:
             continue
         value = match[2] or match[3] or match[4] or ""
         if name in ("class", "id"):
-            names += [w.lower() for w in _SPLIT.split(value) if w]
+            for name in value.split():
+                found = {w.lower() for w in _SPLIT.split(name) if w and not w.isdigit()}
+                if not found.isdisjoint(_WORDS):
+                    sure = found <= _WORDS | _PLAIN
+                    dropped, suspect = dropped or sure, suspect or not sure
             identity += "." + " ".join(sorted(re.sub(r"[0-9]+", "0", value).split()))
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             dropped = True
@@ -114,7 +127,7 @@ def _element(tag: str, rest: str) -> Node:
             dropped |= value.lower() in _ROLES
         elif name == "style":
             dropped |= "display:none" in value.replace(" ", "").lower()
-    return Node(tag, tag + identity, dropped or not _WORDS.isdisjoint(names))
+    return Node(tag, tag + identity, dropped, suspect)
 
 
 def parse(html: str) -> Node:
@@ -214,6 +227,32 @@ def _spare_main(node: Node, whole: int, in_article: bool = False) -> None:
             _spare_main(child, whole, in_article or child.tag in ("article", "main"))
 
 
+def _settle(node: Node, template: frozenset[int], in_article: bool = False) -> None:
+    """Elements whose names only suggest what they are: those that recur on the host's pages go, and outside of the article, where no
+    host tells, all."""
+    for child in node.children:
+        if type(child) is str or child.dropped:
+            continue
+        if child.suspect and (suspicion(child) in template or not (template or in_article)):
+            child.dropped = True
+        else:
+            _settle(child, template, in_article or child.tag in ("article", "main"))
+
+
+def suspicion(node: Node) -> int:
+    """Code under which the pages with such an element are counted."""
+    return code_of("?", node.label)
+
+
+def suspects(node: Node) -> Iterator[int]:
+    """Codes of the suspect elements in it."""
+    for child in node.children:
+        if type(child) is not str and not child.dropped:
+            if child.suspect:
+                yield suspicion(child)
+            yield from suspects(child)
+
+
 def tidy(text: str) -> str:
     return " ".join(unescape(text).split())
 
@@ -449,14 +488,17 @@ def _without(one: Shape, least: int, kept: set[int]) -> None:
         _without(kid, least, kept)
 
 
-def page_tree(html: str) -> Node:
+def page_tree(html: str, template: frozenset[int] | None = None) -> Node:
+    """The page's elements, the dropped ones marked; those that are only suspect stay where no template is given."""
     root = parse(html)
+    if template is not None:
+        _settle(root, template)
     _spare_main(root, max(1, _weigh(root)))
     return root
 
 
 def page_shape(html: str, template: frozenset[int] = frozenset()) -> tuple[Node, Shape]:
-    root = page_tree(html)
+    root = page_tree(html, template)
     return root, shape_of(root, template)
 
 
@@ -585,7 +627,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not html:
                 continue
             held[host, None] += 1
-            for code in {code_of(label, text) for label, text, _ in blocks(page_tree(html))}:
+            tree = page_tree(html)
+            for code in {*(code_of(label, text) for label, text, _ in blocks(tree)), *suspects(tree)}:
                 held[host, code] += 1
             if len(held) >= COUNTS:
                 yield passed_on()

@@ -212,3 +212,29 @@ def test_quotes_open_strings_only_after_an_equals_sign(html, text):
 def test_long_tags_are_read_in_one_go():
     many = "<p " + "a='b' c=d'e \"f\" " * 30_000 + ">one</p><p>two</p>"
     assert H.extract(many, None) == "one\ntwo"
+
+
+@pytest.mark.parametrize("partitions", [1, 5, 20])
+def test_names_are_confirmed_by_recurrence(spark, scratch, partitions):
+    """Named sections of one article stay, elements of like names that all pages have go; the tasks' shares do not matter."""
+    r = random.Random(3)
+    rows, want = [], {}
+    for k in range(40):
+        own = [f"own {words(r, 9)} {k}", f"more {words(r, 9)} {k}"]
+        special = "<section class='copyright-law'><p>law matter</p></section><div class=social-history><p>past matter</p></div>" if k == 7 else ""
+        body = f"<main><p>{own[0]}</p>{special}<p>{own[1]}</p><div class='comment-q7z'><p>said {words(r, 5)} {k}</p></div></main>"
+        rows.append((k, "http://one.example/a", f"<body><div class=q0><a href=/>Home</a> <a href=/x>News {k}</a></div>{body}</body>"))
+        want[k] = "\n".join([own[0], *(["law matter", "past matter"] if special else []), own[1]])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(partitions)
+    got = {x.page_id: x.text for x in H.main_text(pages, scratch).collect()}
+    assert got == want
+    # a page by itself cannot tell the comments from a section of the text
+    assert sum(H.extract(html, None) != want[k] for k, _, html in rows) == 40
+
+
+def test_names_alone():
+    article = "<article><p>one</p><section class='copyright-law'><p>two</p></section><div class='social-history'><p>three</p></div></article>"
+    assert H.extract(article, None) == "one\ntwo\nthree"
+    page = f"<body>{article}<div class='ad-slot'><p>buy</p></div><div class='newsletter-x9'><p>mail</p></div></body>"
+    assert H.extract(page, None) == "one\ntwo\nthree"
+    assert H.extract("<article><p>one</p><div class='share-buttons'><p>share</p></div><div id=comments><p>said</p></div></article>", None) == "one"
