@@ -242,7 +242,7 @@ def mark_duplicates(
 ) -> DataFrame:
     """One row per document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when identical; null equals the empty text. The row with the largest doc_id of a group stays;
+    Texts may have any length and are equal when identical; null equals the empty text. The row with the largest doc_id of a group stays;
     of rows that repeat it exactly one is kept, and null ids rank lowest. Other columns are ignored.
     """
     rows, groups = _grouped(docs.select(doc_id, text), scratch, text, doc_id, room, fanout)

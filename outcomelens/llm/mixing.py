@@ -117,7 +117,7 @@ def _balance(last: bool, seed: int):
 
 
 def mix(docs: DataFrame, scratch: Scratch, seed: int = 0, block: int = BLOCK, keys: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
+    """One row per document: doc_id, size, source_size, target, taken (words the mix takes, repeats counted). Texts may have any length.
 
     ``size`` counts the words of the whole text (null: none). Null is a source of its own, the last. Documents without
     words are taken at any count, as 0 words. A document is taken at most twice. The same rows and seed give the

@@ -47,7 +47,7 @@ def shard(docs: DataFrame, shards: int, scratch: Scratch, key: str = "doc_id", t
     """One row per document with its shard, its slot there, and its shard if one more were appended.
 
     ``size`` is the UTF-8 length plus 1 (1 for null). A null text has the checksum of an empty one. Slots are
-    gapless from 0 in each shard, by blocks, so that no task sorts a whole shard. The shard is a function
+    gapless from 0 in each shard, by blocks, so that no task sorts a whole shard, and rows with one key go to several of them. Texts may have any length. The shard is a function
     of key and shard count; rows with equal keys share a shard. Other columns are not read.
     """
     rows = docs.select(

@@ -70,3 +70,10 @@ def test_empty_table(spark, scratch):
     empty = spark.createDataFrame([], SCHEMA)
     assert D.mark_duplicates(empty, scratch).count() == 0
     assert D.drop_duplicates(empty, scratch).columns == empty.columns
+
+
+def test_very_long_texts(spark, scratch):
+    long = "ä b " * 1_000_000
+    rows = [(1, long, "x", 1), (2, long, "x", 2), (3, long + "c", "x", 3), (4, "short", "x", 4)]
+    got = D.mark_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(2), scratch, room=1000, fanout=2).collect()
+    assert sorted((r.doc_id, r.keep_id, r.kept) for r in got) == [(1, 2, False), (2, 2, True), (3, 3, True), (4, 4, True)]

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from outcomelens.llm import common
 from outcomelens.llm.packing import best_bounds, pack
 
 SCHEMA = "doc_id long, text string, bucket string"
@@ -73,3 +74,20 @@ def test_own_lengths_and_empty_table(spark, scratch):
     got = pack(docs, scratch, length=F.length("text")).collect()
     assert sorted((r.doc_id, r.n_tokens) for r in got) == [(1, 3), (2, 0)]
     assert pack(spark.createDataFrame([], SCHEMA), scratch).count() == 0
+
+
+def test_many_rows_with_one_key_and_a_very_long_text(spark, scratch, monkeypatch):
+    """Pieces of rows alike are dealt out; batches hold as many rows as the budget allows and no place is taken twice."""
+    from outcomelens.llm import packing
+
+    monkeypatch.setattr(packing, "numbered", lambda *a: common.numbered(*a, rows_per_block=50))
+    rows = [(None, "a b c", "x")] * 400 + [(k, "w " * (k % 9), "x") for k in range(300)] + [(500, "w " * 100_000, "x")]
+    got = pack(spark.createDataFrame(rows, SCHEMA), scratch, budget=4096, longest=1024).collect()
+    assert sum(r.n_tokens for r in got) == sum(len(t.split()) for _, t, _ in rows)
+    places = [(r.bucket, r.batch, r.place) for r in got if r.bucket is not None]
+    assert len(set(places)) == len(places)
+    full = {}
+    for r in got:
+        if r.bucket is not None:
+            full[r.bucket, r.batch] = full.get((r.bucket, r.batch), 0) + r.pad_to
+    assert max(full.values()) <= 4096
