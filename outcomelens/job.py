@@ -107,10 +107,7 @@ def model_tables(members: DataFrame, scratch: Scratch) -> dict[str, DataFrame]:
         "model_odds_ratios": model.odds_table(rows),
         "risk_deciles": scratch.table(hospital.risk_deciles(test), "deciles"),
         "roc_points": roc_points(test, "model_risk", "y", scratch, CURVE_STEPS),
-        "hba1c_adjusted": hospital.hba1c_adjusted(patterns),
-        "hba1c_tested_adjusted": hospital.hba1c_tested_adjusted(patterns),
-        "hba1c_by_diagnosis_adjusted": hospital.hba1c_by_diagnosis_adjusted(patterns),
-    }
+    } | hospital.adjusted_tables(patterns)
 
 
 def report_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

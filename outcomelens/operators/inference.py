@@ -273,12 +273,12 @@ def stratified_logit(
     exposed: Column,
     numeric: Mapping[str, Column],
     categorical: Mapping[str, str | None],
-    also: Mapping[str, tuple[Model, str]] | None = None,
+    also: Mapping[str, tuple[Model, Sequence[str]]] | None = None,
 ) -> list[tuple[str, int, float | None, float | None, Fit]]:
     """Adjusted effect of ``exposed`` within each named stratum: name, rows, both crude rates, fit of that one term.
 
     Rows and rates are over all rows of the stratum, those with a NULL covariate included, which the fit cannot use. Levels
-    are taken anew in each stratum. ``also`` names more models and the term asked of each; they are fitted in the same passes, and come after the
+    are taken anew in each stratum. ``also`` names more models and the terms asked of each; they are fitted in the same passes, and come after the
     strata, with no rows and rates. The number of passes does not depend on the number of strata.
     """
     also = also or {}
@@ -291,7 +291,7 @@ def stratified_logit(
     crude = {name: numbers for name, *numbers in crude.collect()}
     models = {f"stratum {name}": Model({exposure: exposed, **numeric}, categorical, F.col(stratum) == name) for name in strata}
     models |= {name: model for name, (model, _) in also.items()}
-    names = {name: [exposure] for name in models} | {name: [term] for name, (_, term) in also.items()}
+    names = {name: [exposure] for name in models} | {name: terms for name, (_, terms) in also.items()}
     fits = named_terms(patterns, models, names)
     out = [(name, *crude.get(name, (0, None, None)), fits[f"stratum {name}"]) for name in strata]
     return out + [(name, 0, None, None, fits[name]) for name in also]

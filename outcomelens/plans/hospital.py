@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import (
@@ -29,7 +29,7 @@ from ..functions import (
 from ..operators.cohort import cohort_funnel, first_per_entity, index_cohort
 from ..operators.evaluate import compare_scores, decile_table, with_quantile
 from ..operators.exposure import exposure_by_stratum, exposure_groups, exposure_summary
-from ..operators.inference import Fit, Model, Term, covariate_patterns, fit_terms, named_terms, stratified_logit
+from ..operators.inference import Fit, Model, Term, covariate_patterns, named_terms, stratified_logit
 from ..operators.levels import top_level_names
 from ..operators.lookups import Lookup, attach_labels
 from ..operators.profile import kpi_row, rate_profile
@@ -340,29 +340,47 @@ def _adjust() -> dict[str, Column]:
     return {name: F.col(name) for name in V.ADJUST_NUMERIC}
 
 
-def adjusted_groups(patterns: DataFrame) -> Fit:
+def _groups_model() -> tuple[Model, list[str]]:
     """Each exposure group against 'Not tested', adjusted; every group has a term."""
     factors = {"hba1c_group": V.MODEL_EXPOSURE_LABELS[0], "primary_diagnosis_group": None, **_ADJUST_FACTORS}
-    names = [f"hba1c_group={label}" for label in sorted(V.MODEL_EXPOSURE_LABELS[1:])]
-    return fit_terms(patterns, names, _adjust(), factors)
+    return Model(_adjust(), factors), [f"hba1c_group={label}" for label in sorted(V.MODEL_EXPOSURE_LABELS[1:])]
 
 
-def adjusted_tested(patterns: DataFrame) -> Fit:
+def _tested_model() -> tuple[Model, list[str]]:
     """Any test against none, adjusted."""
-    factors = {"primary_diagnosis_group": None, **_ADJUST_FACTORS}
-    return fit_terms(patterns, ["tested"], {"tested": _tested(), **_adjust()}, factors)
+    return Model({"tested": _tested(), **_adjust()}, {"primary_diagnosis_group": None, **_ADJUST_FACTORS}), ["tested"]
 
 
-def _interaction(one: str = "Diabetes", other: str = "Circulatory") -> tuple[Model, str]:
-    """Does the effect of testing differ between two diagnoses? The model and its product term."""
+def _interaction_model(one: str = "Diabetes", other: str = "Circulatory") -> tuple[Model, list[str]]:
+    """Does the effect of testing differ between two diagnoses? The product term."""
     is_one = F.col("primary_diagnosis_group") == one
     product = {"tested": _tested(), "subgroup": is_one, "tested:subgroup": _tested() & is_one}
-    return Model({**product, **_adjust()}, _ADJUST_FACTORS, F.col("primary_diagnosis_group").isin(one, other)), "tested:subgroup"
+    return Model({**product, **_adjust()}, _ADJUST_FACTORS, F.col("primary_diagnosis_group").isin(one, other)), ["tested:subgroup"]
+
+
+def _fit_of(patterns: DataFrame, asked: tuple[Model, list[str]]) -> Fit:
+    model, names = asked
+    return named_terms(patterns, {"": model}, {"": names})[""]
+
+
+def adjusted_groups(patterns: DataFrame) -> Fit:
+    return _fit_of(patterns, _groups_model())
+
+
+def adjusted_tested(patterns: DataFrame) -> Fit:
+    return _fit_of(patterns, _tested_model())
 
 
 def interaction(patterns: DataFrame) -> Term:
-    model, term = _interaction()
-    return named_terms(patterns, {"": model}, {"": [term]})[""][0]
+    return _fit_of(patterns, _interaction_model())[0]
+
+
+def _by_stratum(patterns: DataFrame, also: dict[str, tuple[Model, list[str]]]) -> tuple[list[tuple], dict[str, Fit]]:
+    """The strata's rows, rates and fits, and the fits of ``also``, made in the same passes."""
+    fits = stratified_logit(
+        patterns, "primary_diagnosis_group", V.MODEL_STRATA, "tested", _tested(), _adjust(), _ADJUST_FACTORS, also
+    )
+    return fits[: len(V.MODEL_STRATA)], {name: fit for name, *_, fit in fits[len(V.MODEL_STRATA) :]}
 
 
 _ODDS_SCHEMA = "odds_ratio double, ci95_low double, ci95_high double, p_value double"
@@ -385,32 +403,23 @@ def _rounded(table: DataFrame) -> DataFrame:
     )
 
 
-def hba1c_adjusted(patterns: DataFrame) -> DataFrame:
-    """A row for every exposure group; numbers only where ``status`` is ``estimated``."""
-    fit = adjusted_groups(patterns)
+def _groups_table(spark: SparkSession, fit: Fit) -> DataFrame:
     rows = [(t.name.partition("=")[2], *t.numbers(), *_fit_notes(t, fit)) for t in fit]
-    schema = f"group_vs_not_tested string, {_ODDS_SCHEMA}, {_FIT_SCHEMA}"
-    return _rounded(small_table(patterns.sparkSession, rows, schema))
+    return _rounded(small_table(spark, rows, f"group_vs_not_tested string, {_ODDS_SCHEMA}, {_FIT_SCHEMA}"))
 
 
-def hba1c_tested_adjusted(patterns: DataFrame) -> DataFrame:
-    fit = adjusted_tested(patterns)
-    rows = [(*fit[0].numbers(), *_fit_notes(fit[0], fit))]
-    return _rounded(small_table(patterns.sparkSession, rows, f"{_ODDS_SCHEMA}, {_FIT_SCHEMA}"))
+def _tested_table(spark: SparkSession, fit: Fit) -> DataFrame:
+    return _rounded(small_table(spark, [(*fit[0].numbers(), *_fit_notes(fit[0], fit))], f"{_ODDS_SCHEMA}, {_FIT_SCHEMA}"))
 
 
-def hba1c_by_diagnosis_adjusted(patterns: DataFrame) -> DataFrame:
-    """A row for every diagnosis of the study, in its order."""
-    *fits, (*_, product) = stratified_logit(
-        patterns, "primary_diagnosis_group", V.MODEL_STRATA, "tested", _tested(), _adjust(), _ADJUST_FACTORS, {"interaction": _interaction()}
-    )
+def _strata_table(spark: SparkSession, fits: list[tuple], product: Term) -> DataFrame:
     rows = [
         (
             name,
             n,
             *[r if r is None else 100 * r for r in rates],
             *fit[0].numbers(),
-            product[0].numbers()[-1],
+            product.numbers()[-1],
             *_fit_notes(fit[0], fit),
         )
         for name, n, *rates, fit in fits
@@ -420,4 +429,31 @@ def hba1c_by_diagnosis_adjusted(patterns: DataFrame) -> DataFrame:
         "adjusted_odds_ratio double, ci95_low double, ci95_high double, p_value double, "
         f"interaction_p_diabetes_vs_circulatory double, {_FIT_SCHEMA}"
     )
-    return _rounded(small_table(patterns.sparkSession, rows, schema))
+    return _rounded(small_table(spark, rows, schema))
+
+
+def hba1c_adjusted(patterns: DataFrame) -> DataFrame:
+    """A row for every exposure group; numbers only where ``status`` is ``estimated``."""
+    return _groups_table(patterns.sparkSession, adjusted_groups(patterns))
+
+
+def hba1c_tested_adjusted(patterns: DataFrame) -> DataFrame:
+    return _tested_table(patterns.sparkSession, adjusted_tested(patterns))
+
+
+def hba1c_by_diagnosis_adjusted(patterns: DataFrame) -> DataFrame:
+    """A row for every diagnosis of the study, in its order."""
+    fits, more = _by_stratum(patterns, {"interaction": _interaction_model()})
+    return _strata_table(patterns.sparkSession, fits, more["interaction"][0])
+
+
+def adjusted_tables(patterns: DataFrame) -> dict[str, DataFrame]:
+    """The three tables above, all their models fitted in the same passes."""
+    asked = {"groups": _groups_model(), "tested": _tested_model(), "interaction": _interaction_model()}
+    fits, more = _by_stratum(patterns, asked)
+    spark = patterns.sparkSession
+    return {
+        "hba1c_adjusted": _groups_table(spark, more["groups"]),
+        "hba1c_tested_adjusted": _tested_table(spark, more["tested"]),
+        "hba1c_by_diagnosis_adjusted": _strata_table(spark, fits, more["interaction"][0]),
+    }

@@ -122,7 +122,8 @@ def q_stacked_files(spark: SparkSession, folder: str) -> DataFrame:
     texts = [F.concat("p_brand", F.lit(", new")), F.col("p_type"), F.concat(F.lit('the "'), "p_name", F.lit('"'))]
     rows = [F.struct(F.lit(k).alias("part"), F.lit(1).alias("kind"), F.concat_ws(",", key, quoted(text)).alias("line")) for k, text in enumerate(texts)]
     lines = parts.select(F.col("p_size").alias("file"), "p_partkey", F.inline(F.array(*rows)))
-    edges = [F.struct(F.lit(k).alias("part"), F.lit(kind).alias("kind"), F.lit(text).alias("line")) for k in range(3) for kind, text in ((0, "key,text"), (2, ",")) if (k, kind) != (2, 2)]
+    heads = [(k, 0, "key,text") for k in range(3)] + [(k, 2, ",") for k in range(2)]
+    edges = [F.struct(F.lit(k).alias("part"), F.lit(kind).alias("kind"), F.lit(text).alias("line")) for k, kind, text in heads]
     edges = parts.select(F.col("p_size").alias("file")).distinct().select("file", F.lit(0).cast("bigint").alias("p_partkey"), F.inline(F.array(*edges)))
     out = Scratch(spark).folder("stacked")
     placed = lines.unionByName(edges).repartition("file").sortWithinPartitions("file", "part", "kind", "p_partkey")
@@ -602,15 +603,15 @@ def q_export_cohort(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_export_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The tables of adjusted odds ratios exported and read again, typed."""
-    patterns = _patterns(spark, folder)
-    tables = {"hba1c_adjusted": hospital.hba1c_adjusted(patterns), "hba1c_by_diagnosis_adjusted": hospital.hba1c_by_diagnosis_adjusted(patterns)}
+    tables = hospital.adjusted_tables(_patterns(spark, folder))
+    del tables["hba1c_tested_adjusted"]
     out = Scratch(spark).folder("export")
     export_csv(tables, out, order=job.sort_orders())
     found = []
     for name, df in tables.items():
         read = read_lookup(spark, f"{out}/{name}", ", ".join(f"{c} {kind}" for c, kind in df.dtypes))
-        columns = [c for c in df.columns if c in ("odds_ratio", "adjusted_odds_ratio", "p_value")]
-        found.append(read.select(F.lit(name).alias("table_name"), F.col(df.columns[0]).alias("name"), *[F.col(c).alias(c.removeprefix("adjusted_")) for c in columns]))
+        numbers = [F.col(c).alias(c.removeprefix("adjusted_")) for c in df.columns if c in ("odds_ratio", "adjusted_odds_ratio", "p_value")]
+        found.append(read.select(F.lit(name).alias("table_name"), F.col(df.columns[0]).alias("name"), *numbers))
     return found[0].unionByName(found[1])
 
 
