@@ -408,8 +408,8 @@ def drop_repeats(
     number = T.LongType()
     schema = T.StructType().add("_file", number).add("_at", number).add("doc_id", who_type).add("anchor", number).add("start", number)
     schema = schema.add("text", T.StringType())
-    texts = rows.select("_file", "_at", F.col(who).alias("doc_id"), "text").join(wanted, ["_file", "_at"]).select("_file", "_at", "doc_id", "text", "wanted.anchor", "wanted.start", "wanted.windows")
-    texts = texts.mapInArrow(_texts(window), schema)
+    texts = rows.select("_file", "_at", F.col(who).alias("doc_id"), "text").join(wanted, ["_file", "_at"])
+    texts = texts.select("_file", "_at", "doc_id", "text", "wanted.anchor", "wanted.start", "wanted.windows").mapInArrow(_texts(window), schema)
     first = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_file", "_at", "start")
     distinct = scratch.table(texts.groupBy("anchor", "text").agg(F.min(first).alias("first")), "distinct")
     shards = spread(distinct, scratch, window, most)
