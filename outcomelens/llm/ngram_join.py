@@ -465,7 +465,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, n: int = 4, percent: i
     Words are runs of anything but ASCII white space, A-Z in lower case; a set is the distinct n-word shingles, or the whole
     sequence of fewer words. Two documents link when 100 * shared >= percent * union. ``component_id`` is the smallest
     doc_id reachable by links; ``leader`` is true for one row of each component, one with that id. Documents without
-    words or text have size 0 and link with nothing. Rows that repeat a doc_id are documents of their own; of
+    words or text have size 0 and link with nothing; texts may have any length. Rows that repeat a doc_id are documents of their own; of
     a component in which all ids are null the component_id is null. Other columns are ignored.
     """
     if not 50 <= percent <= 99:

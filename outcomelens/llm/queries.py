@@ -141,6 +141,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # all pairs, and components by what is reachable
+    "op3_vector_dedup": """
+        WITH RECURSIVE whole AS (
+            SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings
+        ), unit AS (
+            SELECT vec_id, list_transform(e, lambda v: v / sqrt(list_dot_product(e, e))) AS u FROM whole
+            WHERE len(e) > 0 AND len(list_filter(e, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND list_dot_product(e, e) > 0
+        ), link AS (
+            SELECT x.vec_id AS a, y.vec_id AS b FROM unit x JOIN unit y
+            ON x.vec_id <> y.vec_id AND len(x.u) = len(y.u) AND list_dot_product(x.u, y.u) >= 0.9
+        ), reach(a, b) AS (
+            SELECT a, a FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+        ), least AS (SELECT a, min(b) AS component FROM reach GROUP BY a),
+        direct AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id,
+               vec_id = coalesce(component, vec_id) AS kept
+        FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN direct ON direct.a = vec_id
+    """,
+    # a base32 digit is five of the digest's 160 bits, out of two hexadecimal digits
+    "op5_warc": """
+        WITH payload AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) || '0' AS hex FROM pages
+        ), digits AS (
+            SELECT page_id, html, octet_length(encode(html))::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS first,
+                   array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+                       (('0x' || substr(hex, 5 * i // 4 + 1, 2))::INTEGER >> (3 - i % 4)) % 32 + 1]), '') AS payload_digest
+            FROM payload
+        )
+        SELECT page_id, payload_bytes, payload_digest, if(page_id = first, 'response', 'revisit') AS record_type,
+               if(page_id = first, NULL, first) AS refers_to FROM digits
+    """,
+    "op9_ngram_join": """
+        WITH RECURSIVE split AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, list_distinct(list_transform(range(if(len(w) = 0, 0, greatest(1, len(w) - 3))),
+                lambda i: array_to_string(w[i + 1:i + 4], ' '))) AS s FROM split
+        ), shingle AS (SELECT doc_id, len(s) AS n, unnest(s) AS v FROM sets),
+        link AS (
+            SELECT x.doc_id AS a, y.doc_id AS b FROM shingle x JOIN shingle y ON x.v = y.v AND x.doc_id <> y.doc_id
+            GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+        ), reach(a, b) AS (
+            SELECT a, a FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+        ), least AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id
+        FROM sets LEFT JOIN least ON least.a = doc_id
+    """,
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER texts AS keep_id, count(*) OVER texts AS group_size,
                doc_id = max(doc_id) OVER texts AS kept, sha256(coalesce(text, '')) AS text_sha256

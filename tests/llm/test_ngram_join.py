@@ -122,3 +122,17 @@ def test_tree_finds_what_all_pairs_find():
     close = J.close_pairs(points, sizes, i, j, 85)
     found = [(min(a, b), max(a, b)) for x, y in J.RTree(points, sizes, 8).join(85) for a, b in zip(x, y, strict=True)]
     assert sorted(found) == sorted(zip(i[close], j[close], strict=True))
+
+
+def test_very_long_texts_and_groups_of_near_copies(spark, scratch):
+    """A text of 60,000 words and its near copy; a group in which only neighbours link is one component."""
+    r = random.Random(12)
+    words = [str(r.randrange(5000)) for _ in range(60_000)]
+    other = list(words)
+    for k in range(0, 60_000, 3000):
+        other[k] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:30_000]))]
+    chain = [str(k) for k in range(200)]
+    rows += [(100 + k, " ".join(chain[2 * k : 2 * k + 100])) for k in range(40)]
+    got = {x.doc_id: x.component_id for x in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), scratch, 5, 80).collect()}
+    assert [got[k] for k in (1, 2, 3)] == [1, 1, 3] and {got[100 + k] for k in range(40)} == {100}
