@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Columns of a design, the intercept included, whose matrix a driver solves.
 WIDEST = 2500
+#: Tasks whose sums the driver adds up itself; those of more are added up by a shuffle first.
+FEW = 8
 #: Rows that a task makes dense at a time.
 _ROWS = 2048
 
@@ -153,17 +155,22 @@ def solve(packed: DataFrame, designs: Sequence[Design], penalty: float = 0.0, mo
     found = {k: Solution(["", *d.names], zero[k], None, False) for k, d in enumerate(designs)}
     now, step, best = dict(zero), {}, {}
     passes = 0
+    few = packed.rdd.getNumPartitions() <= FEW
     while now and passes < most:
         passes += 1
         sums = packed.mapInArrow(_pass(now, widths), "design int, entry int, value double")
-        rows = sums.groupBy("design", "entry").agg(F.sum("value").alias("value")).collect()
+        if not few:
+            sums = sums.groupBy("design", "entry").agg(F.sum("value").alias("value"))
+        total: dict[int, np.ndarray] = {}
+        for design, entry, value in sums.collect():
+            p = len(now[design])
+            total.setdefault(design, np.zeros(p * (p + 1) // 2 + p + 1))[entry] += value
         for k in list(now):
-            own = sorted((r.entry, r.value) for r in rows if r.design == k)
             p = len(now[k])
-            if not own:  # no row takes part
+            if k not in total:  # no row takes part
                 del now[k]
                 continue
-            values = np.array([v for _, v in own])
+            values = total[k]
             information = np.zeros((p, p))
             information[np.triu_indices(p)] = values[: p * (p + 1) // 2]
             information += np.triu(information, 1).T

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from outcomelens.operators import newton as newton_steps
 from outcomelens.operators.inference import (
     Model,
     NotEstimable,
@@ -294,3 +295,11 @@ def test_designs_too_wide_and_rows_that_take_no_part(spark):
     assert not found.determined
     with pytest.raises(ValueError, match="columns"):
         solve(df, [Design({}, {"f": (F.col("x"), [str(k) for k in range(3000)])})])
+
+
+def test_sums_of_many_tasks_are_added_up_by_a_shuffle(df, monkeypatch):
+    patterns = covariate_patterns(df, "y", ["age", "grp"])
+    one = fit_logit(patterns, {"age": F.col("age")}, {"grp": "none"})
+    monkeypatch.setattr(newton_steps, "FEW", 0)
+    other = fit_logit(patterns, {"age": F.col("age")}, {"grp": "none"})
+    assert [(t.name, t.estimate, t.se) for t in one] == [(t.name, pytest.approx(t.estimate), pytest.approx(t.se)) for t in other]
