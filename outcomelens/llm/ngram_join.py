@@ -18,9 +18,11 @@ a point: the overlap of two sets is at most the sum of the smaller coordinates o
 from __future__ import annotations
 
 import math
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
-from .common import bounded, components
+from .common import bounded, components, keyed
 
 #: A cell of more sets is dealt out as pairs of tiles; one of more than a leaf gets a tree.
 TILE, LEAF = 4096, 32
 #: A cell that finds more pairs than this a set sends a few and is looked at again.
 PAIRS_A_SET = 4
+#: Slice keys are looked through in so many rounds, so their shuffle takes that part of its disk.
+ROUNDS = 4
 _CLASS_BITS = 6
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -136,6 +140,11 @@ def count_vector(codes: np.ndarray, one: SizeClass) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def _packed(point: bytes) -> bytes:
+    """A point as it is kept and sent: one goes to every cell of its set, and small counts need few bits."""
+    return zlib.compress(point, 6, -15)
+
+
 def may_link(bound: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of n and m shingles that share at most ``bound`` can reach the similarity."""
     shared = np.minimum(bound, np.minimum(n, m))
@@ -243,7 +252,7 @@ def _sets(n: int, percent: int):
                         if one.touched and (one.number == at or 100 * size >= percent * one.low):
                             keys.append(slice_keys(own, one))
                             found += len(keys[-1])
-                            vector = count_vector(own, one)
+                            vector = _packed(count_vector(own, one))
                             point, upper = (vector, upper) if one.number == at else (point, vector)
                 ends.append(ends[-1] + found)
                 for c, v in zip(rows, (node, first, size, f1, f2, at, point, upper), strict=True):
@@ -334,7 +343,9 @@ def _whole_cells(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Ite
 def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     table = pa.Table.from_batches(batches)
     out = {c: table.column(c).to_numpy() for c in ("key", "node", "n", "component")}
-    return out | {"point": np.array(table.column("point").to_pylist(), dtype=object)}
+    points = np.empty(table.num_rows, object)
+    points[:] = [zlib.decompress(p, -15) for p in table.column("point").to_pylist()]
+    return out | {"point": points}
 
 
 def _matrix(points: np.ndarray) -> np.ndarray:
@@ -483,14 +494,17 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, n: int = 4, percent: i
     same = scratch.table(firsts.join(classes, ["n", "f1", "f2"]).where("node <> root").select("node", "root"), "same")
 
     keys = made.select("node", F.explode("keys").alias("key")).join(bounded(same.select("node")), "node", "left_anti")
-    cell = Window.partitionBy("key")
+    part, cell = F.pmod(F.shiftright("key", _CLASS_BITS), F.lit(ROUNDS)), Window.partitionBy("key")
     # sets that share many slices share many cells: of cells with the same members one stays, named by a hash of them
     one = F.shiftleft(F.bit_xor(F.xxhash64("node")).over(cell), _CLASS_BITS).bitwiseOR(
         F.col("key").bitwiseAND((1 << _CLASS_BITS) - 1)
     )
-    cells = keys.withColumn("members", F.count("*").over(cell)).withColumn("_same", one).where("members > 1")
-    # written before the points join, so that the keys' shuffle files are gone by then
-    cells = scratch.table(cells.select(F.col("_same").alias("key"), "node", "members").distinct(), "members")
+    rounds = []
+    for k in range(ROUNDS):
+        found = keys.where(part == k).withColumn("members", F.count("*").over(cell)).withColumn("_same", one).where("members > 1")
+        # written, so that the shuffle files of a round's keys are gone by the next
+        rounds.append(scratch.table(found.select(F.col("_same").alias("key"), "node", "members"), "round"))
+    cells = scratch.table(reduce(DataFrame.unionByName, rounds).distinct(), "members")
     # a very large cell becomes pairs of tiles, each a cell of its own
     tiles = F.ceil(F.col("members") / TILE).cast("long")
     cells = cells.withColumn("_tiles", tiles).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_tiles")))
@@ -544,7 +558,7 @@ def drop_near_duplicates(docs: DataFrame, scratch: Scratch, n: int = 5, percent:
     """
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    rows = scratch.table(plain.withColumn("key", F.monotonically_increasing_id()), "keyed")
+    rows = keyed(plain, scratch).withColumn("key", F.struct("_file", "_at")).drop("_file", "_at")
     doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
     groups = jaccard_components(rows.select(F.col("key").alias("doc_id"), text.alias("text")), scratch, n, percent)
     groups = groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"))

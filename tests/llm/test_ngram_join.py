@@ -136,3 +136,39 @@ def test_very_long_texts_and_groups_of_near_copies(spark, scratch):
     rows += [(100 + k, " ".join(chain[2 * k : 2 * k + 100])) for k in range(40)]
     got = {x.doc_id: x.component_id for x in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), scratch, 5, 80).collect()}
     assert [got[k] for k in (1, 2, 3)] == [1, 1, 3] and {got[100 + k] for k in range(40)} == {100}
+
+
+@pytest.mark.parametrize("rounds", [1, 3, 8])
+def test_rounds_of_keys_lose_no_link(spark, scratch, monkeypatch, rounds):
+    r = random.Random(rounds)
+    rows = []
+    for _ in range(25):
+        base = [str(r.randrange(300)) for _ in range(r.choice([12, 60, 140]))]
+        for _ in range(4):
+            text = list(base)
+            for _ in range(r.choice([0, 1, 2])):
+                text[r.randrange(len(text))] = "x" + str(r.randrange(9))
+            rows.append((len(rows), " ".join(text)))
+    monkeypatch.setattr(J, "ROUNDS", rounds)
+    found = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), scratch, 4, 85)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == sorted(brute(rows, 4, 85))
+    assert sum("/round-" in path for path in scratch.paths) == rounds
+
+
+def test_texts_of_files_are_not_written_again(spark, scratch, tmp_path):
+    base = " ".join(str(k) for k in range(90))
+    rows = [(7, base, "a"), (3, base + " end", "b"), (3, base + " end", "c"), (5, "other words " * 30, "d"), (None, None, "e")]
+    spark.createDataFrame(rows, "doc_id long, text string, more string").repartition(2).write.parquet(f"{tmp_path}/docs")
+    kept = J.drop_near_duplicates(spark.read.parquet(f"{tmp_path}/docs"), scratch)
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(found, key=str) == sorted([(3, base + " end"), (5, "other words " * 30), (None, None)], key=str)
+    for path in scratch.paths:
+        assert "string" not in dict(spark.read.parquet(path).dtypes).values()
+
+
+def test_points_are_kept_small_and_come_back_whole():
+    one = J.size_class(12, 80)
+    codes = np.arange(one.low, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    point = J.count_vector(codes, one)
+    assert len(J._packed(point)) < len(point)
+    assert J.zlib.decompress(J._packed(point), -15) == point
