@@ -41,12 +41,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _customers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+def _places(spark: SparkSession, folder: str) -> DataFrame:
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
-    return (
-        table(spark, folder, "customer")
-        .join(nation.join(region, F.expr("n_regionkey = r_regionkey"), "left"), F.expr("c_nationkey = n_nationkey"), "left")
-        .select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", "n_name", "r_name")
-    )
+    return nation.join(region, F.expr("n_regionkey = r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")
 
 
 def _days(orders: DataFrame) -> DataFrame:
@@ -55,26 +55,40 @@ def _days(orders: DataFrame) -> DataFrame:
         F.count("*").alias("n_orders"), F.max("o_orderkey").alias("last_key")
     )
     by_day = Window.partitionBy("o_custkey").orderBy("day")
-    return daily.select(
-        F.col("o_custkey").alias("d_custkey"),
-        F.col("day").alias("d_day"),
-        "last_key",
-        F.coalesce(F.sum("n_orders").over(by_day.rangeBetween(-365, -1)), F.lit(0)).alias("prior"),
-        F.lead("day").over(by_day).alias("next_day"),
+    placed = daily.withColumns(
+        {
+            "prior": F.coalesce(F.sum("n_orders").over(by_day.rangeBetween(-365, -1)), F.lit(0)),
+            "next_day": F.lead("day").over(by_day),
+        }
     )
+    # renamed above the windows: below them Spark would not see that the rows lie by customer already, and shuffle them again
+    return placed.select(F.col("o_custkey").alias("d_custkey"), F.col("day").alias("d_day"), "last_key", "prior", "next_day")
+
+
+# What is counted of an order's lines; a line's answers travel as the bits of one number.
+_MARKS = {
+    "n_returned": "l_returnflag = 'R'",
+    "n_accepted": "l_returnflag = 'A'",
+    "n_open": "l_linestatus = 'O'",
+    "n_taxed": "l_tax > 0.04D",
+}
 
 
 def _lines(lineitem: DataFrame) -> DataFrame:
+    """Sums and counts per order.
+
+    Lines are dealt out by order before they are summed: a map task meets few lines of an order, so sums taken there would hold
+    nearly a row per line, and spill once a task reads millions of them.
+    """
+    marks = " + ".join(f"if({test}, {1 << bit}, 0)" for bit, test in enumerate(_MARKS.values()))
     counted = {
         "n_lines": "count(*)",
         "quantity": "cast(sum(l_quantity) as bigint)",
         "line_numbers": "sum(l_linenumber)",
-        "n_returned": "count_if(l_returnflag = 'R')",
-        "n_accepted": "count_if(l_returnflag = 'A')",
-        "n_open": "count_if(l_linestatus = 'O')",
-        "n_taxed": "count_if(l_tax > 0.04D)",
+        **{name: f"count_if(marks & {1 << bit} > 0)" for bit, name in enumerate(_MARKS)},
     }
-    return lineitem.groupBy("l_orderkey").agg(*[F.expr(sql).alias(name) for name, sql in counted.items()])
+    narrow = lineitem.selectExpr("l_orderkey", "l_quantity", "l_linenumber", f"{marks} as marks")
+    return narrow.repartition("l_orderkey").groupBy("l_orderkey").agg(*[F.expr(sql).alias(name) for name, sql in counted.items()])
 
 
 # A diagnosis code from the price: blanks, V and E codes, decimals, letters and plain numbers.
@@ -129,8 +143,10 @@ def encounters(spark: SparkSession, folder: str) -> DataFrame:
     # customer columns ride on the daily rows, which bounds what a busy customer sends through that join
     days = _days(orders).join(_customers(spark, folder), F.expr("d_custkey = c_custkey"), "left")
     lines = _lines(table(spark, folder, "lineitem"))
-    joined = orders.join(lines, F.expr("o_orderkey = l_orderkey"), "left").join(
-        days, F.expr("o_custkey = d_custkey and day = d_day"), "left"
+    joined = (
+        orders.join(lines, F.expr("o_orderkey = l_orderkey"), "left")
+        .join(days, F.expr("o_custkey = d_custkey and day = d_day"), "left")
+        .join(_places(spark, folder), F.expr("c_nationkey = n_nationkey"), "left")
     )
     derived = joined.selectExpr(
         "*",

@@ -78,3 +78,33 @@ def test_quality_reads_rows_once_and_keys_once_each(spark, scratch):
 def test_marking_deciles_needs_no_shuffle(spark, scratch):
     df = scratch.table(spark.range(5000).select("id", (F.col("id") % 7).alias("score")))
     assert "Exchange" not in plan(with_quantile(df, "score", "id"))
+
+
+def test_lines_are_dealt_out_before_they_are_summed(spark):
+    text = plan(testbed.encounters(spark, FOLDER))
+    lines = text[: text.index("lineitem.parquet")]
+    assert "partial_" not in lines[lines.rindex("Exchange") :]  # no map task holds sums of its own
+    # the join takes the sums as they lie: one shuffle of the lines
+    assert lines.count("Exchange hashpartitioning(l_orderkey") == 1
+
+
+def test_days_stay_by_customer_for_the_join_with_customers(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(testbed.encounters(spark, FOLDER))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert re.search(r"SortMergeJoin \[d_custkey#\d+L\], \[c_custkey", text)
+    assert not re.search(r"hashpartitioning\(d_custkey#\d+L, \d+\)", text)
+    assert len(re.findall(r"Exchange hashpartitioning\(o_custkey#\d+L, \d+\)", text)) == 1
+
+
+def test_sums_of_lines_with_nulls(spark):
+    schema = "l_orderkey bigint, l_linenumber int, l_quantity double, l_tax double, l_returnflag string, l_linestatus string"
+    rows = [
+        (1, 1, 2.0, 0.05, "R", "O"), (1, 2, 3.0, 0.04, "A", "F"), (1, 3, None, None, None, None), (1, 3, 1.0, float("nan"), "N", "O"),
+        (2, None, None, 0.01, "A", None), (None, 1, 1.0, 0.08, "R", "O"), (None, 1, 1.0, 0.08, "A", "O"),
+    ]
+    found = {row[0]: tuple(row[1:]) for row in testbed._lines(spark.createDataFrame(rows, schema)).collect()}
+    assert found == {1: (4, 6, 9, 1, 1, 2, 2), 2: (1, None, None, 0, 1, 0, 0), None: (2, 2, 2, 1, 1, 2, 2)}
